@@ -13,6 +13,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyfield.llm.sentencepiece_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.quality_rules import judged
 
@@ -20,13 +28,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallyfield.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_quality_rules": op3_quality_rules, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_packing": op5_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op8_exact_dedup": """
