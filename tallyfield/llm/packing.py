@@ -10,6 +10,7 @@ one sequence beyond what its own bound allows, so the number of groups hardly co
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -43,6 +44,7 @@ class WordTokenizer:
     between letters and symbols; ids of words are remembered, up to a bound."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library's threads would only compete with other tasks
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
