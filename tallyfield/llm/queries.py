@@ -42,12 +42,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.ngram_join import linked
+
+    return linked(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
