@@ -26,33 +26,35 @@ MAX_CELLS = 1 << 29
 SEGMENT = 1 << 16
 
 
-def _cells(h: np.ndarray, m: int) -> np.ndarray:
-    """Row i: the cells of hash i, each probe in its own quarter of the filter, so that no row hits a cell twice."""
-    h = h.astype(np.int64).view(np.uint64)
+def cells(h: np.ndarray, m: int, probes: int = PROBES) -> np.ndarray:
+    """Row i: the cells of hash i, each probe in its own part of the filter, so that no row hits a cell twice."""
+    h = h.astype(np.int64, copy=False).view(np.uint64)
     a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    part = np.uint64(m // PROBES)
-    return np.stack([(a + np.uint64(i) * b) % part + np.uint64(i) * part for i in range(PROBES)], 1).astype(np.int64)
+    part = np.uint64(m // probes)
+    return np.stack([(a + np.uint64(i) * b) % part + np.uint64(i) * part for i in range(probes)], 1).astype(np.int64)
 
 
-def repeated_cells(hashes: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
-    """(a bit for each cell that was hit twice or more, number of cells) for the bigint column ``h``."""
-    m = SEGMENT * PROBES
+def n_cells(n_rows: int, probes: int = PROBES) -> int:
+    """Cells for so many rows, at most MAX_CELLS."""
+    m = SEGMENT * probes
     while m < min(MAX_CELLS, n_rows * CELLS_PER_ROW):
         m *= 2
+    return m
 
-    def hit(batches):
-        for b in batches:
-            c = np.sort(_cells(b.column(0).to_numpy(zero_copy_only=False), m).ravel())
-            if not len(c):
-                continue
-            c = c[np.r_[True, True, c[2:] != c[:-2]][: len(c)]]  # a third hit of a cell tells nothing new
-            seg, at = np.unique(c // SEGMENT, return_index=True)
-            off = (c % SEGMENT).astype("<u2")
-            ends = np.r_[at[1:], len(c)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seg, pa.int32()), pa.array([off[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())],
-                ["seg", "hits"],
-            )
+
+def cell_hits(h: np.ndarray, m: int, probes: int = PROBES) -> pa.RecordBatch:
+    """The hits of hashes as rows (segment of the filter, places there)."""
+    c = np.sort(cells(h, m, probes).ravel())
+    c = c[np.r_[True, True, c[2:] != c[:-2]][: len(c)]]  # a third hit of a cell tells nothing new
+    seg, at = np.unique(c // SEGMENT, return_index=True)
+    off = (c % SEGMENT).astype("<u2")
+    ends = np.r_[at[1:], len(c)]
+    cols = [pa.array(seg, pa.int32()), pa.array([off[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["seg", "hits"])
+
+
+def merged_cells(hits: DataFrame, m: int) -> np.ndarray:
+    """A bit for each of m cells that the rows (seg, hits) of all tasks hit twice or more."""
 
     def merge(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SEGMENT, np.uint8)
@@ -65,11 +67,22 @@ def repeated_cells(hashes: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
             ["seg", "bits"],
         )
 
-    segs = hashes.select("h").mapInArrow(hit, "seg int, hits binary").groupBy("seg").applyInArrow(merge, "seg int, bits binary")
     bits = np.zeros(m // 8, np.uint8)
-    for r in segs.toLocalIterator():
+    for r in hits.groupBy("seg").applyInArrow(merge, "seg int, bits binary").toLocalIterator():
         bits[r.seg * SEGMENT // 8 : (r.seg + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
-    return bits, m
+    return bits
+
+
+def repeated_cells(hashes: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
+    """(a bit for each cell that was hit twice or more, number of cells) for the bigint column ``h``."""
+    m = n_cells(n_rows)
+
+    def hit(batches):
+        for b in batches:
+            if b.num_rows:
+                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m)
+
+    return merged_cells(hashes.select("h").mapInArrow(hit, "seg int, hits binary"), m), m
 
 
 def _flagger(spark, bits: np.ndarray, m: int):
@@ -77,7 +90,7 @@ def _flagger(spark, bits: np.ndarray, m: int):
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        c = _cells(h.to_numpy(), m)
+        c = cells(h.to_numpy(), m)
         return pd.Series(((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(1) if len(c) else np.zeros(0, bool))
 
     return maybe

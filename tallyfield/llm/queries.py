@@ -36,6 +36,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.suffix_dedup import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.exact_dedup import exact_dedup
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
