@@ -153,3 +153,17 @@ def judged(df: DataFrame, text: str = "text", keep: list[str] | None = None, thr
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
         .drop("__votes")
     )
+
+
+def keep_good(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that ``judged`` keeps, all columns as they are.
+
+    The texts are read twice, once for the counts of vote patterns and once to judge, so no copy of them is written.
+    """
+    votes = add_figures(df, text, []).select(vote_pattern().alias("__votes"))
+    seen = votes.groupBy("__votes").count().toPandas()  # at most 3 ** rules rows
+    post, *_ = fit(seen["__votes"].to_numpy(np.int64), seen["count"].to_numpy(), len(rules()))
+    codes = df.sparkSession.createDataFrame(list(zip(seen["__votes"].tolist(), post.tolist())), "__votes int, posterior double")
+    rows = add_figures(df.select(F.struct(*df.columns).alias("__row"), df[text].alias("__t")), "__t", ["__row"])
+    rows = rows.filter(~base_failed()).withColumn("__votes", vote_pattern()).join(F.broadcast(codes), "__votes")
+    return rows.filter(F.col("posterior") >= threshold).select("__row.*")
