@@ -71,7 +71,7 @@ def grid_cdf(grid: DataFrame, key: str) -> DataFrame:
     return grid.withColumn("cdf", run / F.sum("p").over(W.partitionBy(key)))
 
 
-def rank_prob(home: Column, away: Column, beta: float = 0.55, unranked: float = 500.0) -> Column:
+def rank_prob(home: Column, away: Column, beta: float = 0.4, unranked: float = 500.0) -> Column:
     """The home side's chance by published ranks.  With one side unranked it is drawn to a half; without both null."""
     p = f.sigmoid(beta * (F.log(F.coalesce(away, F.lit(unranked))) - F.log(F.coalesce(home, F.lit(unranked)))))
     one = home.isNull() | away.isNull()
@@ -79,7 +79,7 @@ def rank_prob(home: Column, away: Column, beta: float = 0.55, unranked: float =
     return F.when(home.isNull() & away.isNull(), F.lit(None)).otherwise(f.clamp(p, 0.05, 0.95))
 
 
-def rating_of_rank(rank: Column, beta: float = 0.55) -> Column:
+def rating_of_rank(rank: Column, beta: float = 0.4) -> Column:
     return 1500.0 + 400.0 * beta / math.log(10) * F.log(100.0 / rank)
 
 

@@ -141,7 +141,7 @@ def dixon_coles_rates(fixtures: DataFrame, model: DataFrame) -> DataFrame:
     return x.withColumn("lam", F.exp(c("base") + c("ah") + c("da") + c("ha"))).withColumn("mu", F.exp(c("base") + c("aa") + c("dh"))).drop("ah", "dh", "aa", "da", "base", "ha")
 
 
-def rank_beta(samples: DataFrame, prior: float = 0.55, l2: float = 2.0, least: int = 200, steps: int = 40) -> float:
+def rank_beta(samples: DataFrame, prior: float = 0.4, l2: float = 2.0, least: int = 200, steps: int = 40) -> float:
     """The slope of log rank ratios (columns rank_home, rank_away, home_won) by Newton steps on sums over pairs of ranks;
     ranks are bounded by the lists, so the table that reaches the driver is."""
     x = F.round(F.log(c("rank_away") / c("rank_home")), 3)

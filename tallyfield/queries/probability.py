@@ -156,9 +156,9 @@ ORACLE_SQL = {
       array_to_string(list_slice(list(concat(h, '-', a) ORDER BY -floor(p * 1000000000000.0::DOUBLE), h, a), 1, 8), ' ') AS best FROM grid GROUP BY id""",
     "grid_cdf": _GRID + f"SELECT id, h, a, {rsql('sum(p) OVER (PARTITION BY id ORDER BY h, a) / sum(p) OVER (PARTITION BY id)')} AS cdf FROM grid",
     "rank_probs": f"""WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN 1 + o_custkey % 300 END AS rh, CASE WHEN o_orderkey % 5 > 0 THEN 1 + o_orderkey % 400 END AS ra FROM orders),
-      y AS (SELECT *, {_logit("0.55::DOUBLE * (ln(coalesce(ra, 500)::DOUBLE) - ln(coalesce(rh, 500)::DOUBLE))")} AS q FROM x)
+      y AS (SELECT *, {_logit("0.4::DOUBLE * (ln(coalesce(ra, 500)::DOUBLE) - ln(coalesce(rh, 500)::DOUBLE))")} AS q FROM x)
       SELECT id, {rsql("CASE WHEN rh IS NULL AND ra IS NULL THEN NULL ELSE least(greatest(CASE WHEN rh IS NULL OR ra IS NULL THEN 0.5::DOUBLE + 0.6::DOUBLE * (q - 0.5::DOUBLE) ELSE q END, 0.05::DOUBLE), 0.95::DOUBLE) END")} AS p,
-        {rsql("1500 + 400 * 0.55::DOUBLE / ln(10.0::DOUBLE) * ln(100.0::DOUBLE / rh)")} AS rating FROM y""",
+        {rsql("1500 + 400 * 0.4::DOUBLE / ln(10.0::DOUBLE) * ln(100.0::DOUBLE / rh)")} AS rating FROM y""",
     "match_of_set": f"""WITH x AS (SELECT p_partkey AS id, CAST(1 + p_partkey % 98 AS DOUBLE) / 100 AS s, CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 3 END AS best FROM part)
       SELECT id, {rsql(_M)} AS match, {rsql("s")} AS back,
         {rsql("s*s*s*s * (1 + 4 * (1-s) + 10 * (1-s) * (1-s)) + 20 * s*s*s * (1-s)*(1-s)*(1-s) * (s*s / (s*s + (1-s)*(1-s)))")} AS game FROM x""",
