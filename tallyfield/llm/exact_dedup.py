@@ -53,8 +53,8 @@ def cell_hits(h: np.ndarray, m: int, probes: int = PROBES) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["seg", "hits"])
 
 
-def merged_cells(hits: DataFrame, m: int) -> np.ndarray:
-    """A bit for each of m cells that the rows (seg, hits) of all tasks hit twice or more."""
+def merged_cells(hits: DataFrame, m: int, least: int = 2) -> np.ndarray:
+    """A bit for each of m cells that the rows (seg, hits) of all tasks hit ``least`` times (1 or 2) or more."""
 
     def merge(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SEGMENT, np.uint8)
@@ -63,12 +63,12 @@ def merged_cells(hits: DataFrame, m: int) -> np.ndarray:
                 o, k = np.unique(np.frombuffer(x.as_buffer(), "<u2"), return_counts=True)
                 n[o] = np.minimum(n[o] + np.minimum(k, 2), 2)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(n > 1, bitorder="little").tobytes()], pa.binary())],
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())],
             ["seg", "bits"],
         )
 
     bits = np.zeros(m // 8, np.uint8)
-    for r in hits.groupBy("seg").applyInArrow(merge, "seg int, bits binary").toLocalIterator():
+    for r in hits.groupBy("seg").applyInArrow(merge, "seg int, bits binary").collect():  # MAX_CELLS bits at most
         bits[r.seg * SEGMENT // 8 : (r.seg + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
 
@@ -85,12 +85,13 @@ def repeated_cells(hashes: DataFrame, n_rows: int) -> tuple[np.ndarray, int]:
     return merged_cells(hashes.select("h").mapInArrow(hit, "seg int, hits binary"), m), m
 
 
-def _flagger(spark, bits: np.ndarray, m: int):
+def flagger(spark, bits: np.ndarray, m: int, probes: int = PROBES):
+    """A function of a bigint column: are all cells of the hash set?"""
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        c = cells(h.to_numpy(), m)
+        c = cells(h.to_numpy(), m, probes)
         return pd.Series(((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(1) if len(c) else np.zeros(0, bool))
 
     return maybe
@@ -112,7 +113,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         "exact-rows",
     )
     n = rows.count()
-    maybe = _flagger(df.sparkSession, *repeated_cells(rows, n))
+    maybe = flagger(df.sparkSession, *repeated_cells(rows, n))
     flagged = rows.withColumn("maybe", maybe("h"))
     again = save(flagged.filter("maybe").drop("maybe", "h"), "exact-maybe")
     groups = save(
@@ -136,7 +137,7 @@ def keep_distinct(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     sha, h = F.sha2(text_of(df, text), 256), F.xxhash64(text_of(df, text))
     hashes = save(df.select(h.alias("h")), "exact-hashes")
-    maybe = _flagger(df.sparkSession, *repeated_cells(hashes, hashes.count()))
+    maybe = flagger(df.sparkSession, *repeated_cells(hashes, hashes.count()))
     drop(hashes)
     key, top, size = (f"__{c}_{len(df.columns)}" for c in ("sha", "top", "size"))
     again = df.filter(maybe(h)).withColumn(key, sha)

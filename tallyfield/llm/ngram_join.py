@@ -8,8 +8,8 @@ n-gram leaves enough n-grams behind it) and a suffix filter (counts of n-grams b
 the sets may).  Each pair is verified once, on the whole sets.
 
 Links make components, and only these are asked for.  So a group of thousands of near copies need not be compared each
-with each: for each n-gram the nodes are first compared with one of them, drawn at random, twice; then all pairs that
-share a prefix n-gram and are still in different components are.  No link between components is missed by that.
+with each: for each n-gram the nodes are first compared with two of them, drawn at random; then all pairs that share a prefix
+n-gram and are still in different components are.  No link between components is missed by that.
 
 Node ids and n-grams are 64-bit hashes; two of 10^9 different sets collide with a chance of about one in 40.
 """
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,49 +26,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import components, drop, hot_join, save, text_of
+from tallyfield.llm.exact_dedup import cell_hits, flagger, merged_cells, n_cells
+from tallyfield.llm.words import blocks, ngrams, release
 
 #: Cells of the sketch of counts, and the parts it is summed in.
 CELL_BITS, PARTS = 20, 64
 #: Ranges of hashes that the suffix filter counts in.
 RANGES_BITS = 5
-#: One salt for each round of comparisons with one node drawn at random.
+#: One salt for each node drawn at random from those of an n-gram.
 SALTS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 REMEMBERED = 500_000
-A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    """Words' hashes; as many as the bound are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-
-@lru_cache(1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct n-grams of ``size`` words, A-Z as a-z.  Words are runs of bytes other than
-    space and \\t to \\r.  Fewer words: the whole sequence as one n-gram; no word: empty."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    if n < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    w = np.fromiter(map(_hashes().__getitem__, words), np.uint64, n)
-    h = w[: n - size + 1].copy()
-    for i in range(1, size):
-        h = h * A + w[i : n - size + 1 + i]
-        h ^= h >> np.uint64(29)
-        h *= B
-    h ^= h >> np.uint64(32)
-    return np.unique(h)
+def shingle_sets(col: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) for blocks of texts: of each text the sorted hashes of its distinct n-grams of ``size`` words, A-Z
+    as a-z.  Words are runs of bytes other than space and \\t to \\r.  Fewer words: the whole sequence as one n-gram; no
+    word: empty."""
+    for first, _, w in blocks(col):
+        yield first, [np.unique(ngrams(w.hash[i:j], size)) for i, j in zip(w.first, w.first[1:])]
 
 
 def node_of(h: np.ndarray) -> int:
@@ -95,23 +69,19 @@ def _profile(src: DataFrame, size: int) -> DataFrame:
         total = np.zeros(1 << CELL_BITS, np.int64)
         seen = False
         for b in batches:
-            n, node, cells = [], [], []
-            for t in b.column(2).to_pylist():
-                h = shingles(t, size)
-                n.append(len(h))
-                node.append(node_of(h))
-                cells.append(h >> np.uint64(64 - CELL_BITS))
-            if n:
+            for at, sets in shingle_sets(b.column(2), size):
                 seen = True
-                total += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(total))
-            none = pa.nulls(len(n))
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(node, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                none = pa.nulls(len(sets))
+                n, node = pa.array([len(h) for h in sets], pa.int32()), pa.array([node_of(h) for h in sets], pa.int64())
+                cols = [*(b.column(k).slice(at, len(sets)) for k in (0, 1)), n, node, none.cast(pa.int32()), none.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
         if seen:
             each = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(PARTS, -1)
             none = pa.nulls(PARTS)
             cols = [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in each], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     return src.mapInArrow(run, schema)
 
@@ -142,42 +112,42 @@ def _prefixes(src: DataFrame, size: int, percent: int, counts: np.ndarray) -> Da
     def run(batches):
         done: set[int] = set()
         for b in batches:
-            token, node, ns, pos, hist = [], [], [], [], []
-            for t in b.column(0).to_pylist():
-                h = shingles(t, size)
-                n = len(h)
-                if not n or (k := node_of(h)) in done:
-                    continue
-                if len(done) < REMEMBERED:
-                    done.add(k)
-                m = prefix_length(n, percent)
-                hist.append(np.minimum(np.bincount((h >> np.uint64(64 - RANGES_BITS)).astype(np.int64), minlength=1 << RANGES_BITS), 32767))
-                c = shared.value[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                if m < n:  # ties by hash: the sort is stable and h in order
-                    limit = np.partition(c, m - 1)[m - 1]
-                    low = np.flatnonzero(c <= limit)
-                    h, c = h[low], c[low]
-                first = h[np.argsort(c, kind="stable")[:m]]
-                token.append(first.view(np.int64))
-                node.append(np.full(m + 1, k))
-                ns.append(np.full(m + 1, n))
-                pos.append(np.arange(m))
-            lens = [len(x) for x in token]
-            total = sum(lens) + len(lens)
-            last = np.cumsum([x + 1 for x in lens]) - 1 if lens else np.zeros(0, int)  # a node's own row follows its prefix
-            own = np.zeros(total, bool)
-            own[last] = True
-            col = np.zeros((2, total), np.int64)
-            if total:
-                col[0, ~own], col[1, ~own] = np.concatenate(token), np.concatenate(pos)
-            hists: list = [None] * total
-            for i, x in zip(last, hist):
-                hists[i] = x.tolist()
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(col[0], pa.int64(), mask=own), pa.array(cat(node), pa.int64()), pa.array(cat(ns), pa.int32()), pa.array(col[1].astype(np.int32), mask=own), pa.array(hists, pa.list_(pa.int16()))],
-                ["token", "node", "n", "pos", "hist"],
-            )
+            for _, sets in shingle_sets(b.column(0), size):
+                yield rows(sets, done)
+        release()
+
+    def rows(sets, done):
+        token, node, ns, pos, hist = [], [], [], [], []
+        for h in sets:
+            n = len(h)
+            if not n or (k := node_of(h)) in done:
+                continue
+            if len(done) < REMEMBERED:
+                done.add(k)
+            m = prefix_length(n, percent)
+            hist.append(np.minimum(np.bincount((h >> np.uint64(64 - RANGES_BITS)).astype(np.int64), minlength=1 << RANGES_BITS), 32767))
+            c = shared.value[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            if m < n:  # ties by hash: the sort is stable and h in order
+                limit = np.partition(c, m - 1)[m - 1]
+                low = np.flatnonzero(c <= limit)
+                h, c = h[low], c[low]
+            token.append(h[np.argsort(c, kind="stable")[:m]].view(np.int64))
+            node.append(np.full(m + 1, k))
+            ns.append(np.full(m + 1, n))
+            pos.append(np.arange(m))
+        lens = np.array([len(x) for x in token], np.int64)
+        last = np.cumsum(lens + 1) - 1  # a node's own row follows its prefix
+        own = np.zeros(int((lens + 1).sum()), bool)
+        own[last] = True
+        col = np.zeros((2, len(own)), np.int64)
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        col[0, ~own], col[1, ~own] = cat(token), cat(pos)
+        ends = np.r_[0, np.cumsum(own) << RANGES_BITS].astype(np.int32)
+        hists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cat(hist).astype(np.int16)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(col[0], mask=own), pa.array(cat(node), pa.int64()), pa.array(cat(ns), pa.int32()), pa.array(col[1].astype(np.int32), mask=own), hists],
+            ["token", "node", "n", "pos", "hist"],
+        )
 
     return src.select("text").mapInArrow(run, "token bigint, node bigint, n int, pos int, hist array<smallint>")
 
@@ -187,18 +157,23 @@ def _passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Col
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) those that link, a written table.  nodes: node, n, hist; sets: node, h."""
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter, a written table.  nodes: node, n, hist."""
     c = F.col
     for x in "ab":
         pairs = pairs.join(nodes.select(c("node").alias(x), c("n").alias(f"n{x}"), c("hist").alias(f"hist{x}")), x)
     apart = F.aggregate(F.zip_with("hista", "histb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     common = F.ceil(percent * (c("na") + c("nb")) / (100 + percent)).cast("int")
-    pairs = pairs.filter(apart <= c("na") + c("nb") - 2 * common).select("a", "b", "na", "nb")
+    return save(pairs.filter(apart <= c("na") + c("nb") - 2 * common).select("a", "b", "na", "nb"), "ngram-pairs")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that link, a written table.  sets: node, h."""
+    c = F.col
     for x in "ab":
         pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
     both = F.size(F.array_intersect("ha", "hb"))
-    return save(pairs.filter(100 * both >= percent * (c("na") + c("nb") - both)).select("a", "b"), name)
+    return save(pairs.filter(100 * both >= percent * (c("na") + c("nb") - both)).select("a", "b"), "ngram-links")
 
 
 def _pairs(x: Column, y: Column) -> list[Column]:
@@ -230,31 +205,18 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     cands = index.select("node").distinct()
     nodes = save(own.join(cands, "node", "left_semi").dropDuplicates(["node"]), "ngram-nodes")
     drop(rows, tokens)
-    sets = save(_sets(src, cands.join(classes, "node").select("node", "th"), size), "ngram-sets")
-
-    links: DataFrame | None = None
-    comp: DataFrame | None = None
     c = F.col
-    for step in range(len(SALTS) + 1):
-        cur = index
-        if comp is None:
-            cur = cur.withColumn("comp", c("node"))
-        else:
-            cur = cur.join(comp.select(c("id").alias("node"), c("component").alias("cc")), "node", "left").withColumn("comp", F.coalesce("cc", "node")).drop("cc")
-        salt = F.lit(SALTS[min(step, len(SALTS) - 1)]).cast("bigint")
-        open_ = cur.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(c("node").bitwiseXOR(salt)).alias("drawn"))
-        open_ = save(open_.filter("lo < hi").select("token", "c", c("drawn").bitwiseXOR(salt).alias("lead")), "ngram-open")
-        total = open_.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        if not total:
+    sets, links, comp = None, None, None
+    for pairs in (lambda: _drawn_pairs(index, percent), lambda: _open_pairs(index, comp, percent)):
+        pairs = pairs()
+        if pairs is None:
             break
-        cur = save(hot_join(cur, open_, "token", "c", total, "inner"), "ngram-cur")
-        if step < len(SALTS):
-            lead = save(cur.filter("node = lead").select("token", "c", c("n").alias("n2"), c("pos").alias("p2"), c("comp").alias("comp2")), "ngram-lead")
-            pairs = hot_join(cur.drop("c"), lead, "token", "c", total, "inner").filter("comp <> comp2").filter(_passes(c("n"), c("pos"), c("n2"), c("p2"), percent))
-            pairs = pairs.select(*_pairs(c("node"), c("lead"))).distinct()
-        else:
-            pairs = _all_pairs(cur, percent)
-        new = _verified(pairs, nodes, sets, percent, "ngram-links")
+        pairs = _plausible(pairs, nodes, percent)
+        wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = wanted if sets is None else wanted.join(sets, "node", "left_anti")
+        more = _sets(src, save(wanted.join(classes, "node").select("node", "th"), "ngram-wanted"), size)
+        sets = more if sets is None else sets.union(more)
+        new = _verified(pairs, sets, percent)
         links = new if links is None else links.union(new)
         if new.limit(1).count():
             comp = components(links, "ngram-cc")
@@ -272,29 +234,65 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
 
 
 def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, h (the sorted hashes) of the wanted (node, th), each from one of the documents with a text of that hash."""
-    texts = src.select("th", "text").join(wanted.select("th").distinct(), "th", "left_semi")
+    """node, h (the sorted hashes) of the wanted (node, th), each from one of the documents with a text of that hash; a
+    written table.  A filter of cells, of bounded size, keeps most other texts from being shuffled."""
+    n = wanted.count()
+    m = n_cells(n, 1)
+
+    def hit(batches):
+        for b in batches:
+            if b.num_rows:
+                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m, 1)
+
+    bits = merged_cells(wanted.select("th").mapInArrow(hit, "seg int, hits binary"), m, 1)
+    maybe = flagger(src.sparkSession, bits, m, 1)
+    texts = src.select("th", "text").filter(maybe("th")).join(wanted.select("th").distinct(), "th", "left_semi")
 
     def run(batches):
         done: set[int] = set()
         for b in batches:
-            node, sets = [], []
-            for th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if th in done:  # copies of a text come to one task
-                    continue
-                done.add(th)
-                h = shingles(t, size)
-                node.append(node_of(h))
-                sets.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
+            ids = b.column(0).to_pylist()
+            for at, sets in shingle_sets(b.column(1), size):
+                new = [h for th, h in zip(ids[at:], sets) if th not in done and not done.add(th)]  # copies of a text come to one task
+                h = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in new])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *new]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in new], pa.int64()), h], ["node", "h"])
+            if len(done) > REMEMBERED:
+                done.clear()
+        release()
 
-    return texts.mapInArrow(run, "node bigint, h array<bigint>").dropDuplicates(["node"])
+    found = texts.mapInArrow(run, "node bigint, h array<bigint>")
+    return save(found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
 
 
-def _all_pairs(cur: DataFrame, percent: int) -> DataFrame:
+def _drawn_pairs(index: DataFrame, percent: int) -> DataFrame | None:
+    """For each n-gram the pairs of the nodes drawn by the salts and the others that pass the filters."""
+    c = F.col
+    salts = [F.lit(x).cast("bigint") for x in SALTS]
+    lead = index.groupBy("token").agg(F.count("*").alias("c"), *(F.min(c("node").bitwiseXOR(x)).alias(f"drawn{i}") for i, x in enumerate(salts)))
+    total = index.count()
+    if not total:
+        return None
+    drawn = F.explode(F.array_distinct(F.array(*(c(f"drawn{i}").bitwiseXOR(x) for i, x in enumerate(salts))))).alias("node")
+    lead = lead.select("token", "c", drawn).join(index, ["token", "node"])
+    lead = save(lead.select("token", "c", c("node").alias("lead"), c("n").alias("n2"), c("pos").alias("p2")), "ngram-lead")
+    both = hot_join(index, lead, "token", "c", total, "inner").filter("node <> lead").filter(_passes(c("n"), c("pos"), c("n2"), c("p2"), percent))
+    return both.select(*_pairs(c("node"), c("lead"))).distinct()
+
+
+def _open_pairs(index: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame | None:
     """The pairs of nodes in different components that share a prefix n-gram and pass the filters.  Sizes fall into bands
     so wide that similar sets are in the same or in neighbouring ones, which the join has as a key."""
     c = F.col
+    if comp is None:
+        cur = index.withColumn("comp", c("node"))
+    else:
+        cur = index.join(comp.select(c("id").alias("node"), c("component").alias("cc")), "node", "left").withColumn("comp", F.coalesce("cc", "node")).drop("cc")
+    open_ = cur.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_ = save(open_.filter("lo < hi").select("token", "c"), "ngram-open")
+    total = open_.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    if not total:
+        return None
+    cur = save(hot_join(cur, open_, "token", "c", total, "inner"), "ngram-cur")
     width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-9
     band = F.floor(F.log(c("n").cast("double")) / width).cast("bigint")
     left = cur.select("token", c("node").alias("x"), c("n").alias("n1"), c("pos").alias("p1"), c("comp").alias("c1"), band.alias("band"))

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from tallyfield.llm.common import save, text_of
 from tallyfield.llm.exact_dedup import cell_hits, cells, merged_cells, n_cells
+from tallyfield.llm.words import release
 
 #: Bytes of a passage; of an anchor string; places an anchor string can have in a passage.
 SPAN, K = 50, 24
@@ -36,8 +37,10 @@ PLACES = SPAN - K + 1
 LEFT = PLACES - 1
 WIDTH = SPAN + LEFT
 #: Bytes that are searched for anchors at a time; suffixes of a run; bytes of text for each bucket; fewest buckets.
-BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 300_000, 16 << 20, 64
+BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 200_000, 16 << 20, 64
 PROBES = 2
+#: Anchors whose cells are sorted together.
+HITS = 1_000_000
 AT_BITS = 26  # of a place in a block
 #: A hit is a place and a mask of the passages around it, in one number.
 MASK_BITS = PLACES
@@ -112,15 +115,21 @@ def _shared_anchors(src: DataFrame, m: int) -> np.ndarray:
     """A bit for each cell that the anchor strings of two documents hit."""
 
     def run(batches):
+        got, n = [], 0
         for b in batches:
             for buf, starts, ends, number, _ in blocks(_raw(b.column(0))):
                 _, _, _, part, h = anchors(buf, starts, ends)
                 doc = number[part]
                 o = np.lexsort((h, doc))
                 h, doc = h[o], doc[o]
-                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]  # once for each document
-                if len(h):
-                    yield cell_hits(h[new], m, PROBES)
+                got.append(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]])  # once for each document
+                n += len(got[-1])
+                if n >= HITS:
+                    yield cell_hits(np.concatenate(got), m, PROBES)
+                    got, n = [], 0
+        if n:
+            yield cell_hits(np.concatenate(got), m, PROBES)
+        release()
 
     return merged_cells(src.select("text").mapInArrow(run, "seg int, hits binary"), m)
 
@@ -210,6 +219,8 @@ def _runs(src: DataFrame, bits: np.ndarray, m: int, n_buckets: int) -> DataFrame
                     got, n = [], 0
         if n:
             yield _run_rows({k: np.concatenate([x[k] for x in got]) for k in got[0]}, n_buckets)
+        del got
+        release()
 
     return src.select("doc", "uid", "text").mapInArrow(run, "bucket int, shared binary, tails binary, meta binary")
 
@@ -359,8 +370,8 @@ def with_hits(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     runs = _runs(src, _shared_anchors(src, m), m, n_buckets)
     hits = save(runs.groupBy("bucket").applyInArrow(_merge, "uid bigint, hit bigint"), "suffix-hits")
     by_doc = hits.groupBy(F.col("uid").alias("__uid")).agg(F.collect_set("hit").alias("__hits"))
-    docs = df.withColumn("__text", t).withColumn("__uid", F.xxhash64(ids, t))
-    return docs.join(by_doc, "__uid", "left").drop("__uid")
+    docs = df.withColumn("__uid", F.xxhash64(ids, t)).join(by_doc, "__uid", "left").drop("__uid")
+    return docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))  # behind the join, which moves the text once
 
 
 def removed_bytes(n: int, hits: list[int] | None) -> np.ndarray:
@@ -407,7 +418,7 @@ def trim(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
     had some; all other columns stay."""
     marked = with_hits(df, id_col, text)
     rest = [c for c in df.columns if c != text]
-    src = marked.select(*rest, df[text].alias("__old"), "__text", "__hits")
+    src = marked.select(*rest, F.col(text).alias("__old"), "__text", "__hits")
     schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(text, T.StringType())])
     n = len(rest)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time, but for longer texts.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -64,6 +66,13 @@ def blocks(col: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield first, first + len(rows), Words(rows)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: idle Python workers otherwise keep what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ngrams(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the n-grams of words' hashes; of fewer words than ``size`` that of the whole sequence; of none none."""
     n = len(h)
