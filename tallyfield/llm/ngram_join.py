@@ -8,7 +8,7 @@ n-gram leaves enough n-grams behind it) and a suffix filter (counts of n-grams b
 the sets may).  Each pair is verified once, on the whole sets.
 
 Links make components, and only these are asked for.  So a group of thousands of near copies need not be compared each
-with each: for each n-gram the nodes are first compared with two of them, drawn at random; then all pairs that share a prefix
+with each: for each n-gram the nodes are first compared with four of them, drawn at random; then all pairs that share a prefix
 n-gram and are still in different components are.  No link between components is missed by that.
 
 Node ids and n-grams are 64-bit hashes; two of 10^9 different sets collide with a chance of about one in 40.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import components, drop, hot_join, save, text_of
-from tallyfield.llm.exact_dedup import cell_hits, flagger, merged_cells, n_cells
+from tallyfield.llm.exact_dedup import cell_hits, flagger, merged_cells, n_cells, repeated_cells
 from tallyfield.llm.words import blocks, ngrams, release
 
 #: Cells of the sketch of counts, and the parts it is summed in.
@@ -34,7 +34,7 @@ CELL_BITS, PARTS = 20, 64
 #: Ranges of hashes that the suffix filter counts in.
 RANGES_BITS = 5
 #: One salt for each node drawn at random from those of an n-gram.
-SALTS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
+SALTS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x4CF5AD432745937F, 0x52DCE729DA3ED03B)
 REMEMBERED = 500_000
 
 
@@ -197,6 +197,9 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     rows = save(_prefixes(src, size, percent, _sketch(profile)), "ngram-prefixes")
     own = rows.filter("token is null").select("node", "n", "hist")
     prefix = rows.filter("token is not null").select("token", "node", "n", "pos")
+    # n-grams that hit a cell which no other hits are in one prefix only, and need not be shuffled to find that out
+    bits, m = repeated_cells(prefix.select(F.col("token").alias("h")), prefix.count())
+    prefix = prefix.filter(flagger(df.sparkSession, bits, m)("token"))
     shared = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     tokens = save(shared.filter("lo < hi").select("token", "c"), "ngram-tokens")
     total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
