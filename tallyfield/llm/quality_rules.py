@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.llm.common import save
+from tallyfield.llm.words import release
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -64,15 +65,23 @@ def figures(text: str | None) -> tuple[int, ...]:
     )
 
 
+def slices(batches, rows: int = 250):
+    """The batches in parts of so many rows, so that few texts are unpacked at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def add_figures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (default: all but those named like figures) and the figures of its texts."""
     keep = [c for c in df.columns if c not in FIGURES] if keep is None else keep
     src = df.select(*keep, df[text].cast("string").alias("__text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             cols = list(zip(*map(figures, b.column(len(keep)).to_pylist()))) or [[]] * len(FIGURES)
             yield pa.RecordBatch.from_arrays(b.columns[: len(keep)] + [pa.array(c, pa.int64()) for c in cols], keep + FIGURES)
+        release()
 
     schema = src.select(*keep).schema
     for f in FIGURES:
@@ -164,6 +173,16 @@ def keep_good(df: DataFrame, text: str = "text", threshold: float = 0.5) -> Data
     seen = votes.groupBy("__votes").count().toPandas()  # at most 3 ** rules rows
     post, *_ = fit(seen["__votes"].to_numpy(np.int64), seen["count"].to_numpy(), len(rules()))
     codes = df.sparkSession.createDataFrame(list(zip(seen["__votes"].tolist(), post.tolist())), "__votes int, posterior double")
-    rows = add_figures(df.select(F.struct(*df.columns).alias("__row"), df[text].alias("__t")), "__t", ["__row"])
+    src = df.select(F.struct(*df.columns).alias("__row"))  # one column, whatever the others are called
+    at = df.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches):
+            texts = b.column(0).flatten()[at].cast(pa.string()).to_pylist()
+            cols = list(zip(*map(figures, texts))) or [[]] * len(FIGURES)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["__row", *FIGURES])
+        release()
+
+    rows = src.mapInArrow(run, T.StructType([*src.schema.fields, *(T.StructField(f, T.LongType()) for f in FIGURES)]))
     rows = rows.filter(~base_failed()).withColumn("__votes", vote_pattern()).join(F.broadcast(codes), "__votes")
     return rows.filter(F.col("posterior") >= threshold).select("__row.*")
