@@ -277,22 +277,23 @@ def uniform(*keys) -> F.Column:
 
 
 def simulate_season(played: DataFrame, fixtures: DataFrame, runs: int = 3000, seed: int = 1) -> DataFrame:
-    """Chances of each place: comp, team, position, share.
+    """Chances of each place: comp, team, position, share; for each season by itself where the tables have one.
 
-    played: comp, team, points; fixtures: comp, event_id, home, away, p0, p1, p2.  Draws are hashes, points are summed by
+    played: comp, (season,) team, points; fixtures: comp, (season,) event_id, home, away, p0, p1, p2.  Draws are hashes, points are summed by
     run and team with map-side sums, and each run is ranked by itself.
     """
     from pyspark.sql import Window as W
 
+    table = [x for x in ("comp", "season") if x in fixtures.columns]
     u = uniform(F.lit(seed), c("run"), c("event_id"))
     x = fixtures.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("u", u)
     o = F.when(c("u") < c("p0"), 0).when(c("u") < c("p0") + c("p1"), 1).otherwise(2)
     side = lambda t, win: F.struct(c(t).alias("team"), F.when(o == win, 3).when(o == 1, 1).otherwise(0).alias("points"))
-    drawn = x.select("comp", "run", F.explode(F.array(side("home", 0), side("away", 2))).alias("s")).select("comp", "run", "s.*")
-    start = played.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).select("comp", "run", "team", "points")
-    sums = drawn.unionByName(start).groupBy("comp", "run", "team").agg(F.sum("points").alias("points"))
-    w = W.partitionBy("comp", "run").orderBy(F.desc("points"), uniform(F.lit(seed), c("run"), c("team")))
-    return sums.withColumn("position", F.row_number().over(w)).groupBy("comp", "team", "position").agg((F.count("*") / runs).alias("share"))
+    drawn = x.select(*table, "run", F.explode(F.array(side("home", 0), side("away", 2))).alias("s")).select(*table, "run", "s.*")
+    start = played.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).select(*table, "run", "team", "points")
+    sums = drawn.unionByName(start).groupBy(*table, "run", "team").agg(F.sum("points").alias("points"))
+    w = W.partitionBy(*table, "run").orderBy(F.desc("points"), uniform(F.lit(seed), c("run"), c("team")))
+    return sums.withColumn("position", F.row_number().over(w)).groupBy(*table, "team", "position").agg((F.count("*") / runs).alias("share"))
 
 
 def simulate_race(entrants: DataFrame, runs: int = 5000, noise: float = 3.5, seed: int = 1) -> DataFrame:

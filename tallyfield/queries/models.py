@@ -34,10 +34,11 @@ def _fixture_rates(s, d):
 
 
 def _season(s, d):
-    m = p.matches(s, d).filter("season = 1997")
-    played = t.league_table(m).select("comp", "team", "points")
-    fx = m.filter("status = 'SCHEDULED'").select("comp", "event_id", "home", "away", F.lit(0.45).alias("p0"), F.lit(0.26).alias("p1"), F.lit(0.29).alias("p2"))
-    return fits.simulate_season(played, fx, runs=100)
+    m = p.matches(s, d)
+    fx = m.filter("status = 'SCHEDULED'").select("comp", "season", "event_id", "home", "away", F.lit(0.45).alias("p0"), F.lit(0.26).alias("p1"), F.lit(0.29).alias("p2"))
+    played = t.league_table(m).select("comp", "season", "team", "points").join(fx.select("comp", "season").distinct(), ["comp", "season"], "left_semi")
+    # a task's fixtures are drawn thousands of times: dealt to all cores, however few rows they are
+    return fits.simulate_season(played, fx.repartition(s.sparkContext.defaultParallelism, "event_id"))
 
 
 def _race(s, d):
@@ -45,7 +46,7 @@ def _race(s, d):
 
     r = p.races(s, d).withColumn("race", c("season") * 12 + c("month"))
     x = pace(r, F.lit(1999 * 12), 0.02).select(F.lit(1).alias("event"), "team", "pace", "dnf", F.when(c("team") % 2 == 0, c("team") % 20 + 1).alias("grid"))
-    return fits.simulate_race(x, runs=1000)
+    return fits.simulate_race(x)
 
 
 def _rank_beta(s, d):
