@@ -116,14 +116,17 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = pages.select(
         pages["page_id"].cast("bigint").alias("page_id"), pages["url"].cast("string").alias("url"), text_of(pages, "html").alias("html")
     )
-    sums = save(rows.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("sum")), "warc-sums")
+    rows = rows.withColumn("sum", F.sha1(F.encode("html", "utf-8")))
+    sums = save(rows.select("page_id", "sum"), "warc-sums")
     # a payload's response is its smallest id; null ids come last
     groups = sums.groupBy("sum").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.count("page_id").alias("ids"))
     groups = save(groups.filter("n > 1"), "warc-groups")
     size = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     again = hot_join(sums, groups, "sum", "n", size, "inner").filter("page_id <> first or page_id is null")
-    again = save(again.select("page_id", F.col("first").alias("refers_to")).distinct(), "warc-revisits")
-    rows = rows.join(again, rows["page_id"].eqNullSafe(again["page_id"]), "left").select(rows["*"], "refers_to")
+    again = save(again.select("page_id", "sum", F.col("first").alias("refers_to")).distinct(), "warc-revisits")
+    # by payload too: an id that is null or repeated stands for pages of several payloads
+    same = rows["page_id"].eqNullSafe(again["page_id"]) & (rows["sum"] == again["sum"])
+    rows = rows.join(again, same, "left").select(rows["page_id"], rows["url"], rows["html"], "refers_to")
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
