@@ -261,14 +261,52 @@ def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b)])
 
 
+def _prefix_tokens(names: DataFrame, counts: DataFrame, k: float) -> DataFrame:
+    """Rows (n, t): the rarest (character, occurrence) tokens of each name, so many that two names which may be similar
+    share one."""
+    from pyspark.sql import Window as W
+
+    t = names.select("n", F.length("n").alias("len"), F.explode(_tokens("n")).alias("t")).join(F.broadcast(counts), "t")
+    need = F.greatest(F.lit(1), F.ceil((k - 1) * c("len") - 1e-9))
+    rank = F.row_number().over(W.partitionBy("n").orderBy("count", "t"))
+    return t.withColumn("__k", rank).filter(c("__k") <= F.greatest(c("len"), F.lit(1)) - need + 1).select("n", "t")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tokens(names: pd.Series) -> pd.Series:
+    return pd.Series([[f"{x}{n[:i].count(x)}" for i, x in enumerate(n)] or [""] for n in names])
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, id_col: str, least: float = 0.86) -> DataFrame:
-    """Each left row's most similar right name that shares a block, its first three letters or those of its last word, with
-    a similarity of ``least`` or more, the smaller id of equals: ``match`` and ``sim``."""
-    blocks = F.explode(F.array_distinct(F.array(F.substring(name, 1, 3), F.substring(F.element_at(F.split(name, " "), -1), 1, 3)))).alias("b")
-    r = right.select(c(id_col).alias("match"), c(name).alias("other"), blocks)
-    pairs = left.select(id_col, name, blocks).join(r, "b").filter(c(id_col) != c("match")).select(id_col, name, "match", "other").distinct()
-    scored = pairs.withColumn("sim", similarity_udf(c(name), c("other"))).filter(c("sim") >= least)
-    return scored.groupBy(id_col).agg(F.max_by(F.struct("match", "sim"), F.struct("sim", -c("match"))).alias("x")).select(id_col, "x.*")
+    """Each left row's most similar right name of another id, names normalised, with a similarity of ``least`` or more, the
+    smaller id of equals: ``match`` and ``sim``.
+
+    Equal names are compared once.  A similarity of ``least`` needs m matching characters with m/a + m/b of at least k, a
+    and b the lengths, so m is at least (k - 1) times either length: of such names the rarest characters of one are among
+    those of the other (prefix filter), and no pair is lost.
+    """
+    from pyspark.sql import Window as W
+
+    from tallyfield.functions.scalars import normalise_name
+
+    k = 3 * (least - 0.4) / 0.6 - 1
+    own = left.withColumn("n", normalise_name(c(name))).filter(c("n").isNotNull())
+    known = right.select(normalise_name(c(name)).alias("n"), c(id_col).alias("match")).filter(c("n").isNotNull() & c("match").isNotNull())
+    # two ids of each name are enough: one of them is not the left row's own
+    by_id = W.partitionBy("n").orderBy("match")
+    known = known.withColumn("__k", F.dense_rank().over(by_id)).filter("__k <= 2").select("n", "match").distinct()
+    a, b = own.select("n").distinct(), known.select("n").distinct()
+    counts = a.union(b).select(F.explode(_tokens("n")).alias("t")).groupBy("t").count()
+    x = _prefix_tokens(a, counts, k)
+    y = _prefix_tokens(b, counts, k).withColumnRenamed("n", "other")
+    la, lb = F.length("n"), F.length("other")
+    near = F.least(la, lb) * (la + lb) >= k * la * lb - 1e-6
+    pairs = x.join(y, "t").filter(near).select("n", "other").distinct()
+    scored = pairs.withColumn("sim", similarity_udf(c("n"), c("other"))).filter(c("sim") >= least)
+    ids = scored.join(known.withColumnRenamed("n", "other"), "other").groupBy("n", "match").agg(F.max("sim").alias("sim"))
+    best = ids.withColumn("__k", F.row_number().over(W.partitionBy("n").orderBy(F.desc("sim"), "match"))).filter("__k <= 2")
+    out = own.select(id_col, "n").join(best, "n").filter(c(id_col) != c("match"))
+    return out.groupBy(id_col).agg(F.max_by(F.struct("match", "sim"), F.struct("sim", -c("match"))).alias("x")).select(id_col, "x.*")
 
 
 def uniform(*keys) -> F.Column:
