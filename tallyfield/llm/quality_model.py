@@ -25,8 +25,6 @@ from tallyfield.llm.words import Words, blocks, ngrams
 
 PASSAGE = 50
 TRAIN_ROWS = 8_000
-#: Passages of a document that are used in training, spread evenly; scoring uses all.
-TRAIN_PASSAGES = 40
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 3e-3, 1e-4
 #: Character classes: each of these symbols, then the rest by kind.
@@ -173,12 +171,19 @@ def fit(bags: list[np.ndarray], labels: list[int], seed: int = 5) -> Model:
     return m
 
 
-def _bags(col: pa.Array):
-    for _, _, w in blocks(col):
-        x, count = passages(w)
-        at = np.r_[0, np.cumsum(count)]
-        for i, j in zip(at, at[1:]):
-            yield x[i:j]
+def training_bags(src: DataFrame) -> DataFrame:
+    """model (0), doc_id, label, x (all passages of the text) for each row (text, doc_id, label)."""
+
+    def extract(batches):
+        for b in batches:
+            for i, j, w in blocks(b.column(0)):
+                x, count = passages(w)
+                at = np.r_[0, np.cumsum(count)]
+                bags = [x[k:m].astype("<f4").tobytes() for k, m in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (j - i), pa.int32()), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(bags, pa.binary())], ["model", "doc_id", "label", "x"])
+
+    schema = T.StructType([T.StructField("model", T.IntegerType()), src.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
+    return src.select("text", "doc_id", "label").mapInArrow(extract, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
@@ -186,23 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     rows = training_rows(labels, label, most=TRAIN_ROWS)
     src = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text).alias("text")).join(F.broadcast(rows), "doc_id")
 
-    def extract(batches):
-        for b in batches:
-            x = []
-            for bag in _bags(b.column(0)):
-                pick = np.arange(len(bag)) if len(bag) <= TRAIN_PASSAGES else np.linspace(0, len(bag) - 1, TRAIN_PASSAGES).astype(int)
-                x.append(bag[pick].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int32()), b.column(1), b.column(2), pa.array(x, pa.binary())], ["model", "doc_id", "label", "x"])
-
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
         bags = [np.frombuffer(x.as_py(), "<f4").reshape(-1, INPUTS) for x in t.column("x")]
         m = fit(bags, t.column("label").to_pylist())
         return pa.table({"name": list(m.p), "rows": pa.array([len(np.atleast_2d(v)) for v in m.p.values()], pa.int32()), "v": [v.astype("<f8").tobytes() for v in m.p.values()]})
 
-    schema = T.StructType([T.StructField("model", T.IntegerType()), src.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    bags = src.select("text", "doc_id", "label").mapInArrow(extract, schema)
-    got = bags.groupBy("model").applyInArrow(run, "name string, rows int, v binary").collect()  # the parameters
+    got = training_bags(src).groupBy("model").applyInArrow(run, "name string, rows int, v binary").collect()  # the parameters
     params = {r["name"]: np.frombuffer(r["v"], "<f8") for r in got}
     shape = {"W": (INPUTS, HIDDEN), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE)}
     return Model({k: v.reshape(shape.get(k, (-1,))) for k, v in params.items()}) if params else None
