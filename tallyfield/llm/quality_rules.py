@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.llm.common import save
-from tallyfield.llm.words import release
+from tallyfield.llm.words import release, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -65,13 +65,6 @@ def figures(text: str | None) -> tuple[int, ...]:
     )
 
 
-def slices(batches, rows: int = 250):
-    """The batches in parts of so many rows, so that few texts are unpacked at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def add_figures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (default: all but those named like figures) and the figures of its texts."""
     keep = [c for c in df.columns if c not in FIGURES] if keep is None else keep

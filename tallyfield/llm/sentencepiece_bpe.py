@@ -14,20 +14,25 @@ Models: merge type, identity normalisation, a dummy prefix, white space kept, by
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfield.llm.words import release, slices
+
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Chunks of up to so many characters are remembered, twice so many of them at most.
-SHORT, REMEMBERED = 48, 300_000
+#: Chunks of up to so many characters are remembered, twice so many of them at most: about 100 MB in each worker.
+SHORT, REMEMBERED = 48, 200_000
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: So many verdicts on pairs of pieces are remembered.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 class Codec:
@@ -52,6 +57,7 @@ class Codec:
         self.byte_id = {b: i for i, b in self.bytes_of.items()}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id_of) or sp.encode_as_pieces("ﬁ  A ") != sp.encode_as_pieces("ﬁ") + sp.encode_as_pieces(" A "):
             raise ValueError("the model's normalisation is not supported")
+        self.beside = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}  # pairs of characters that stand in a piece
         self.score = {p: sp.get_score(i) for p, i in self.id_of.items()}
         self.parts: dict[str, tuple[str, str]] = {}  # what a piece was merged of
         whole = {p for p in self.id_of if len(p) == 1 or self.merged(p, self.parts) == [p]}  # others are no text's encoding
@@ -61,13 +67,14 @@ class Codec:
         self.automaton = ahocorasick.Automaton()
         for p in whole:
             if len(p) > 1:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (len(p) - 1, p))
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 1, -1) if p[:k] in whole), p[:1])
         self.automaton.make_automaton()
         self.verdicts: dict[str, dict[str, bool]] = {}
         self.n_verdicts = 0
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.digits = [str(i) for i in range(n)]
         # text of each id as it stands in decoded texts; bytes from 0x80 on and special ids are not plain
         self.plain = [p.replace(MARK, " ") for p in self.piece]
         for i, b in self.bytes_of.items():
@@ -118,40 +125,42 @@ class Codec:
         """The pieces of a text; a character without a piece stands for itself."""
         n = len(text)
         longest = list(text)
-        for end, p in self.automaton.iter(text):  # of those that end here the longest comes first
-            at = end + 1 - len(p)
-            if len(p) > len(longest[at]):
-                longest[at] = p
-        failed = bytearray(n + 1)
+        for end, (before, p) in self.automaton.iter(text):  # of those that start at a place the longest comes last
+            longest[end - before] = p
         out: list[str] = []
+        if not n:
+            return out
         verdicts, shorter = self.verdicts, self.shorter
-        pos, token = 0, longest[0] if n else ""
+        failed: bytearray | None = None  # a bit for each position, from the first failure on
+        pos, token = 0, longest[0]
         after: dict[str, bool] | None = None  # verdicts on what may follow the last piece; None: anything
-        while pos < n:
-            while True:
-                if not failed[pos + len(token)]:
-                    if after is None:
-                        break
+        while True:
+            end = pos + len(token)
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                if after is None:
+                    fits = True
+                else:
                     fits = after.get(token)
                     if fits is None:
                         fits = self.check(out[-1], token)
-                    if fits:
-                        break
-                if len(token) == 1:
-                    failed[pos] = 1  # no encoding of the text so far ends here
-                    token = out.pop()
-                    pos -= len(token)
-                    after = verdicts.get(out[-1], {}) if out else None
-                else:
-                    token = shorter[token]
-            out.append(token)
-            pos += len(token)
-            if pos < n:
-                after = verdicts.get(token)
-                if after is None:
-                    after = {}
-                token = longest[pos]
-        return out
+                if fits:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    after = verdicts.get(token)
+                    if after is None:
+                        after = verdicts[token] = {}
+                    pos, token = end, longest[end]
+                    continue
+            if len(token) > 1:
+                token = shorter[token]
+                continue
+            if failed is None:
+                failed = bytearray((n >> 3) + 1)
+            failed[pos >> 3] |= 1 << (pos & 7)  # no encoding of the text so far ends here
+            token = out.pop()
+            pos -= len(token)
+            after = verdicts.setdefault(out[-1], {}) if out else None
 
     def check(self, left: str, right: str) -> bool:
         """The remembered verdict on a pair."""
@@ -162,35 +171,65 @@ class Codec:
         fits = self.verdicts.setdefault(left, {})[right] = self.compatible(left, right)
         return fits
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for p in self.backtrack(chunk):
-            if p in self.id_of:
-                out.append(self.id_of[p])
-            elif self.byte_id:
-                out += [self.byte_id[b] for b in p.encode()]
-            else:
-                out.append(self.unk)
-        return out
+    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+        pieces = self.backtrack(chunk)
+        try:
+            return tuple(map(self.id_of.__getitem__, pieces))
+        except KeyError:  # characters without a piece
+            out: list[int] = []
+            for p in pieces:
+                if p in self.id_of:
+                    out.append(self.id_of[p])
+                else:
+                    out += [self.byte_id[b] for b in p.encode()] if self.byte_id else [self.unk]
+            return tuple(out)
+
+    def _learn(self, chunk: str) -> tuple[int, ...]:
+        """The ids of a chunk that is not known.  The remembered ones are in two generations, of which the older goes.
+
+        Where no piece has two neighbouring characters side by side no merge crosses, so symbols behind a word are
+        mostly encoded by themselves, and the word is a chunk that is likelier to be known."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            stem = chunk.rstrip(SIGNS)
+            k = len(stem)
+            if 0 < k < len(chunk) and chunk[k - 1 : k + 1] not in self.beside:
+                return (self.known.get(stem) or self._learn(stem)) + (self.known.get(chunk[k:]) or self._learn(chunk[k:]))
+            ids = self.chunk_ids(chunk)
+        if len(chunk) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        out: list[int] = []
-        known = self.known
-        for c in CHUNKS.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.older.get(c)
-                if ids is None:
-                    ids = self.chunk_ids(c)
-                if len(c) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[c] = ids
-            out += ids
-        return out
+        parts: list[tuple[int, ...]] = []
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            line = line if k else MARK + line  # the dummy prefix
+            if "  " in line or line[-1:] == " " or MARK in line[1:]:
+                chunks = CHUNKS.findall(line.replace(" ", MARK))
+            elif line:
+                chunks = line.replace(" ", " " + MARK).split(" ")
+                if not chunks[0]:
+                    del chunks[0]
+                if chunks[0] == MARK and len(chunks) > 1:  # the dummy prefix and a space
+                    chunks[:2] = [MARK + chunks[1]]
+            else:
+                chunks = []
+            if k:
+                chunks.insert(0, "\n")
+            ids = list(map(self.known.get, chunks))
+            if None in ids:
+                ids = [self._learn(c) if x is None else x for c, x in zip(chunks, ids)]
+            parts += ids
+        return list(chain.from_iterable(parts))
+
+    def joined(self, ids: list[int]) -> str:
+        """The decimal ids, joined by commas."""
+        return ",".join(map(self.digits.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the dummy prefix goes, byte ids are read as UTF-8 (a wrong byte is U+FFFD), control ids are
@@ -246,11 +285,12 @@ def codec(model_file: str) -> Codec:
 def _mapped(df: DataFrame, col: str, kind: str, out: str, schema: T.DataType, make) -> DataFrame:
     """``df`` with the column ``out`` (in place of one of that name) made of ``col``, a batch at a time."""
     keep = [c for c in df.columns if c != out]
-    src = df.select(*keep, df[col].cast(kind).alias("__in"))
+    src = df.select(*(df[c] for c in keep), df[col].cast(kind).alias("__in"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], make(b.column(len(keep)).to_pylist())], [*keep, out])
+        release()
 
     return src.mapInArrow(run, T.StructType([*df.select(*keep).schema.fields, T.StructField(out, schema)]))
 
@@ -277,13 +317,27 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded
 
 
 def round_trip(df: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 for each row of ``df``; a
-    repeated row gives repeated rows, an empty table none."""
-    src = df.select(df[id_col].alias("doc_id"), df[text].alias("text"))
-    both = decode(encode(src, model_file).drop("text"), model_file)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 for each row of ``df``; a null
+    text counts as empty, a repeated row gives repeated rows, an empty table none.
+
+    Texts are encoded and their ids decoded in one task, a few hundred at a time; only digests go back.
+    """
+    src = df.select(df[id_col].alias("doc_id"), df[text].cast("string").alias("text"))
+    schema = T.StructType([src.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256"))])
+
+    def sha(x: str) -> str:
+        return hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(batches):
+        c = codec(model_file)
+        for b in slices(batches):
+            n, ids_sha, text_sha = [], [], []
+            for t in b.column(1):
+                ids = c.encode(t.as_py() or "")
+                n.append(len(ids))
+                ids_sha.append(sha(c.joined(ids)))
+                text_sha.append(sha(c.decode(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema.names)
+        release()
+
+    return src.mapInArrow(run, schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import suppress
 
 import numpy as np
@@ -66,6 +66,13 @@ def blocks(col: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield first, first + len(rows), Words(rows)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts are unpacked at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def release() -> None:
     """Give memory that is free back to the system: idle Python workers otherwise keep what their last task needed."""
     pa.default_memory_pool().release_unused()
