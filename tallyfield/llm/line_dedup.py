@@ -1,77 +1,113 @@
 """Fuzzy line dedup by MinHash.
 
-A line is the set of its distinct pairs of words, A-Z as a-z, as 64-bit hashes; equal sets are one node.  Each node's
-signature of ``BANDS`` * ``ROWS`` minima is cut into bands, and nodes that agree in a band are candidates.  A candidate
-pair is verified on the whole sets, so every link is exact; a pair of Jaccard similarity s is a candidate with a chance
-of 1 - (1 - s^3)^16, which is 0.99999 at 0.8.  Links make components (``common.components``).
-
-Bands that one node alone has are dropped by a filter of at most 64 MiB before anything is shuffled.  A band that many
-nodes share is not compared each with each: all are compared with the smallest of them, then those still in different
-components with one another, as in ``ngram_join``.
+A line, lower-cased and without white space at its ends, is the set of its distinct shingles of ``SHINGLE`` characters, as
+64-bit hashes; equal lines are one node.  A set's signature has ``BANDS`` * ``ROWS`` minima, by one permutation: hashes
+fall into so many ranges, each gives its least hash, and empty ranges copy that of a range drawn for them.  Nodes that
+agree in all rows of a band share a bucket.  Candidates are verified on the whole sets, so every link is exact; a pair of
+Jaccard similarity s shares a bucket with a chance of about 1 - (1 - s^6)^21: 0.998 at 0.8, 0.99995 at 0.85.  Links make
+components by distributed union-find, and of each component one line stays.
+
+Bands go to tasks by range of their hashes, packed, and each task sorts its own, so its size does not grow with the
+input.  Of a bucket that is large within one packet only the smallest node is sent on, so a bucket with a third of all
+nodes is never gathered.  Buckets of two nodes are pairs; larger ones go through ``linking``, which compares their nodes
+with leads before it compares what is left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import components, drop, hot_join, save, text_of
-from tallyfield.llm.exact_dedup import cell_hits, cells, flagger, merged_cells, n_cells
-from tallyfield.llm.ngram_join import REMEMBERED, _open_pairs, _pairs, _verified
-from tallyfield.llm.words import A, B, Words, blocks, mix, release
-
-BANDS, ROWS = 16, 3
-#: Odd factors and summands of the signature's hash functions, from a fixed seed.
+from tallyfield.llm.common import drop, hot_join, save, text_of
+from tallyfield.llm.exact_dedup import cell_hits, cells, merged_cells, n_cells
+from tallyfield.llm.linking import MAP, apart, common, linked_components, ordered, parity_maps
+from tallyfield.llm.words import A, mix, release
+
+SHINGLE, BANDS, ROWS = 5, 21, 6
+BINS = BANDS * ROWS
+#: Characters, and lines, that are worked on at a time, but for longer lines.
+BLOCK, LINES = 1 << 19, 8192
+#: Bands of a packet; nodes of a bucket that a packet sends on; bytes of text for each range of bands.
+PACKET, SMALL, RANGE_BYTES = 1_000_000, 8, 16 << 20
+#: A line's hash has so many bits where lines are sorted together.
+HASH_BITS = 44
+REMEMBERED = 500_000
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(7)
-MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
-
-
-def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the sorted distinct hashes of each line's pairs of words, one line behind the other, and the
-    number of each line's first hash, in the end that of all.  One word: the word; none: empty."""
-    n = np.diff(w.first)
-    line = np.repeat(np.arange(len(n)), n)
-    h = w.hash ^ np.uint64(1)
-    if len(h) > 1:
-        h[:-1] = np.where(line[:-1] == line[1:], mix(w.hash[:-1] * A + w.hash[1:]), h[:-1])
-    last = np.zeros(len(h), bool)
-    last[w.first[1:][n > 1] - 1] = True  # the last word of a line starts no pair
-    h, line = h[~last], line[~last]
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])][: len(h)]
-    h, line = h[new], line[new]
-    return h, np.searchsorted(line, np.arange(len(n) + 1))
-
-
-def nodes_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each set; that of an empty set means nothing."""
-    total = np.r_[np.uint64(0), np.cumsum(mix(h + B))]
-    n = np.diff(first).astype(np.uint64)
-    return mix((total[first[1:]] - total[first[:-1]]) + n * A).view(np.int64)
-
-
-def bands_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+#: Of each range those that it copies from if it is empty, in order.
+SPARE = np.stack([_rng.integers(0, BINS, BINS) for _ in range(32)])
+WEIGHTS = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def normal(line: str) -> str:
+    return line.strip().lower()
+
+
+def node_of(line: str) -> int:
+    x = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each, hash) of the distinct shingles of some lines, in order; a hash has HASH_BITS bits.  A line shorter
+    than a shingle has none."""
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = np.array([len(x) for x in lines], np.int64)
+    count = np.maximum(0, n - SHINGLE + 1)
+    m = len(c) - SHINGLE + 1
+    if m < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = c[:m] * WEIGHTS[0]
+    for k in range(1, SHINGLE):
+        h += c[k : k + m] * WEIGHTS[k]
+    h = mix(h) >> np.uint64(64 - HASH_BITS)
+    inside = np.zeros(len(c) + 1, np.int8)
+    first = np.cumsum(n) - n
+    np.add.at(inside, first[count > 0], 1)
+    np.add.at(inside, (first + count)[count > 0], -1)
+    h = h[np.cumsum(inside[:-1])[:m] > 0]
+    key = np.sort(h | (np.repeat(np.arange(len(n)), count).astype(np.uint64) << np.uint64(HASH_BITS)))
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+    return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)
+
+
+def bands_of(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Row i: the bands of set i; no set is empty."""
-    out = np.empty((len(first) - 1, BANDS), np.uint64)
+    bin_ = ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    at = owner * BINS + bin_
+    first = np.r_[True, at[1:] != at[:-1]]  # in order of hash, so the least of its range
+    own = np.full(n * BINS, EMPTY)
+    own[at[first]] = mix(h[first])
+    own = own.reshape(n, BINS)
+    sig = own.copy()
+    row, col = np.nonzero(own == EMPTY)
+    for spare in SPARE:
+        if not len(row):
+            break
+        got = own[row, spare[col]]
+        sig[row, col] = got
+        still = got == EMPTY
+        row, col = row[still], col[still]
+    if len(row):  # few shingles: the next range that has one
+        rows, where = np.unique(row, return_inverse=True)
+        at = np.where(np.tile(own[rows], 2) != EMPTY, np.arange(2 * BINS), 2 * BINS)
+        after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+        sig[row, col] = own[row, after[where, col] % BINS]
+    out = np.empty((n, BANDS), np.uint64)
     for k in range(BANDS):
-        x = np.full(len(first) - 1, k, np.uint64)
-        for i in range(k * ROWS, (k + 1) * ROWS):
-            x = mix(x * A + np.minimum.reduceat(h * MUL[i] + ADD[i], first[:-1]))
+        x = np.full(n, k + 1, np.uint64)
+        for i in range(ROWS):
+            x = mix(x * A + sig[:, k + i * BANDS])
         out[:, k] = x
-    return out.view(np.int64)
-
-
-def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    rows = df.select(df[id_col].cast("bigint").alias("doc_id"), text_of(df, text).alias("t")).withColumn("rid", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", "rid", F.posexplode(F.split("t", "\n")).alias("line", "text"))
-    return rows.select("doc_id", "rid", "line", F.xxhash64("text").alias("th"), "text")
+    return out
 
 
-def _least_linked(percent: int) -> int:
+def least_linked(percent: int) -> int:
     """The smallest size of a set that links with another one: the larger has one hash more."""
     n = 1
     while 100 * n < percent * (n + 1):
@@ -79,153 +115,307 @@ def _least_linked(percent: int) -> int:
     return n
 
 
-def _occurrences(lines: DataFrame, percent: int) -> DataFrame:
-    """For each line with words doc_id, rid, line, th, node, n, and its bands where the task has not seen the node."""
-    least = _least_linked(percent)
-    schema = "doc_id bigint, rid bigint, line int, th bigint, node bigint, n int, bands array<bigint>"
-    names = ["doc_id", "rid", "line", "th", "node", "n", "bands"]
+def blocks(lines: Iterable[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
+    """(nodes, lines) a block at a time."""
+    nodes, texts, size = [], [], 0
+    for node, text in lines:
+        nodes.append(node)
+        texts.append(text)
+        size += len(text)
+        if size >= BLOCK or len(texts) >= LINES:
+            yield nodes, texts
+            nodes, texts, size = [], [], 0
+    if texts:
+        yield nodes, texts
+
+
+def buckets(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, nodes, number of distinct nodes of the row's token) of the distinct rows, in order."""
+    o = np.lexsort((node, token))
+    token, node = token[o], node[o]
+    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]
+    token, node = token[new], node[new]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+    size = np.diff(np.r_[first, len(token)])
+    return token, node, np.repeat(size, size)
+
+
+SHARED = "kind tinyint, part int, x bigint, y bigint, tokens binary, nodes binary"
+NAMES = ["kind", "part", "x", "y", "tokens", "nodes"]
+PACKED, MEMBER, PAIR = 0, 1, 2
+
+
+def _rows(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    n = len(x)
+    none = pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int8)), pa.array((x.view(np.uint64) % np.uint64(1 << 30)).astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), none, none], NAMES
+    )
+
+
+def _packet(token: np.ndarray, node: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed bands by part; of buckets of more than SMALL nodes only the smallest node is packed, and the nodes are
+    members of the bucket."""
+    token, node, size = buckets(token, node)
+    large = size > SMALL
+    if large.any():
+        yield _rows(MEMBER, token[large], node[large])
+    stay = ~large | np.r_[True, token[1:] != token[:-1]]
+    token, node = token[stay], node[stay]
+    part = (token % np.uint64(parts)).astype(np.int32)
+    o = np.argsort(part, kind="stable")
+    token, node, part = token[o], node[o], part[o]
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    ends = np.r_[at[1:], len(part)]
+    cells = [[x[i:j].tobytes() for i, j in zip(at, ends)] for x in (token, node)]
+    none = pa.nulls(len(at), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), PACKED, np.int8)), pa.array(part[at]), none, none, *(pa.array(x, pa.binary()) for x in cells)], NAMES)
+
+
+def _gathered(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs and members of the buckets of one part; members and pairs that packets found pass through."""
+    tokens, nodes = [], []
+    for g in groups:
+        kind = g.column("kind").to_numpy(zero_copy_only=False)
+        if (kind != PACKED).any():
+            yield pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(kind != PACKED)) for k in NAMES], NAMES)
+        for k in np.flatnonzero(kind == PACKED).tolist():
+            tokens.append(np.frombuffer(g.column("tokens")[k].as_buffer(), "<u8"))
+            nodes.append(np.frombuffer(g.column("nodes")[k].as_buffer(), "<i8"))
+    if not tokens:
+        return
+    token, node, size = buckets(np.concatenate(tokens), np.concatenate(nodes))
+    two = node[size == 2].reshape(-1, 2)
+    if len(two):
+        two = np.unique(two, axis=0)
+        yield _rows(PAIR, np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1]))
+    more = size > 2
+    token, node = token[more], node[more]
+    if len(token):
+        # bands of one set of nodes are one bucket, but for large ones, which may go on elsewhere
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        n = np.diff(np.r_[first, len(token)])
+        same = np.add.reduceat(mix(node.view(np.uint64) + A), first)
+        named = np.where(n <= SMALL, mix(same + n.astype(np.uint64)), token[first])
+        once = np.zeros(len(first), bool)
+        once[np.unique(named, return_index=True)[1]] = True
+        yield _rows(MEMBER, np.repeat(named, n)[np.repeat(once, n)], node[np.repeat(once, n)])
+
+
+def _shared_buckets(src: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Members (bucket x, node y) of buckets of three nodes and more, and pairs (nodes x, y) of those of two; written."""
+    least = least_linked(percent)
 
     def run(batches):
         done: set[int] = set()
-        for b in batches:
-            for at, to, w in blocks(b.column(4)):
-                h, first = shingles(w)
-                n, node = np.diff(first), nodes_of(h, first)
-                full = np.flatnonzero(n)
-                if not len(full):
-                    continue
-                new = np.zeros(len(n), bool)
-                for k in np.flatnonzero(n >= least).tolist():
-                    x = int(node[k])
-                    if x not in done:
-                        new[k] = True
+
+        def fresh():
+            for b in batches:
+                for t in b.column(0):
+                    for line in t.as_py().split("\n"):
+                        x = normal(line)
+                        if len(x) < SHINGLE + least - 1:
+                            continue
+                        k = node_of(x)
+                        if k in done:
+                            continue
                         if len(done) < REMEMBERED:
-                            done.add(x)
-                lens = n[new]
-                bands = bands_of(h[np.repeat(new, n)], np.r_[0, np.cumsum(lens)]) if len(lens) else np.zeros((0, BANDS), np.int64)
-                has = new[full]
-                ends = np.r_[0, np.cumsum(has) * BANDS].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel()), mask=pa.array(~has))
-                cols = [b.column(k).slice(at, to - at).take(pa.array(full)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(node[full]), pa.array(n[full].astype(np.int32)), lists], names)
+                            done.add(k)
+                        yield k, x
+
+        token, node, n = [], [], 0
+        for nodes, texts in blocks(fresh()):
+            owner, h = sets_of(texts)
+            enough = np.bincount(owner, minlength=len(texts)) >= least
+            keep = enough[owner]
+            owner, h = (np.cumsum(enough) - 1)[owner[keep]], h[keep]
+            if not len(owner):
+                continue
+            x = bands_of(owner, h, int(enough.sum()))
+            token.append(x.ravel())
+            node.append(np.repeat(np.array(nodes, np.int64)[enough], BANDS))
+            n += x.size
+            if n >= PACKET:
+                yield from _packet(np.concatenate(token), np.concatenate(node), parts)
+                token, node, n = [], [], 0
+        if n:
+            yield from _packet(np.concatenate(token), np.concatenate(node), parts)
+        del token, node
         release()
 
-    return lines.mapInArrow(run, schema)
+    packed = src.select("text").mapInArrow(run, SHARED)
+    return save(packed.groupBy("part").applyInArrow(_gathered, SHARED).filter(f"kind <> {PACKED}").select("kind", "x", "y"), "line-buckets")
 
 
-def _shared_bands(occ: DataFrame) -> DataFrame:
-    """Rows (token, node, n) of the bands that two nodes may share, a written table."""
-    own = occ.filter("bands is not null").select("node", "n", "bands")
-    m = n_cells(own.count() * BANDS, 1)
+def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text, n and the parity map of the wanted nodes; written."""
+    m = n_cells(wanted.count(), 1)
 
     def hit(batches):
         for b in batches:
             if b.num_rows:
-                yield cell_hits(b.column(0).flatten().to_numpy(zero_copy_only=False), m, 1)
+                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m, 1)
 
-    shared = occ.sparkSession.sparkContext.broadcast(merged_cells(own.select("bands").mapInArrow(hit, "seg int, hits binary"), m))
+    bits = merged_cells(wanted.select("node").mapInArrow(hit, "seg int, hits binary"), m, 1)
+    shared = src.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches):
+    def found(batches):
+        done: set[int] = set()
         for b in batches:
-            token = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            c = cells(token, m, 1)[:, 0]
-            at = np.flatnonzero((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1)
-            row = pa.array(at // BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), b.column(0).take(row), b.column(1).take(row)], ["token", "node", "n"])
+            nodes, texts = [], []
+            for t in b.column(0):
+                for line in t.as_py().split("\n"):
+                    x = normal(line)
+                    if len(x) >= SHINGLE:
+                        nodes.append(node_of(x))
+                        texts.append(x)
+                if len(nodes) >= LINES:
+                    yield from some(nodes, texts, done)
+                    nodes, texts = [], []
+            if nodes:
+                yield from some(nodes, texts, done)
+        release()
 
-    return save(own.mapInArrow(run, "token bigint, node bigint, n int"), "line-bands")
+    def some(nodes, texts, done):
+        node = np.array(nodes, np.int64)
+        c = cells(node, m, 1)[:, 0]
+        at = [k for k in np.flatnonzero((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1).tolist() if nodes[k] not in done]
+        at = list({nodes[k]: k for k in at}.values())
+        if len(done) < REMEMBERED:
+            done.update(nodes[k] for k in at)
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([texts[k] for k in at], pa.string())], ["node", "text"])
 
+    rows = src.select("text").mapInArrow(found, "node bigint, text string").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
-def _sets(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, h (the sorted hashes) of the wanted (node, th), a written table."""
-    m = n_cells(wanted.count(), 1)
+    def sized(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, LINES):
+                part = b.slice(at, LINES)
+                done = 0
+                for nodes, texts in blocks((0, x) for x in part.column(1).to_pylist()):
+                    owner, h = sets_of(texts)
+                    n = np.bincount(owner, minlength=len(texts)).astype(np.int32)
+                    maps = parity_maps(owner, h, len(texts))
+                    own = part.slice(done, len(texts))
+                    done += len(texts)
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(MAP)))], ["node", "text", "n", *MAP])
+        release()
 
-    def hit(batches):
+    return save(rows.mapInArrow(sized, "node bigint, text string, n int, " + ", ".join(f"{s} bigint" for s in MAP)), "line-texts")
+
+
+def _passes(percent: int):
+    def passes(x, y) -> Column:
+        """The length filter, and that of the maps: linked sets differ in few elements."""
+        n1, n2 = x("n"), y("n")
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (apart(x, y) <= n1 + n2 - 2 * common(n1, n2, percent))
+
+    return passes
+
+
+def _verified(texts: DataFrame, percent: int):
+    """Of pairs (a, b) of nodes those whose sets link."""
+
+    def linked(lines: list[str]) -> np.ndarray:
+        """For each two lines in a row: do they link?"""
+        owner, h = sets_of(lines)
+        n = np.bincount(owner, minlength=len(lines)).reshape(-1, 2).sum(1)
+        key = np.sort(h | ((owner >> 1).astype(np.uint64) << np.uint64(HASH_BITS)))
+        both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(n))
+        return 100 * both >= percent * (n - both)
+
+    def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m, 1)
+            lines: list[str] = []
+            first, size = 0, 0
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3))):
+                lines += (x.as_py(), y.as_py())
+                size += len(lines[-1]) + len(lines[-2])
+                if size >= BLOCK or len(lines) >= LINES or k + 1 == b.num_rows:
+                    ok = pa.array(linked(lines))
+                    yield pa.RecordBatch.from_arrays([b.column(i).slice(first, k + 1 - first).filter(ok) for i in (0, 1)], ["a", "b"])
+                    lines, first, size = [], k + 1, 0
+        release()
 
-    bits = merged_cells(wanted.select("th").mapInArrow(hit, "seg int, hits binary"), m, 1)
-    maybe = flagger(lines.sparkSession, bits, m, 1)
-    # copies of a line are one row before they are shuffled
-    texts = lines.select("th", "text").filter(maybe("th")).groupBy("th").agg(F.min("text").alias("text"))
-    texts = texts.join(wanted.select("th"), "th", "left_semi")
+    c = F.col
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda x: texts.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("text", "n", *MAP)))
+        sized = texts.select("node", "n", *MAP)
+        for x in "ab":
+            pairs = pairs.join(sized.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("n", *MAP))), x)
+        pairs = pairs.filter(_passes(percent)(lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}"))).select("a", "b")
+        for x in "ab":
+            pairs = pairs.join(side(x).select(x, f"{x}_text"), x)
+        return save(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"), "line-links")
+
+    return verify
+
+
+def _occurrences(src: DataFrame) -> DataFrame:
+    """doc_id, rid, line, node of each line that is not blank; written."""
 
     def run(batches):
         for b in batches:
-            for _, _, w in blocks(b.column(0)):
-                h, first = shingles(w)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(h, first)), lists], ["node", "h"])
+            row, line, node = [], [], []
+            for i, t in enumerate(b.column(2)):
+                for k, x in enumerate(t.as_py().split("\n")):
+                    x = normal(x)
+                    if x:
+                        row.append(i)
+                        line.append(k)
+                        node.append(node_of(x))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(node, pa.int64())], ["doc_id", "rid", "line", "node"])
         release()
 
-    return save(texts.select("text").mapInArrow(run, "node bigint, h array<bigint>"), "line-sets")
+    return save(src.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, line int, node bigint"), "line-occurrences")
 
 
-def _components(lines: DataFrame, occ: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+def _components(src: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) of the nodes that link, or None."""
     c = F.col
-    bands = _shared_bands(occ)
-    lead = bands.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("n", "node").alias("n2"))
-    lead = save(lead.filter("lo < hi").drop("hi"), "line-lead")
-    total = lead.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    if not total:
-        return None
-    index = save(hot_join(bands, lead, "token", "c", total, "inner").drop("c").dropDuplicates(["token", "node"]).withColumn("pos", F.lit(0)), "line-index")
-    drop(bands, lead)
-
-    def lead_pairs():
-        near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-        return index.filter((c("node") != c("lo")) & near).select(*_pairs(c("node"), c("lo"))).distinct()
-
-    sets, links, comp = None, None, None
-    for pairs in (lead_pairs, lambda: _open_pairs(index.drop("lo", "n2"), comp, percent)):
-        pairs = pairs()
-        if pairs is None:
-            break
-        pairs = save(pairs, "line-pairs")
-        wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = wanted if sets is None else wanted.join(sets, "node", "left_anti")
-        wanted = save(wanted.join(classes, "node").select("node", "th"), "line-wanted")
-        more = _sets(lines, wanted)
-        sets = more if sets is None else sets.union(more)
-        sized = pairs
-        for x in "ab":
-            sized = sized.join(classes.select(c("node").alias(x), c("n").alias(f"n{x}")), x)
-        new = _verified(sized, sets, percent)
-        links = new if links is None else links.union(new)
-        if new.limit(1).count():
-            comp = components(links, "line-cc")
-    return comp
+    n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shared = _shared_buckets(src, percent, max(64, n_bytes // RANGE_BYTES))
+    pairs = shared.filter(f"kind = {PAIR}").select(*ordered(c("x"), c("y"))).distinct()
+    members = shared.filter(f"kind = {MEMBER}").select(c("x").alias("token"), c("y").alias("node")).distinct()
+    wanted = save(pairs.select(c("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct(), "line-wanted")
+    texts = _texts(src, wanted)
+    # a pair is a bucket of its own
+    alone = pairs.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("node"))
+    index = save(alone.union(members).join(texts.select("node", "n", *MAP), "node"), "line-index")
+    drop(shared)
+    return linked_components(index, percent, _passes(percent), _verified(texts, percent))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """One row for each line with words of ``df``: doc_id, line (its number from 0, lines end at \\n), keep_id, keep_line,
-    group_size, kept.
+    """One row for each line of ``df`` that is not blank: doc_id, line (its number from 0, lines end at \\n), keep_id,
+    keep_line, group_size, kept.
 
-    Two lines link if 100 * (size of the intersection) >= ``percent`` * (size of the union) of their sets of pairs of
-    words.  Of the lines reachable by links the one with the smallest (doc_id, line) stays, and of repeated rows one;
-    a null doc_id comes last.  Null texts and blank lines have no rows.  Empty table: no rows.
+    Lines are compared in lower case and without white space at their ends.  Equal ones are in one group, and two lines
+    link if 100 * (size of the intersection) >= ``percent`` * (size of the union) of their sets of shingles.  Of the lines
+    reachable by links the one with the smallest (doc_id, line) stays, and of repeated rows one; a null doc_id comes last.
+    Null texts and blank lines have no rows.  Empty table: no rows.  Further columns are ignored, whatever their names.
     """
     c = F.col
-    lines = _lines(df, id_col, text)
-    occ = save(_occurrences(lines, percent), "line-occurrences")
+    src = df.select(df[id_col].cast("bigint").alias("doc_id"), text_of(df, text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    occ = _occurrences(src)
     at = F.struct(c("doc_id").isNull().alias("none"), "doc_id", "line", "rid")
-    classes = save(occ.groupBy("node").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.min("th").alias("th"), F.min(at).alias("least")), "line-classes")
-    comp = _components(lines, occ, classes, percent)
-    label = classes.select("node", "copies", "least")
+    comp = _components(src, percent)
+    classes = occ.groupBy("node").agg(F.count("*").alias("copies"), F.min(at).alias("least"))
     if comp is not None:
-        label = label.join(comp.select(c("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        label = classes.join(comp.select(c("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        label = save(label, "line-classes")
         roots = label.groupBy("component").agg(F.min("least").alias("top"), F.sum("copies").alias("group_size"), F.count("*").alias("members"))
         # a component of one node is its own root
         many = save(roots.filter("members > 1"), "line-roots")
         joined = hot_join(label, many, "component", "members", label.count())
         label = joined.select("node", "copies", F.coalesce("top", "least").alias("top"), F.coalesce("group_size", "copies").alias("group_size"))
     else:
-        label = label.select("node", "copies", c("least").alias("top"), c("copies").alias("group_size"))
-    # lines of groups of one need not be labelled
+        label = classes.select("node", "copies", c("least").alias("top"), c("copies").alias("group_size"))
+    # lines of groups of one need no label
     label = save(label.filter("group_size > 1"), "line-label")
-    out = hot_join(occ.drop("bands", "n", "th"), label, "node", "copies", occ.count())
+    out = hot_join(occ, label, "node", "copies", occ.count())
     own = F.coalesce(c("top.rid") == c("rid"), F.lit(True)) & F.coalesce(c("top.line") == c("line"), F.lit(True))
     return out.select(
         "doc_id",

@@ -2,14 +2,15 @@ import random
 from collections import Counter
 
 
-def pair_set(t):
-    w = t.encode().lower().split()
-    return frozenset(zip(w, w[1:])) or frozenset((x,) for x in w)
+def shingle_set(t):
+    """The shingles of five characters; of a shorter line the line itself, which links with nothing but its equals."""
+    x = t.strip().lower()
+    return frozenset(x[i : i + 5] for i in range(len(x) - 4)) or frozenset([x])
 
 
 def brute(rows, percent):
     """{(doc_id, line): (keep_id, keep_line, group_size, kept)}; doc_ids are distinct."""
-    at = [(d is None, d, k, pair_set(x)) for d, t in rows for k, x in enumerate((t or "").split("\n")) if x.split()]
+    at = [(d is None, d, k, shingle_set(x)) for d, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip()]
     sets = list({x[3] for x in at})
     root = list(range(len(sets)))
 
@@ -47,7 +48,7 @@ def corpus():
                 x[rnd.randrange(len(x))] = rnd.choice(words)
             lines.append(" ".join(x))
     chain = [" ".join(f"c{i}" for i in range(k, k + 60)) for k in range(0, 40, 4)]  # neighbours link, ends do not
-    lines += chain + ["Same line"] * 30 + ["same  LINE", " ", "", "\t", "é\x0bü", "one", "One"]
+    lines += chain + ["Same line"] * 30 + [" same LINE\r", " ", "", "\t", "é\x0bü", "one", "One"]
     rnd.shuffle(lines)
     rows, at = [], 0
     while at < len(lines):
