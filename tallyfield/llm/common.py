@@ -10,21 +10,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it has more than one row in so many; there can be no more hot keys than this.
 HOT_KEYS = 1000
+#: Nodes that a task's union-find holds at a time.
+HELD = 1_000_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``, or a temporary folder where it is unset (tests)."""
+    """The shared scratch folder, ``spark.checkpoint.dir``.  Where it is unset, a session on this machine alone gets a
+    temporary folder; on a cluster no machine's own folder would do, so that raises."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = Path(tempfile.mkdtemp(prefix="spark-scratch-")).as_uri()
         spark.sparkContext._conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -81,46 +89,71 @@ def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str, n_rows: i
     rest are joined by a shuffle in which no key has more than that share.
     """
     most = max(1, n_rows // HOT_KEYS)
+    if (groups.agg(F.max(count)).first()[0] or 0) <= most:
+        return rows.join(groups, key, how)
     hot = F.broadcast(groups.filter(F.col(count) > most))
     light = groups.filter(F.col(count) <= most)
     keys = hot.select(key)
     return rows.join(hot, key, "inner").unionByName(rows.join(F.broadcast(keys), key, "left_anti").join(light, key, how))
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) for each node of a task's edges, by union-find; root is the smallest node of what the task has seen to be
+    connected.  Starts anew when it has HELD nodes, which loses no connection: the roots of both parts meet at the nodes
+    that they share."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        r = x
+        while up[r] != r:
+            r = up[r]
+        while up[x] != r:
+            up[x], x = r, up[x]
+        return r
+
+    def rows() -> pa.RecordBatch:
+        ids = list(up)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "root"])
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(up.setdefault(x, x) if x not in up else x), root(up.setdefault(y, y) if y not in up else y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) >= HELD:
+            yield rows()
+            up.clear()
+    if up:
+        yield rows()
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) for each id that has an edge; component is the
-    smallest id reachable.
+    smallest id reachable.  A written table; no edges: no rows.
 
-    Alternates large-star and small-star rounds until no edge changes.  A round links every node to the smallest
-    neighbour, so hub nodes are only aggregated with map-side minima.  Each round's edges are written to the scratch
-    folder.  No edges: no rows.
+    Distributed union-find by contraction.  In each round every task finds the components of its own edges; a node that
+    several tasks have seen goes to the smallest of their roots, and those roots are the edges of the next round's much
+    smaller graph.  When no root is left to be joined, the rounds' labels are followed from the last to the first.  No
+    round moves more than a row for each node and task, and a hub is one node like any other.
     """
-    cur = save(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e"
-    )
-    seen = None
+    rounds: list[DataFrame] = []
+    cur = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     while True:
-        both = cur.select(F.col("u").alias("x"), F.col("v").alias("y")).union(cur.select("v", "u"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
-        low = save(least, f"{name}-m")
-        total = both.count()
-        # large star: every larger neighbour of x is linked to the least of x's neighbourhood
-        star = hot_join(both.filter("y > x"), low, "x", "n", total, "inner").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        star = save(star.filter("u <> v").distinct(), f"{name}-l")
-        # small star: the smaller neighbours of u, and u, are linked to the least of them
-        low2 = save(star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-s")
-        total = star.count()
-        joined = hot_join(star, low2, "u", "n", total, "inner")
-        nxt = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        nxt = save(nxt.filter("u <> v").distinct(), f"{name}-e")
-        sums = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(cur, low, star, low2)
-        cur = nxt
-        if tuple(sums) == seen or not sums[0]:
+        stars = cur.mapInArrow(_stars, "id bigint, root bigint")
+        seen = stars.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+        seen = save(seen.select("id", "root", F.when(F.size("roots") > 1, F.col("roots")).alias("roots")), f"{name}-round")
+        rounds.append(seen)
+        open_ = seen.filter("roots is not null")
+        if not open_.limit(1).count():
             break
-        seen = tuple(sums)
-    roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return save(cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots), f"{name}-c")
+        cur = open_.select(F.explode("roots").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct()
+    last = rounds.pop().select("id", F.col("root").alias("component"))
+    for seen in reversed(rounds):
+        after = last.select(F.col("id").alias("root"), "component")
+        last = seen.select("id", "root").join(after, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+    if rounds:
+        last = save(last, f"{name}-c")
+    return last
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

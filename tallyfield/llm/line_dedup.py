@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import drop, hot_join, save, text_of
 from tallyfield.llm.exact_dedup import cell_hits, cells, merged_cells, n_cells
-from tallyfield.llm.linking import MAP, apart, common, linked_components, ordered, parity_maps
+from tallyfield.llm.linking import MAP, MEMBER, PACKET, PACKETS, PAIR, SMALL, apart, bucket_names, common, gathered, linked_components, ordered, packet, parity_maps, rows_of
 from tallyfield.llm.words import A, mix, release
 
 SHINGLE, BANDS, ROWS = 5, 21, 6
 BINS = BANDS * ROWS
 #: Characters, and lines, that are worked on at a time, but for longer lines.
 BLOCK, LINES = 1 << 19, 8192
-#: Bands of a packet; nodes of a bucket that a packet sends on; bytes of text for each range of bands.
-PACKET, SMALL, RANGE_BYTES = 1_000_000, 8, 16 << 20
+#: Bytes of text for each range of bands.
+RANGE_BYTES = 16 << 20
 #: A line's hash has so many bits where lines are sorted together.
 HASH_BITS = 44
 REMEMBERED = 500_000
@@ -53,8 +53,8 @@ def node_of(line: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line of each, hash) of the distinct shingles of some lines, in order; a hash has HASH_BITS bits.  A line shorter
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each, hash) of the shingles of some lines, in the order of lines; a hash has HASH_BITS bits.  A line shorter
     than a shingle has none."""
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = np.array([len(x) for x in lines], np.int64)
@@ -65,54 +65,46 @@ def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = c[:m] * WEIGHTS[0]
     for k in range(1, SHINGLE):
         h += c[k : k + m] * WEIGHTS[k]
-    h = mix(h) >> np.uint64(64 - HASH_BITS)
-    inside = np.zeros(len(c) + 1, np.int8)
-    first = np.cumsum(n) - n
-    np.add.at(inside, first[count > 0], 1)
-    np.add.at(inside, (first + count)[count > 0], -1)
-    h = h[np.cumsum(inside[:-1])[:m] > 0]
-    key = np.sort(h | (np.repeat(np.arange(len(n)), count).astype(np.uint64) << np.uint64(HASH_BITS)))
+    owner = np.repeat(np.arange(len(n)), count)
+    h = h[np.arange(len(owner)) + (np.cumsum(n - count) - (n - count))[owner]]
+    return owner, mix(h) >> np.uint64(64 - HASH_BITS)
+
+
+def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each, hash) of the distinct shingles of some lines, in order."""
+    owner, h = shingles(lines)
+    key = np.sort(h | (owner.astype(np.uint64) << np.uint64(HASH_BITS)))
     key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)
 
 
 def bands_of(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Row i: the bands of set i; no set is empty."""
-    bin_ = ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    at = owner * BINS + bin_
-    first = np.r_[True, at[1:] != at[:-1]]  # in order of hash, so the least of its range
-    own = np.full(n * BINS, EMPTY)
-    own[at[first]] = mix(h[first])
-    own = own.reshape(n, BINS)
+    """Row i: the bands of set i, of which ``h`` has all hashes, with repeats or not; no set is empty."""
+    own = np.full(BINS * n, EMPTY)
+    range_ = ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(own, range_ * n + owner, h)
+    own = own.reshape(BINS, n)
+    empty = own == EMPTY
+    own = np.where(empty, EMPTY, mix(own))
     sig = own.copy()
-    row, col = np.nonzero(own == EMPTY)
+    at, line = np.nonzero(empty)
     for spare in SPARE:
-        if not len(row):
+        if not len(line):
             break
-        got = own[row, spare[col]]
-        sig[row, col] = got
+        got = own[spare[at], line]
+        sig[at, line] = got
         still = got == EMPTY
-        row, col = row[still], col[still]
-    if len(row):  # few shingles: the next range that has one
-        rows, where = np.unique(row, return_inverse=True)
-        at = np.where(np.tile(own[rows], 2) != EMPTY, np.arange(2 * BINS), 2 * BINS)
-        after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
-        sig[row, col] = own[row, after[where, col] % BINS]
-    out = np.empty((n, BANDS), np.uint64)
-    for k in range(BANDS):
-        x = np.full(n, k + 1, np.uint64)
-        for i in range(ROWS):
-            x = mix(x * A + sig[:, k + i * BANDS])
-        out[:, k] = x
-    return out
-
-
-def least_linked(percent: int) -> int:
-    """The smallest size of a set that links with another one: the larger has one hash more."""
-    n = 1
-    while 100 * n < percent * (n + 1):
-        n += 1
-    return n
+        at, line = at[still], line[still]
+    if len(line):  # few shingles: the next range that has one
+        lines, where = np.unique(line, return_inverse=True)
+        place = np.where(np.tile(~empty[:, lines], (2, 1)), np.arange(2 * BINS)[:, None], 2 * BINS)
+        after = np.minimum.accumulate(place[::-1], axis=0)[::-1]
+        sig[at, line] = own[after[at, where] % BINS, line]
+    sig = sig.reshape(ROWS, BANDS, n)
+    x = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], n, 1)
+    for row in sig:
+        x = mix(x * A + row)
+    return np.ascontiguousarray(x.T)
 
 
 def blocks(lines: Iterable[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
@@ -129,82 +121,26 @@ def blocks(lines: Iterable[tuple[int, str]]) -> Iterator[tuple[list[int], list[s
         yield nodes, texts
 
 
-def buckets(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, nodes, number of distinct nodes of the row's token) of the distinct rows, in order."""
-    o = np.lexsort((node, token))
-    token, node = token[o], node[o]
-    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]
-    token, node = token[new], node[new]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
-    size = np.diff(np.r_[first, len(token)])
-    return token, node, np.repeat(size, size)
-
-
-SHARED = "kind tinyint, part int, x bigint, y bigint, tokens binary, nodes binary"
-NAMES = ["kind", "part", "x", "y", "tokens", "nodes"]
-PACKED, MEMBER, PAIR = 0, 1, 2
-
-
-def _rows(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    n = len(x)
-    none = pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array((x.view(np.uint64) % np.uint64(1 << 30)).astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), none, none], NAMES
-    )
-
-
-def _packet(token: np.ndarray, node: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed bands by part; of buckets of more than SMALL nodes only the smallest node is packed, and the nodes are
-    members of the bucket."""
-    token, node, size = buckets(token, node)
-    large = size > SMALL
-    if large.any():
-        yield _rows(MEMBER, token[large], node[large])
-    stay = ~large | np.r_[True, token[1:] != token[:-1]]
-    token, node = token[stay], node[stay]
-    part = (token % np.uint64(parts)).astype(np.int32)
-    o = np.argsort(part, kind="stable")
-    token, node, part = token[o], node[o], part[o]
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-    ends = np.r_[at[1:], len(part)]
-    cells = [[x[i:j].tobytes() for i, j in zip(at, ends)] for x in (token, node)]
-    none = pa.nulls(len(at), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), PACKED, np.int8)), pa.array(part[at]), none, none, *(pa.array(x, pa.binary()) for x in cells)], NAMES)
-
-
 def _gathered(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and members of the buckets of one part; members and pairs that packets found pass through."""
-    tokens, nodes = [], []
-    for g in groups:
-        kind = g.column("kind").to_numpy(zero_copy_only=False)
-        if (kind != PACKED).any():
-            yield pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(kind != PACKED)) for k in NAMES], NAMES)
-        for k in np.flatnonzero(kind == PACKED).tolist():
-            tokens.append(np.frombuffer(g.column("tokens")[k].as_buffer(), "<u8"))
-            nodes.append(np.frombuffer(g.column("nodes")[k].as_buffer(), "<i8"))
-    if not tokens:
-        return
-    token, node, size = buckets(np.concatenate(tokens), np.concatenate(nodes))
-    two = node[size == 2].reshape(-1, 2)
-    if len(two):
-        two = np.unique(two, axis=0)
-        yield _rows(PAIR, np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1]))
-    more = size > 2
-    token, node = token[more], node[more]
+    """Pairs and members of the buckets of one part."""
+    single, (token, node, size, large) = gathered(groups)
+    yield from single
+    two = (size == 2) & ~large
+    if two.any():
+        pairs = np.unique(node[two].reshape(-1, 2), axis=0)
+        yield rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+    token, node, size, large = (x[~two] for x in (token, node, size, large))
     if len(token):
-        # bands of one set of nodes are one bucket, but for large ones, which may go on elsewhere
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        n = np.diff(np.r_[first, len(token)])
-        same = np.add.reduceat(mix(node.view(np.uint64) + A), first)
-        named = np.where(n <= SMALL, mix(same + n.astype(np.uint64)), token[first])
+        first, name = bucket_names(token, node, size, ~large & (size <= SMALL))
         once = np.zeros(len(first), bool)
-        once[np.unique(named, return_index=True)[1]] = True
-        yield _rows(MEMBER, np.repeat(named, n)[np.repeat(once, n)], node[np.repeat(once, n)])
+        once[np.unique(name, return_index=True)[1]] = True
+        n = size[first]
+        once = np.repeat(once, n)
+        yield rows_of(MEMBER, np.repeat(name, n)[once], node[once])
 
 
-def _shared_buckets(src: DataFrame, percent: int, parts: int) -> DataFrame:
+def _shared_buckets(src: DataFrame, parts: int) -> DataFrame:
     """Members (bucket x, node y) of buckets of three nodes and more, and pairs (nodes x, y) of those of two; written."""
-    least = least_linked(percent)
 
     def run(batches):
         done: set[int] = set()
@@ -214,7 +150,7 @@ def _shared_buckets(src: DataFrame, percent: int, parts: int) -> DataFrame:
                 for t in b.column(0):
                     for line in t.as_py().split("\n"):
                         x = normal(line)
-                        if len(x) < SHINGLE + least - 1:
+                        if len(x) < SHINGLE:
                             continue
                         k = node_of(x)
                         if k in done:
@@ -225,26 +161,20 @@ def _shared_buckets(src: DataFrame, percent: int, parts: int) -> DataFrame:
 
         token, node, n = [], [], 0
         for nodes, texts in blocks(fresh()):
-            owner, h = sets_of(texts)
-            enough = np.bincount(owner, minlength=len(texts)) >= least
-            keep = enough[owner]
-            owner, h = (np.cumsum(enough) - 1)[owner[keep]], h[keep]
-            if not len(owner):
-                continue
-            x = bands_of(owner, h, int(enough.sum()))
+            x = bands_of(*shingles(texts), len(texts))
             token.append(x.ravel())
-            node.append(np.repeat(np.array(nodes, np.int64)[enough], BANDS))
+            node.append(np.repeat(np.array(nodes, np.int64), BANDS))
             n += x.size
             if n >= PACKET:
-                yield from _packet(np.concatenate(token), np.concatenate(node), parts)
+                yield from packet(np.concatenate(token), np.concatenate(node), parts)
                 token, node, n = [], [], 0
         if n:
-            yield from _packet(np.concatenate(token), np.concatenate(node), parts)
+            yield from packet(np.concatenate(token), np.concatenate(node), parts)
         del token, node
         release()
 
-    packed = src.select("text").mapInArrow(run, SHARED)
-    return save(packed.groupBy("part").applyInArrow(_gathered, SHARED).filter(f"kind <> {PACKED}").select("kind", "x", "y"), "line-buckets")
+    packed = src.select("text").mapInArrow(run, PACKETS)
+    return save(packed.groupBy("part").applyInArrow(_gathered, PACKETS).select("kind", "x", "y"), "line-buckets")
 
 
 def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -376,7 +306,7 @@ def _components(src: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) of the nodes that link, or None."""
     c = F.col
     n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shared = _shared_buckets(src, percent, max(64, n_bytes // RANGE_BYTES))
+    shared = _shared_buckets(src, max(64, n_bytes // RANGE_BYTES))
     pairs = shared.filter(f"kind = {PAIR}").select(*ordered(c("x"), c("y"))).distinct()
     members = shared.filter(f"kind = {MEMBER}").select(c("x").alias("token"), c("y").alias("node")).distinct()
     wanted = save(pairs.select(c("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct(), "line-wanted")

@@ -11,20 +11,28 @@ are filtered by what the index has of their sizes and sets before anything of th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import components, drop, hot_join, save
+from tallyfield.llm.words import A, mix
 
 #: Rounds with leads.
-ROUNDS = 3
+ROUNDS = 2
 #: 64-bit words of a parity map.
 WORDS = 4
 BITS = 64 * WORDS
 MAP = [f"s{k}" for k in range(WORDS)]
+#: Tokens of a packet; nodes of a token that a packet sends on; nodes of a bucket that are kept as a list.
+PACKET, SMALL, LIST = 1_000_000, 8, 64
+#: What a row is: tokens and nodes packed, those of tokens that are large in their packet, one token and node.
+PACKED, LARGE, MEMBER, PAIR, BUCKET = range(5)
+PACKETS = "kind tinyint, part int, x bigint, y bigint, tokens binary, nodes binary"
+NAMES = ["kind", "part", "x", "y", "tokens", "nodes"]
 #: Pairs (a, b) of nodes to those of them that link.
 Verify = Callable[[DataFrame], DataFrame]
 #: A condition on two rows of the index, whose columns the two functions give.
@@ -52,10 +60,90 @@ def common(n1: Column, n2: Column, percent: int) -> Column:
     return F.ceil(percent * (n1 + n2) / (100 + percent)).cast("int")
 
 
+def least_linked(percent: int) -> int:
+    """The smallest size of a set that links with another one: the larger has one hash more."""
+    n = 1
+    while 100 * n < percent * (n + 1):
+        n += 1
+    return n
+
+
 def ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def buckets(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, nodes, number of distinct nodes of the row's token) of the distinct rows, in order."""
+    o = np.lexsort((node, token))
+    token, node = token[o], node[o]
+    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]
+    token, node = token[new], node[new]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+    size = np.diff(np.r_[first, len(token)])
+    return token, node, np.repeat(size, size)
+
+
+def rows_of(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Single rows among packets, spread over the parts."""
+    n = len(x)
+    none = pa.nulls(n, pa.binary())
+    spread = (x.view(np.uint64) % np.uint64(1 << 30)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(spread), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), none, none], NAMES)
+
+
+def packet(token: np.ndarray, node: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Tokens and nodes packed by part, a range of hashes.  Of a token with more than SMALL nodes only the smallest node is
+    packed, and its nodes are members of it already, so no token gathers more than a few nodes of a packet."""
+    token, node, size = buckets(token, node)
+    large = size > SMALL
+    if large.any():
+        yield rows_of(MEMBER, token[large], node[large])
+    lead = np.r_[True, token[1:] != token[:-1]][: len(token)]
+    for kind, stay in ((PACKED, ~large), (LARGE, large & lead)):
+        t, v = token[stay], node[stay]
+        if not len(t):
+            continue
+        part = (t % np.uint64(parts)).astype(np.int32)
+        o = np.argsort(part, kind="stable")
+        t, v, part = t[o], v[o], part[o]
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        ends = np.r_[at[1:], len(part)]
+        cells = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (t, v)]
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(part[at]), none, none, *cells], NAMES)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:
+    """(single rows of a part, (tokens, nodes, number of the token's nodes, is it large in some packet?)) of tokens that two
+    nodes share."""
+    single, tokens, nodes, large = [], [], [], []
+    for g in batches:
+        kind = g.column("kind").to_numpy(zero_copy_only=False)
+        own = kind >= MEMBER
+        if own.any():
+            single.append(pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(own)) for k in NAMES], NAMES))
+        for k in np.flatnonzero(~own).tolist():
+            tokens.append(np.frombuffer(g.column("tokens")[k].as_buffer(), "<u8"))
+            nodes.append(np.frombuffer(g.column("nodes")[k].as_buffer(), "<i8"))
+            if kind[k] == LARGE:
+                large.append(tokens[-1])
+    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    token, node, size = buckets(cat(tokens, np.uint64), cat(nodes, np.int64))
+    several = size > 1
+    token, node, size = token[several], node[several], size[several]
+    return single, (token, node, size, np.isin(token, np.unique(cat(large, np.uint64))))
+
+
+def bucket_names(token: np.ndarray, node: np.ndarray, size: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each bucket, its name): by its nodes where ``whole``, for tokens with the same nodes are one bucket;
+    else by its token."""
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+    if not len(first):
+        return first, token[:0]
+    same = np.add.reduceat(mix(node.view(np.uint64) + A), first)
+    return first, np.where(whole[first], mix(same + size[first].astype(np.uint64)), token[first])
+
+
 def _with_components(index: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return index.withColumn("comp", F.col("node"))
