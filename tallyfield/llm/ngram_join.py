@@ -4,12 +4,13 @@ A document is the set of its distinct n-grams, as 64-bit hashes; equal sets are
 an n-gram occurs, rare ones first, so that two similar sets share an n-gram within a short prefix.  The order comes from
 a sketch of counts over all documents, of fixed size; any order that all documents share gives the same links, a worse
 one only more candidates.  Candidates share a prefix n-gram and pass a length filter, a positional filter (the shared
-n-gram leaves enough n-grams behind it) and a suffix filter (counts of n-grams by range of hash differ by no more than
-the sets may).  Each pair is verified once, on the whole sets.
+n-gram leaves enough n-grams behind it) and a suffix filter: of what lies behind the shared n-gram each has a parity map,
+which differ in no more bits than the suffixes differ in n-grams, and linked sets differ in few.  For the first n-gram
+that two linked sets share all of these hold, so no link is lost.  Each pair is verified once, on the whole sets.
 
-Links make components, and only these are asked for.  So a group of thousands of near copies need not be compared each
-with each: for each n-gram the nodes are first compared with four of them, drawn at random; then all pairs that share a prefix
-n-gram and are still in different components are.  No link between components is missed by that.
+Prefixes go to tasks by range of their n-grams' hashes, packed, and each task sorts its own, so its size does not grow
+with the input.  N-grams that the same nodes have are one, the first in the order.  Links make components, and only these
+are asked for: ``linking`` compares nodes with leads before it compares what is left.
 
 Node ids and n-grams are 64-bit hashes; two of 10^9 different sets collide with a chance of about one in 40.
 """
@@ -26,15 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import components, drop, hot_join, save, text_of
-from tallyfield.llm.exact_dedup import cell_hits, flagger, merged_cells, n_cells, repeated_cells
+from tallyfield.llm.exact_dedup import cell_hits, flagger, merged_cells, n_cells
+from tallyfield.llm.linking import BITS, BUCKET, LIST, MAP, MEMBER, PACKET, PACKETS, apart, bucket_names, gathered, least_linked, linked_components, packet, parity_maps
 from tallyfield.llm.words import blocks, ngrams, release
 
 #: Cells of the sketch of counts, and the parts it is summed in.
 CELL_BITS, PARTS = 20, 64
-#: Ranges of hashes that the suffix filter counts in.
-RANGES_BITS = 5
-#: One salt for each node drawn at random from those of an n-gram.
-SALTS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x4CF5AD432745937F, 0x52DCE729DA3ED03B)
+#: Bytes of text for each range of n-grams.
+RANGE_BYTES = 32 << 20
 REMEMBERED = 500_000
 
 
@@ -105,79 +105,159 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(src: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Rows (token, node, n, pos) of each node's prefix and one row (node, n, hist) for each node.  Of equal sets that a
-    task sees, it emits one."""
+    """node, n, tokens (its prefix, rarest first) and the parity map of the whole set, for each node that can link; of
+    equal sets that a task sees one.  A written table."""
     shared = src.sparkSession.sparkContext.broadcast(counts)
+    least = least_linked(percent)
 
     def run(batches):
         done: set[int] = set()
         for b in batches:
             for _, sets in shingle_sets(b.column(0), size):
-                yield rows(sets, done)
+                node, new = [], []
+                for h in sets:
+                    if len(h) < least or (k := node_of(h)) in done:
+                        continue
+                    if len(done) < REMEMBERED:
+                        done.add(k)
+                    node.append(k)
+                    new.append(h)
+                if new:
+                    yield rows(node, new)
         release()
 
-    def rows(sets, done):
-        token, node, ns, pos, hist = [], [], [], [], []
+    def rows(node, sets):
+        n = np.array([len(h) for h in sets])
+        maps = parity_maps(np.repeat(np.arange(len(n)), n), np.concatenate(sets), len(n))
+        prefix = []
         for h in sets:
-            n = len(h)
-            if not n or (k := node_of(h)) in done:
-                continue
-            if len(done) < REMEMBERED:
-                done.add(k)
-            m = prefix_length(n, percent)
-            hist.append(np.minimum(np.bincount((h >> np.uint64(64 - RANGES_BITS)).astype(np.int64), minlength=1 << RANGES_BITS), 32767))
+            m = prefix_length(len(h), percent)
             c = shared.value[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-            if m < n:  # ties by hash: the sort is stable and h in order
-                limit = np.partition(c, m - 1)[m - 1]
-                low = np.flatnonzero(c <= limit)
+            if m < len(h):  # ties by hash: the sort is stable and h in order
+                low = np.flatnonzero(c <= np.partition(c, m - 1)[m - 1])
                 h, c = h[low], c[low]
-            token.append(h[np.argsort(c, kind="stable")[:m]].view(np.int64))
-            node.append(np.full(m + 1, k))
-            ns.append(np.full(m + 1, n))
-            pos.append(np.arange(m))
-        lens = np.array([len(x) for x in token], np.int64)
-        last = np.cumsum(lens + 1) - 1  # a node's own row follows its prefix
-        own = np.zeros(int((lens + 1).sum()), bool)
-        own[last] = True
-        col = np.zeros((2, len(own)), np.int64)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        col[0, ~own], col[1, ~own] = cat(token), cat(pos)
-        ends = np.r_[0, np.cumsum(own) << RANGES_BITS].astype(np.int32)
-        hists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cat(hist).astype(np.int16)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(col[0], mask=own), pa.array(cat(node), pa.int64()), pa.array(cat(ns), pa.int32()), pa.array(col[1].astype(np.int32), mask=own), hists],
-            ["token", "node", "n", "pos", "hist"],
-        )
-
-    return src.select("text").mapInArrow(run, "token bigint, node bigint, n int, pos int, hist array<smallint>")
-
-
-def _passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """The length and the positional filter."""
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2))
-
-
-def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the suffix filter, a written table.  nodes: node, n, hist."""
+            prefix.append(h[np.argsort(c, kind="stable")[:m]].view(np.int64))
+        ends = np.r_[0, np.cumsum([len(x) for x in prefix])].astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
+        cols = [pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), tokens, *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(MAP)))]
+        return pa.RecordBatch.from_arrays(cols, ["node", "n", "tokens", *MAP])
+
+    out = src.select("text").mapInArrow(run, "node bigint, n int, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in MAP))
+    return save(out, "ngram-prefixes")
+
+
+def _buckets(prefixes: DataFrame, parts: int, counts: np.ndarray) -> DataFrame:
+    """(token, node) of prefix n-grams that two nodes share.  Of n-grams with the same nodes the first in the order stays:
+    the first that two sets share is the first of all that the same nodes have."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(counts)
+    schema = "kind tinyint, x bigint, y bigint, c bigint, nodes array<bigint>"
+    names = ["kind", "x", "y", "c", "nodes"]
+
+    def pack(batches):
+        token, node, n = [], [], 0
+        for b in batches:
+            t = b.column(1)
+            token.append(t.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            node.append(np.repeat(b.column(0).to_numpy(zero_copy_only=False), t.value_lengths().to_numpy(zero_copy_only=False)))
+            n += len(token[-1])
+            if n >= PACKET:
+                yield from packet(np.concatenate(token), np.concatenate(node), parts)
+                token, node, n = [], [], 0
+        if n:
+            yield from packet(np.concatenate(token), np.concatenate(node), parts)
+        del token, node
+        release()
+
+    def gather(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, (token, node, size, large) = gathered(groups)
+
+        def members(x, y):
+            none = pa.nulls(len(x), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), MEMBER, np.int8)), x, y, none, pa.nulls(len(x), pa.list_(pa.int64()))], names)
+
+        for g in single:
+            yield members(g.column("x"), g.column("y"))
+        whole = ~large & (size <= LIST)
+        if not whole.all():
+            yield members(pa.array(token[~whole].view(np.int64)), pa.array(node[~whole]))
+        token, node, size = token[whole], node[whole], size[whole]
+        if not len(token):
+            return
+        first, name = bucket_names(token, node, size, np.ones(len(token), bool))
+        c = shared.value[(token[first] >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.int64)
+        o = np.lexsort((token[first], c, name))
+        o = o[np.r_[True, name[o][1:] != name[o][:-1]]]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(token)].astype(np.int32)), pa.array(node)).take(pa.array(o))
+        cols = [np.full(len(o), BUCKET, np.int8), name[o].view(np.int64), token[first][o].view(np.int64), c[o]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names)
+
     c = F.col
-    for x in "ab":
-        pairs = pairs.join(nodes.select(c("node").alias(x), c("n").alias(f"n{x}"), c("hist").alias(f"hist{x}")), x)
-    apart = F.aggregate(F.zip_with("hista", "histb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    common = F.ceil(percent * (c("na") + c("nb")) / (100 + percent)).cast("int")
-    return save(pairs.filter(apart <= c("na") + c("nb") - 2 * common).select("a", "b", "na", "nb"), "ngram-pairs")
+    rows = prefixes.select("node", "tokens").mapInArrow(pack, PACKETS).groupBy("part").applyInArrow(gather, schema)
+    rows = save(rows, "ngram-buckets")
+    unsigned = c("y").bitwiseXOR(F.lit(-(1 << 63)))
+    lists = rows.filter(f"kind = {BUCKET}").groupBy("x").agg(F.min_by(F.struct("y", "nodes"), F.struct(c("c"), unsigned)).alias("b"))
+    one = rows.filter(f"kind = {MEMBER}").select(c("x").alias("token"), c("y").alias("node")).distinct()
+    return one.unionByName(lists.select(c("b.y").alias("token"), F.explode("b.nodes").alias("node")))
+
+
+def _index(prefixes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token, node, n, pos and the parity map of what lies behind the token, for (token, node) of ``tokens``; written."""
+    by_node = tokens.groupBy("node").agg(F.collect_list("token").alias("own"))  # no more than a prefix
+    # equal sets from several tasks fall together
+    both = by_node.join(prefixes.dropDuplicates(["node"]), "node").select("node", "own", "n", "tokens", *MAP)
+    names = ["token", "node", "n", "pos", *MAP]
 
+    def run(batches):
+        for b in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            nodes, ns = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            maps = np.stack([b.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(MAP))], 1)
+            for k in range(b.num_rows):
+                own, prefix = (b.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (1, 3))
+                at = np.flatnonzero(np.isin(prefix, own))
+                bit = ((prefix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+                each = np.zeros((len(prefix), len(MAP)), np.int64)
+                each[np.arange(len(prefix)), bit >> 6] = np.left_shift(np.int64(1), bit & 63)
+                behind = (np.bitwise_xor.accumulate(each, axis=0) ^ maps[k])[at]
+                out.append((prefix[at], np.full(len(at), nodes[k]), np.full(len(at), ns[k], np.int32), at.astype(np.int32), behind))
+            if out:
+                cols = [np.concatenate(x) for x in zip(*out)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:4]), *(pa.array(np.ascontiguousarray(cols[4][:, k])) for k in range(len(MAP)))], names)
+        release()
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that link, a written table.  sets: node, h."""
+    return save(both.mapInArrow(run, "token bigint, node bigint, n int, pos int, " + ", ".join(f"{s} bigint" for s in MAP)), "ngram-index")
+
+
+def _passes(percent: int):
+    def passes(x, y) -> Column:
+        """The length, the positional and the suffix filter."""
+        n1, n2, p1, p2 = x("n"), y("n"), x("pos"), y("pos")
+        least = F.ceil(percent * (n1 + n2) / (100 + percent)).cast("int")  # of the intersection
+        near = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= least)
+        return near & (apart(x, y) <= (n1 - p1 - 1) + (n2 - p2 - 1) - 2 * (least - 1))
+
+    return passes
+
+
+def _verifier(src: DataFrame, classes: DataFrame, size: int, percent: int):
+    """Of pairs (a, b) of nodes those whose sets link.  Sets are fetched once."""
     c = F.col
-    for x in "ab":
-        pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
-    both = F.size(F.array_intersect("ha", "hb"))
-    return save(pairs.filter(100 * both >= percent * (c("na") + c("nb") - both)).select("a", "b"), "ngram-links")
+    have: list[DataFrame] = []
 
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
+        for sets in have:
+            wanted = wanted.join(sets, "node", "left_anti")
+        have.append(_sets(src, save(wanted.join(classes, "node").select("node", "th"), "ngram-wanted"), size))
+        sets = have[0]
+        for more in have[1:]:
+            sets = sets.union(more)
+        for x in "ab":
+            pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
+        both = F.size(F.array_intersect("ha", "hb"))
+        return save(pairs.filter(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "ngram-links")
 
-def _pairs(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return verify
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -194,35 +274,13 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     full = docs.filter("n > 0")
     # of a node: its documents, the least id, and one text
     classes = save(full.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("th").alias("th")), "ngram-classes")
-    rows = save(_prefixes(src, size, percent, _sketch(profile)), "ngram-prefixes")
-    own = rows.filter("token is null").select("node", "n", "hist")
-    prefix = rows.filter("token is not null").select("token", "node", "n", "pos")
-    # n-grams that hit a cell which no other hits are in one prefix only, and need not be shuffled to find that out
-    bits, m = repeated_cells(prefix.select(F.col("token").alias("h")), prefix.count())
-    prefix = prefix.filter(flagger(df.sparkSession, bits, m)("token"))
-    shared = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    tokens = save(shared.filter("lo < hi").select("token", "c"), "ngram-tokens")
-    total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    # prefix n-grams that two nodes share; equal sets from several tasks fall together
-    index = save(hot_join(prefix, tokens, "token", "c", total, "inner").drop("c").distinct(), "ngram-index")
-    cands = index.select("node").distinct()
-    nodes = save(own.join(cands, "node", "left_semi").dropDuplicates(["node"]), "ngram-nodes")
-    drop(rows, tokens)
+    counts = _sketch(profile)
+    prefixes = _prefixes(src, size, percent, counts)
+    n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    index = _index(prefixes, _buckets(prefixes, max(64, n_bytes // RANGE_BYTES), counts))
+    drop(prefixes)
     c = F.col
-    sets, links, comp = None, None, None
-    for pairs in (lambda: _drawn_pairs(index, percent), lambda: _open_pairs(index, comp, percent)):
-        pairs = pairs()
-        if pairs is None:
-            break
-        pairs = _plausible(pairs, nodes, percent)
-        wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = wanted if sets is None else wanted.join(sets, "node", "left_anti")
-        more = _sets(src, save(wanted.join(classes, "node").select("node", "th"), "ngram-wanted"), size)
-        sets = more if sets is None else sets.union(more)
-        new = _verified(pairs, sets, percent)
-        links = new if links is None else links.union(new)
-        if new.limit(1).count():
-            comp = components(links, "ngram-cc")
+    comp = linked_components(index, percent, _passes(percent), _verifier(src, classes, size, percent))
     label = classes.select("node", "copies", "least")
     if comp is not None:
         label = label.join(comp.select(c("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -267,44 +325,6 @@ def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return save(found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
 
 
-def _drawn_pairs(index: DataFrame, percent: int) -> DataFrame | None:
-    """For each n-gram the pairs of the nodes drawn by the salts and the others that pass the filters."""
-    c = F.col
-    salts = [F.lit(x).cast("bigint") for x in SALTS]
-    lead = index.groupBy("token").agg(F.count("*").alias("c"), *(F.min(c("node").bitwiseXOR(x)).alias(f"drawn{i}") for i, x in enumerate(salts)))
-    total = index.count()
-    if not total:
-        return None
-    drawn = F.explode(F.array_distinct(F.array(*(c(f"drawn{i}").bitwiseXOR(x) for i, x in enumerate(salts))))).alias("node")
-    lead = lead.select("token", "c", drawn).join(index, ["token", "node"])
-    lead = save(lead.select("token", "c", c("node").alias("lead"), c("n").alias("n2"), c("pos").alias("p2")), "ngram-lead")
-    both = hot_join(index, lead, "token", "c", total, "inner").filter("node <> lead").filter(_passes(c("n"), c("pos"), c("n2"), c("p2"), percent))
-    return both.select(*_pairs(c("node"), c("lead"))).distinct()
-
-
-def _open_pairs(index: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame | None:
-    """The pairs of nodes in different components that share a prefix n-gram and pass the filters.  Sizes fall into bands
-    so wide that similar sets are in the same or in neighbouring ones, which the join has as a key."""
-    c = F.col
-    if comp is None:
-        cur = index.withColumn("comp", c("node"))
-    else:
-        cur = index.join(comp.select(c("id").alias("node"), c("component").alias("cc")), "node", "left").withColumn("comp", F.coalesce("cc", "node")).drop("cc")
-    open_ = cur.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = save(open_.filter("lo < hi").select("token", "c"), "ngram-open")
-    total = open_.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    if not total:
-        return None
-    cur = save(hot_join(cur, open_, "token", "c", total, "inner"), "ngram-cur")
-    width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-9
-    band = F.floor(F.log(c("n").cast("double")) / width).cast("bigint")
-    left = cur.select("token", c("node").alias("x"), c("n").alias("n1"), c("pos").alias("p1"), c("comp").alias("c1"), band.alias("band"))
-    near = F.explode(F.array(band - 1, band, band + 1)).alias("band")
-    right = cur.select("token", c("node").alias("y"), c("n").alias("n2"), c("pos").alias("p2"), c("comp").alias("c2"), near)
-    both = left.join(right, ["token", "band"]).filter((c("x") < c("y")) & (c("c1") != c("c2")) & _passes(c("n1"), c("p1"), c("n2"), c("p2"), percent))
-    return both.select(*_pairs(c("x"), c("y"))).distinct()
-
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df``, all columns as they are, without those that have another's id as component_id: of each group
     of near duplicates the row with the smallest id stays."""
