@@ -2,19 +2,24 @@
 
 Documents become token ids and an end id.  Longer ones than a sequence are cut into full pieces, which are sequences by
 themselves, and a rest.  The rests are dealt at random to groups of about ``GROUP`` pieces, each packed by one task:
-best fit in falling order, then the local search.  It takes the emptiest sequence and, while it helps, exchanges one of
-its pieces for a smaller one of a fuller sequence, one for two or two for one, or moves a piece over.  Each step fills
-the fuller sequence further, so the sum of squared fills rises, until the emptiest is empty.  A group wastes less than
-one sequence beyond what its own bound allows, so the number of groups hardly counts.
+best fit in falling order, then the local search, if the bound on the number of sequences is not met yet.  It takes the
+emptiest sequence and, while it helps, exchanges one of its pieces for one or two smaller ones of a fuller sequence, two
+for one, or moves a piece over.  Each step fills the fuller sequence further, so the sum of squared fills rises; the
+search ends when the bound is met or a whole pass over the sequences finds no step.  Sequences are looked up by what can
+be taken out of them, so a step costs the square of the sequence length at most, however many pieces there are.  A group
+wastes less than one sequence beyond what its own bound allows, so the number of groups hardly counts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +34,21 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs at a time, about.
 GROUP = 50_000
-#: The search gives up after so many sequences in a row that it cannot empty.
-PATIENCE = 12
 #: Words of up to so many characters are remembered, twice so many of them at most.
 SHORT, REMEMBERED = 48, 500_000
 #: ASCII symbols but the apostrophe, which can begin a token of letters.
 SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Where it matters whether A-Z become small before or after composing marks, or for special tokens.
 UNSAFE = re.compile("[\u0300-\u036f]|<\\|")
+SPECIAL = "<|"
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    x = array("I", ids)
+    if sys.byteorder != "little":
+        x.byteswap()
+    return x.tobytes()
 
 
 class WordTokenizer:
@@ -48,18 +60,25 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         for whole, parts in (("one Two\nthree's  four", ("one", "two", "three's", "four")), ("end.) ét,", ("end", ".)", "ét", ","))):
             if self._ids([whole])[0] != b"".join(self._ids(parts)):
                 raise ValueError("the tokenizer does not part words as expected")
+        if self._plain("words") != self._ids(["words"])[0] or self._plain("x") != self._ids(["x"])[0]:
+            raise ValueError("the tokenizer does not leave words of a-z as they are")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _plain(self, word: str) -> bytes:
+        """The ids of a word of a-z, which the normaliser and the pre-tokenizer leave as it is: the model's own."""
+        return _packed([t.id for t in self.model.tokenize(word)])
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if not UNSAFE.search(text):
+        if SPECIAL not in text and (text.isascii() or not UNSAFE.search(text)):
             text = text.encode().lower().decode()  # A-Z only
         words = text.replace("\n", " ").split(" ")
         parts = list(map(self.known.get, words))
@@ -89,7 +108,14 @@ class WordTokenizer:
             else:
                 fresh[w] = None
         fresh = [x for x in fresh if x not in out]
-        out |= zip(fresh, self._ids(fresh))
+        odd = []
+        for x in fresh:
+            if x.isascii() and x.isalpha() and x.islower():
+                out[x] = self._plain(x)
+            else:
+                odd.append(x)
+        if odd:
+            out |= zip(odd, self._ids(odd))
         for w, (a, b) in cut.items():
             out[w] = (out.get(a) or known[a]) + (out.get(b) or known[b])
         if len(known) + len(out) > REMEMBERED:
@@ -158,77 +184,126 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+class _Receivers:
+    """The bins that can take something, by what can be taken out of them: nothing or one piece (kind 0), or two (1).
+
+    ``best[kind][r]`` is the most room of a bin from which pieces of r tokens in all can come.  Each r has a heap of bins,
+    whose entries of older versions of a bin are skipped."""
+
+    def __init__(self, capacity: int, n: int):
+        self.heaps = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+        self.best = np.zeros((2, capacity + 1), np.int64)
+        self.version = [0] * n
+
+    @staticmethod
+    def taken(by_size: dict[int, list[int]]) -> tuple[list[int], set[int]]:
+        """(0 and the sizes of single pieces, sums of two pieces)."""
+        sizes = list(by_size)
+        two = {a + b for k, a in enumerate(sizes) for b in sizes[k + 1 :]} | {2 * a for a in sizes if len(by_size[a]) > 1}
+        return [0, *sizes], two
+
+    def put(self, b: int, by_size: dict[int, list[int]], room: int) -> None:
+        """Bin b as it is now."""
+        self.version[b] += 1
+        for kind, rs in enumerate(self.taken(by_size)):
+            for r in rs:
+                heappush(self.heaps[kind][r], (-room, b, self.version[b]))
+                if room > self.best[kind, r]:
+                    self.best[kind, r] = room
+
+    def out(self, b: int, by_size: dict[int, list[int]]) -> None:
+        """Bin b, which still has what it was put in with, takes nothing any more."""
+        self.version[b] += 1
+        for kind, rs in enumerate(self.taken(by_size)):
+            for r in rs:
+                h = self.heaps[kind][r]
+                while h and h[0][2] != self.version[h[0][1]]:
+                    heappop(h)
+                self.best[kind, r] = -h[0][0] if h else 0
+
+    def step(self, by_size: dict[int, list[int]]) -> tuple[int, int, int, int, int, int] | None:
+        """(gain, pieces that go, their tokens, pieces that come, their tokens, bin) of the largest gain, if there is one."""
+        found = None
+        single, two = self.taken(by_size)
+        for go, sums, kinds in ((1, single[1:], (0, 1)), (2, sorted(two), (0,))):
+            s = np.array(sums, np.int64)
+            for kind in kinds:
+                r = np.flatnonzero(self.best[kind])
+                if go == 2:
+                    r = r[r > 0]  # two for one; two that move are two moves
+                if not len(s) or not len(r):
+                    continue
+                gain = s[:, None] - r
+                gain[gain > self.best[kind][r]] = 0
+                k = int(gain.argmax())
+                g = int(gain.flat[k])
+                if g > 0 and (found is None or g > found[0]):
+                    i, j = divmod(k, len(r))
+                    come = int(r[j])
+                    found = (g, go, int(s[i]), (1 + kind) * (come > 0), come, self.heaps[kind][come][0][1])
+        return found
+
+
+def _take(by_size: dict[int, list[int]], n: int, total: int) -> list[int]:
+    """n pieces (0, 1 or 2) of so many tokens in all, taken out of a bin."""
+    if n == 0:
+        return []
+    if n == 1:
+        pair = [total]
+    else:
+        a = next(a for a in by_size if total - a in by_size and (2 * a != total or len(by_size[a]) > 1))
+        pair = [a, total - a]
+    out = []
+    for size in pair:
+        out.append(by_size[size].pop())
+        if not by_size[size]:
+            del by_size[size]
+    return out
+
+
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """The bins after the search; never more of them."""
-    size = np.asarray(sizes, np.int64)
-    fill = np.array([size[b].sum() for b in bins])
-    fewest = -(-int(fill.sum()) // capacity)
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    fewest = -(-sum(fill) // capacity)
     alive = len(bins)
-    stuck: set[int] = set()
-    # the items of underfull bins, flat: number, size, bin
-    under = np.flatnonzero(fill < capacity)
-    item = np.concatenate([np.asarray(bins[b]) for b in under]).astype(np.int64) if len(under) else np.zeros(0, np.int64)
-    home = np.repeat(under, [len(bins[b]) for b in under])
-    while alive > fewest and len(stuck) < patience:
-        open_bins = [b for b in under if fill[b] and b not in stuck]
-        if len(open_bins) < 2:
-            break
-        victim = min(open_bins, key=lambda b: fill[b])
-        while fill[victim]:
-            mine = np.flatnonzero(home == victim)
-            slack = np.where(np.arange(len(fill)) == victim, 0, np.where(fill >= fill[victim], capacity - fill, 0))
-            slack[fill == 0] = 0
-            other = np.flatnonzero(slack[home] > 0)
-            if not len(other):
-                break
-            best: tuple[int, list[int], list[int], int] | None = None  # gain, rows that go, rows that come, bin
-
-            def offer(gain, go, come, b):
-                nonlocal best
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (int(gain), go, come, int(b))
-
-            goes = [([m], int(size[item[m]])) for m in mine]
-            goes += [([m, n], int(size[item[m]] + size[item[n]])) for k, m in enumerate(mine) for n in mine[k + 1 :]]
-            osize, ohome = size[item[other]], home[other]
-            room = slack[ohome]
-            wide = slack.max()
-            first = np.flatnonzero(np.r_[True, ohome[1:] != ohome[:-1]]) if len(ohome) else []
-            for go, s in goes:
-                if s <= wide:  # moves: the fullest bin that has the room
-                    fits = np.where(slack >= s, slack, capacity + 1)
-                    b = int(fits.argmin())
-                    offer(s, go, [], b)
-                d = s - osize
-                ok = (d > 0) & (d <= room)
-                if ok.any():
-                    k = int(np.where(ok, d, 0).argmax())
-                    offer(d[k], go, [int(other[k])], ohome[k])
-                if len(go) == 1 and (best is None or best[0] < s):  # two of theirs for one of mine: neighbours in their bin
-                    if len(other) > 1:
-                        d = s - osize[1:] - osize[:-1]
-                        ok = (ohome[1:] == ohome[:-1]) & (d > 0) & (d <= room[1:])
-                        if ok.any():
-                            k = int(np.where(ok, d, 0).argmax())
-                            offer(d[k], go, [int(other[k]), int(other[k + 1])], ohome[k])
-            del first
-            if best is None:
-                break
-            gain, go, come, b = best
-            home[go] = b
-            home[come] = victim
-            fill[victim] -= gain
-            fill[b] += gain
-            order = np.argsort(home, kind="stable")  # a bin's items stay together
-            home, item = home[order], item[order]
-        if fill[victim]:
-            stuck.add(victim)
-        else:
-            alive -= 1
-            stuck.clear()
-    full = [b for k, b in enumerate(bins) if fill[k] >= capacity and k not in set(under.tolist())]
-    starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, int)
-    return full + [x.tolist() for x in np.split(item, starts[1:])] if len(home) else full
+    if alive <= fewest:
+        return bins
+    inside: list[dict[int, list[int]]] = []
+    for b in bins:
+        inside.append({})
+        for i in b:
+            inside[-1].setdefault(sizes[i], []).append(i)
+    moved = True
+    while moved and alive > fewest:
+        moved = False
+        open_ = _Receivers(capacity, len(bins))
+        order = [(f, b) for b, f in enumerate(fill) if 0 < f < capacity]
+        for f, b in order:
+            open_.put(b, inside[b], capacity - f)
+        heapify(order)
+        while order and alive > fewest:
+            f, victim = heappop(order)
+            if f != fill[victim]:
+                if fill[victim] < capacity:
+                    heappush(order, (fill[victim], victim))
+                continue
+            mine = inside[victim]
+            open_.out(victim, mine)  # in this pass it only gives
+            while mine and (step := open_.step(mine)):
+                gain, n, total, m, come, b = step
+                open_.out(b, inside[b])
+                go, back = _take(mine, n, total), _take(inside[b], m, come)
+                for i in go:
+                    inside[b].setdefault(sizes[i], []).append(i)
+                for i in back:
+                    mine.setdefault(sizes[i], []).append(i)
+                fill[victim] -= gain
+                fill[b] += gain
+                moved = True
+                if fill[b] < capacity:
+                    open_.put(b, inside[b], capacity - fill[b])
+            alive -= not mine
+    return [[i for x in b.values() for i in x] for b in inside if b]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
