@@ -5,12 +5,15 @@ stands: expectation-maximisation over the patterns of votes estimates each rule'
 documents, and a document's posterior probability of being good replaces "all rules must pass".
 
 Votes of R rules make at most 3**R patterns, so the counts that EM needs are at most that many rows for any input;
-only these reach the driver, and the posterior of each pattern goes back as a broadcast of the same bound.
+only these reach the driver, and the posterior of each pattern goes back as a broadcast of the same bound.  Documents
+that fail the base rules are junk whatever the verdict, so only the others are learned from: the kinds of junk that the
+base rules take would otherwise be all that the model knows of.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,12 @@ from tallyfield.llm.words import release, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: The least and the largest share of good documents, of those that a rule votes on, that it calls junk.  The rules' limits
+#: are set so wide that good documents hardly reach them.
+ERRORS, MOST_ERRORS = 0.005, 0.01
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
+ADDED = ("base_failed", "kept", "posterior", "__votes", "__text")
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_ends", "n_distinct", "n_twice"]
 
 
@@ -111,61 +118,85 @@ def vote_pattern() -> Column:
     return code.cast("int")
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(posterior of each pattern, accuracy of each rule on good and on junk documents, share of good ones) by EM.
+@dataclass
+class Model:
+    """good, junk: the chance that each rule's vote is right on a good and on a junk document; prior: the share of good
+    ones.  An abstention tells nothing."""
 
-    patterns: codes as of ``vote_pattern``; counts: documents of each.  A rule has two accuracies, the chance that its
-    vote is right on a good and on a junk document, since a rule that knows one kind of junk says "good" of all other
-    kinds.  They start at 0.98 and 0.4 and stay within bounds that keep the meaning of the classes; an abstention tells
-    nothing.  The share of good documents stays within 0.05 and 0.99.
+    good: np.ndarray
+    junk: np.ndarray
+    prior: float
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability that documents with these votes are good."""
+        up, down = votes_of(patterns, len(self.good))
+        z = np.log(self.prior / (1 - self.prior)) + up @ np.log(self.good / (1 - self.junk)) + down @ np.log((1 - self.good) / self.junk)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def votes_of(patterns: np.ndarray, n_rules: int) -> tuple[np.ndarray, np.ndarray]:
+    """(votes for good, votes for junk) of patterns, as of ``vote_pattern``."""
+    votes = np.asarray(patterns, np.int64)[:, None] // 3 ** np.arange(n_rules) % 3
+    return votes == 2, votes == 0
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 500) -> Model:
+    """The model of vote patterns, of which there are so many documents each, by EM.
+
+    It starts from all-must-pass: a document with a vote for junk is junk with a chance of 0.9, any other good.  Each rule
+    has an accuracy for either class, since a rule that knows one kind of junk says "good" of all other kinds, and its good
+    vote must then count for nothing.  Of good documents a rule is taken to call a share from ``ERRORS`` to ``MOST_ERRORS``
+    junk, which one rule's votes alone could not tell: a rule that rarely calls something junk is not believed unless
+    others agree, one that does so more often than its errors explain is.  Without documents all
+    rules are worth the same.
     """
-    votes = patterns[:, None] // 3 ** np.arange(n_rules) % 3 - 1.0
-    up, down, w = votes > 0, votes < 0, counts.astype(float)
-    good, junk, prior = np.full(n_rules, 0.98), np.full(n_rules, 0.4), 0.9
-    post = np.full(len(w), prior)
+    up, down = votes_of(patterns, n_rules)
+    w = np.asarray(counts, float)
+    post = np.where(down.any(1), 0.1, 0.9)
+    model = Model(np.full(n_rules, 0.9), np.full(n_rules, 0.5), 0.9)
     for _ in range(rounds):
-        z = np.log(prior / (1 - prior)) + up @ np.log(good / (1 - junk)) + down @ np.log((1 - good) / junk)
-        post = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         g, j = w * post, w * (1 - post)
-        new_good = np.clip((g @ up + 49) / (g @ (up | down) + 50), 0.6, 0.9999)
-        new_junk = np.clip((j @ down + 0.8) / (j @ (up | down) + 2), 0.02, 0.999)
-        new_junk = np.maximum(new_junk, 1.02 * (1 - new_good))  # a vote for junk never speaks for good
-        prior = float(np.clip((g.sum() + 9) / (w.sum() + 10), 0.05, 0.99))
-        moved = max(np.abs(new_good - good).max(), np.abs(new_junk - junk).max())
-        good, junk = new_good, new_junk
-        if moved < 1e-9:
+        good = np.clip((g @ up + 0.9) / (g @ (up | down) + 1), 1 - MOST_ERRORS, 1 - ERRORS)
+        junk = np.clip((j @ down + 0.1) / (j @ (up | down) + 1), 0.001, 0.999)
+        junk = np.maximum(junk, 1 - good)  # a vote for junk never speaks for good
+        model = Model(good, junk, float(np.clip((g.sum() + 0.9) / (w.sum() + 1), 0.001, 0.999)))
+        last, post = post, model.posterior(patterns)
+        if not len(post) or np.abs(post - last).max() < 1e-9:
             break
-    return post, good, junk, prior
+    return model
+
+
+def _codes(votes: DataFrame) -> DataFrame:
+    """(__votes, posterior) of the patterns of ``votes(__votes, __failed)``; the base rules' failures teach nothing."""
+    seen = votes.groupBy("__votes").agg(F.count_if(~F.col("__failed")).alias("n")).toPandas()  # at most 3 ** rules rows
+    patterns = seen["__votes"].to_numpy(np.int64)
+    post = fit(patterns, seen["n"].to_numpy(), len(rules())).posterior(patterns)
+    return votes.sparkSession.createDataFrame(list(zip(patterns.tolist(), post.tolist())), "__votes int, posterior double")
 
 
 def judged(df: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns, the figures, base_failed, posterior and kept, for each row of ``df``.
+    """``keep`` columns (default: all but those named like what is added), the figures, posterior, base_failed and kept, for
+    each row of ``df``.
 
     kept is false if base_failed, else posterior >= threshold.  Null and empty texts have no words, so they fail.
     Repeated rows are judged each.  Empty table: no rows.
     """
-    rows = save(add_figures(df, text, keep).withColumn("__votes", vote_pattern()), "rules")
-    seen = rows.groupBy("__votes").count().toPandas()  # at most 3 ** rules rows
-    post, *_ = fit(seen["__votes"].to_numpy(np.int64), seen["count"].to_numpy(), len(rules()))
-    spark = df.sparkSession
-    codes = spark.createDataFrame(list(zip(seen["__votes"].tolist(), post.tolist())), "__votes int, posterior double")
-    return (
-        rows.join(F.broadcast(codes), "__votes")
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-        .drop("__votes")
-    )
+    keep = [c for c in df.columns if c not in (*FIGURES, *ADDED)] if keep is None else keep
+    rows = add_figures(df, text, keep).withColumn("base_failed", base_failed()).withColumn("__votes", vote_pattern())
+    rows = save(rows, "rules")
+    codes = _codes(rows.select("__votes", F.col("base_failed").alias("__failed")))
+    out = rows.join(F.broadcast(codes), "__votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return out.select(*keep, *FIGURES, "posterior", "base_failed", "kept")
 
 
 def keep_good(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that ``judged`` keeps, all columns as they are.
+    """The rows of ``df`` that ``judged`` keeps, all columns as they are, whatever they are called.
 
-    The texts are read twice, once for the counts of vote patterns and once to judge, so no copy of them is written.
+    Null and empty texts go.  Repeated rows are judged each and alike.  Empty table: no rows.  The texts are read twice,
+    once for the counts of vote patterns and once to judge, so no copy of them is written.
     """
-    votes = add_figures(df, text, []).select(vote_pattern().alias("__votes"))
-    seen = votes.groupBy("__votes").count().toPandas()  # at most 3 ** rules rows
-    post, *_ = fit(seen["__votes"].to_numpy(np.int64), seen["count"].to_numpy(), len(rules()))
-    codes = df.sparkSession.createDataFrame(list(zip(seen["__votes"].tolist(), post.tolist())), "__votes int, posterior double")
+    votes = add_figures(df, text, []).select(vote_pattern().alias("__votes"), base_failed().alias("__failed"))
+    codes = _codes(votes)
     src = df.select(F.struct(*df.columns).alias("__row"))  # one column, whatever the others are called
     at = df.columns.index(text)
 
