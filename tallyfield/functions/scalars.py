@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,48 @@ def poisson_cdf(k: Column, rate: Column, most: int = 170) -> Column:
     return F.when(k < 0, 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
+def poisson_quantile(p: Column, rate: Column, most: int = 500) -> Column:
+    """The smallest k with P(X <= k) >= p, ``most`` if there is none below.  Each term comes from the one before."""
+    start = F.struct(F.lit(0).alias("k"), F.exp(-F.greatest(rate, F.lit(0.0))).alias("term"), F.exp(-F.greatest(rate, F.lit(0.0))).alias("sum"))
+
+    def step(s, k):
+        term = s.term * F.greatest(rate, F.lit(0.0)) / k
+        return F.when(s["sum"] >= p, s).otherwise(F.struct(k.alias("k"), term.alias("term"), (s["sum"] + term).alias("sum")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s.k)
+
+
+#: The coefficients of the rational approximation of the normal quantile (relative error below 1.15e-9),
+#: highest power first: numerator and denominator of the middle, then of the tails.
+QUANTILE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732537343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661990416e00, 1.0),
+)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile; minus or plus infinity at 0 and 1 and beyond."""
+    def poly(coefficients, x):
+        out = F.lit(coefficients[0])
+        for a in coefficients[1:]:
+            out = out * x + a
+        return out
+
+    middle, below, tail, under = QUANTILE
+    q = p - 0.5
+    far = let(F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p))), lambda x: poly(tail, x) / poly(under, x))
+    near = let(q * q, lambda r: q * poly(middle, r) / poly(below, r))
+    inside = F.when(p < 0.02425, far).when(p > 1 - 0.02425, -far).otherwise(near)
+    return F.when(p <= 0, float("-inf")).when(p >= 1, float("inf")).otherwise(inside)
+
+
+def softmax(x: Column) -> Column:
+    """Shares of an array of logits, from which the largest is taken first."""
+    return let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)))
+
+
 #: The coefficients of the rational approximation of erfc (error below 1.2e-7), lowest power first.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
@@ -86,11 +130,28 @@ def clip_probs(probs: Column, low: float = 0.02, high: float = 0.96) -> Column:
 
 
 def temper(probs: Column, t: Column) -> Column:
-    return normalise(F.transform(probs, lambda x: F.pow(x, 1.0 / t)))
+    """p^(1/T), made to sum to 1; shares are 1e-9 at least.  A T of 1, of 0 or less, or none leaves them as they are."""
+    use = F.coalesce((t > 0) & (F.abs(t - 1) >= 1e-6) & ~F.isnan(t.cast("double")), F.lit(False))
+    return F.when(use, normalise(F.transform(probs, lambda x: F.pow(F.greatest(x, F.lit(1e-9)), 1.0 / t)))).otherwise(probs)
+
+
+
+@lru_cache(1)
+def accents() -> tuple[str, str]:
+    """(letters, their plain forms) of the small letters that Unicode decomposes into one of a-z and marks."""
+    out = {}
+    for x in map(chr, range(0xC0, 0x2000)):
+        d = unicodedata.normalize("NFD", x)
+        if len(d) > 1 and d[0] in "abcdefghijklmnopqrstuvwxyz" and all(map(unicodedata.combining, d[1:])):
+            out[x] = d[0]
+    return "".join(out), "".join(out.values())
+
+
+def unaccented(text: Column) -> Column:
+    """Lower case without accents: composed letters are decomposed, then all marks go."""
+    return F.regexp_replace(F.translate(F.lower(text), *accents()), "[\u0300-\u036f]", "")
 
 
-#: Accented letters and what they are without the accent.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 #: Words that names of teams do without.
 STOP_WORDS = ("fc", "afc", "cf", "sc", "ac", "as", "ss", "us", "sv", "bk", "if", "fk", "cd", "rc", "club", "de", "the", "football", "calcio", "women", "rfc", "rlfc", "cc", "united", "utd")
 #: Names that are written in several ways, and the one that counts.
@@ -129,7 +190,7 @@ ALIASES = {
 def normalise_name(name: Column) -> Column:
     """Lower case without accents and symbols but the apostrophe, by its usual name if it has one, and without words like
     "fc"; a name of such words only keeps them."""
-    plain = F.replace(F.translate(F.lower(name), ACCENTED, PLAIN), F.lit("&"), F.lit(" and "))
+    plain = F.replace(unaccented(name), F.lit("&"), F.lit(" and "))
     plain = F.trim(F.regexp_replace(plain, r"[^a-z0-9']+", " "))
     known = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
     usual = F.coalesce(known[plain], plain)
@@ -138,7 +199,7 @@ def normalise_name(name: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    dashed = F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), r"[^a-z0-9]+", "-")
+    dashed = F.regexp_replace(unaccented(name), r"[^a-z0-9]+", "-")
     return F.regexp_replace(dashed, r"^-+|-+$", "")
 
 

@@ -123,18 +123,19 @@ def blend(members: list[tuple[Column, Column]], n: int = 3) -> Column:
 
 def shift_home(probs: Column, points: Column) -> Column:
     """[home, draw, away] with the home share moved by percentage points, kept within 0.03 and 0.95; the others share the
-    rest as before."""
-    home = F.get(probs, F.lit(0))
+    rest as before, evenly if they had nothing."""
+    home, draw, away = (F.get(probs, F.lit(k)) for k in range(3))
     to = f.clamp(home + points / 100.0, 0.03, 0.95)
-    scale = F.when(home < 1, (1.0 - to) / (1.0 - home)).otherwise(0.0)
-    return F.array(to, F.get(probs, F.lit(1)) * scale, F.get(probs, F.lit(2)) * scale)
+    part = lambda x: F.when(draw + away > 0, x / (draw + away)).otherwise(0.5) * (1.0 - to)
+    return F.array(to, part(draw), part(away))
 
 
 def capped_effects(factors: DataFrame, key: str, effect: str, each: float = 8.0, total: float = 10.0) -> DataFrame:
-    """Effects clamped one by one, then scaled so that their sum stays within the total."""
-    x = f.clamp(c(effect), -each, each)
-    s = F.abs(F.sum(x).over(W.partitionBy(key)))
-    return factors.withColumn("capped", x * F.when(s > total, total / s).otherwise(1.0))
+    """Effects clamped and rounded to one digit, then, if their sum goes beyond the total, scaled to it and rounded again.
+    Sums are of whole tenths, so their order does not matter."""
+    tenths = F.floor(f.clamp(c(effect), -each, each) * 10 + 0.5)
+    s = F.abs(F.sum(tenths).over(W.partitionBy(key)))
+    return factors.withColumn("capped", F.when(s > total * 10, F.floor(tenths * (total * 10) / s + 0.5)).otherwise(tenths) / 10.0)
 
 
 def consensus(odds: DataFrame) -> DataFrame:
@@ -149,14 +150,25 @@ def consensus(odds: DataFrame) -> DataFrame:
     return mean.select("event_id", F.explode(F.array(*(F.struct(F.lit(o).alias("outcome"), f.half_up(c(o) / s, 4).alias("p")) for o in outcomes))).alias("x")).select("event_id", "x.*")
 
 
-def margin_fit(rows: DataFrame, key: str, slope_floor: float = 0.005) -> DataFrame:
-    """Least squares of margins on rating gaps (columns gap, margin, total): slope, edge, sigma and mean total.  The
-    slope's floor comes before the intercept; sigma divides by n - 2, at least 1."""
+def margin_fit(rows: DataFrame, key: str, slope_floor: float = 0.005, least: int = 20, flat: float = 0.04, home_edge: float = 0.35, mean_score: float = 1.35, score_sd: float = 1.6) -> DataFrame:
+    """Least squares of margins on rating gaps (columns gap, margin, total): slope, edge, sigma and mean total.
+
+    The slope's floor comes before the intercept, and a slope of ``flat`` stands for gaps that are all equal; sigma
+    divides by n - 2, at least 1, and is 1 at least.  Under ``least`` rows the sport's own edge, score and spread are
+    given, with a slope of ``flat``."""
     m = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("gap").alias("mg"), F.avg("margin").alias("mm"), F.covar_pop("gap", "margin").alias("cov"), F.var_pop("gap").alias("var"), F.var_pop("margin").alias("vm"), F.avg("total").alias("total"))
-    slope = F.greatest(F.lit(slope_floor), F.coalesce(F.try_divide(c("cov"), c("var")), F.lit(0.0)))
+    slope = F.when(c("var") > 0, F.greatest(F.lit(slope_floor), F.try_divide(c("cov"), c("var")))).otherwise(flat)
     m = m.withColumn("slope", slope).withColumn("edge", c("mm") - c("slope") * c("mg"))
     rest = c("n") * (c("vm") - 2 * c("slope") * c("cov") + c("slope") * c("slope") * c("var"))
-    return m.withColumn("sigma", F.sqrt(F.greatest(rest, F.lit(0.0)) / F.greatest(c("n") - 2, F.lit(1)))).select(key, "n", "slope", "edge", "sigma", "total")
+    m = m.withColumn("sigma", F.greatest(F.lit(1.0), F.sqrt(F.greatest(rest, F.lit(0.0)) / F.greatest(c("n") - 2, F.lit(1)))))
+    given = {"slope": flat, "edge": home_edge, "sigma": score_sd, "total": 2 * mean_score}
+    return m.select(key, "n", *(F.when(c("n") < least, v).otherwise(c(k)).alias(k) for k, v in given.items()))
+
+
+def margin_scores(mean: Column, total: Column) -> Column:
+    """Expected scores of both sides, one digit, and the likeliest, whole, of a margin and a total."""
+    home, away = (total + mean) / 2, (total - mean) / 2
+    return F.struct(f.half_up(home, 1).alias("home"), f.half_up(away, 1).alias("away"), f.half_up(home, 0).cast("int").alias("likely_home"), f.half_up(away, 0).cast("int").alias("likely_away"))
 
 
 def margin_probs(mean: Column, sigma: Column, has_draws: bool = True) -> Column:

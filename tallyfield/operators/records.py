@@ -34,14 +34,23 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
 
 def nearest(incoming: DataFrame, known: DataFrame, keys: list[str], at: str, known_at: str, id_col: str, within: int) -> DataFrame:
     """Each incoming row's nearest known row of its keys within a distance, the smaller id of equals; ``match`` is null
-    without one.  Time is cut into buckets as wide as the distance, and known rows are in three of them, so the join is on
-    equal keys and buckets."""
-    bucket = F.floor(c(at) / within)
-    k = known.select(*keys, c(id_col).alias("match"), c(known_at).alias("__at"), F.explode(F.array(*(F.floor(c(known_at) / within) + i for i in (-1, 0, 1)))).alias("__b"))
-    x = incoming.withColumn("__b", bucket).withColumn("__row", F.monotonically_increasing_id())
-    both = x.join(k, [*keys, "__b"]).filter(F.abs(c(at) - c("__at")) <= within)
-    best = both.groupBy("__row").agg(F.min_by("match", F.struct(F.abs(c(at) - c("__at")), "match")).alias("match"))
-    return x.join(best, "__row", "left").drop("__b", "__row")
+    without one.
+
+    Both sides go through one shuffle by key.  In order of time, the last known row before and, the other way round, the
+    first one after are carried along; only these two can be the nearest, so no pairs are built."""
+    k = known.groupBy(*keys, c(known_at).alias("__at")).agg(F.min(id_col).alias("__id"))
+    cols = [x for x in incoming.columns if x not in keys]
+    row = F.struct(*cols).alias("__l")
+    kind = incoming.select(row).schema["__l"].dataType
+    mine = incoming.select(*keys, c(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(k.schema["__id"].dataType).alias("__id"), row)
+    theirs = k.select(*keys, "__at", F.lit(0).alias("__side"), "__id", F.lit(None).cast(kind).alias("__l"))
+    found = F.when(c("__side") == 0, F.struct(c("__at").alias("at"), c("__id").alias("id")))
+    w = W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    both = theirs.unionByName(mine)
+    both = both.withColumn("__b", F.last(found, ignorenulls=True).over(w.orderBy("__at", "__side")))
+    both = both.withColumn("__a", F.last(found, ignorenulls=True).over(w.orderBy(F.desc("__at"), "__side")))
+    near = [F.when(F.abs(c("__at") - c(f"{x}.at")) <= within, F.struct(F.abs(c("__at") - c(f"{x}.at")).alias("gap"), c(f"{x}.id").alias("id"))) for x in ("__b", "__a")]
+    return both.filter("__side = 1").select(*keys, "__l.*", F.least(*near)["id"].alias("match"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, at: str) -> DataFrame:

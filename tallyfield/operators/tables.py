@@ -111,21 +111,29 @@ def history(matches: DataFrame, stats: DataFrame, before: int) -> DataFrame:
     return done.join(side("HOME", "home"), "event_id", "left").join(side("AWAY", "away"), "event_id", "left")
 
 
-def _before(*keys: str) -> W:
-    """What lies strictly before the current day: rows of the same day do not see each other."""
-    return W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
-
-
-def recent_form(matches: DataFrame, n: int = 5) -> DataFrame:
+def _last_before(rows: DataFrame, keys: list[str], cols: list[str], n: int) -> DataFrame:
+    """For each day of the keys: ``last``, the last ``n`` rows of the days before, newest first, and ``prev``, the last such
+    day.  No more than ``n`` rows of a day are carried, so a row costs what it uses, however long the history is."""
+    newest = W.partitionBy(*keys, "day").orderBy(F.desc("event_id"))
+    few = rows.withColumn("__k", F.row_number().over(newest)).filter(c("__k") <= n)
+    of_day = few.groupBy(*keys, "day").agg(F.array_sort(F.collect_list(F.struct("__k", *cols))).alias("__day"))
+    days = W.partitionBy(*keys).orderBy("day")
+    past = F.slice(F.flatten(F.reverse(F.collect_list("__day").over(days.rowsBetween(-n, -1)))), 1, n)
+    return of_day.select(*keys, "day", past.alias("last"), F.lag("day").over(days).alias("prev"))
+
+
+def recent_form(matches: DataFrame, n: int = 5, by_venue: bool = False) -> DataFrame:
     """Of each side of each match: points per game and goal difference per game over its last ``n`` matches before that
-    day (1.3 and 0 without any), days of rest (1 to 14, 7 without a match before)."""
+    day (1.3 and 0 without any), days of rest (1 to 14, 7 without a match before); on request only of those at the same
+    venue."""
     rows = team_rows(matches.filter("status = 'FINISHED'"))
-    past = F.collect_list(F.struct("day", "event_id", "scored", "conceded")).over(_before("team"))
-    last = F.slice(F.reverse(F.array_sort(past)), 1, n)
+    keys = ["team", "venue"] if by_venue else ["team"]
+    past = _last_before(rows, keys, ["scored", "conceded"], n)
+    last = c("last")
     points = F.aggregate(last, F.lit(0), lambda s, x: s + F.when(x.scored > x.conceded, 3).when(x.scored == x.conceded, 1).otherwise(0))
     diff = F.aggregate(last, F.lit(0), lambda s, x: s + (x.scored - x.conceded))
-    rows = rows.withColumn("k", F.size(last)).withColumn("p", points).withColumn("d", diff).withColumn("prev", F.max("day").over(_before("team")))
-    return rows.select(
+    past = past.select(*keys, "day", "prev", F.size(last).alias("k"), points.alias("p"), diff.alias("d"))
+    return rows.join(past, [*keys, "day"]).select(
         "event_id", "team", "venue", "k",
         F.when(c("k") > 0, c("p") / c("k")).otherwise(1.3).alias("ppg"),
         F.when(c("k") > 0, c("d") / c("k")).otherwise(0.0).alias("gdpg"),
@@ -135,18 +143,28 @@ def recent_form(matches: DataFrame, n: int = 5) -> DataFrame:
 
 def head_to_head(matches: DataFrame, n: int = 6) -> DataFrame:
     """Of each match the balance of the last ``n`` meetings of the two sides before that day, seen from the home side."""
-    done = matches.filter("status = 'FINISHED'")
-    w = W.partitionBy(F.least("home", "away"), F.greatest("home", "away")).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
-    past = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("day", "event_id", "home", "hs", "aws")).over(w))), 1, n)
-    sign = lambda x: F.signum((x.hs - x.aws).cast("double")) * F.when(x.home == c("home"), 1.0).otherwise(-1.0)
-    total = F.aggregate(c("past"), F.lit(0.0), lambda s, x: s + sign(x))
-    k = F.size("past")
-    return done.withColumn("past", past).select("event_id", k.alias("met"), F.when(k > 0, total / k).otherwise(0.0).alias("edge"))
+    done = matches.filter("status = 'FINISHED'").withColumns({"one": F.least("home", "away"), "two": F.greatest("home", "away")})
+    won = F.signum((c("hs") - c("aws")).cast("double")) * F.when(c("home") == c("one"), 1.0).otherwise(-1.0)  # seen from one
+    past = _last_before(done.withColumn("won", won), ["one", "two"], ["won"], n)
+    past = past.select("one", "two", "day", F.size("last").alias("k"), F.aggregate("last", F.lit(0.0), lambda s, x: s + x.won).alias("total"))
+    edge = c("total") * F.when(c("home") == c("one"), 1.0).otherwise(-1.0) / c("k")
+    return done.join(past, ["one", "two", "day"]).select("event_id", c("k").alias("met"), F.when(c("k") > 0, edge).otherwise(0.0).alias("edge"))
 
 
 def trailing_baseline(matches: DataFrame, n: int = 380) -> DataFrame:
-    """Counts of outcomes over the ``n`` matches of the competition before each match, in order."""
+    """Counts of outcomes over the ``n`` matches of the competition before each match, in order.
+
+    Each match gets its place in the competition and the counts of all before it, from sums by day and an order within
+    the day; the counts ``n`` places earlier are joined by place and taken off.  No task has a whole competition."""
     done = matches.filter("status = 'FINISHED'").withColumn("o", outcome())
-    w = W.partitionBy("comp").orderBy("day", "event_id").rowsBetween(-n, -1)
-    counts = [F.coalesce(F.sum((c("o") == o).cast("int")).over(w), F.lit(0)).alias(o.lower()) for o in ("HOME", "DRAW", "AWAY")]
-    return done.select("event_id", "comp", F.floor(c("day") / 7).cast("int").alias("chunk"), *counts)
+    names = {"HOME": "home", "DRAW": "draw", "AWAY": "away"}
+    one = {v: (c("o") == k).cast("long") for k, v in names.items()} | {"place": F.lit(1).cast("long")}
+    days = done.groupBy("comp", "day").agg(*(F.sum(x).alias(k) for k, x in one.items()))
+    before = W.partitionBy("comp").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("comp", "day", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}0") for k in one))
+    earlier = W.partitionBy("comp", "day").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
+    upto = [(c(f"{k}0") + F.coalesce(F.sum(x).over(earlier), F.lit(0))).alias(k) for k, x in one.items()]
+    rows = done.join(days, ["comp", "day"]).select("event_id", "comp", "day", *upto)
+    old = rows.select("comp", (c("place") + n).alias("place"), *(c(v).alias(f"{v}0") for v in names.values()))
+    counts = [(c(v) - F.coalesce(f"{v}0", F.lit(0))).alias(v) for v in names.values()]
+    return rows.join(old, ["comp", "place"], "left").select("event_id", "comp", F.floor(c("day") / 7).cast("int").alias("chunk"), *counts)

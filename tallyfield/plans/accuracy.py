@@ -42,7 +42,7 @@ def summaries(scored: DataFrame) -> DataFrame:
         F.avg("brier").alias("brier"),
         F.avg("log_loss").alias("log_loss"),
         F.avg("rps").alias("rps"),
-        F.try_divide(F.count_if("correct"), F.count_if(~c("tied"))).alias("accuracy"),
+        F.coalesce(F.try_divide(F.count_if("correct"), F.count_if(~c("tied"))), F.lit(0.0)).alias("accuracy"),
     )
 
 
@@ -81,10 +81,11 @@ def upsets(scored: DataFrame, n: int = 8) -> DataFrame:
     return scored.select("id", "model", most.alias("favourite"), won.alias("winner")).filter((c("favourite") >= 0.55) & (c("winner") <= 0.2)).orderBy(F.desc("favourite"), "winner", "id").limit(n)
 
 
-def report(scored: DataFrame, since: int, most: int = 4000) -> DataFrame:
-    """The summary by model of the ``most`` newest scores since a day; ties count as misses here, as stored scores do not
+def report(scored: DataFrame, since: int, most: int | None = None) -> DataFrame:
+    """The summary by model of all scores since a day, or of the ``most`` newest ones; ties count as misses here, as stored scores do not
     know them."""
-    newest = scored.filter(c("day") >= since).orderBy(F.desc("day"), F.desc("id")).limit(most)
+    newest = scored.filter(c("day") >= since)
+    newest = newest if most is None else newest.orderBy(F.desc("day"), F.desc("id")).limit(most)
     return newest.groupBy("model").agg(F.count("*").alias("n"), F.avg("brier").alias("brier"), F.avg("log_loss").alias("log_loss"), F.avg(c("correct").cast("double")).alias("accuracy"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,17 +37,37 @@ def elo_step(rating: dict, season: dict, home, away, hs: float, aws: float, year
 
 
 def elo_history(matches: DataFrame) -> DataFrame:
-    """comp, event_id, home, away, r_home, r_away, expected: ratings before each finished match, in order of day and id."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "event_id"])
-        rating, season, out = {}, {}, []
-        for x in pdf.itertuples():
-            e = elo_step(rating, season, x.home, x.away, x.hs, x.aws, x.season)
-            out.append((x.comp, x.event_id, x.home, x.away, rating[x.home], rating[x.away], e))
-        return pd.DataFrame(out, columns=["comp", "event_id", "home", "away", "r_home", "r_away", "expected"])
+    """comp, event_id, home, away, r_home, r_away, expected: ratings after each finished match, in order of day and id, and
+    the home side's expectation before it.
+
+    A competition's matches follow each other, so one task folds one competition; Spark sorts them, and the task sees a
+    batch at a time and keeps the ratings of the teams only."""
+    names = ["comp", "event_id", "home", "away", "r_home", "r_away", "expected"]
+
+    def fold(batches):
+        comp, rating, season = None, {}, {}
+        for pdf in batches:
+            out = []
+            for x in pdf.itertuples(index=False):
+                if x.comp != comp:
+                    comp, rating, season = x.comp, {}, {}
+                e = elo_step(rating, season, x.home, x.away, x.hs, x.aws, x.season)
+                out.append((x.comp, x.event_id, x.home, x.away, rating[x.home], rating[x.away], e))
+            yield pd.DataFrame(out, columns=names)
 
     done = matches.filter("status = 'FINISHED'").select("comp", "event_id", "season", "day", "home", "away", "hs", "aws")
-    return done.groupBy("comp").applyInPandas(fold, "comp int, event_id long, home int, away int, r_home double, r_away double, expected double")
+    in_order = done.repartition("comp").sortWithinPartitions("comp", "day", "event_id")
+    return in_order.mapInPandas(fold, "comp int, event_id long, home int, away int, r_home double, r_away double, expected double")
+
+
+def draw_base(matches: DataFrame, history: DataFrame, given: float = 0.28, least: int = 30) -> DataFrame:
+    """comp, n, draw_base: the share of draws over the mean evenness that ratings expected, 1 - |2e - 1|, within 0.05 and
+    0.45; ``given`` under ``least`` matches.  history: of ``elo_history``, whose expectations are those before each match."""
+    draws = matches.filter("status = 'FINISHED'").select("event_id", (c("hs") == c("aws")).cast("double").alias("drawn"))
+    even = F.sum(1 - F.abs(2 * c("expected") - 1))
+    sums = history.join(draws, "event_id").groupBy("comp").agg(F.count("*").alias("n"), F.sum("drawn").alias("drawn"), even.alias("even"))
+    base = F.when((c("n") < least) | (c("even") <= 0), given).otherwise(F.least(F.greatest(c("drawn") / c("even"), F.lit(0.05)), F.lit(0.45)))
+    return sums.select("comp", "n", base.alias("draw_base"))
 
 
 def walk_forward(history: DataFrame, matches: DataFrame, draw_base: float = 0.28) -> DataFrame:
@@ -70,7 +91,7 @@ def walk_forward(history: DataFrame, matches: DataFrame, draw_base: float = 0.28
 def dixon_coles_cells(matches: DataFrame, as_of: int, xi: float = 0.0018, max_age: int = 1200) -> DataFrame:
     """Decayed weights of finished matches by competition, sides and score."""
     age = F.lit(as_of) - c("day")
-    done = matches.filter((c("status") == "FINISHED") & (age >= 0) & (age <= max_age))
+    done = matches.filter((c("status") == "FINISHED") & (age > 0) & (age <= max_age))
     return done.groupBy("comp", "home", "away", "hs", "aws").agg(F.sum(F.exp(-xi * age)).alias("w"), F.count("*").alias("n"))
 
 
@@ -93,14 +114,14 @@ def fit_dixon_coles(cells: pd.DataFrame, iterations: int = 400, l2: float = 0.02
             rho = t[2 * k + 2]
             tau = np.where(~low, 1.0, np.select([(x == 0) & (y == 0), (x == 0) & (y == 1), (x == 1) & (y == 0)], [1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho], 1 - rho))
             tau = np.maximum(tau, 1e-6)
-            ll = (w * (x * np.log(lam) - lam + y * np.log(mu) - mu + np.log(tau))).sum() - l2 * total * (t[: 2 * k] ** 2).sum()
+            ll = (w * (x * np.log(lam) - lam + y * np.log(mu) - mu + np.log(tau))).sum() - l2 * total / 2 * (t[: 2 * k] ** 2).sum()
             dl = x - lam + np.select([(x == 0) & (y == 0), (x == 0) & (y == 1)], [-lam * mu * rho, lam * rho], 0.0) / tau
             dm = y - mu + np.select([(x == 0) & (y == 0), (x == 1) & (y == 0)], [-lam * mu * rho, mu * rho], 0.0) / tau
             dr = np.select([(x == 0) & (y == 0), (x == 0) & (y == 1), (x == 1) & (y == 0), (x == 1) & (y == 1)], [-lam * mu, lam, mu, -np.ones_like(lam)], 0.0) / tau
             dl, dm, dr = w * dl, w * dm, w * dr
             sums = lambda at, v: np.bincount(at, v, k)
             g = np.r_[sums(i, dl) + sums(j, dm), sums(j, dl) + sums(i, dm), (dl + dm).sum(), dl.sum(), 0.1 * dr.sum()]
-            g[: 2 * k] -= 2 * l2 * total * t[: 2 * k]
+            g[: 2 * k] -= l2 * total * t[: 2 * k]
             return ll, g / total
 
         step, (ll, g) = 1.0, value(theta)
@@ -144,11 +165,10 @@ def dixon_coles_rates(fixtures: DataFrame, model: DataFrame) -> DataFrame:
 def rank_beta(samples: DataFrame, prior: float = 0.4, l2: float = 2.0, least: int = 200, steps: int = 40) -> float:
     """The slope of log rank ratios (columns rank_home, rank_away, home_won) by Newton steps on sums over pairs of ranks;
     ranks are bounded by the lists, so the table that reaches the driver is."""
-    x = F.round(F.log(c("rank_away") / c("rank_home")), 3)
-    cells = samples.filter("rank_home > 0 and rank_away > 0").groupBy(x.alias("x")).agg(F.sum(c("home_won").cast("int")).alias("won"), F.count("*").alias("n")).toPandas()
+    cells = samples.filter("rank_home > 0 and rank_away > 0").groupBy("rank_home", "rank_away").agg(F.sum(c("home_won").cast("int")).alias("won"), F.count("*").alias("n")).toPandas()
     if cells.n.sum() < least:
         return prior
-    b, xs, won, n = prior, cells.x.to_numpy(), cells.won.to_numpy(float), cells.n.to_numpy(float)
+    b, xs, won, n = prior, np.log(cells.rank_away.to_numpy(float) / cells.rank_home.to_numpy(float)), cells.won.to_numpy(float), cells.n.to_numpy(float)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-b * xs))
         grad, hess = (xs * (won - n * p)).sum() - l2 * (b - prior), (xs * xs * n * p * (1 - p)).sum() + l2
@@ -314,24 +334,96 @@ def uniform(*keys) -> F.Column:
     return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def simulate_season(played: DataFrame, fixtures: DataFrame, runs: int = 3000, seed: int = 1) -> DataFrame:
-    """Chances of each place: comp, team, position, share; for each season by itself where the tables have one.
-
-    played: comp, (season,) team, points; fixtures: comp, (season,) event_id, home, away, p0, p1, p2.  Draws are hashes, points are summed by
-    run and team with map-side sums, and each run is ranked by itself.
-    """
-    from pyspark.sql import Window as W
-
-    table = [x for x in ("comp", "season") if x in fixtures.columns]
-    u = uniform(F.lit(seed), c("run"), c("event_id"))
-    x = fixtures.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("u", u)
-    o = F.when(c("u") < c("p0"), 0).when(c("u") < c("p0") + c("p1"), 1).otherwise(2)
-    side = lambda t, win: F.struct(c(t).alias("team"), F.when(o == win, 3).when(o == 1, 1).otherwise(0).alias("points"))
-    drawn = x.select(*table, "run", F.explode(F.array(side("home", 0), side("away", 2))).alias("s")).select(*table, "run", "s.*")
-    start = played.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).select(*table, "run", "team", "points")
-    sums = drawn.unionByName(start).groupBy(*table, "run", "team").agg(F.sum("points").alias("points"))
-    w = W.partitionBy(*table, "run").orderBy(F.desc("points"), uniform(F.lit(seed), c("run"), c("team")))
-    return sums.withColumn("position", F.row_number().over(w)).groupBy(*table, "team", "position").agg((F.count("*") / runs).alias("share"))
+def outcome_cdf(p0: F.Column, p1: F.Column, p2: F.Column) -> F.Column:
+    """Running sums of the scores 0-0, 0-1, 1-0 and 1-1 for shares of home wins, draws and away wins."""
+    return F.array(p1, p1 + p2, p0 + p1 + p2, p0 + p1 + p2)
+
+
+def score_cdf(lam: F.Column, mu: F.Column, rho: F.Column, most: int = 8) -> F.Column:
+    """Running sums over the scores up to ``most`` goals of each side, home goals first, with low scores corrected by rho,
+    made to end at 1."""
+    from tallyfield.functions.scalars import let, poisson_pmf
+
+    k = F.sequence(F.lit(0), F.lit(most))
+    fix = {0: 1 - lam * mu * rho, 1: 1 + lam * rho, most + 1: 1 + mu * rho, most + 2: 1 - rho}
+
+    def cells(x):
+        tau = lambda i: F.coalesce(*(F.when(i == at, v) for at, v in fix.items()), F.lit(1.0))
+        p = F.transform(F.sequence(F.lit(0), F.lit((most + 1) ** 2 - 1)), lambda i: F.greatest(F.lit(0.0), tau(i) * F.get(x.h, F.floor(i / (most + 1)).cast("int")) * F.get(x.a, i % (most + 1))))
+        run = F.aggregate(p, F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all")), lambda z, v: F.struct((z["sum"] + v).alias("sum"), F.array_append(z["all"], z["sum"] + v).alias("all")))
+        return let(run, lambda z: F.transform(z["all"], lambda v: v / z["sum"]))
+
+    return let(F.struct(F.transform(k, lambda i: poisson_pmf(i, lam)).alias("h"), F.transform(k, lambda i: poisson_pmf(i, mu)).alias("a")), cells)
+
+
+def draws(seed: int, key: int, runs: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the seed, the key and the run alone, so a task that runs again draws the same."""
+    x = np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 0xD1342543DE82EF95 + seed * 0x2545F4914F6CDD1D) & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def simulate_season(played: DataFrame, fixtures: DataFrame, runs: int = 3000, seed: int = 1, held: int = 500) -> DataFrame:
+    """Chances of each place: comp, season, team, position, share, and the mean points in that place; places that no run
+    gave are left out.
+
+    played: comp, season, team, points, scored, conceded; fixtures: comp, season, event_id, home, away and cdf, the running
+    sums of the shares of scores, row by row (home goals, then away goals, equally many of both).  Each run draws a score
+    for each fixture by a hash and ranks the teams by points, goal difference, goals and the order of teams.
+
+    A task draws all runs of a fixture at once and sums points, differences and goals by team, an array over the runs
+    each; it sends on what it has at ``held`` teams.  A season's task adds these arrays up, a row for each team and packet,
+    and ranks its teams."""
+    names = ["comp", "season", "team", "base", "sums"]
+    schema = "comp int, season int, team int, base array<bigint>, sums binary"
+
+    def partial(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out():
+            keys = list(sums)
+            cols = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)]
+            rows = pa.RecordBatch.from_arrays([*cols, pa.nulls(len(keys), pa.list_(pa.int64())), pa.array([sums[k].astype("<i4").tobytes() for k in keys], pa.binary())], names)
+            sums.clear()
+            return rows
+
+        for b in batches:
+            for comp, season, event, home, away, cdf in zip(*(b.column(k).to_pylist() for k in range(6))):
+                cdf = np.asarray(cdf)
+                width = int(np.sqrt(len(cdf)))
+                at = np.minimum(np.searchsorted(cdf, draws(seed, event, runs)), len(cdf) - 1)
+                h, a = at // width, at % width
+                for team, mine, theirs in ((home, h, a), (away, a, h)):
+                    s = sums.setdefault((comp, season, team), np.zeros((3, runs), np.int64))
+                    s += [3 * (mine > theirs) + (mine == theirs), mine - theirs, mine]
+                if len(sums) >= held:
+                    yield out()
+        if sums:
+            yield out()
+
+    def ranked(key, groups):
+        total: dict[int, np.ndarray] = {}
+        for g in groups:
+            for team, base, sums in zip(*(g.column(k).to_pylist() for k in ("team", "base", "sums"))):
+                s = total.setdefault(team, np.zeros((3, runs), np.int64))
+                s += np.asarray(base)[:, None] if sums is None else np.frombuffer(sums, "<i4").reshape(3, runs)
+        teams = sorted(total)
+        points, diff, scored = np.stack([total[t] for t in teams], 1)
+        order = np.lexsort((-scored, -diff, -points), axis=0)  # stable: equals in the order of teams
+        rows = []
+        for place, who in enumerate(order):
+            n, sums = np.bincount(who, minlength=len(teams)), np.bincount(who, points[who, np.arange(runs)], len(teams))
+            rows += [(teams[t], place + 1, n[t] / runs, sums[t] / n[t]) for t in np.flatnonzero(n)]
+        cols = list(zip(*rows))
+        own = [pa.array([k.as_py()] * len(rows), pa.int32()) for k in key]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["comp", "season", "team", "position", "share", "points"])
+
+    drawn = fixtures.select(*(c(x).cast("int") for x in ("comp", "season")), c("event_id").cast("bigint"), *(c(x).cast("int") for x in ("home", "away")), "cdf").mapInArrow(partial, schema)
+    base = F.array(*(x.cast("bigint") for x in (c("points"), c("scored") - c("conceded"), c("scored"))))
+    start = played.select(*(c(x).cast("int") for x in ("comp", "season", "team")), base.alias("base"), F.lit(None).cast("binary").alias("sums"))
+    return start.unionByName(drawn).groupBy("comp", "season").applyInArrow(ranked, "comp int, season int, team int, position int, share double, points double")
 
 
 def simulate_race(entrants: DataFrame, runs: int = 5000, noise: float = 3.5, seed: int = 1) -> DataFrame:

@@ -72,14 +72,14 @@ def _sql(query: str, more: str = "") -> str:
 ORACLE_SQL = {
     "scored_forecasts": _sql(f"SELECT id, model, {rsql('brier')} AS brier, {rsql('log_loss')} AS log_loss, {rsql('rps')} AS rps, tied, correct FROM scored"),
     "accuracy_summaries": _sql(f"""SELECT comp, model, count(*) AS n, count(*) FILTER (tied) AS ties, {rsql('avg(brier)')} AS brier, {rsql('avg(log_loss)')} AS log_loss,
-      {rsql('avg(rps)')} AS rps, {rsql('CAST(count(*) FILTER (correct) AS DOUBLE) / count(*) FILTER (NOT tied)')} AS accuracy FROM scored GROUP BY GROUPING SETS ((model), (comp, model))"""),
+      {rsql('avg(rps)')} AS rps, {rsql('coalesce(CAST(count(*) FILTER (correct) AS DOUBLE) / nullif(count(*) FILTER (NOT tied), 0), 0)')} AS accuracy FROM scored GROUP BY GROUPING SETS ((model), (comp, model))"""),
     "calibration": _sql(f"SELECT model, bin, n, {rsql('mean')} AS mean, {rsql('rate')} AS rate FROM cal", _CAL),
     "calibration_slope": _sql(f"""SELECT model, count(*) AS bins, CASE WHEN count(*) >= 3 THEN {rsql('(sum(n * mean * rate) - sum(n * mean) * sum(n * rate) / sum(n)) / (sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n))')} END AS slope
       FROM cal WHERE n >= 5 GROUP BY model""", _CAL),
     "weekly_timeline": _sql("SELECT CAST(day - (day + 4) % 7 AS INT) AS week, " + ", ".join(f"floor(avg(log_loss) FILTER (model = '{m}') * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS \"{m}\"" for m in MODELS) + " FROM scored GROUP BY ALL"),
     "upsets": _sql(f"SELECT id, model, {rsql('most')} AS favourite, {rsql('won')} AS winner FROM scored WHERE most >= 0.55 AND won <= 0.2 ORDER BY most DESC, won, id LIMIT 8"),
     "accuracy_report": _sql(f"""SELECT model, count(*) AS n, {rsql('avg(brier)')} AS brier, {rsql('avg(log_loss)')} AS log_loss, {rsql('avg(CAST(correct AS INT)::DOUBLE)')} AS accuracy
-      FROM (SELECT * FROM scored WHERE day >= 19700 ORDER BY day DESC, id DESC LIMIT 4000) GROUP BY model"""),
+      FROM (SELECT * FROM scored WHERE day >= 19700) GROUP BY model"""),
     "best_weights": _sql(f"""SELECT CAST(combo AS INT) AS combo, a, b, u, {rsql('log_loss')} AS log_loss FROM (
       SELECT combo, a, b, u, avg(least(-ln(0.000001::DOUBLE), top + ln(exp(v0 - top) + exp(v1 - top) + exp(v2 - top)) - CASE outcome WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END)) AS log_loss FROM (
         SELECT *, greatest(v0, v1, v2) AS top FROM (

@@ -35,8 +35,10 @@ def _fixture_rates(s, d):
 
 def _season(s, d):
     m = p.matches(s, d)
-    fx = m.filter("status = 'SCHEDULED'").select("comp", "season", "event_id", "home", "away", F.lit(0.45).alias("p0"), F.lit(0.26).alias("p1"), F.lit(0.29).alias("p2"))
-    played = t.league_table(m).select("comp", "season", "team", "points").join(fx.select("comp", "season").distinct(), ["comp", "season"], "left_semi")
+    fx = m.filter("status = 'SCHEDULED'").select("comp", "season", "event_id", "home", "away")
+    rates = fits.dixon_coles_rates(fx, _model(s, d))
+    fx = rates.select("comp", "season", "event_id", "home", "away", fits.score_cdf(c("lam"), c("mu"), c("rho")).alias("cdf"))
+    played = t.league_table(m).select("comp", "season", "team", "points", "scored", "conceded").join(fx.select("comp", "season").distinct(), ["comp", "season"], "left_semi")
     # a task's fixtures are drawn thousands of times: dealt to all cores, however few rows they are
     return fits.simulate_season(played, fx.repartition(s.sparkContext.defaultParallelism, "event_id"))
 
@@ -81,9 +83,14 @@ def _stream_counts(s, d):
 
 
 def _stream_ratings(s, d):
-    folder = scratch(s, "matches")
-    p.matches(s, d).filter("status = 'FINISHED'").coalesce(1).write.parquet(folder)
-    return results.run_to_end(results.ratings(results.stream(s, folder, "*.parquet")), scratch(s, "ratings"), "update")
+    """Season by season: each one's files are a batch of the stream, which goes on from the state of the one before."""
+    folder, out = scratch(s, "matches"), scratch(s, "ratings")
+    m = p.matches(s, d).filter("status = 'FINISHED'")
+    table = None
+    for season in sorted(r.season for r in m.select("season").distinct().collect()):  # a row for each year
+        m.filter(c("season") == season).write.mode("append").parquet(folder)
+        table = results.run_to_end(results.ratings(results.stream(s, folder, "*.parquet")), out, "update")
+    return table if table is not None else s.createDataFrame([], "comp int, team int, rating double, day int, batch int")
 
 
 def _walk(s, d):

@@ -172,15 +172,15 @@ ORACLE_SQL = {
         {rsql("x0 / sx")} AS home, {rsql("x1 / sx")} AS draw, {rsql("x2 / sx")} AS away FROM {_NORM.format("k")}"""),
     "shift_home": with_sql("forecasts", f""", x AS (SELECT *, least(greatest(p0 + CAST(id % 41 - 20 AS DOUBLE) / 100, 0.03::DOUBLE), 0.95::DOUBLE) AS t FROM forecasts)
       SELECT id, {rsql("t")} AS home, {rsql("p1 * (1 - t) / (1 - p0)")} AS draw, {rsql("p2 * (1 - t) / (1 - p0)")} AS away FROM x"""),
-    "capped_effects": f"""WITH x AS (SELECT event_id, user_id, least(greatest(value - 4, -8), 8)::DOUBLE AS x FROM events), y AS (SELECT *, abs(sum(x) OVER (PARTITION BY user_id)) AS s FROM x)
-      SELECT event_id, {rsql("x * CASE WHEN s > 10 THEN 10 / s ELSE 1.0::DOUBLE END")} AS capped FROM y""",
+    "capped_effects": f"""WITH x AS (SELECT event_id, user_id, least(greatest(value - 4, -8), 8)::DOUBLE AS x FROM events), y AS (SELECT event_id, user_id, CAST(floor(x * 10 + 0.5::DOUBLE) AS BIGINT) AS t FROM x), z AS (SELECT *, abs(sum(t) OVER (PARTITION BY user_id)) AS s FROM y)
+      SELECT event_id, {rsql("CASE WHEN s > 100 THEN floor(t * 100.0::DOUBLE / s + 0.5::DOUBLE) ELSE t END / 10.0::DOUBLE")} AS capped FROM z""",
     "odds_consensus": with_sql("odds", """, q AS (SELECT *, 1 / price / sum(1 / price) OVER (PARTITION BY event_id, book) AS q FROM odds WHERE price > 1),
       m AS (SELECT event_id, outcome, avg(q) AS m FROM q GROUP BY ALL)
       SELECT event_id, outcome, floor(m / sum(m) OVER (PARTITION BY event_id) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS p FROM m"""),
     "margin_model": with_sql("matches", f""", r AS (SELECT comp, CAST(home * 11 - away * 9 + hs * 5 AS DOUBLE) AS gap, CAST(hs - aws AS DOUBLE) AS margin, CAST(hs + aws AS DOUBLE) AS total FROM matches WHERE status = 'FINISHED'),
       m AS (SELECT comp, count(*) AS n, avg(gap) AS mg, avg(margin) AS mm, greatest(0.005::DOUBLE, covar_pop(gap, margin) / var_pop(gap)) AS slope, avg(total) AS total FROM r GROUP BY comp),
       e AS (SELECT *, mm - slope * mg AS edge FROM m),
-      s AS (SELECT e.comp, e.n, e.slope, e.edge, e.total, sqrt(sum((margin - edge - slope * gap) * (margin - edge - slope * gap)) / greatest(e.n - 2, 1)) AS sigma FROM e JOIN r ON r.comp = e.comp GROUP BY e.comp, e.n, e.slope, e.edge, e.total),
+      s AS (SELECT e.comp, e.n, e.slope, e.edge, e.total, greatest(1.0::DOUBLE, sqrt(sum((margin - edge - slope * gap) * (margin - edge - slope * gap)) / greatest(e.n - 2, 1))) AS sigma FROM e JOIN r ON r.comp = e.comp GROUP BY e.comp, e.n, e.slope, e.edge, e.total),
       z AS (SELECT *, (edge + slope * 25 + 0.5::DOUBLE) / (sigma * sqrt(2.0::DOUBLE)) AS lo, (edge + slope * 25 - 0.5::DOUBLE) / (sigma * sqrt(2.0::DOUBLE)) AS hi FROM s)
       SELECT comp, n, {rsql("slope")} AS slope, {rsql("edge")} AS edge, {rsql("sigma")} AS sigma, {rsql("total")} AS total,
         {rsql("1 - " + _phi("hi"))} AS home, {rsql(_phi("hi") + " - " + _phi("lo"))} AS draw, {rsql(_phi("lo"))} AS away FROM z"""),

@@ -72,7 +72,7 @@ def _export(s, d):
     f = score(p.forecasts(s, d)).withColumns({n: F.printf(F.lit("%.4f"), F.floor(c(n) * 10000 + 0.5) / 10000) for n in ("brier", "log_loss", "rps")})
     cell = lambda x: F.when(x.rlike("[\",\n]"), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
     line = F.concat_ws(",", c("id").cast("string"), cell(F.concat(c("model"), F.when(c("id") % 2 == 0, ', "x"').otherwise(""))), "brier", "log_loss", "rps")
-    return f.orderBy(F.desc("day"), F.desc("id")).limit(20_000).select("id", line.alias("line"))
+    return f.select("id", line.alias("line"))
 
 
 QUERIES = {
@@ -90,8 +90,15 @@ QUERIES = {
     "weekly_chunks": lambda s, d: p.table(s, d, "events").groupBy(F.floor(F.unix_micros(c("ts").cast("timestamp")) / 604_800_000_000).alias("chunk")).agg(F.count("*").alias("n")),
 }
 
+_EXPORT = """, s AS (SELECT id, model, [p0, p1, p2][outcome + 1] AS won, pow(p0 - CAST(outcome = 0 AS INT), 2) AS a, pow(p1 - CAST(outcome = 1 AS INT), 2) AS b, pow(p2 - CAST(outcome = 2 AS INT), 2) AS d,
+        pow(p0 + p1 - CAST(outcome < 2 AS INT), 2) AS e FROM forecasts),
+      x AS (SELECT id, model, a + b + d AS brier, -ln(greatest(0.000001::DOUBLE, won)) AS log_loss, (a + e) / 2 AS rps FROM s)
+      SELECT id, concat(id, ',', CASE WHEN id % 2 = 0 THEN concat(chr(34), model, ', ', chr(34), chr(34), 'x', chr(34), chr(34), chr(34)) ELSE model END, ',', {}) AS line FROM x""".format(
+    ", ',', ".join(f"printf('%.4f', floor({k} * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE)" for k in ("brier", "log_loss", "rps"))
+)
 _RANK = "CASE {} WHEN 'CANCELLED' THEN 4 WHEN 'POSTPONED' THEN 3 WHEN 'FINISHED' THEN 3 WHEN 'LIVE' THEN 2 WHEN 'SCHEDULED' THEN 1 ELSE 0 END"
 ORACLE_SQL = {
+    "csv_export": with_sql("forecasts", _EXPORT),
     "ranks_as_of": with_sql("matches ratings", """, m AS (SELECT home AS team, event_id, 'H' AS venue, day FROM matches UNION ALL SELECT away, event_id, 'A', day FROM matches),
       r AS (SELECT team, as_of, arg_max(value, id) AS value FROM ratings GROUP BY ALL)
       SELECT m.team, event_id, venue, r.value AS rank, r.as_of FROM m ASOF LEFT JOIN r ON m.team = r.team AND m.day >= r.as_of"""),

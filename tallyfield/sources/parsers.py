@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 c = F.col
 #: The statistics of the league files, by column for the home and the away side.
-LEAGUE_STATS = {"shots": ("HS", "AS"), "shots_on_target": ("HST", "AST"), "corners": ("HC", "AC"), "fouls": ("HF", "AF"), "yellow_cards": ("HY", "AY"), "red_cards": ("HR", "AR")}
+LEAGUE_STATS = {"goals": ("FTHG", "FTAG"), "shots": ("HS", "AS"), "shots_on_target": ("HST", "AST"), "corners": ("HC", "AC"), "fouls": ("HF", "AF"), "yellow_cards": ("HY", "AY"), "red_cards": ("HR", "AR")}
 #: Days after a tournament's start by round.
 ROUND_DAY = {"R128": 0, "R64": 1, "R32": 2, "R16": 3, "QF": 4, "SF": 5, "F": 6}
 #: How providers call the states of an event.
@@ -41,9 +41,11 @@ def status(x: Column) -> Column:
 
 def league_date(day: Column, time: Column) -> Column:
     """dd/mm/yy or dd/mm/yyyy with a time, three in the afternoon without one."""
-    at = F.coalesce(F.when(time.rlike(r"^\d{1,2}:\d{2}$"), F.lpad(time, 5, "0")), F.lit("15:00"))
-    text = F.concat(day, F.lit(" "), at)
-    return F.when(F.length(day) <= 8, F.try_to_timestamp(text, F.lit("dd/MM/yy HH:mm"))).otherwise(F.try_to_timestamp(text, F.lit("dd/MM/yyyy HH:mm")))
+    parts = F.split(F.when(F.trim(day).rlike(r"^\d{1,2}/\d{1,2}/\d{2}(\d{2})?$"), F.trim(day)), "/")
+    year = F.get(parts, F.lit(2)).cast("int")
+    hours = F.split(F.coalesce(F.when(time.rlike(r"^\d{1,2}:\d{2}"), time), F.lit("15:00")), ":")
+    number_of = lambda x, k: F.get(x, F.lit(k)).cast("int")
+    return F.try_make_timestamp(F.when(F.length(F.get(parts, F.lit(2))) == 2, year + 2000).otherwise(year), number_of(parts, 1), number_of(parts, 0), number_of(hours, 0), F.substring(F.get(hours, F.lit(1)), 1, 2).cast("int"), F.lit(0.0))
 
 
 def winner(hs: Column, aws: Column) -> Column:
@@ -59,13 +61,15 @@ def league_events(rows: DataFrame) -> DataFrame:
 
 
 def league_stats(rows: DataFrame) -> DataFrame:
-    """A row for each side with a map of statistics; none for a match with one statistic or less."""
+    """A row for each side with a map of statistics, goals among them; neither for a match whose home side has one statistic
+    or less."""
     def side(team, k):
         m = F.map_filter(F.create_map(*(x for name, cols in LEAGUE_STATS.items() for x in (F.lit(name), F.expr(f"try_cast({cols[k]} as double)")))), lambda _, v: v.isNotNull())
         return F.struct(c(team).alias("team"), m.alias("stats"))
 
-    out = rows.select("Date", F.explode(F.array(side("HomeTeam", 0), side("AwayTeam", 1))).alias("s")).select("Date", "s.*")
-    return out.filter(F.size("stats") > 1)
+    both = rows.select("Date", F.array(side("HomeTeam", 0), side("AwayTeam", 1)).alias("both"))
+    known = both.filter(F.size(F.get("both", F.lit(0))["stats"]) > 1)
+    return known.select("Date", F.explode("both").alias("s")).select("Date", "s.*")
 
 
 def club_ratings(rows: DataFrame) -> DataFrame:

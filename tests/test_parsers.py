@@ -17,7 +17,7 @@ def test_league_file(spark, tmp_path):
     e = p.league_events(rows).orderBy("starts").collect()
     assert [(str(x.starts), x.home, x.away, x.hs, x.status, x.winner) for x in e] == [("2024-08-16 20:00:00", "Man United", "Fulham", 1, "FINISHED", "HOME"), ("2024-08-17 15:00:00", "Ipswich", "Liverpool", None, "SCHEDULED", None)]
     s = {x.team: x.stats for x in p.league_stats(rows).collect()}
-    assert set(s) == {"Man United", "Fulham"} and s["Fulham"]["corners"] == 8 and len(s["Fulham"]) == 6
+    assert set(s) == {"Man United", "Fulham"} and s["Fulham"]["corners"] == 8 and s["Man United"]["goals"] == 1 and len(s["Fulham"]) == 7
 
 
 def test_ratings_and_rankings(spark):
