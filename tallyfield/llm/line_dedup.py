@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import drop, hot_join, save, text_of
 from tallyfield.llm.exact_dedup import cell_hits, cells, merged_cells, n_cells
-from tallyfield.llm.linking import MAP, MEMBER, PACKET, PACKETS, PAIR, SMALL, apart, bucket_names, common, gathered, linked_components, ordered, packet, parity_maps, rows_of
+from tallyfield.llm.linking import MAP, MEMBER, PACKET, PACKETS, PAIR, SMALL, apart, bucket_names, common, gathered, linked_components, ordered, packet, parity_maps, rows_of, shortened
 from tallyfield.llm.words import A, mix, release
 
 SHINGLE, BANDS, ROWS = 5, 21, 6
@@ -121,24 +121,6 @@ def blocks(lines: Iterable[tuple[int, str]]) -> Iterator[tuple[list[int], list[s
         yield nodes, texts
 
 
-def _gathered(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and members of the buckets of one part."""
-    single, (token, node, size, large) = gathered(groups)
-    yield from single
-    two = (size == 2) & ~large
-    if two.any():
-        pairs = np.unique(node[two].reshape(-1, 2), axis=0)
-        yield rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
-    token, node, size, large = (x[~two] for x in (token, node, size, large))
-    if len(token):
-        first, name = bucket_names(token, node, size, ~large & (size <= SMALL))
-        once = np.zeros(len(first), bool)
-        once[np.unique(name, return_index=True)[1]] = True
-        n = size[first]
-        once = np.repeat(once, n)
-        yield rows_of(MEMBER, np.repeat(name, n)[once], node[once])
-
-
 def _shared_buckets(src: DataFrame, parts: int) -> DataFrame:
     """Members (bucket x, node y) of buckets of three nodes and more, and pairs (nodes x, y) of those of two; written."""
 
@@ -162,19 +144,36 @@ def _shared_buckets(src: DataFrame, parts: int) -> DataFrame:
         token, node, n = [], [], 0
         for nodes, texts in blocks(fresh()):
             x = bands_of(*shingles(texts), len(texts))
-            token.append(x.ravel())
+            token.append(shortened(x.ravel(), parts))
             node.append(np.repeat(np.array(nodes, np.int64), BANDS))
             n += x.size
             if n >= PACKET:
-                yield from packet(np.concatenate(token), np.concatenate(node), parts)
+                yield from packet(np.concatenate(token), np.concatenate(node), parts, short=True)
                 token, node, n = [], [], 0
         if n:
-            yield from packet(np.concatenate(token), np.concatenate(node), parts)
+            yield from packet(np.concatenate(token), np.concatenate(node), parts, short=True)
         del token, node
         release()
 
+    def gather(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs and members of the buckets of one part."""
+        single, (token, node, size, large) = gathered(groups, key[0].as_py(), parts)
+        yield from single
+        two = (size == 2) & ~large
+        if two.any():
+            pairs = np.unique(node[two].reshape(-1, 2), axis=0)
+            yield rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+        token, node, size, large = (x[~two] for x in (token, node, size, large))
+        if len(token):
+            first, name = bucket_names(token, node, size, ~large & (size <= SMALL))
+            once = np.zeros(len(first), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            n = size[first]
+            once = np.repeat(once, n)
+            yield rows_of(MEMBER, np.repeat(name, n)[once], node[once])
+
     packed = src.select("text").mapInArrow(run, PACKETS)
-    return save(packed.groupBy("part").applyInArrow(_gathered, PACKETS).select("kind", "x", "y"), "line-buckets")
+    return save(packed.groupBy("part").applyInArrow(gather, PACKETS).select("kind", "x", "y"), "line-buckets")
 
 
 def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 An index has a row for each token of each node.  Two nodes that link share a token, or are taken not to link.  Comparing
 all nodes of a token with each other would cost the square of its size, and only components are asked for.  So nodes are
-compared with leads first: in each round every token that still has nodes of several components draws one of its nodes
-as its lead, and every node is compared with the lead that most of its tokens have drawn among those of other
-components.  A group of near copies falls together in the first round or two, whatever its size.  At last all pairs of
+compared with leads first: in each round every token that still has nodes of several components has one of its nodes
+as its lead, the most central one at first, later one drawn at random, and every node is compared with the lead that most
+of its tokens have among those of other components.  A group of near copies falls together in the first round or two, whatever its size.  At last all pairs of
 nodes that share a token and are in different components are compared, so no link between components is missed.  Pairs
 are filtered by what the index has of their sizes and sets before anything of the sets is moved.
 """
@@ -24,7 +24,7 @@ from tallyfield.llm.words import A, mix
 #: Rounds with leads.
 ROUNDS = 2
 #: 64-bit words of a parity map.
-WORDS = 4
+WORDS = 8
 BITS = 64 * WORDS
 MAP = [f"s{k}" for k in range(WORDS)]
 #: Tokens of a packet; nodes of a token that a packet sends on; nodes of a bucket that are kept as a list.
@@ -91,9 +91,16 @@ def rows_of(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(spread), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), none, none], NAMES)
 
 
-def packet(token: np.ndarray, node: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def shortened(token: np.ndarray, parts: int) -> np.ndarray:
+    """Tokens by 32 bits and their part alone.  Tokens that fall together so give candidates that are none, which the
+    filters drop; links are not lost."""
+    return (token >> np.uint64(32)) * np.uint64(parts) + token % np.uint64(parts)
+
+
+def packet(token: np.ndarray, node: np.ndarray, parts: int, short: bool = False) -> Iterator[pa.RecordBatch]:
     """Tokens and nodes packed by part, a range of hashes.  Of a token with more than SMALL nodes only the smallest node is
-    packed, and its nodes are members of it already, so no token gathers more than a few nodes of a packet."""
+    packed, and its nodes are members of it already, so no token gathers more than a few nodes of a packet.  ``short``:
+    tokens are ``shortened`` and take four bytes."""
     token, node, size = buckets(token, node)
     large = size > SMALL
     if large.any():
@@ -108,14 +115,16 @@ def packet(token: np.ndarray, node: np.ndarray, parts: int) -> Iterator[pa.Recor
         t, v, part = t[o], v[o], part[o]
         at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         ends = np.r_[at[1:], len(part)]
+        if short:
+            t = (t // np.uint64(parts)).astype("<u4")
         cells = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for x in (t, v)]
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(part[at]), none, none, *cells], NAMES)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:
+def gathered(batches: Iterator[pa.RecordBatch], part: int = 0, parts: int = 0) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:
     """(single rows of a part, (tokens, nodes, number of the token's nodes, is it large in some packet?)) of tokens that two
-    nodes share."""
+    nodes share.  parts: how many there are, if tokens are short."""
     single, tokens, nodes, large = [], [], [], []
     for g in batches:
         kind = g.column("kind").to_numpy(zero_copy_only=False)
@@ -123,7 +132,8 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], t
         if own.any():
             single.append(pa.RecordBatch.from_arrays([g.column(k).filter(pa.array(own)) for k in NAMES], NAMES))
         for k in np.flatnonzero(~own).tolist():
-            tokens.append(np.frombuffer(g.column("tokens")[k].as_buffer(), "<u8"))
+            raw = g.column("tokens")[k].as_buffer()
+            tokens.append(np.frombuffer(raw, "<u4").astype(np.uint64) * np.uint64(parts) + np.uint64(part) if parts else np.frombuffer(raw, "<u8"))
             nodes.append(np.frombuffer(g.column("nodes")[k].as_buffer(), "<i8"))
             if kind[k] == LARGE:
                 large.append(tokens[-1])
@@ -151,12 +161,23 @@ def _with_components(index: DataFrame, comp: DataFrame | None) -> DataFrame:
     return index.join(named, "node", "left").withColumn("comp", F.coalesce("__c", "node")).drop("__c")
 
 
+def _central(index: DataFrame) -> DataFrame:
+    """``index`` with ``central``, how many nodes share a node's tokens, all tokens together; a written table.  The text that
+    others are copies of has the most, so as a lead it links with most of them."""
+    sizes = save(index.groupBy("token").agg(F.count("*").alias("c")), "link-sizes")
+    total = sizes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    of = hot_join(index.select("token", "node"), sizes, "token", "c", total, "inner").groupBy("node").agg(F.sum("c").alias("central"))
+    out = save(index.join(of, "node"), "link-index")
+    drop(sizes)
+    return out
+
+
 def _led(index: DataFrame, comp: DataFrame | None, salt: int, passes: Passes) -> DataFrame | None:
     """Pairs (a, b): each node and its best lead of another component; a written table, or None if no token is open."""
     c = F.col
     cur = _with_components(index, comp)
     cols = [x for x in cur.columns if x != "token"]
-    draw = F.xxhash64("node", F.lit(salt)) if salt else c("node")
+    draw = F.struct(F.xxhash64("node", F.lit(salt)), "node") if salt else F.struct(-c("central"), c("node"))
     lead = cur.groupBy("token").agg(F.count("*").alias("c"), F.min_by(F.struct(*cols), draw).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     lead = save(lead.filter("lo <> hi").select("token", "c", "lead"), "link-lead")
     total = lead.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -201,6 +222,7 @@ def linked_components(index: DataFrame, percent: int, passes: Passes, verify: Ve
     a written table that link, as a written table.
     """
     links, comp = None, None
+    index = _central(index)
     for k in range(ROUNDS + 1):
         pairs = _led(index, comp, k, passes) if k < ROUNDS else _open(index, comp, percent, passes)
         if pairs is None:
