@@ -7,8 +7,9 @@ alone, and the weighted sum of the encodings is what is scored.  So a document m
 A passage's inputs are shares of character classes and of pairs of neighbouring classes, and how much its words repeat
 each other, the passage or earlier parts of the document; all are counted over whole texts, as arrays.
 
-The model is fitted in one task on about ``TRAIN_ROWS`` labelled documents at most, half of each label at most, drawn by
-a hash of their ids; the bound keeps that task's memory and time fixed at any input.
+The model is fitted in one task on labelled documents drawn by a hash of their ids: about ``TRAIN_ROWS`` of them and
+``TRAIN_BYTES`` of text at most, half of either for each label, with all passages of each.  Both bounds keep that task's
+memory and time fixed at any input.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tallyfield.llm.toxicity import held_out, training_rows
 from tallyfield.llm.words import Words, blocks, ngrams
 
 PASSAGE = 50
-TRAIN_ROWS = 8_000
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 64 << 20
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 3e-3, 1e-4
 #: Character classes: each of these symbols, then the rest by kind.
@@ -188,7 +189,7 @@ def training_bags(src: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
     """A model from the labelled rows that are not held out; None without any."""
-    rows = training_rows(labels, label, most=TRAIN_ROWS)
+    rows = training_rows(docs, labels, label, id_col, text, TRAIN_ROWS, TRAIN_BYTES)
     src = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text).alias("text")).join(F.broadcast(rows), "doc_id")
 
     def run(t: pa.Table) -> pa.Table:

@@ -1,16 +1,18 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are words, pairs of neighbours and pairs with one or two words between, hashed to 2**FEATURE_BITS; each counts
-once in a document.  FTRL-proximal gives every coordinate its own learning rate and, by its L1 term, leaves most weights
+Features are words, their stems of four and six letters, pairs of neighbours and pairs with one or two words between,
+hashed to 2**FEATURE_BITS; each counts once in a document.  FTRL-proximal gives every coordinate its own learning rate and, by its L1 term, leaves most weights
 at zero, so the model is a short list of (feature, weight) that is broadcast to score all documents.
 
-The model is fitted in one task on about ``TRAIN_ROWS`` labelled documents at most, half of each label at most, drawn by
-a hash of their ids; the bound keeps that task's memory and time fixed at any input.  Features in fewer than ``LEAST_DOCS`` of them are left out.
+The model is fitted in one task on labelled documents drawn by a hash of their ids: about ``TRAIN_ROWS`` of them and
+``TRAIN_BYTES`` of text at most, half of either for each label.  Both bounds keep that task's memory and time fixed at any
+input.  All features of these documents are learned from, and the model keeps all weights that are not zero.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,13 @@ from pyspark.sql import types as T
 from tallyfield.llm.common import save, text_of
 
 FEATURE_BITS = 26
-TRAIN_ROWS = 12_000
-LEAST_DOCS = 3
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 64 << 20
 EPOCHS = 4
 #: The learning rate's numerator and offset, the L1 and L2 terms.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 #: A row of label 1 counts as so many.
 RARE = 1.5
-#: Weights that a model may have, the heaviest; bounds what is broadcast.
-MOST_WEIGHTS = 200_000
+STEMS = (4, 6)
 REMEMBERED = 500_000
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¡¿“”„’"
 GAPS = (1, 2, 3)
@@ -38,10 +38,12 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Words(dict):
-    """Hashes of words without case and without symbols at their ends; as many as the bound are remembered."""
+    """Hashes of words without case and without symbols at their ends, and those of their stems, 0 for shorter words; as
+    many as the bound are remembered."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.lower().strip(EDGES) or word)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        x = word.lower().strip(EDGES) or word
+        h = (xxhash.xxh3_64_intdigest(x), *(xxhash.xxh3_64_intdigest(x[:k], seed=k) if len(x) > k else 0 for k in STEMS))
         if len(self) < REMEMBERED:
             self[word] = h
         return h
@@ -55,9 +57,11 @@ def _words() -> _Words:
 def features(text: str | None) -> np.ndarray:
     """The hashed features of a text, with repeats.  Null and empty texts have none."""
     words = (text or "").split()
-    w = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(chain.from_iterable(map(_words().__getitem__, words)), np.uint64, len(words) * (1 + len(STEMS))).reshape(-1, 1 + len(STEMS))
+    w = h[:, 0]
     shift = np.uint64(64 - FEATURE_BITS)
-    out = [(w * A) >> shift]
+    stems = h[:, 1:].ravel()
+    out = [(w * A) >> shift, (stems[stems > 0] * A) >> shift]
     for g in GAPS:
         if len(w) > g:
             x = (w[:-g] * A + np.uint64(g)) ^ (w[g:] * B)
@@ -68,16 +72,12 @@ def features(text: str | None) -> np.ndarray:
 
 def fit(docs: list[np.ndarray], labels: list[int], seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
     """(features with a weight, weights, bias) from documents' distinct features and 0/1 labels."""
-    count = np.zeros(1 << FEATURE_BITS, np.uint8)
+    has = np.zeros(1 << FEATURE_BITS, bool)
     for d in docs:
-        count[d] = np.minimum(count[d], 254) + 1
-    used = np.flatnonzero(count >= min(LEAST_DOCS, 1 + len(docs) // 50)).astype(np.int32)
-    del count
-    rows = []
-    for d in docs:
-        k = np.searchsorted(used, d)
-        k[k == len(used)] = 0
-        rows.append(k[used[k] == d] + 1 if len(used) else np.zeros(0, np.int64))
+        has[d] = True
+    used = np.flatnonzero(has).astype(np.int32)
+    del has
+    rows = [np.searchsorted(used, d).astype(np.int32) + 1 for d in docs]
     y = np.asarray(labels, float)
     z, n = np.zeros(len(used) + 1), np.zeros(len(used) + 1)  # 0 is the bias, which has no L1 term
     # the share of label 1 is given, so that common features need not take it up
@@ -91,7 +91,7 @@ def fit(docs: list[np.ndarray], labels: list[int], seed: int = 1) -> tuple[np.nd
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            k = np.r_[0, rows[i]]
+            k = np.r_[np.int32(0), rows[i]]
             w = weights(k)
             g = (1 / (1 + np.exp(-np.clip(base + w.sum(), -35, 35))) - y[i]) * (RARE if y[i] else 1.0)
             grown = np.sqrt(n[k] + g * g)
@@ -99,7 +99,6 @@ def fit(docs: list[np.ndarray], labels: list[int], seed: int = 1) -> tuple[np.nd
             n[k] += g * g
     w = weights(np.arange(len(z)))
     keep = np.flatnonzero(w[1:])
-    keep = np.sort(keep[np.argsort(-np.abs(w[1:][keep]), kind="stable")[:MOST_WEIGHTS]])
     return used[keep], w[1:][keep], base + float(w[0])
 
 
@@ -123,20 +122,23 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_rows(labels: DataFrame, label: str, id_col: str = "doc_id", most: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, label) of about ``most`` labelled rows at most, none of them held out, drawn by a hash of the id.  Null
-    ids and labels are left out; of several labels for an id the largest counts."""
-    rows = labels.select(labels[id_col].alias("doc_id"), labels[label].cast("int").alias("label")).filter("doc_id is not null and label is not null")
-    rows = rows.filter(~held_out())
-    counts = {r["label"]: r["count"] for r in rows.filter("label in (0, 1)").groupBy("label").count().collect()}
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, label) of labelled rows, none of them held out, drawn by a hash of the id: of each label about half of
+    ``rows`` and, in their texts, half of ``size`` bytes at most; a written table.  Null ids and labels are left out; of
+    several labels for an id the largest counts, and labels but 0 and 1 don't."""
+    own = labels.select(labels[id_col].alias("doc_id"), labels[label].cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    own = own.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")).filter("label in (0, 1)")
+    lengths = docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.octet_length(docs[text].cast("string")), F.lit(0)).cast("bigint").alias("n"))
+    seen = lengths.join(own, "doc_id").groupBy("label").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).collect()  # a row for each label
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    rows = rows.filter(F.coalesce(*(F.when(F.col("label") == k, drawn < min(1 << 32, (1 << 31) * most // n)) for k, n in counts.items()), F.lit(False)))
-    return save(rows.groupBy("doc_id").agg(F.max("label").alias("label")), "training-rows")
+    share = {r["label"]: min(1.0, rows / 2 / r["rows"], size / 2 / max(1, r["bytes"])) for r in seen}
+    keep = F.coalesce(*(F.when(F.col("label") == k, drawn < int(s * (1 << 32))) for k, s in share.items()), F.lit(False))
+    return save(own.filter(keep), "training-rows")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """A model from the labelled rows that are not held out.  Without any the model has no weights and a zero bias."""
-    rows = training_rows(labels, label)
+    rows = training_rows(docs, labels, label, id_col, text)
     src = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text).alias("text")).join(F.broadcast(rows), "doc_id")
 
     def extract(batches):
