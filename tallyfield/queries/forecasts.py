@@ -9,7 +9,6 @@ from tallyfield.operators import evidence as ev
 from tallyfield.operators import features as fe
 from tallyfield.operators import serve as sv
 from tallyfield.operators import statistics as st
-from tallyfield.operators.tables import recent_form  # noqa: F401
 from tallyfield.plans import evaluate as e
 from tallyfield.plans import fits
 from tallyfield.queries.tables import _ROWS
@@ -195,7 +194,7 @@ _STATS = f"""{_PAIR},
       q AS (SELECT *, CAST(45 + event_id % 11 AS DOUBLE) AS ph FROM pair WHERE status = 'FINISHED' AND {AS_OF} - day BETWEEN 1 AND 730),
       x AS (SELECT home AS team, away AS opponent, 'HOME' AS side, day, unnest(['shots', 'lines', 'possession']) AS stat, unnest([sh, CAST(lh AS DOUBLE), ph]) AS value FROM q
         UNION ALL SELECT away, home, 'AWAY', day, unnest(['shots', 'lines', 'possession']), unnest([sa, CAST(la AS DOUBLE), 100 - ph]) FROM q),
-      u AS (SELECT *, exp(-0.003::DOUBLE * ({AS_OF} - day)) AS w FROM x),
+      u AS (SELECT *, exp(-0.003::DOUBLE * ({AS_OF} - day)) AS w FROM x WHERE value IS NOT NULL),
       lg AS (SELECT stat, sum(w * value) FILTER (side = 'HOME') / sum(w) FILTER (side = 'HOME') AS home, sum(w * value) FILTER (side = 'AWAY') / sum(w) FILTER (side = 'AWAY') AS away,
         sqrt(greatest(0, sum(w * value * value) / sum(w) - pow(sum(w * value) / sum(w), 2))) AS sd FROM u GROUP BY stat),
       fo AS (SELECT team, stat, sum(w * value) AS v, sum(w) AS w FROM u GROUP BY ALL), ag AS (SELECT opponent AS team, stat, sum(w * value) AS v, sum(w) AS w FROM u GROUP BY ALL),
@@ -304,8 +303,8 @@ ORACLE_SQL |= {
     "evaluations": with_sql("matches", f""", {_PRED} SELECT event_id, model, version, {rsql(" + ".join(f"pow(p{k} - {_H[k]}, 2)" for k in range(3)))} AS brier, {rsql("-ln(greatest(0.000001::DOUBLE, won))")} AS log_loss,
       {rsql(f"(pow(p0 - {_H[0]}, 2) + pow(p0 + p1 - {_H[0]} - {_H[1]}, 2)) / 2")} AS rps, ties = 1 AND won = most AS correct, exact FROM ok"""),
     "exact_rates": with_sql("matches", f", {_PRED} SELECT model, count(*) AS n, {rsql('avg(CAST(exact AS INT)::DOUBLE)')} AS rate FROM ok WHERE exact IS NOT NULL GROUP BY model"),
-    "league_file": with_sql("matches", """, x AS (SELECT event_id AS i, home, away, hs, aws, DATE '1970-01-01' + CAST(day AS INT) AS at FROM matches),
-      y AS (SELECT *, strftime(make_date(CAST(2000 + year(at) % 100 AS INT), CAST(month(at) AS INT), CAST(day(at) AS INT)), '%Y-%m-%d') AS d, i % 4 > 0 AND i % 6 > 0 AS done FROM x WHERE i % 11 > 0)
+    "league_file": with_sql("matches", """, x AS (SELECT event_id AS i, home, away, hs, aws, DATE '1970-01-01' + CAST(day AS INT) AS dt FROM matches),
+      y AS (SELECT *, strftime(make_date(CAST(2000 + year(dt) % 100 AS INT), CAST(month(dt) AS INT), CAST(day(dt) AS INT)), '%Y-%m-%d') AS d, i % 4 > 0 AND i % 6 > 0 AS done FROM x WHERE i % 11 > 0)
       SELECT concat(d, ' ', CASE i % 7 WHEN 0 THEN '09:05' WHEN 1 THEN '20:45' ELSE '15:00' END) AS starts, concat('T', home) AS home, concat('T', away) AS away, CASE WHEN i % 4 > 0 THEN hs END AS hs, CASE WHEN i % 6 > 0 THEN aws END AS aws,
         CASE WHEN done THEN 'FINISHED' ELSE 'SCHEDULED' END AS status, CASE WHEN NOT done THEN NULL WHEN hs > aws THEN 'HOME' WHEN hs < aws THEN 'AWAY' ELSE 'DRAW' END AS winner, count(*) AS n FROM y GROUP BY ALL"""),
     "league_file_stats": with_sql("matches", """, x AS (SELECT event_id AS i, concat('T', home) AS h, concat('T', away) AS a, CASE WHEN event_id % 4 > 0 THEN hs END::DOUBLE AS hg, CASE WHEN event_id % 6 > 0 THEN aws END::DOUBLE AS ag,
