@@ -162,27 +162,29 @@ def _with_components(index: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _central(index: DataFrame) -> DataFrame:
-    """``index`` with ``central``, how many nodes share a node's tokens, all tokens together; a written table.  The text that
-    others are copies of has the most, so as a lead it links with most of them."""
+    """node, central: how many nodes share a node's tokens, all tokens together; a written table.  The text that others are
+    copies of has the most, so as a lead it links with most of them."""
     sizes = save(index.groupBy("token").agg(F.count("*").alias("c")), "link-sizes")
     total = sizes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    of = hot_join(index.select("token", "node"), sizes, "token", "c", total, "inner").groupBy("node").agg(F.sum("c").alias("central"))
-    out = save(index.join(of, "node"), "link-index")
+    out = save(hot_join(index.select("token", "node"), sizes, "token", "c", total, "inner").groupBy("node").agg(F.sum("c").alias("central")), "link-central")
     drop(sizes)
     return out
 
 
-def _led(index: DataFrame, comp: DataFrame | None, salt: int, passes: Passes) -> DataFrame | None:
-    """Pairs (a, b): each node and its best lead of another component; a written table, or None if no token is open."""
+def _led(index: DataFrame, comp: DataFrame | None, salt: int, passes: Passes, light: list[str]) -> DataFrame | None:
+    """Pairs (a, b): each node and its best lead of another component; a written table, or None if no token is open.  Of the
+    index only the ``light`` columns are moved."""
     c = F.col
+    index = index.select("token", "node", *light)
     cur = _with_components(index, comp)
-    cols = [x for x in cur.columns if x != "token"]
-    draw = F.struct(F.xxhash64("node", F.lit(salt)), "node") if salt else F.struct(-c("central"), c("node"))
-    lead = cur.groupBy("token").agg(F.count("*").alias("c"), F.min_by(F.struct(*cols), draw).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    cur = cur.withColumn("draw", F.xxhash64("node", F.lit(salt))) if salt else cur.join(_central(index), "node").withColumn("draw", -c("central")).drop("central")
+    cols = ["node", "comp", *light]
+    lead = cur.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("draw", *cols)).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     lead = save(lead.filter("lo <> hi").select("token", "c", "lead"), "link-lead")
     total = lead.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     if not total:
         return None
+    cur = cur.drop("draw")
     both = hot_join(cur, lead, "token", "c", total, "inner")
     both = both.filter((c("comp") != c("lead.comp")) & passes(lambda x: c(x), lambda x: c(f"lead.{x}")))
     votes = both.groupBy("node", c("lead.node").alias("other")).agg(F.count("*").alias("k"))
@@ -215,16 +217,16 @@ def _open(index: DataFrame, comp: DataFrame | None, percent: int, passes: Passes
     return out
 
 
-def linked_components(index: DataFrame, percent: int, passes: Passes, verify: Verify) -> DataFrame | None:
+def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify) -> DataFrame | None:
     """(id, component) of the nodes that link with others, a written table, or None if none do.
 
-    index: a written table with token, node, n (size of the set) and what ``passes`` needs.  ``verify`` gives the pairs of
-    a written table that link, as a written table.
+    index: a written table with token, node, n (size of the set) and what ``passes`` needs; ``near`` is the part of it that
+    needs the ``light`` columns alone and is asked of leads.  ``verify`` gives the pairs of a written table that link, as a
+    written table.
     """
     links, comp = None, None
-    index = _central(index)
     for k in range(ROUNDS + 1):
-        pairs = _led(index, comp, k, passes) if k < ROUNDS else _open(index, comp, percent, passes)
+        pairs = _led(index, comp, k, near, light) if k < ROUNDS else _open(index, comp, percent, passes)
         if pairs is None:
             break
         if not pairs.limit(1).count():

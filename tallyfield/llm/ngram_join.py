@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import components, drop, hot_join, save, text_of
 from tallyfield.llm.exact_dedup import cell_hits, flagger, merged_cells, n_cells
-from tallyfield.llm.linking import BITS, BUCKET, LIST, MAP, MEMBER, PACKET, PACKETS, apart, bucket_names, gathered, least_linked, linked_components, packet, parity_maps
+from tallyfield.llm.linking import BITS, BUCKET, LIST, MAP, MEMBER, PACKET, PACKETS, apart, bucket_names, common, gathered, least_linked, linked_components, packet, parity_maps
 from tallyfield.llm.words import blocks, ngrams, release
 
 #: Cells of the sketch of counts, and the parts it is summed in.
@@ -229,22 +229,30 @@ def _index(prefixes: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _passes(percent: int):
+    """The length and the positional filter, and these together with the suffix filter."""
+
+    def near(x, y) -> Column:
+        n1, n2 = x("n"), y("n")
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - x("pos"), n2 - y("pos")) >= common(n1, n2, percent))
+
     def passes(x, y) -> Column:
-        """The length, the positional and the suffix filter."""
-        n1, n2, p1, p2 = x("n"), y("n"), x("pos"), y("pos")
-        least = F.ceil(percent * (n1 + n2) / (100 + percent)).cast("int")  # of the intersection
-        near = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= least)
-        return near & (apart(x, y) <= (n1 - p1 - 1) + (n2 - p2 - 1) - 2 * (least - 1))
+        behind = x("n") - x("pos") - 1 + y("n") - y("pos") - 1
+        return near(x, y) & (apart(x, y) <= behind - 2 * (common(x("n"), y("n"), percent) - 1))
 
-    return passes
+    return near, passes
 
 
-def _verifier(src: DataFrame, classes: DataFrame, size: int, percent: int):
-    """Of pairs (a, b) of nodes those whose sets link.  Sets are fetched once."""
+def _verifier(src: DataFrame, classes: DataFrame, nodes: DataFrame, size: int, percent: int):
+    """Of pairs (a, b) of nodes those whose sets link.  Pairs whose whole sets' maps differ too much are dropped before any
+    set is moved; sets are fetched once."""
     c = F.col
     have: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(nodes.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("n", *MAP))), x)
+        differ = apart(lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}"))
+        pairs = save(pairs.filter(differ <= c("a_n") + c("b_n") - 2 * common(c("a_n"), c("b_n"), percent)).select("a", "b"), "ngram-pairs")
         wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
         for sets in have:
             wanted = wanted.join(sets, "node", "left_anti")
@@ -278,9 +286,11 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     prefixes = _prefixes(src, size, percent, counts)
     n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     index = _index(prefixes, _buckets(prefixes, max(64, n_bytes // RANGE_BYTES), counts))
-    drop(prefixes)
     c = F.col
-    comp = linked_components(index, percent, _passes(percent), _verifier(src, classes, size, percent))
+    # equal sets from several tasks fall together
+    nodes = save(prefixes.select("node", "n", *MAP).join(index.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-nodes")
+    drop(prefixes)
+    comp = linked_components(index, percent, ["n", "pos"], *_passes(percent), _verifier(src, classes, nodes, size, percent))
     label = classes.select("node", "copies", "least")
     if comp is not None:
         label = label.join(comp.select(c("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -307,22 +317,18 @@ def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     bits = merged_cells(wanted.select("th").mapInArrow(hit, "seg int, hits binary"), m, 1)
     maybe = flagger(src.sparkSession, bits, m, 1)
-    texts = src.select("th", "text").filter(maybe("th")).join(wanted.select("th").distinct(), "th", "left_semi")
+    # copies of a text are one row before they are shuffled, and a node has one text
+    texts = src.select("th", "text").filter(maybe("th")).groupBy("th").agg(F.min("text").alias("text"))
+    texts = texts.join(wanted, "th").select("node", "text")
 
     def run(batches):
-        done: set[int] = set()
         for b in batches:
-            ids = b.column(0).to_pylist()
             for at, sets in shingle_sets(b.column(1), size):
-                new = [h for th, h in zip(ids[at:], sets) if th not in done and not done.add(th)]  # copies of a text come to one task
-                h = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in new])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *new]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in new], pa.int64()), h], ["node", "h"])
-            if len(done) > REMEMBERED:
-                done.clear()
+                h = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), h], ["node", "h"])
         release()
 
-    found = texts.mapInArrow(run, "node bigint, h array<bigint>")
-    return save(found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
+    return save(texts.mapInArrow(run, "node bigint, h array<bigint>"), "ngram-sets")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
