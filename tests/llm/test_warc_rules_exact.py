@@ -56,3 +56,55 @@ def test_exact_dedup(spark):
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (last[t], size[t], last[t] == r.doc_id, hashlib.sha256(t.encode()).hexdigest())
     assert sorted(r.doc_id for r in keep_distinct(df).collect()) == sorted(last.values())
     assert exact_dedup(df.limit(0)).count() == 0
+
+
+def planted_votes(seed=5, n=40_000):
+    """(codes, labels) of five rules: two that know a kind of junk each, one that knows some of both, two that know none."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < 0.9
+    kind = rng.random(n) < 0.5
+    miss = rng.random((n, 5)) < [0.006, 0.006, 0.006, 0.008, 0.008]
+    catch = rng.random((n, 5)) < np.stack([np.where(kind, 0.95, 0.01), np.where(kind, 0.01, 0.95), np.full(n, 0.4), np.full(n, 0.01), np.full(n, 0.01)], 1)
+    junk = np.where(good[:, None], miss, catch)
+    none = rng.random((n, 5)) < 0.1
+    digit = np.where(none, 1, np.where(junk, 0, 2))
+    return (digit * 3 ** np.arange(5)).sum(1), good
+
+
+def test_fit_finds_planted_accuracies():
+    import numpy as np
+
+    from tallyfield.llm.quality_rules import fit
+
+    codes, good = planted_votes()
+    patterns, counts = np.unique(codes, return_counts=True)
+    m = fit(patterns, counts, 5)
+    assert abs(m.prior - 0.9) < 0.04
+    # some good documents that one rule is wrong about count as junk, which lowers the rules' shares of it
+    assert np.allclose(m.junk[:3], [0.48, 0.48, 0.4], atol=0.18) and (m.junk[3:] < 0.05).all() and (m.good >= 0.99).all()
+    kept = m.posterior(codes) >= 0.5
+    assert kept[good].mean() > 0.98 and kept[~good].mean() < 0.15
+    # a document on which only a rule that knows nothing votes is kept
+    assert m.posterior(np.array([2 + 2 * 3 + 2 * 9 + 0 * 27 + 2 * 81]))[0] > 0.5
+    empty = fit(patterns[:0], counts[:0], 5)
+    assert np.isfinite(empty.posterior(patterns)).all()
+
+
+def test_rules_reject_junk_and_keep_clashing_columns_out(spark):
+    import random
+
+    from tallyfield.llm.quality_rules import FIGURES, judged, keep_good
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "ing", "ea"]) for _ in range(rnd.randint(1, 4)))
+    text = lambda junk: " ".join(word() + ("***" if junk and k % 2 else "." if k % 9 == 8 else "") for k in range(120))
+    rows = [(i, text(i % 10 == 0), 0.5, True, 7) for i in range(400)] + [(400, None, None, None, None), (1, text(False), 0.1, False, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, posterior double, kept boolean, n_words long")
+    out = judged(df)
+    assert out.columns == ["doc_id", "text", *FIGURES, "posterior", "base_failed", "kept"]
+    kept = {r.doc_id for r in out.filter("kept").collect()}
+    assert kept == {i for i in range(400) if i % 10}
+    assert {r.doc_id for r in keep_good(df).collect()} == kept and keep_good(df).columns == df.columns
+    assert judged(df.limit(0)).count() == 0 and keep_good(df.limit(0)).count() == 0
