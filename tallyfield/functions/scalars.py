@@ -246,3 +246,58 @@ def weather_text(code: Column) -> Column:
     for last, text in WEATHER:
         out = out.when(code <= last if last else code == 0, text)
     return out.otherwise("thunderstorm")
+
+
+#: The surfaces that formats name.
+SURFACES = ("Hard", "Clay", "Grass", "Carpet")
+
+
+def match_format(text: Column) -> Column:
+    """surface and best_of of a format like "Clay BO5"; what cannot be read is a hard court and best of three."""
+    word = F.initcap(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
+    surface = F.coalesce(F.when(word.isin(*SURFACES), word), F.lit("Hard"))
+    return F.struct(surface.alias("surface"), F.when(F.coalesce(text.rlike("(?i)BO5"), F.lit(False)), 5).otherwise(3).alias("best_of"))
+
+
+def classified(status: Column) -> Column:
+    """Did an entrant finish: no status, "Finished" or some laps behind."""
+    return status.isNull() | (status == "Finished") | status.rlike(r"^\+\d+ Laps?$")
+
+
+def wall_to_utc(local: Column, zone: str) -> Column:
+    """The instant at which clocks of a zone show a time, summer time as it is on that day."""
+    return F.to_utc_timestamp(local, zone)
+
+
+def day_key(at: Column, zone: str) -> Column:
+    """The local day of an instant, yyyy-MM-dd."""
+    return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd")
+
+
+def month_start(at: Column, zone: str) -> Column:
+    """The instant at which the local month of an instant began."""
+    return wall_to_utc(F.date_trunc("month", F.from_utc_timestamp(at, zone)), zone)
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object in a text that may have a fence or prose around it, as text; null without one."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*\})", 1)
+    return F.when(F.get_json_object(inner, "$").isNotNull(), inner)
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th ... 11th, 12th, 13th."""
+    end = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), end)
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A text of ``most`` characters at most, the last of which is an ellipsis if it was longer."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
+
+
+def binomial(n: Column, k: Column) -> Column:
+    """n over k, from ln k!; 0 outside 0..n."""
+    inside = F.exp(ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k))
+    return F.when((k < 0) | (k > n), 0.0).otherwise(F.floor(inside + 0.5).cast("double"))

@@ -202,3 +202,11 @@ def pace(races: DataFrame, now: Column, xi: float = 0.006) -> DataFrame:
 def confidence(probs: Column, evidence: Column, n: int = 3) -> Column:
     most = F.array_max(probs)
     return f.half_up((most - 1.0 / n) / (1.0 - 1.0 / n) * evidence, 2)
+
+
+def grid_baseline(entrants: DataFrame, event: str, slope: float = 0.35) -> DataFrame:
+    """``entrants`` with ``share``: chances to win by starting place alone, exp(-slope * (grid - 1)), made to sum to 1 in an
+    event; without a place an entrant has none."""
+    up = F.coalesce(F.exp(-slope * (c("grid") - 1)), F.lit(0.0))
+    total = F.sum(up).over(W.partitionBy(event))
+    return entrants.withColumn("share", F.when(total > 0, up / total).otherwise(0.0))

@@ -104,3 +104,56 @@ def next_versions(existing: DataFrame, incoming: DataFrame, key: str, order: str
     last = existing.groupBy(key).agg(F.max("version").alias("__last"))
     n = F.row_number().over(W.partitionBy(key).orderBy(order))
     return incoming.join(last, key, "left").withColumn("version", F.coalesce("__last", F.lit(0)) + n).drop("__last")
+
+
+def resolve_or_create(names: DataFrame, entities: DataFrame, rules: list[tuple[str, str]], key: str, id_col: str = "entity") -> DataFrame:
+    """``resolve``, and new ids for rows that no rule finds: one for each value of ``key`` among them, in its order, from the
+    largest known id on.  Rows without a key stay without an id; ``created`` tells new ones."""
+    found = resolve(names, entities, rules, id_col)
+    new = found.filter(c(id_col).isNull() & c(key).isNotNull()).select(key).distinct()
+    last = entities.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("__last"))
+    # one order over all new keys: values are numbered within ranges of the sorted keys
+    parts = new.repartitionByRange(key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("__p"))
+    sizes = parts.groupBy("__p").count()
+    before = sizes.select("__p", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
+    ranked = parts.join(F.broadcast(before), "__p").withColumn("__n", c("__before") + F.row_number().over(W.partitionBy("__p").orderBy(key)))
+    ids = ranked.crossJoin(F.broadcast(last)).select(c(key).alias("__key"), (c("__last") + c("__n")).alias("__new"))  # one row
+    out = found.join(ids, c(key).eqNullSafe(c("__key")) & c(id_col).isNull(), "left")
+    return out.select(*names.columns, F.coalesce(c(id_col).cast("bigint"), "__new").alias(id_col), "rule", c("__new").isNotNull().alias("created"))
+
+
+def put(current: DataFrame, incoming: DataFrame, keys: list[str], order: str, fill_only: list[str] = ()) -> DataFrame:
+    """Rows by key, the newest incoming one in place of the current one.  Columns of ``fill_only`` keep a current value;
+    nulls of the incoming row never replace anything.  Both sides have the same columns; of several incoming rows for a
+    key the largest ``order`` counts."""
+    newest = incoming.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).filter("__k = 1").drop("__k")
+    cols = [x for x in current.columns if x not in keys]
+    both = current.select(*keys, F.struct(*cols).alias("a")).join(newest.select(*keys, F.struct(*cols).alias("b")), keys, "full")
+    pick = lambda x: F.coalesce(c(f"a.{x}"), c(f"b.{x}")) if x in fill_only else F.coalesce(c(f"b.{x}"), c(f"a.{x}"))
+    return both.select(*keys, *(pick(x).alias(x) for x in cols))
+
+
+def insert_absent(current: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The incoming rows whose keys are not there yet, the first of several for a key."""
+    first = incoming.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter("__k = 1").drop("__k")
+    return first.join(current.select(*keys).distinct(), keys, "left_anti").select(*incoming.columns)
+
+
+def merged_ids(current: DataFrame, incoming: DataFrame, key: str, ids: str) -> DataFrame:
+    """Current rows with the incoming maps of provider ids put over their own, provider by provider."""
+    new = incoming.groupBy(key).agg(F.map_from_entries(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_entries(ids)))))).alias("__new"))
+    own = F.map_filter(c(ids), lambda k, v: ~F.coalesce(F.map_contains_key("__new", k), F.lit(False)))
+    return current.join(new, key, "left").withColumn(ids, F.map_concat(own, F.coalesce("__new", F.map_filter(c(ids), lambda k, v: F.lit(False))))).drop("__new")
+
+
+def tally(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """ok, failed and the state of each group of runs (a boolean ``ok``): OK, PARTIAL or FAILED."""
+    out = runs.groupBy(*keys).agg(F.count_if("ok").alias("good"), F.count_if(~c("ok")).alias("failed"))
+    return out.withColumn("state", F.when(c("failed") == 0, "OK").when(c("good") > 0, "PARTIAL").otherwise("FAILED"))
+
+
+def pick_accuracy(picks: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """n, right, model_n and model_right of users' picks (event_id, pick, outcome) next to the favourite of the final
+    forecast of the same event, if it has one (event_id, favourite)."""
+    x = picks.join(forecasts, "event_id", "left").filter("outcome is not null")
+    return x.agg(F.count("*").alias("n"), F.count_if(c("pick") == c("outcome")).alias("right"), F.count("favourite").alias("model_n"), F.count_if(c("favourite") == c("outcome")).alias("model_right"))
