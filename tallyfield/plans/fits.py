@@ -7,6 +7,8 @@ Ratings that follow each other match by match are folded in order within a compe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -369,8 +371,9 @@ def simulate_season(played: DataFrame, fixtures: DataFrame, runs: int = 3000, se
     """Chances of each place: comp, season, team, position, share, and the mean points in that place; places that no run
     gave are left out.
 
-    played: comp, season, team, points, scored, conceded; fixtures: comp, season, event_id, home, away and cdf, the running
-    sums of the shares of scores, row by row (home goals, then away goals, equally many of both).  Each run draws a score
+    played: comp, (season,) team, points, (scored, conceded;) fixtures: comp, (season,) event_id, home, away and cdf, the
+    running sums of the shares of scores, row by row (home goals, then away goals, equally many of both), or p0, p1 and p2,
+    which stand for 1-0, level and 0-1.  Seasons count by themselves where the tables have them.  Each run draws a score
     for each fixture by a hash and ranks the teams by points, goal difference, goals and the order of teams.
 
     A task draws all runs of a fixture at once and sums points, differences and goals by team, an array over the runs
@@ -403,7 +406,7 @@ def simulate_season(played: DataFrame, fixtures: DataFrame, runs: int = 3000, se
         if sums:
             yield out()
 
-    def ranked(key, groups):
+    def ranked(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for g in groups:
             for team, base, sums in zip(*(g.column(k).to_pylist() for k in ("team", "base", "sums"))):
@@ -420,10 +423,18 @@ def simulate_season(played: DataFrame, fixtures: DataFrame, runs: int = 3000, se
         own = [pa.array([k.as_py()] * len(rows), pa.int32()) for k in key]
         yield pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["comp", "season", "team", "position", "share", "points"])
 
+    if "cdf" not in fixtures.columns:
+        fixtures = fixtures.withColumn("cdf", outcome_cdf(c("p0"), c("p1"), c("p2")))
+    for name in ("scored", "conceded"):
+        played = played if name in played.columns else played.withColumn(name, F.lit(0))
+    seasons = "season" in fixtures.columns
+    if not seasons:
+        played, fixtures = played.withColumn("season", F.lit(0)), fixtures.withColumn("season", F.lit(0))
     drawn = fixtures.select(*(c(x).cast("int") for x in ("comp", "season")), c("event_id").cast("bigint"), *(c(x).cast("int") for x in ("home", "away")), "cdf").mapInArrow(partial, schema)
     base = F.array(*(x.cast("bigint") for x in (c("points"), c("scored") - c("conceded"), c("scored"))))
     start = played.select(*(c(x).cast("int") for x in ("comp", "season", "team")), base.alias("base"), F.lit(None).cast("binary").alias("sums"))
-    return start.unionByName(drawn).groupBy("comp", "season").applyInArrow(ranked, "comp int, season int, team int, position int, share double, points double")
+    out = start.unionByName(drawn).groupBy("comp", "season").applyInArrow(ranked, "comp int, season int, team int, position int, share double, points double")
+    return out if seasons else out.drop("season")
 
 
 def simulate_race(entrants: DataFrame, runs: int = 5000, noise: float = 3.5, seed: int = 1) -> DataFrame:
