@@ -299,32 +299,58 @@ def _tokens(names: pd.Series) -> pd.Series:
     return pd.Series([[f"{x}{n[:i].count(x)}" for i, x in enumerate(n)] or [""] for n in names])
 
 
+def similar_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """n, other, sim of the pairs of two lists of distinct names ``n`` with a similarity of ``least`` or more.
+
+    Such a similarity needs m matching characters with m/a + m/b of at least k, a and b the lengths, so m is at least
+    (k - 1) times either length: of such names the rarest characters of one are among those of the other (prefix filter),
+    and no pair is lost.
+    """
+    k = 3 * (least - 0.4) / 0.6 - 1
+    counts = a.union(b).select(F.explode(_tokens("n")).alias("t")).groupBy("t").count()
+    x = _prefix_tokens(a, counts, k)
+    y = _prefix_tokens(b, counts, k).withColumnRenamed("n", "other")
+    la, lb = F.length("n"), F.length("other")
+    near = F.least(la, lb) * (la + lb) >= k * la * lb - 1e-6
+    pairs = x.join(y, "t").filter(near).select("n", "other").distinct()
+    return pairs.withColumn("sim", similarity_udf(c("n"), c("other"))).filter(c("sim") >= least)
+
+
+def odds_fixtures(odds: DataFrame, fixtures: DataFrame, least: float = 0.85, gap: int = 7200) -> DataFrame:
+    """odds_id, event_id of bookmakers' events and fixtures that are one: both sides' names, normalised, are similar and the
+    starts lie at most ``gap`` seconds apart.
+
+    odds: odds_id, home, away, starts (seconds); fixtures: event_id, home, away, starts.  Similar names are found once for
+    each pair of distinct names; fixtures are in three buckets of time, so both joins are on equal keys, and a pair of
+    events is only built if their home sides are similar and their times near."""
+    from tallyfield.functions.scalars import normalise_name
+
+    names = lambda d: d.select(F.explode(F.array(normalise_name(c("home")), normalise_name(c("away")))).alias("n")).filter(c("n").isNotNull()).distinct()
+    same = similar_names(names(odds), names(fixtures), least).select("n", "other")
+    bucket = F.floor(c("starts") / gap)
+    o = odds.select("odds_id", normalise_name(c("home")).alias("oh"), normalise_name(c("away")).alias("oa"), c("starts").alias("at"), bucket.alias("b"))
+    x = fixtures.select("event_id", normalise_name(c("home")).alias("fh"), normalise_name(c("away")).alias("fa"), "starts", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+    o = o.join(same.select(c("n").alias("oh"), c("other").alias("fh")), "oh").join(same.select(c("n").alias("oa"), c("other").alias("fa")), "oa")
+    both = o.join(x, ["fh", "fa", "b"]).filter(F.abs(c("at") - c("starts")) <= gap)
+    return both.select("odds_id", "event_id").distinct()
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, id_col: str, least: float = 0.86) -> DataFrame:
     """Each left row's most similar right name of another id, names normalised, with a similarity of ``least`` or more, the
     smaller id of equals: ``match`` and ``sim``.
 
-    Equal names are compared once.  A similarity of ``least`` needs m matching characters with m/a + m/b of at least k, a
-    and b the lengths, so m is at least (k - 1) times either length: of such names the rarest characters of one are among
-    those of the other (prefix filter), and no pair is lost.
+    Equal names are compared once; ``similar_names`` loses no pair.
     """
     from pyspark.sql import Window as W
 
     from tallyfield.functions.scalars import normalise_name
 
-    k = 3 * (least - 0.4) / 0.6 - 1
     own = left.withColumn("n", normalise_name(c(name))).filter(c("n").isNotNull())
     known = right.select(normalise_name(c(name)).alias("n"), c(id_col).alias("match")).filter(c("n").isNotNull() & c("match").isNotNull())
     # two ids of each name are enough: one of them is not the left row's own
     by_id = W.partitionBy("n").orderBy("match")
     known = known.withColumn("__k", F.dense_rank().over(by_id)).filter("__k <= 2").select("n", "match").distinct()
-    a, b = own.select("n").distinct(), known.select("n").distinct()
-    counts = a.union(b).select(F.explode(_tokens("n")).alias("t")).groupBy("t").count()
-    x = _prefix_tokens(a, counts, k)
-    y = _prefix_tokens(b, counts, k).withColumnRenamed("n", "other")
-    la, lb = F.length("n"), F.length("other")
-    near = F.least(la, lb) * (la + lb) >= k * la * lb - 1e-6
-    pairs = x.join(y, "t").filter(near).select("n", "other").distinct()
-    scored = pairs.withColumn("sim", similarity_udf(c("n"), c("other"))).filter(c("sim") >= least)
+    scored = similar_names(own.select("n").distinct(), known.select("n").distinct(), least)
     ids = scored.join(known.withColumnRenamed("n", "other"), "other").groupBy("n", "match").agg(F.max("sim").alias("sim"))
     best = ids.withColumn("__k", F.row_number().over(W.partitionBy("n").orderBy(F.desc("sim"), "match"))).filter("__k <= 2")
     out = own.select(id_col, "n").join(best, "n").filter(c(id_col) != c("match"))
