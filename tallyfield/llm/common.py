@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,6 +23,7 @@ HOT_KEYS = 1000
 #: Nodes that a task's union-find holds at a time.
 HELD = 1_000_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,24 +43,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _shuffle_cleanup(spark: SparkSession):
-    """Within this block an action's shuffle files go when the action ends."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, key: str, value: str):
+    """Within this block the session has this setting."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP, before)
+            spark.conf.set(key, before)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and return the written table."""
+def save(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the scratch folder and return the written table; its shuffle files go when it is written.  batch: so
+    many rows go to Python at a time, where rows are large."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _shuffle_cleanup(spark):
+    with _set(spark, CLEANUP, "true"), _set(spark, BATCH, str(batch)) if batch else nullcontext():
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -36,6 +36,8 @@ CELL_BITS, PARTS = 20, 64
 #: Bytes of text for each range of n-grams.
 RANGE_BYTES = 32 << 20
 REMEMBERED = 500_000
+#: Bytes of a hash that are compared when a pair is verified.
+WIDTH = 5
 
 
 def shingle_sets(col: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -51,6 +53,18 @@ def node_of(h: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The upper WIDTH bytes of each hash.  Two sets of a thousand n-grams have two others that agree in these with a chance
+    of one in a million, which tells only where they are at the limit."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).tobytes()
+
+
+def unpacked(raw: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -262,8 +276,20 @@ def _verifier(src: DataFrame, classes: DataFrame, nodes: DataFrame, size: int, p
             sets = sets.union(more)
         for x in "ab":
             pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
-        both = F.size(F.array_intersect("ha", "hb"))
-        return save(pairs.filter(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b"), "ngram-links")
+
+        def run(batches):
+            for b in batches:
+                ok = []
+                for x, y in zip(b.column(2), b.column(3)):
+                    n = (len(x.as_buffer()) + len(y.as_buffer())) // WIDTH
+                    key = np.sort(np.concatenate([unpacked(x.as_buffer()), unpacked(y.as_buffer())]))
+                    both = int(np.count_nonzero(key[1:] == key[:-1]))
+                    ok.append(100 * both >= percent * (n - both))
+                ok = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+            release()
+
+        return save(pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "ngram-links", 500)
 
     return verify
 
@@ -305,7 +331,7 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
 
 
 def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, h (the sorted hashes) of the wanted (node, th), each from one of the documents with a text of that hash; a
+    """node, h (the packed hashes) of the wanted (node, th), each from one of the documents with a text of that hash; a
     written table.  A filter of cells, of bounded size, keeps most other texts from being shuffled."""
     n = wanted.count()
     m = n_cells(n, 1)
@@ -324,11 +350,10 @@ def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for at, sets in shingle_sets(b.column(1), size):
-                h = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), h], ["node", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([packed(x) for x in sets], pa.binary())], ["node", "h"])
         release()
 
-    return save(texts.mapInArrow(run, "node bigint, h array<bigint>"), "ngram-sets")
+    return save(texts.mapInArrow(run, "node bigint, h binary"), "ngram-sets", 1000)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
