@@ -85,7 +85,15 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+#: Base 32 of a SHA-1 in hexadecimal digits: five of these are four characters.
+_BASE32 = """array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * i + 1, 5))::INT >> (15 - 5 * k)) & 31) + 1, 1) FOR k IN range(4)], '') FOR i IN range(8)], '')"""
 ORACLE_SQL = {
+    "op1_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+          q AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM q
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
