@@ -234,15 +234,13 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _passes(percent: int):
-    """The length filter, and it together with that of the maps: linked sets differ in few elements."""
-
-    def near(x, y) -> Column:
-        return 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+    """The length filter, and that of the maps: linked sets differ in few elements."""
 
     def passes(x, y) -> Column:
-        return near(x, y) & (apart(x, y) <= x("n") + y("n") - 2 * common(x("n"), y("n"), percent))
+        n1, n2 = x("n"), y("n")
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (apart(x, y) <= n1 + n2 - 2 * common(n1, n2, percent))
 
-    return near, passes
+    return passes
 
 
 def _verified(texts: DataFrame, percent: int):
@@ -276,7 +274,7 @@ def _verified(texts: DataFrame, percent: int):
         sized = texts.select("node", "n", *MAP)
         for x in "ab":
             pairs = pairs.join(sized.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("n", *MAP))), x)
-        pairs = pairs.filter(_passes(percent)[1](lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}"))).select("a", "b")
+        pairs = pairs.filter(_passes(percent)(lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}"))).select("a", "b")
         for x in "ab":
             pairs = pairs.join(side(x).select(x, f"{x}_text"), x)
         return save(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"), "line-links")
@@ -317,7 +315,9 @@ def _components(src: DataFrame, percent: int) -> DataFrame | None:
     alone = pairs.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("node"))
     index = save(alone.union(members).join(texts.select("node", "n", *MAP), "node"), "line-index")
     drop(shared)
-    return linked_components(index, percent, ["n"], *_passes(percent), _verified(texts, percent))
+    passes = _passes(percent)
+    # maps are small next to lines' sets, so leads are asked for all of it and one round with them is enough
+    return linked_components(index, percent, ["n", *MAP], passes, passes, _verified(texts, percent), 1)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyfield.llm.common import components, drop, hot_join, save
 from tallyfield.llm.words import A, mix
 
-#: Rounds with leads.
+#: Rounds with leads, if not told otherwise.
 ROUNDS = 2
 #: 64-bit words of a parity map.
 WORDS = 8
@@ -217,7 +217,7 @@ def _open(index: DataFrame, comp: DataFrame | None, percent: int, passes: Passes
     return out
 
 
-def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify) -> DataFrame | None:
+def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify, rounds: int = ROUNDS) -> DataFrame | None:
     """(id, component) of the nodes that link with others, a written table, or None if none do.
 
     index: a written table with token, node, n (size of the set) and what ``passes`` needs; ``near`` is the part of it that
@@ -225,8 +225,8 @@ def linked_components(index: DataFrame, percent: int, light: list[str], near: Pa
     written table.
     """
     links, comp = None, None
-    for k in range(ROUNDS + 1):
-        pairs = _led(index, comp, k, near, light) if k < ROUNDS else _open(index, comp, percent, passes)
+    for k in range(rounds + 1):
+        pairs = _led(index, comp, k, near, light) if k < rounds else _open(index, comp, percent, passes)
         if pairs is None:
             break
         if not pairs.limit(1).count():
