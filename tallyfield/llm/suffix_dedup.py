@@ -37,10 +37,10 @@ PLACES = SPAN - K + 1
 LEFT = PLACES - 1
 WIDTH = SPAN + LEFT
 #: Bytes that are searched for anchors at a time; suffixes of a run; bytes of text for each bucket; fewest buckets.
-BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 200_000, 16 << 20, 64
+BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 80_000, 16 << 20, 64
 PROBES = 2
 #: Anchors whose cells are sorted together.
-HITS = 1_000_000
+HITS = 500_000
 AT_BITS = 26  # of a place in a block
 #: A hit is a place and a mask of the passages around it, in one number.
 MASK_BITS = PLACES
@@ -353,6 +353,8 @@ def _merge(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iter
     mask = repeated(keys, common, rec["doc"], rec["low"], rec["high"])
     hit = np.flatnonzero(mask)
     yield out(rec["uid"][hit], (rec["at"][hit] << MASK_BITS) | mask[hit])
+    del runs, meta, rec, keys, source, common, order, mask
+    release()
 
 
 def with_hits(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
