@@ -244,7 +244,7 @@ def _passes(percent: int):
 
 
 def _verified(texts: DataFrame, percent: int):
-    """Of pairs (a, b) of nodes those whose sets link."""
+    """Of pairs (a, b) of nodes, which have passed the filters, those whose sets link."""
 
     def linked(lines: list[str]) -> np.ndarray:
         """For each two lines in a row: do they link?"""
@@ -270,13 +270,9 @@ def _verified(texts: DataFrame, percent: int):
     c = F.col
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("text", "n", *MAP)))
-        sized = texts.select("node", "n", *MAP)
+        side = lambda x: texts.select(c("node").alias(x), c("text").alias(f"{x}_text"))
         for x in "ab":
-            pairs = pairs.join(sized.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("n", *MAP))), x)
-        pairs = pairs.filter(_passes(percent)(lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}"))).select("a", "b")
-        for x in "ab":
-            pairs = pairs.join(side(x).select(x, f"{x}_text"), x)
+            pairs = pairs.join(side(x), x)
         return save(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"), "line-links")
 
     return verify
