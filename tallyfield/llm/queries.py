@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyfield.llm import chat_windows, fill_in_middle, filter_audit
 from tallyfield.llm.common import table
 
 
@@ -72,6 +73,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.chat_windows import digests
+
+    return digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.fill_in_middle import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
@@ -83,6 +102,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_chat_windows": op11_chat_windows,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: Base 32 of a SHA-1 in hexadecimal digits: five of these are four characters.
@@ -99,4 +121,7 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_chat_windows": chat_windows.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
