@@ -21,10 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task holds before it passes on what it has.
-HELD = 32 << 20
-#: Partitions of the routed texts for each partition of the input.
-FAN = 4
+#: Bytes of text that a task holds before it passes on what it has, and that a partition of the routed texts gets.
+HELD = ROUTED = 32 << 20
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 SIGNS = b"#$%&*|"
 SCHEMA = "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint"
@@ -135,9 +133,11 @@ def _own(key: int) -> int:
 
 def masks(docs: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang", filters: dict = FILTERS, held: int = HELD) -> DataFrame:
     """(id, part, mask, n): so many rows with this id and part fail the filters in mask, bit i for filter i, the last bit for
-    a text that a smaller id has too."""
+    a text that a smaller id has too.  The texts' bytes are summed first, so that the routed partitions are of one size
+    however large the table is."""
+    size = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).first()[0] or 0
     rows = docs.select(docs[id].cast("bigint"), F.coalesce(docs[text].cast("string"), F.lit("")), F.coalesce(docs[part].cast("string"), F.lit(""))).rdd
-    routed = rows.mapPartitions(_gather(filters, held)).partitionBy(max(FAN * rows.getNumPartitions(), rows.ctx.defaultParallelism), _own)
+    routed = rows.mapPartitions(_gather(filters, held)).partitionBy(max(-(-size // ROUTED), rows.ctx.defaultParallelism), _own)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(_settle(1 << len(filters))), "id bigint, part string, mask int, n bigint", verifySchema=False)
 
 
