@@ -32,24 +32,31 @@ def positions_before(matches: DataFrame) -> DataFrame:
     return run.select("comp", "season", "day", "team", place.alias("position"), F.count("*").over(day).alias("teams"))
 
 
-def venue_form(matches: DataFrame, n: int = 5) -> DataFrame:
+def venue_form(matches: DataFrame, n: int = 5, period: str = "day") -> DataFrame:
     """event_id, team, venue, vppg: points per game over the last ``n`` matches at the same venue."""
-    return recent_form(matches, n, by_venue=True).select("event_id", "team", "venue", c("ppg").alias("vppg"))
+    return recent_form(matches, n, by_venue=True, period=period).select("event_id", "team", "venue", c("ppg").alias("vppg"))
 
 
-def features(matches: DataFrame, given: DataFrame) -> DataFrame:
+def features(matches: DataFrame, given: DataFrame, period: str = "day", table: bool = True) -> DataFrame:
     """event_id and FEATURES for each finished match of ``matches``.
 
     given: event_id, r_home, r_away (ratings before the match), p_home, p_away (a score model's shares, 0.45 and 0.29 where
-    null), out_home, out_away (players out)."""
-    form, venue, places = recent_form(matches), venue_form(matches), positions_before(matches)
+    null), out_home, out_away (players out).  period: a column that stands for the day when only matches of earlier periods
+    are to be seen; without the table all places are unknown."""
+    form, venue = recent_form(matches, period=period), venue_form(matches, period=period)
+    places = positions_before(matches) if table else None
     x = matches.filter("status = 'FINISHED'").select("event_id", "comp", "season", "day", "home", "away").join(given, "event_id")
     for side, v in (("home", "H"), ("away", "A")):
         fo = form.filter(c("venue") == v).select("event_id", *(c(k).alias(f"{k}_{side}") for k in ("k", "ppg", "gdpg", "rest")))
         ve = venue.filter(c("venue") == v).select("event_id", c("vppg").alias(f"vppg_{side}"))
-        pl = places.select("comp", "season", "day", c("team").alias(side), c("position").alias(f"position_{side}"), "teams")
-        x = x.join(fo, "event_id").join(ve, "event_id").join(pl if side == "home" else pl.drop("teams"), ["comp", "season", "day", side])
-    x = x.join(head_to_head(matches), "event_id")
+        x = x.join(fo, "event_id").join(ve, "event_id")
+        if places is None:
+            x = x.withColumn(f"position_{side}", F.lit(None).cast("int"))
+        else:
+            pl = places.select("comp", "season", "day", c("team").alias(side), c("position").alias(f"position_{side}"), "teams")
+            x = x.join(pl if side == "home" else pl.drop("teams"), ["comp", "season", "day", side])
+    x = x if table else x.withColumn("teams", F.lit(0))
+    x = x.join(head_to_head(matches, period=period), "event_id")
     return x.select(
         "event_id", ((c("r_home") - c("r_away")) / 400).alias("elo_diff"), F.coalesce("p_home", F.lit(0.45)).alias("dc_home"), F.coalesce("p_away", F.lit(0.29)).alias("dc_away"),
         (c("ppg_home") - c("ppg_away")).alias("form_diff"), (c("gdpg_home") - c("gdpg_away")).alias("goals_diff"), c("vppg_home").alias("home_venue"), c("vppg_away").alias("away_venue"),

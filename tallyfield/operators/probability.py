@@ -21,7 +21,7 @@ def margin_multiplier(margin: Column, winner_diff: Column) -> Column:
     return F.log1p(margin) * 2.2 / (winner_diff * 0.001 + 2.2)
 
 
-def elo_probs(diff: Column, draw_base: float = 0.28, draw_slope: float = 1.0, has_draws: bool = True) -> Column:
+def elo_probs(diff: Column, draw_base: float | Column = 0.28, draw_slope: float = 1.0, has_draws: bool = True) -> Column:
     """[home, draw, away] of a rating difference; the draw is likeliest between equals."""
     e = elo_expected(diff)
     draw = draw_base * F.pow(1.0 - F.abs(2.0 * e - 1.0), F.lit(draw_slope)) if has_draws else F.lit(0.0)

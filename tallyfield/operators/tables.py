@@ -96,6 +96,17 @@ def outcome(home: str = "hs", away: str = "aws") -> Column:
     return F.when(c(home) > c(away), "HOME").when(c(home) < c(away), "AWAY").otherwise("DRAW")
 
 
+def shares_with_prior(home: Column, draw: Column, away: Column, has_draws: bool = True, prior: float = 40.0) -> Column:
+    """[home, draw, away] of counts, drawn towards a prior that counts as so many matches; without draws level matches count
+    towards the number of matches only, and both sides' shares sum to 1."""
+    n = home + draw + away + prior
+    # fixed values: the shares of the prior
+    if has_draws:
+        return F.array((home + prior * 0.45) / n, (draw + prior * 0.26) / n, (away + prior * 0.29) / n)
+    h, a = (home + prior * 0.57) / n, (away + prior * 0.43) / n
+    return F.array(h / (h + a), F.lit(0.0), a / (h + a))
+
+
 def outcome_frequencies(matches: DataFrame, prior: float = 40.0, share: tuple[float, float, float] = (0.45, 0.26, 0.29)) -> DataFrame:
     """The shares of outcomes of each competition, drawn towards a prior that counts as so many matches."""
     done = matches.filter("status = 'FINISHED'").withColumn("o", outcome())
@@ -111,47 +122,80 @@ def history(matches: DataFrame, stats: DataFrame, before: int) -> DataFrame:
     return done.join(side("HOME", "home"), "event_id", "left").join(side("AWAY", "away"), "event_id", "left")
 
 
-def _last_before(rows: DataFrame, keys: list[str], cols: list[str], n: int) -> DataFrame:
-    """For each day of the keys: ``last``, the last ``n`` rows of the days before, newest first, and ``prev``, the last such
-    day.  No more than ``n`` rows of a day are carried, so a row costs what it uses, however long the history is."""
-    newest = W.partitionBy(*keys, "day").orderBy(F.desc("event_id"))
+def _last_before(rows: DataFrame, keys: list[str], cols: list[str], n: int, period: str = "day") -> DataFrame:
+    """For each period of the keys: ``last``, the last ``n`` rows of the periods before, newest first, and ``prev``, the day of
+    the last such row.  No more than ``n`` rows of a period are carried, so a row costs what it uses, however long the
+    history is."""
+    newest = W.partitionBy(*keys, period).orderBy(F.desc("day"), F.desc("event_id"))
     few = rows.withColumn("__k", F.row_number().over(newest)).filter(c("__k") <= n)
-    of_day = few.groupBy(*keys, "day").agg(F.array_sort(F.collect_list(F.struct("__k", *cols))).alias("__day"))
-    days = W.partitionBy(*keys).orderBy("day")
-    past = F.slice(F.flatten(F.reverse(F.collect_list("__day").over(days.rowsBetween(-n, -1)))), 1, n)
-    return of_day.select(*keys, "day", past.alias("last"), F.lag("day").over(days).alias("prev"))
+    of_period = few.groupBy(*keys, period).agg(F.array_sort(F.collect_list(F.struct("__k", *cols))).alias("__rows"), F.max("day").alias("__end"))
+    periods = W.partitionBy(*keys).orderBy(period)
+    past = F.slice(F.flatten(F.reverse(F.collect_list("__rows").over(periods.rowsBetween(-n, -1)))), 1, n)
+    return of_period.select(*keys, period, past.alias("last"), F.lag("__end").over(periods).alias("prev"))
+
+
+def _points(last: Column) -> Column:
+    return F.aggregate(last, F.lit(0), lambda s, x: s + F.when(x.scored > x.conceded, 3).when(x.scored == x.conceded, 1).otherwise(0))
 
 
-def recent_form(matches: DataFrame, n: int = 5, by_venue: bool = False) -> DataFrame:
+def _difference(last: Column) -> Column:
+    return F.aggregate(last, F.lit(0), lambda s, x: s + (x.scored - x.conceded))
+
+
+def recent_form(matches: DataFrame, n: int = 5, by_venue: bool = False, period: str = "day") -> DataFrame:
     """Of each side of each match: points per game and goal difference per game over its last ``n`` matches before that
     day (1.3 and 0 without any), days of rest (1 to 14, 7 without a match before); on request only of those at the same
-    venue."""
+    venue.  period: a column that stands for the day when only matches of earlier periods are to be seen."""
     rows = team_rows(matches.filter("status = 'FINISHED'"))
     keys = ["team", "venue"] if by_venue else ["team"]
-    past = _last_before(rows, keys, ["scored", "conceded"], n)
-    last = c("last")
-    points = F.aggregate(last, F.lit(0), lambda s, x: s + F.when(x.scored > x.conceded, 3).when(x.scored == x.conceded, 1).otherwise(0))
-    diff = F.aggregate(last, F.lit(0), lambda s, x: s + (x.scored - x.conceded))
-    past = past.select(*keys, "day", "prev", F.size(last).alias("k"), points.alias("p"), diff.alias("d"))
-    return rows.join(past, [*keys, "day"]).select(
+    past = _last_before(rows, keys, ["scored", "conceded"], n, period)
+    past = past.select(*keys, period, "prev", F.size("last").alias("k"), _points(c("last")).alias("p"), _difference(c("last")).alias("d"))
+    return rows.join(past, [*keys, period]).select(
         "event_id", "team", "venue", "k",
         F.when(c("k") > 0, c("p") / c("k")).otherwise(1.3).alias("ppg"),
         F.when(c("k") > 0, c("d") / c("k")).otherwise(0.0).alias("gdpg"),
-        F.coalesce(F.least(F.greatest(c("day") - c("prev"), F.lit(1)), F.lit(14)), F.lit(7)).alias("rest"),
+        F.when(c("prev").isNull(), 7).otherwise(F.least(F.greatest(c("day") - c("prev"), F.lit(1)), F.lit(14))).alias("rest"),
     )
 
 
-def head_to_head(matches: DataFrame, n: int = 6) -> DataFrame:
-    """Of each match the balance of the last ``n`` meetings of the two sides before that day, seen from the home side."""
-    done = matches.filter("status = 'FINISHED'").withColumns({"one": F.least("home", "away"), "two": F.greatest("home", "away")})
-    won = F.signum((c("hs") - c("aws")).cast("double")) * F.when(c("home") == c("one"), 1.0).otherwise(-1.0)  # seen from one
-    past = _last_before(done.withColumn("won", won), ["one", "two"], ["won"], n)
-    past = past.select("one", "two", "day", F.size("last").alias("k"), F.aggregate("last", F.lit(0.0), lambda s, x: s + x.won).alias("total"))
+def form_at(matches: DataFrame, now: int, n: int = 5, venue: str | None = None) -> DataFrame:
+    """team, k, ppg, gdpg, last_day: the form of each team that has played before a day; its last match's day."""
+    rows = team_rows(matches.filter((c("status") == "FINISHED") & (c("day") < now)))
+    rows = rows if venue is None else rows.filter(c("venue") == venue)
+    newest = W.partitionBy("team").orderBy(F.desc("day"), F.desc("event_id"))
+    few = rows.withColumn("__k", F.row_number().over(newest)).filter(c("__k") <= n)
+    past = few.groupBy("team").agg(F.collect_list(F.struct("scored", "conceded")).alias("last"), F.max("day").alias("last_day"))
+    k = F.size("last")
+    return past.select("team", k.alias("k"), (_points(c("last")) / k).alias("ppg"), (_difference(c("last")) / k).alias("gdpg"), "last_day")
+
+
+def _sides_in_order(matches: DataFrame) -> DataFrame:
+    return matches.withColumns({"one": F.least("home", "away"), "two": F.greatest("home", "away")})
+
+
+def _won_by_one() -> Column:
+    return F.signum((c("hs") - c("aws")).cast("double")) * F.when(c("home") == c("one"), 1.0).otherwise(-1.0)
+
+
+def head_to_head(matches: DataFrame, n: int = 6, period: str = "day") -> DataFrame:
+    """Of each match the balance of the last ``n`` meetings of the two sides before that day (or period), seen from the home
+    side."""
+    done = _sides_in_order(matches.filter("status = 'FINISHED'"))
+    past = _last_before(done.withColumn("won", _won_by_one()), ["one", "two"], ["won"], n, period)
+    past = past.select("one", "two", period, F.size("last").alias("k"), F.aggregate("last", F.lit(0.0), lambda s, x: s + x.won).alias("total"))
     edge = c("total") * F.when(c("home") == c("one"), 1.0).otherwise(-1.0) / c("k")
-    return done.join(past, ["one", "two", "day"]).select("event_id", c("k").alias("met"), F.when(c("k") > 0, edge).otherwise(0.0).alias("edge"))
+    return done.join(past, ["one", "two", period]).select("event_id", c("k").alias("met"), F.when(c("k") > 0, edge).otherwise(0.0).alias("edge"))
+
+
+def meetings_at(matches: DataFrame, now: int, n: int = 6) -> DataFrame:
+    """one, two, met, edge: the balance of the last ``n`` meetings of two sides before a day, seen from the smaller id."""
+    done = _sides_in_order(matches.filter((c("status") == "FINISHED") & (c("day") < now)))
+    newest = W.partitionBy("one", "two").orderBy(F.desc("day"), F.desc("event_id"))
+    few = done.withColumn("won", _won_by_one()).withColumn("__k", F.row_number().over(newest)).filter(c("__k") <= n)
+    return few.groupBy("one", "two").agg(F.count("*").alias("met"), F.avg("won").alias("edge"))
 
 
-def trailing_baseline(matches: DataFrame, n: int = 380) -> DataFrame:
+def trailing_baseline(matches: DataFrame, n: int = 380, days: bool = False) -> DataFrame:
     """Counts of outcomes over the ``n`` matches of the competition before each match, in order.
 
     Each match gets its place in the competition and the counts of all before it, from sums by day and an order within
@@ -159,12 +203,13 @@ def trailing_baseline(matches: DataFrame, n: int = 380) -> DataFrame:
     done = matches.filter("status = 'FINISHED'").withColumn("o", outcome())
     names = {"HOME": "home", "DRAW": "draw", "AWAY": "away"}
     one = {v: (c("o") == k).cast("long") for k, v in names.items()} | {"place": F.lit(1).cast("long")}
-    days = done.groupBy("comp", "day").agg(*(F.sum(x).alias(k) for k, x in one.items()))
+    daily = done.groupBy("comp", "day").agg(*(F.sum(x).alias(k) for k, x in one.items()))
     before = W.partitionBy("comp").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select("comp", "day", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}0") for k in one))
+    daily = daily.select("comp", "day", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}0") for k in one))
     earlier = W.partitionBy("comp", "day").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
     upto = [(c(f"{k}0") + F.coalesce(F.sum(x).over(earlier), F.lit(0))).alias(k) for k, x in one.items()]
-    rows = done.join(days, ["comp", "day"]).select("event_id", "comp", "day", *upto)
+    rows = done.join(daily, ["comp", "day"]).select("event_id", "comp", "day", *upto)
     old = rows.select("comp", (c("place") + n).alias("place"), *(c(v).alias(f"{v}0") for v in names.values()))
     counts = [(c(v) - F.coalesce(f"{v}0", F.lit(0))).alias(v) for v in names.values()]
-    return rows.join(old, ["comp", "place"], "left").select("event_id", "comp", F.floor(c("day") / 7).cast("int").alias("chunk"), *counts)
+    out = rows.join(old, ["comp", "place"], "left")
+    return out.select("event_id", "comp", *(["day"] if days else []), F.floor(c("day") / 7).cast("int").alias("chunk"), *counts)

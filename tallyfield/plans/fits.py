@@ -39,12 +39,12 @@ def elo_step(rating: dict, season: dict, home, away, hs: float, aws: float, year
 
 
 def elo_history(matches: DataFrame) -> DataFrame:
-    """comp, event_id, home, away, r_home, r_away, expected: ratings after each finished match, in order of day and id, and
-    the home side's expectation before it.
+    """comp, event_id, home, away, r_home, r_away, expected, foreseen: ratings after each finished match, in order of day and
+    id, and the home side's expectation before it, with ratings drawn to the mean for a new season and as they stood.
 
     A competition's matches follow each other, so one task folds one competition; Spark sorts them, and the task sees a
     batch at a time and keeps the ratings of the teams only."""
-    names = ["comp", "event_id", "home", "away", "r_home", "r_away", "expected"]
+    names = ["comp", "event_id", "home", "away", "r_home", "r_away", "expected", "foreseen"]
 
     def fold(batches):
         comp, rating, season = None, {}, {}
@@ -53,39 +53,47 @@ def elo_history(matches: DataFrame) -> DataFrame:
             for x in pdf.itertuples(index=False):
                 if x.comp != comp:
                     comp, rating, season = x.comp, {}, {}
+                gap = rating.get(x.home, ELO["initial"]) + ELO["home"] - rating.get(x.away, ELO["initial"])
                 e = elo_step(rating, season, x.home, x.away, x.hs, x.aws, x.season)
-                out.append((x.comp, x.event_id, x.home, x.away, rating[x.home], rating[x.away], e))
+                out.append((x.comp, x.event_id, x.home, x.away, rating[x.home], rating[x.away], e, 1 / (1 + 10 ** (-gap / 400))))
             yield pd.DataFrame(out, columns=names)
 
     done = matches.filter("status = 'FINISHED'").select("comp", "event_id", "season", "day", "home", "away", "hs", "aws")
     in_order = done.repartition("comp").sortWithinPartitions("comp", "day", "event_id")
-    return in_order.mapInPandas(fold, "comp int, event_id long, home int, away int, r_home double, r_away double, expected double")
+    return in_order.mapInPandas(fold, "comp int, event_id long, home int, away int, r_home double, r_away double, expected double, foreseen double")
 
 
-def draw_base(matches: DataFrame, history: DataFrame, given: float = 0.28, least: int = 30) -> DataFrame:
-    """comp, n, draw_base: the share of draws over the mean evenness that ratings expected, 1 - |2e - 1|, within 0.05 and
-    0.45; ``given`` under ``least`` matches.  history: of ``elo_history``, whose expectations are those before each match."""
+def draw_base(matches: DataFrame, history: DataFrame, given: float = 0.28, least: int = 30, slope: float = 1.0) -> DataFrame:
+    """comp, n, draw_base: the share of draws over the mean evenness that ratings foresaw, (1 - |2e - 1|) ** slope, within
+    0.05 and 0.45; ``given`` under ``least`` matches.  history: of ``elo_history``."""
     draws = matches.filter("status = 'FINISHED'").select("event_id", (c("hs") == c("aws")).cast("double").alias("drawn"))
-    even = F.sum(1 - F.abs(2 * c("expected") - 1))
+    even = F.sum(F.pow(1 - F.abs(2 * c("foreseen") - 1), F.lit(slope)))
     sums = history.join(draws, "event_id").groupBy("comp").agg(F.count("*").alias("n"), F.sum("drawn").alias("drawn"), even.alias("even"))
     base = F.when((c("n") < least) | (c("even") <= 0), given).otherwise(F.least(F.greatest(c("drawn") / c("even"), F.lit(0.05)), F.lit(0.45)))
     return sums.select("comp", "n", base.alias("draw_base"))
 
 
-def walk_forward(history: DataFrame, matches: DataFrame, draw_base: float = 0.28) -> DataFrame:
-    """Each match's probabilities from the ratings before its seven-day chunk, scored: what was learned later in the chunk
-    is not seen."""
-    from tallyfield.operators.probability import elo_probs
+def ratings_before(matches: DataFrame, history: DataFrame, start: str = "start") -> DataFrame:
+    """``matches`` with r_home and r_away: both sides' ratings after the last of their matches before the day ``start``."""
     from tallyfield.operators.records import as_of
 
-    m = matches.filter("status = 'FINISHED'").select("comp", "event_id", "day", "home", "away", F.when(c("hs") > c("aws"), 0).when(c("hs") == c("aws"), 1).otherwise(2).alias("outcome")).withColumn("start", F.floor(c("day") / 7) * 7)
-    h = history.join(m.select("event_id", "day"), "event_id")
+    h = history.join(matches.select("event_id", "day"), "event_id")
     sides = F.explode(F.array(F.struct(c("home").alias("team"), c("r_home").alias("rating")), F.struct(c("away").alias("team"), c("r_away").alias("rating")))).alias("x")
     series = h.select("comp", "day", "event_id", sides).select("comp", "day", "event_id", "x.*")
-    both = m
+    both = matches
     for side in ("home", "away"):
         r = series.select("comp", c("team").alias(side), (c("day") + 1).alias("known"), "event_id", "rating")
-        both = as_of(both, r, ["comp", side], "start", "known", "event_id").withColumn(f"r_{side}", F.coalesce("r.rating", F.lit(ELO["initial"]))).drop("r")
+        both = as_of(both, r, ["comp", side], start, "known", "event_id").withColumn(f"r_{side}", F.coalesce("r.rating", F.lit(ELO["initial"]))).drop("r")
+    return both
+
+
+def walk_forward(history: DataFrame, matches: DataFrame, draw_base: float = 0.28) -> DataFrame:
+    """Each match's probabilities from the ratings before its seven-day chunk, scored: what was learned later in the chunk
+    is not seen."""
+    from tallyfield.operators.probability import elo_probs
+
+    m = matches.filter("status = 'FINISHED'").select("comp", "event_id", "day", "home", "away", F.when(c("hs") > c("aws"), 0).when(c("hs") == c("aws"), 1).otherwise(2).alias("outcome")).withColumn("start", F.floor(c("day") / 7) * 7)
+    both = ratings_before(m, history)
     p = elo_probs(c("r_home") + ELO["home"] - c("r_away"), draw_base)
     return both.withColumn("p", p).select("comp", "event_id", (c("start") / 7).cast("int").alias("chunk"), "outcome", *(F.get(c("p"), F.lit(k)).alias(f"p{k}") for k in range(3)))
 
@@ -200,15 +208,6 @@ def fit_temperature(rows: DataFrame, least: int = 50, width: float = 1.5) -> flo
     return float(np.exp(at))
 
 
-def logistic(rows: DataFrame, features: list[str], label: str = "outcome", l2: float = 0.01):
-    """A multinomial logistic model over standardised features, fitted by Spark in passes over the rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep"), LogisticRegression(featuresCol="x", labelCol=label, family="multinomial", regParam=l2, standardization=True, maxIter=100)]).fit(rows)
-
-
 def tiebreak_win(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The first server's chance in a tie-break to seven; p: points won on own serve, q: by the other on theirs."""
     w = np.zeros((8, 8, len(p)))

@@ -226,7 +226,7 @@ _PLACES = f"""{_ROWS},
 
 def _past(keys: str, n: int = 5) -> str:
     return f"""(SELECT event_id, team, venue, len(l) AS k, CASE WHEN len(l) > 0 THEN CAST(list_sum([CASE WHEN x.scored > x.conceded THEN 3 WHEN x.scored = x.conceded THEN 1 ELSE 0 END FOR x IN l]) AS DOUBLE) / len(l) ELSE 1.3::DOUBLE END AS ppg,
-        CASE WHEN len(l) > 0 THEN CAST(list_sum([x.scored - x.conceded FOR x IN l]) AS DOUBLE) / len(l) ELSE 0.0::DOUBLE END AS gdpg, coalesce(least(greatest(day - prev, 1), 14), 7) AS rest FROM (
+        CASE WHEN len(l) > 0 THEN CAST(list_sum([x.scored - x.conceded FOR x IN l]) AS DOUBLE) / len(l) ELSE 0.0::DOUBLE END AS gdpg, CASE WHEN prev IS NULL THEN 7 ELSE least(greatest(day - prev, 1), 14) END AS rest FROM (
           SELECT event_id, team, venue, day, prev, list_slice(list_reverse_sort(coalesce(l, [])), 1, {n}) AS l FROM (
             SELECT event_id, team, venue, day, max(day) OVER w AS prev, list(struct_pack(day := day, event_id := event_id, scored := scored, conceded := conceded)) OVER w AS l FROM sides WHERE status = 'FINISHED'
             WINDOW w AS (PARTITION BY {keys} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))"""

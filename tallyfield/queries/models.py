@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.operators import tables as t
 from tallyfield.plans import accuracy, fits
+from tallyfield.scratch import folder
 from tallyfield.sources import projections as p
 from tallyfield.sources.projections import rounded, rsql
 from tallyfield.streaming import results
@@ -18,12 +16,6 @@ c = F.col
 AS_OF = 10_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share, or a temporary one where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _model(s, d):
     return fits.dixon_coles(p.matches(s, d), AS_OF)
 
@@ -60,12 +52,6 @@ def _temperature(s, d):
     return s.createDataFrame([(fits.fit_temperature(p.forecasts(s, d)),)], "temperature double")
 
 
-def _logistic(s, d):
-    f = p.forecasts(s, d).withColumn("day7", (c("day") % 7).cast("double"))
-    m = fits.logistic(f, ["p0", "p1", "day7"])
-    return m.transform(f).groupBy("outcome", "prediction").count()
-
-
 def _markov(s, d):
     x = p.table(s, d, "part").select(c("p_partkey").alias("id"), (0.5 + c("p_partkey") % 29 / 100).alias("p"), (0.5 + c("p_partkey") % 23 / 100).alias("q"))
     return x.select("id", fits.set_win_udf("p", "q").alias("set"))
@@ -78,13 +64,13 @@ def _fuzzy(s, d):
 
 def _stream_counts(s, d):
     out = results.windowed_counts(results.stream(s, d, "events.parquet"), late="60 days")
-    table = results.run_to_end(out, scratch(s, "counts"), "complete")
+    table = results.run_to_end(out, folder(s, "counts"), "complete")
     return table.filter(c("batch") == table.agg(F.max("batch")).first()[0]).select("start", "event_type", "n", rounded(c("total")).alias("total"))
 
 
 def _stream_ratings(s, d):
     """Season by season: each one's files are a batch of the stream, which goes on from the state of the one before."""
-    folder, out = scratch(s, "matches"), scratch(s, "ratings")
+    folder, out = folder(s, "matches"), folder(s, "ratings")
     m = p.matches(s, d).filter("status = 'FINISHED'")
     table = None
     for season in sorted(r.season for r in m.select("season").distinct().collect()):  # a row for each year
@@ -100,8 +86,8 @@ def _walk(s, d):
 
 
 QUERIES = {
-    "elo_history": lambda s, d: fits.elo_history(p.matches(s, d)), "walk_forward": _walk, "dixon_coles": _model, "fixture_rates": _fixture_rates,
-    "season_simulation": _season, "race_simulation": _race, "rank_beta": _rank_beta, "temperature": _temperature, "logistic": _logistic,
+    "elo_history": lambda s, d: fits.elo_history(p.matches(s, d)).drop("foreseen"), "walk_forward": _walk, "dixon_coles": _model, "fixture_rates": _fixture_rates,
+    "season_simulation": _season, "race_simulation": _race, "rank_beta": _rank_beta, "temperature": _temperature,
     "tennis_sets": _markov, "fuzzy_match": _fuzzy, "stream_counts": _stream_counts, "stream_ratings": _stream_ratings,
 }
 

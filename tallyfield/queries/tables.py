@@ -92,7 +92,7 @@ ORACLE_SQL = {
       SELECT event_id, team, venue, CAST(len(l) AS INT) AS k,
         {rsql("CASE WHEN len(l) > 0 THEN CAST(list_sum([CASE WHEN x.scored > x.conceded THEN 3 WHEN x.scored = x.conceded THEN 1 ELSE 0 END FOR x IN l]) AS DOUBLE) / len(l) ELSE 1.3::DOUBLE END")} AS ppg,
         {rsql("CASE WHEN len(l) > 0 THEN CAST(list_sum([x.scored - x.conceded FOR x IN l]) AS DOUBLE) / len(l) ELSE 0.0::DOUBLE END")} AS gdpg,
-        coalesce(least(greatest(day - prev, 1), 14), 7) AS rest FROM last""").replace(")\n,", "),"),
+        CASE WHEN prev IS NULL THEN 7 ELSE least(greatest(day - prev, 1), 14) END AS rest FROM last""").replace(")\n,", "),"),
     "head_to_head": with_sql("matches", f""", done AS (SELECT * FROM matches WHERE status = 'FINISHED'),
       past AS (SELECT event_id, home, list(struct_pack(day := day, event_id := event_id, home := home, hs := hs, aws := aws)) OVER (
         PARTITION BY least(home, away), greatest(home, away) ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM done),
