@@ -46,14 +46,18 @@ def poisson_cdf(k: Column, rate: Column, most: int = 170) -> Column:
 
 
 def poisson_quantile(p: Column, rate: Column, most: int = 500) -> Column:
-    """The smallest k with P(X <= k) >= p, ``most`` if there is none below.  Each term comes from the one before."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-F.greatest(rate, F.lit(0.0))).alias("term"), F.exp(-F.greatest(rate, F.lit(0.0))).alias("sum"))
+    """The smallest k with P(X <= k) >= p, ``most`` if there is none below.  Each term comes from the one before.  Terms are
+    looked at up to the mean and ten times its root and twenty, beyond which less is left than a double can tell; where p is
+    so near to 1 that this does not do, up to ``most``."""
+    mean = F.greatest(rate, F.lit(0.0))
+    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"))
 
     def step(s, k):
-        term = s.term * F.greatest(rate, F.lit(0.0)) / k
+        term = s.term * mean / k
         return F.when(s["sum"] >= p, s).otherwise(F.struct(k.alias("k"), term.alias("term"), (s["sum"] + term).alias("sum")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s.k)
+    reach = F.when(p < 1 - 1e-9, F.least(F.lit(most), F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int"))).otherwise(most)
+    return F.aggregate(F.sequence(F.lit(1), reach), start, step, lambda s: F.when((s["sum"] < p), most).otherwise(s.k))
 
 
 #: The coefficients of the rational approximation of the normal quantile (relative error below 1.15e-9),
@@ -264,9 +268,35 @@ def classified(status: Column) -> Column:
     return status.isNull() | (status == "Finished") | status.rlike(r"^\+\d+ Laps?$")
 
 
-def wall_to_utc(local: Column, zone: str) -> Column:
-    """The instant at which clocks of a zone show a time, summer time as it is on that day."""
-    return F.to_utc_timestamp(local, zone)
+def wall_to_utc(local: Column, zone: str | Column) -> Column:
+    """The instant at which clocks of a zone show a time.  The zone's offset is looked up twice: at the time taken as UTC, then
+    at the instant that this gives.  In an hour that is left out it is the instant before, in one that comes twice the first."""
+    micros = lambda t: F.unix_micros(t)
+    offset = lambda t: micros(F.from_utc_timestamp(t, zone)) - micros(t)
+    guess = F.timestamp_micros(micros(local) - offset(local))
+    return F.timestamp_micros(micros(local) - offset(guess))
+
+
+def run_times(text: Column) -> Column:
+    """Minutes of the day of a list like "07:00, 19:30", each once and in order; entries that are no time are left out."""
+    parts = F.filter(F.split(text, r"[,\s;]+"), lambda p: p.rlike(r"^([01]?\d|2[0-3]):[0-5]\d$"))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.substring_index(p, ":", 1).cast("int") * 60 + F.substring_index(p, ":", -1).cast("int"))))
+
+
+def run_times_text(minutes: Column) -> Column:
+    """Minutes of the day as a list like "07:00,19:30"."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.array_join(F.transform(minutes, lambda m: F.concat(two(F.floor(m / 60).cast("int")), F.lit(":"), two(m % 60))), ",")
+
+
+def instants_between(after: Column, upto: Column, minutes: Column, zone: str | Column) -> Column:
+    """The instants, in order, at which clocks of a zone show one of the times (minutes of the day), after one instant and up to
+    another: local days from the day before the first to the day after the last, times the run times."""
+    day = lambda t: F.from_utc_timestamp(t, zone).cast("date")
+    days = F.sequence(F.date_sub(day(after), 1), F.date_add(day(upto), 1))
+    at = lambda d, m: wall_to_utc(F.timestamp_micros(F.unix_date(d).cast("bigint") * 86_400_000_000 + m.cast("bigint") * 60_000_000), zone)
+    each = F.flatten(F.transform(days, lambda d: F.transform(minutes, lambda m: at(d, m))))
+    return F.when(after < upto, F.array_sort(F.array_distinct(F.filter(each, lambda t: (t > after) & (t <= upto))))).otherwise(F.array().cast("array<timestamp>"))
 
 
 def day_key(at: Column, zone: str) -> Column:

@@ -115,39 +115,54 @@ def fit_dixon_coles(cells: pd.DataFrame, iterations: int = 400, l2: float = 0.02
     theta = np.r_[np.zeros(2 * k), base, 0.2, -0.05]
     if cells.n.sum() >= 10 and k >= 2:
         i, j = np.searchsorted(teams, cells.home), np.searchsorted(teams, cells.away)
-        low = (x <= 1) & (y <= 1)
         total = max(1.0, w.sum())
+        wx, wy = w * x, w * y
+        # the four low scores, which rho corrects
+        low = [np.flatnonzero((x == a) & (y == b)) for a, b in ((0, 0), (0, 1), (1, 0), (1, 1))]
+
+        def taus(lam, mu, rho):
+            n, f, o, e = low
+            plain = 1 - lam[n] * mu[n] * rho, 1 + lam[f] * rho, 1 + mu[o] * rho, np.full(len(e), 1 - rho)
+            return [np.maximum(v, 1e-6) for v in plain]
 
         def value(t):
-            lam = np.exp(t[2 * k] + t[i] + t[k + j] + t[2 * k + 1])
-            mu = np.exp(t[2 * k] + t[j] + t[k + i])
-            rho = t[2 * k + 2]
-            tau = np.where(~low, 1.0, np.select([(x == 0) & (y == 0), (x == 0) & (y == 1), (x == 1) & (y == 0)], [1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho], 1 - rho))
-            tau = np.maximum(tau, 1e-6)
-            ll = (w * (x * np.log(lam) - lam + y * np.log(mu) - mu + np.log(tau))).sum() - l2 * total / 2 * (t[: 2 * k] ** 2).sum()
-            dl = x - lam + np.select([(x == 0) & (y == 0), (x == 0) & (y == 1)], [-lam * mu * rho, lam * rho], 0.0) / tau
-            dm = y - mu + np.select([(x == 0) & (y == 0), (x == 1) & (y == 0)], [-lam * mu * rho, mu * rho], 0.0) / tau
-            dr = np.select([(x == 0) & (y == 0), (x == 0) & (y == 1), (x == 1) & (y == 0), (x == 1) & (y == 1)], [-lam * mu, lam, mu, -np.ones_like(lam)], 0.0) / tau
-            dl, dm, dr = w * dl, w * dm, w * dr
+            """The likelihood, and what its gradient is made from."""
+            log_lam, log_mu = t[2 * k] + t[i] + t[k + j] + t[2 * k + 1], t[2 * k] + t[j] + t[k + i]
+            lam, mu = np.exp(log_lam), np.exp(log_mu)
+            tau = taus(lam, mu, t[2 * k + 2])
+            ll = wx @ log_lam + wy @ log_mu - w @ (lam + mu) + sum(w[at] @ np.log(v) for at, v in zip(low, tau))
+            return ll - l2 * total / 2 * (t[: 2 * k] @ t[: 2 * k]), (lam, mu, tau)
+
+        def slope(t, lam, mu, tau):
+            (n, f, o, e), rho = low, t[2 * k + 2]
+            dl, dm = wx - w * lam, wy - w * mu
+            dl[n] -= w[n] * lam[n] * mu[n] * rho / tau[0]
+            dm[n] -= w[n] * lam[n] * mu[n] * rho / tau[0]
+            dl[f] += w[f] * lam[f] * rho / tau[1]
+            dm[o] += w[o] * mu[o] * rho / tau[2]
+            dr = -(w[n] * lam[n] * mu[n] / tau[0]).sum() + (w[f] * lam[f] / tau[1]).sum() + (w[o] * mu[o] / tau[2]).sum() - (w[e] / tau[3]).sum()
             sums = lambda at, v: np.bincount(at, v, k)
-            g = np.r_[sums(i, dl) + sums(j, dm), sums(j, dl) + sums(i, dm), (dl + dm).sum(), dl.sum(), 0.1 * dr.sum()]
+            g = np.r_[sums(i, dl) + sums(j, dm), sums(j, dl) + sums(i, dm), (dl + dm).sum(), dl.sum(), 0.1 * dr]
             g[: 2 * k] -= l2 * total * t[: 2 * k]
-            return ll, g / total
+            return g / total
 
-        step, (ll, g) = 1.0, value(theta)
+        step, (ll, parts) = 0.5, value(theta)
         for _ in range(iterations):
+            g = slope(theta, *parts)
             for _ in range(12):
                 t = theta + step * g
-                t[:k] -= t[:k].mean()
-                t[k : 2 * k] -= t[k : 2 * k].mean()
+                means = t[:k].mean(), t[k : 2 * k].mean()
+                t[:k] -= means[0]
+                t[k : 2 * k] -= means[1]
+                t[2 * k] += sum(means)
                 t[2 * k + 2] = np.clip(t[2 * k + 2], -0.25, 0.25)
-                new, ng = value(t)
+                new, parts_ = value(t)
                 if new > ll:
                     break
                 step *= 0.5
             else:
                 break
-            gain, theta, ll, g, step = new - ll, t, new, ng, min(2.0, step * 1.2)
+            gain, theta, ll, parts, step = new - ll, t, new, parts_, min(2.0, step * 1.2)
             if gain < 1e-7 * max(1.0, abs(ll)):
                 break
     return pd.DataFrame({"team": teams, "attack": theta[:k], "defence": theta[k : 2 * k], "base": theta[2 * k], "home": theta[2 * k + 1], "rho": theta[2 * k + 2]})

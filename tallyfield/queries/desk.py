@@ -55,6 +55,25 @@ def _times(s, d):
     return e.select("event_id", F.unix_seconds(f.wall_to_utc(c("at"), ZONE)).alias("utc"), f.day_key(c("at"), ZONE).alias("day"), F.unix_seconds(f.month_start(c("at"), ZONE)).alias("month"))
 
 
+def _instants(s, d):
+    """When jobs were due: from each event to so many hours later, by two lists of run times, a year with both changes of clocks."""
+    e = p.table(s, d, "events").select("event_id", (c("ts").cast("timestamp") + F.make_interval(days=(c("event_id") % 366).cast("int"))).alias("a"), (1 + c("event_id") % 60).cast("int").alias("hours"))
+    times = f.run_times(F.when(c("event_id") % 3 == 0, "02:30, 7:00;19:00 25:00 7:00").when(c("event_id") % 3 == 1, "00:00,01:30").otherwise("x"))
+    b = c("a") + F.make_interval(hours=c("hours"))
+    x = e.select("event_id", f.run_times_text(times).alias("times"), f.instants_between(c("a"), b, times, ZONE).alias("due"))
+    return x.select("event_id", "times", F.size("due").cast("bigint").alias("n"), F.unix_seconds(F.array_min("due")).alias("first"), F.unix_seconds(F.array_max("due")).alias("last"))
+
+
+def _to_date(s, d):
+    """Spend of each local day, of its month up to it, and whether a budget lets calls through: one of 0 is none.  Days are
+    summed first, so a month has 31 rows at most."""
+    day = f.day_key(c("ts").cast("timestamp"), ZONE)
+    days = p.table(s, d, "events").groupBy(day.alias("day")).agg(F.sum(F.floor(c("value") * 100).cast("bigint")).alias("cents"))
+    month = W.partitionBy(F.substring("day", 1, 7)).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    x = days.withColumn("month_cents", F.sum("cents").over(month)).withColumn("budget", F.when(F.substring("day", 9, 2).cast("int") % 4 == 0, 0).otherwise(400_000))
+    return x.withColumn("within", (c("budget") <= 0) | (c("month_cents") < c("budget")))
+
+
 def _texts(s, d):
     e = p.table(s, d, "events").select("event_id", (c("event_id") % 130).alias("n"), "props", "event_type")
     fmt = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("Clay", "grass", "Indoor", "HARD", ""))), (c("event_id") % 5 + 1).cast("int")), F.when(c("event_id") % 3 == 0, " BO5").otherwise(" bo3"))
@@ -82,7 +101,7 @@ def _due(s, d):
 
 QUERIES = {
     "resolve_or_create": _created, "rank_upsert": _put, "headlines_absent": _absent, "provider_ids": _ids, "job_tally": _tally, "pick_accuracy": _picks,
-    "wall_times": _times, "text_forms": _texts, "grid_baseline": _baseline, "next_kickoff": _next, "due_jobs": _due,
+    "wall_times": _times, "scheduled_instants": _instants, "spend_to_date": _to_date, "text_forms": _texts, "grid_baseline": _baseline, "next_kickoff": _next, "due_jobs": _due,
     "relation_counts": lambda s, d: p.table(s, d, "customer").join(p.table(s, d, "orders").groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.count_if(c("o_orderstatus") == "O").alias("open")), "c_custkey", "left").select("c_custkey", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("orders", "open"))),
     "filtered_counts": lambda s, d: p.matches(s, d).agg(F.count("*").alias("events"), F.count_if(c("status") == "FINISHED").alias("finished"), F.count_if((c("status") == "SCHEDULED") & (c("day") >= 10_000)).alias("upcoming"), F.count_if(c("status") == "LIVE").alias("live")),
     "appearances": lambda s, d: p.matches(s, d).filter("status = 'FINISHED'").select(F.explode(F.array("home", "away")).alias("team")).groupBy("team").agg(F.count("*").alias("n")),
@@ -93,6 +112,14 @@ QUERIES = {
 }
 
 _SIDE = "['HOME', 'DRAW', 'AWAY'][({}) % 3 + 1]"
+
+
+def _twice(name: str, source: str, local: str, out: str) -> str:
+    """Two tables: the instant of a local time by the offset at it taken as UTC, then by the offset at that instant."""
+    shown = lambda x: f"timezone('{ZONE}', timezone('UTC', {x}))"
+    return f"""{name}0 AS (SELECT *, {local} - ({shown(local)} - {local}) AS guess FROM {source}), {name} AS (SELECT * EXCLUDE (guess), {local} - ({shown("guess")} - guess) AS {out} FROM {name}0)"""
+
+
 ORACLE_SQL = {
     "resolve_or_create": """WITH n AS (SELECT c_custkey, c_name AS name, concat('seg ', lower(c_mktsegment), c_custkey % 7) AS plain FROM customer),
       e AS (SELECT min(s_suppkey) AS entity, replace(s_name, 'Supplier', 'Customer') AS s_name FROM supplier GROUP BY ALL), j AS (SELECT n.*, e.entity FROM n LEFT JOIN e ON e.s_name = n.name),
@@ -108,8 +135,17 @@ ORACLE_SQL = {
       SELECT *, CASE WHEN failed = 0 THEN 'OK' WHEN good > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS state FROM y""",
     "pick_accuracy": with_sql("matches", f""", x AS (SELECT {_SIDE.format("event_id")} AS pick, CASE WHEN hs > aws THEN 'HOME' WHEN hs < aws THEN 'AWAY' ELSE 'DRAW' END AS o, CASE WHEN event_id % 4 > 0 THEN {_SIDE.format("event_id + home")} END AS fav FROM matches WHERE status = 'FINISHED')
       SELECT count(*) AS n, count(*) FILTER (pick = o) AS right, count(fav) AS model_n, count(*) FILTER (fav = o) AS model_right FROM x"""),
-    "wall_times": f"""WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) + to_days(CAST(event_id % 400 AS INT)) AS t FROM events), l AS (SELECT *, timezone('{ZONE}', timezone('UTC', t)) AS w FROM e)
-      SELECT event_id, CAST(floor(epoch(timezone('{ZONE}', t))) AS BIGINT) AS utc, strftime(w, '%Y-%m-%d') AS day, CAST(floor(epoch(timezone('{ZONE}', CAST(date_trunc('month', w) AS TIMESTAMP)))) AS BIGINT) AS month FROM l""",
+    "wall_times": f"""WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) + to_days(CAST(event_id % 400 AS INT)) AS t FROM events), l AS (SELECT *, timezone('{ZONE}', timezone('UTC', t)) AS w FROM e),
+        m AS (SELECT *, CAST(date_trunc('month', w) AS TIMESTAMP) AS b FROM l), {_twice("g", "m", "t", "t1")}, {_twice("h", "g", "b", "b1")}
+      SELECT event_id, CAST(floor(epoch(t1)) AS BIGINT) AS utc, strftime(w, '%Y-%m-%d') AS day, CAST(floor(epoch(b1)) AS BIGINT) AS month FROM h""",
+    "scheduled_instants": f"""WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) + to_days(CAST(event_id % 366 AS INT)) AS a, to_hours(CAST(1 + event_id % 60 AS INT)) AS h FROM events),
+        m AS (SELECT event_id, a, a + h AS b, CASE event_id % 3 WHEN 0 THEN [150, 420, 1140] WHEN 1 THEN [0, 90] ELSE [] END AS ms, CASE event_id % 3 WHEN 0 THEN '02:30,07:00,19:00' WHEN 1 THEN '00:00,01:30' ELSE '' END AS times FROM e),
+        x AS (SELECT event_id, a, b, CAST(CAST(a AS DATE) + CAST(k AS INT) AS TIMESTAMP) + to_minutes(u.m) AS t FROM m, range(-2, 5) r(k), unnest(ms) u(m)), {_twice("g", "x", "t", "t1")},
+        n AS (SELECT event_id, count(DISTINCT t1) AS n, min(t1) AS lo, max(t1) AS hi FROM g WHERE t1 > a AND t1 <= b GROUP BY event_id)
+      SELECT m.event_id, times, coalesce(n, 0) AS n, CAST(floor(epoch(lo)) AS BIGINT) AS first, CAST(floor(epoch(hi)) AS BIGINT) AS last FROM m LEFT JOIN n ON n.event_id = m.event_id""",
+    "spend_to_date": f"""WITH d AS (SELECT strftime(timezone('{ZONE}', timezone('UTC', CAST(ts AS TIMESTAMP))), '%Y-%m-%d') AS day, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1),
+        m AS (SELECT day, cents, CAST(sum(cents) OVER (PARTITION BY day[1:7] ORDER BY day) AS BIGINT) AS month_cents, CASE WHEN CAST(day[9:10] AS INT) % 4 = 0 THEN 0 ELSE 400000 END AS budget FROM d)
+      SELECT *, budget <= 0 OR month_cents < budget AS within FROM m""",
     "text_forms": """WITH e AS (SELECT event_id AS i, event_id % 130 AS n, props, event_type AS t FROM events)
       SELECT i AS event_id, ['Clay', 'Grass', 'Hard', 'Hard', 'Hard'][i % 5 + 1] AS surface, CASE WHEN i % 3 = 0 THEN 5 ELSE 3 END AS best_of, i % 4 < 3 AS finished, CASE WHEN i % 3 < 2 THEN props END AS json,
         concat(n, CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END) AS nth, CASE WHEN length(t) > 6 THEN concat(rtrim(t[1:5]), '…') ELSE t END AS short,

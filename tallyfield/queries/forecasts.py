@@ -224,12 +224,18 @@ _PLACES = f"""{_ROWS},
       places AS (SELECT comp, season, day, team, CAST(row_number() OVER (PARTITION BY comp, season, day ORDER BY points DESC, diff DESC, scored DESC, team) AS INT) AS position, count(*) OVER (PARTITION BY comp, season, day) AS teams FROM rn)"""
 
 
+def _before(source: str, keys: str, cols: str, n: int) -> str:
+    """By keys and day: ``l``, the last ``n`` rows of earlier days, newest first, from at most ``n`` rows of each of ``n`` days, and the
+    last such day."""
+    return f"""(SELECT {keys}, day, lag(day) OVER w AS prev, coalesce(flatten(list_reverse(list(own) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))), [])[1:{n}] AS l FROM (
+        SELECT {keys}, day, list({{{cols}}} ORDER BY event_id DESC)[1:{n}] AS own FROM {source} WHERE status = 'FINISHED' GROUP BY {keys}, day) WINDOW w AS (PARTITION BY {keys} ORDER BY day))"""
+
+
 def _past(keys: str, n: int = 5) -> str:
-    return f"""(SELECT event_id, team, venue, len(l) AS k, CASE WHEN len(l) > 0 THEN CAST(list_sum([CASE WHEN x.scored > x.conceded THEN 3 WHEN x.scored = x.conceded THEN 1 ELSE 0 END FOR x IN l]) AS DOUBLE) / len(l) ELSE 1.3::DOUBLE END AS ppg,
-        CASE WHEN len(l) > 0 THEN CAST(list_sum([x.scored - x.conceded FOR x IN l]) AS DOUBLE) / len(l) ELSE 0.0::DOUBLE END AS gdpg, CASE WHEN prev IS NULL THEN 7 ELSE least(greatest(day - prev, 1), 14) END AS rest FROM (
-          SELECT event_id, team, venue, day, prev, list_slice(list_reverse_sort(coalesce(l, [])), 1, {n}) AS l FROM (
-            SELECT event_id, team, venue, day, max(day) OVER w AS prev, list(struct_pack(day := day, event_id := event_id, scored := scored, conceded := conceded)) OVER w AS l FROM sides WHERE status = 'FINISHED'
-            WINDOW w AS (PARTITION BY {keys} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))"""
+    same = " AND ".join(f"b.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
+    return f"""(SELECT event_id, s.team, s.venue, len(l) AS k, CASE WHEN len(l) > 0 THEN CAST(list_sum([CASE WHEN x.scored > x.conceded THEN 3 WHEN x.scored = x.conceded THEN 1 ELSE 0 END FOR x IN l]) AS DOUBLE) / len(l) ELSE 1.3::DOUBLE END AS ppg,
+        CASE WHEN len(l) > 0 THEN CAST(list_sum([x.scored - x.conceded FOR x IN l]) AS DOUBLE) / len(l) ELSE 0.0::DOUBLE END AS gdpg, CASE WHEN prev IS NULL THEN 7 ELSE least(greatest(s.day - prev, 1), 14) END AS rest
+        FROM (SELECT * FROM sides WHERE status = 'FINISHED') s JOIN {_before("sides", keys, "'scored': scored, 'conceded': conceded", n)} b ON {same} AND b.day = s.day)"""
 
 
 _ONE = [("rating", "a * 36.0::DOUBLE"), ("home", "5.4::DOUBLE"), ("form", "b * 2.5::DOUBLE"), ("venue", "(v - y) * 1.2::DOUBLE"), ("rest", "r * 0.4::DOUBLE"), ("h2h", "g * 2.0::DOUBLE"), ("absences", "o * 1.5::DOUBLE"), ("table", "l * 3.0::DOUBLE")]
@@ -257,10 +263,9 @@ ORACLE_SQL = {
       er AS (SELECT stat, {_R2.format("home - home_mean")} AS h, {_R2.format("away - away_mean")} AS a, home BETWEEN home_low AND home_high AND away BETWEEN away_low AND away_high AS inside FROM fc JOIN ac USING (event_id, stat) WHERE home IS NOT NULL AND away IS NOT NULL)
       SELECT stat, count(*) AS n, {rsql("avg(CAST(inside AS INT)::DOUBLE)")} AS within, {rsql("avg((abs(h) + abs(a)) / 2)")} AS error FROM er GROUP BY stat"""),
     "positions_before": with_sql("matches", f", {_PLACES} SELECT comp, season, day, team, position, teams FROM places"),
-    "features": with_sql("matches", f""", {_PLACES}, fo AS {_past("team")}, ve AS {_past("team, venue")},
-      meet AS (SELECT event_id, home, list_slice(list_reverse_sort(coalesce(l, [])), 1, 6) AS l FROM (
-        SELECT event_id, home, list(struct_pack(day := day, event_id := event_id, home := home, hs := hs, aws := aws)) OVER (PARTITION BY least(home, away), greatest(home, away) ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
-        FROM matches WHERE status = 'FINISHED')),
+    "features": with_sql("matches", f""", {_PLACES}, fo AS MATERIALIZED {_past("team")}, ve AS MATERIALIZED {_past("team, venue")},
+      pairs AS (SELECT *, least(home, away) AS one, greatest(home, away) AS two FROM matches),
+      meet AS (SELECT event_id, m.home, l FROM (SELECT * FROM pairs WHERE status = 'FINISHED') m JOIN {_before("pairs", "one, two", "'home': home, 'hs': hs, 'aws': aws", 6)} b ON b.one = m.one AND b.two = m.two AND b.day = m.day),
       h2h AS (SELECT event_id, CASE WHEN len(l) > 0 THEN CAST(list_sum([sign(x.hs - x.aws) * CASE WHEN x.home = meet.home THEN 1 ELSE -1 END FOR x IN l]) AS DOUBLE) / len(l) ELSE 0.0::DOUBLE END AS edge FROM meet),
       j AS (SELECT m.event_id AS i, m.home, m.away, fh.ppg AS fhp, fa.ppg AS fap, fh.gdpg AS fhg, fa.gdpg AS fag, vh.ppg AS vhp, va.ppg AS vap, fh.rest AS rh, fa.rest AS ra, fh.k AS kh, fa.k AS ka, h2h.edge AS edge, ph.position AS pph, pa.position AS ppa, ph.teams AS teams
         FROM matches m JOIN fo fh ON fh.event_id = m.event_id AND fh.venue = 'H' JOIN fo fa ON fa.event_id = m.event_id AND fa.venue = 'A' JOIN ve vh ON vh.event_id = m.event_id AND vh.venue = 'H' JOIN ve va ON va.event_id = m.event_id AND va.venue = 'A'

@@ -94,3 +94,37 @@ QUERIES = {
 ORACLE_SQL = {
     "stream_counts": f"""SELECT (epoch_us(ts) // 604800000000) * 604800 AS start, event_type, count(*) AS n, {rsql("sum(value)")} AS total FROM events GROUP BY ALL""",
 }
+
+
+def _reports(s, d):
+    """Reports of events: a line item says of its order how things stood when it was shipped."""
+    x = p.table(s, d, "lineitem")
+    at = c("l_shipdate").cast("timestamp") + F.make_interval(hours=c("l_linenumber"))
+    status = F.when(c("l_linenumber") % 4 < 2, "SCHEDULED").when(c("l_returnflag") == "R", "POSTPONED").when(c("l_returnflag") == "A", "LIVE").otherwise("FINISHED")
+    scores = c("l_quantity") < 25
+    n = lambda k: F.when(scores, F.floor(c("l_quantity") / k).cast("int"))
+    return x.select(c("l_orderkey").alias("event_id"), at.alias("at"), status.alias("status"), (c("l_shipdate").cast("timestamp") + F.make_interval(hours=(c("l_partkey") % 90).cast("int"))).alias("starts"), n(5).alias("hs"), n(7).alias("aws"))
+
+
+def _event_states(s, d):
+    """Where the stream of reports ends, by state and stage."""
+    from tallyfield.streaming import states
+
+    source = folder(s, "reports")
+    _reports(s, d).write.parquet(source)
+    out = results.run_to_end(states.event_states(s.readStream.schema(s.read.parquet(source).schema).parquet(source), "30 days"), folder(s, "states"), "update")
+    last = out.groupBy("event_id").agg(F.max_by(F.struct("status", "hs", "aws", "starts", "stage"), "batch").alias("x")).select("event_id", "x.*")
+    return last.groupBy("status", "stage").agg(F.count("*").alias("n"), F.sum("hs").alias("hs"), F.sum("aws").alias("aws"), F.sum(F.floor(c("starts") / 3_600_000)).cast("bigint").alias("hours"))
+
+
+QUERIES["event_states"] = _event_states
+ORACLE_SQL["event_states"] = """
+    WITH r AS (SELECT l_orderkey AS e, epoch_ms(l_shipdate + to_hours(CAST(l_linenumber AS INT))) AS a, CASE WHEN l_linenumber % 4 < 2 THEN 'SCHEDULED' WHEN l_returnflag = 'R' THEN 'POSTPONED' WHEN l_returnflag = 'A' THEN 'LIVE' ELSE 'FINISHED' END AS s,
+          epoch_ms(l_shipdate + to_hours(CAST(l_partkey % 90 AS INT))) AS t, CASE WHEN l_quantity < 25 THEN CAST(floor(l_quantity / 5) AS INT) END AS hs, CASE WHEN l_quantity < 25 THEN CAST(floor(l_quantity / 7) AS INT) END AS aws FROM lineitem),
+      w AS (SELECT max(a) - 30 * 86400000::BIGINT AS now FROM r),
+      g AS (SELECT e, max({'a': a, 's': s, 't': t}) FILTER (s <> 'SCHEDULED') AS ns, max({'a': a, 't': t}) FILTER (s = 'SCHEDULED') AS sc,
+          max({'a': a, 'h': hs, 'g': aws}) FILTER (s <> 'SCHEDULED' AND hs IS NOT NULL) AS nr, max({'a': -a, 'h': hs, 'g': aws}) FILTER (s = 'SCHEDULED' AND hs IS NOT NULL) AS sr FROM r GROUP BY e),
+      x AS (SELECT e, coalesce(ns.s, 'SCHEDULED') AS s, coalesce(ns.t, sc.t) AS t, CASE WHEN nr IS NOT NULL THEN nr.h ELSE sr.h END AS hs, CASE WHEN nr IS NOT NULL THEN nr.g ELSE sr.g END AS aws FROM g),
+      y AS (SELECT *, CASE WHEN s = 'SCHEDULED' AND hs IS NOT NULL AND now >= t + 10800000 THEN 'FINISHED' ELSE s END AS status FROM x, w)
+    SELECT status, CASE WHEN status <> 'SCHEDULED' THEN 0 WHEN now >= t - 3600000 THEN 2 WHEN now >= t - 86400000 THEN 1 ELSE 0 END AS stage, count(*) AS n, CAST(sum(hs) AS BIGINT) AS hs, CAST(sum(aws) AS BIGINT) AS aws, CAST(sum(floor(t / 3600000)) AS BIGINT) AS hours
+    FROM y GROUP BY ALL"""

@@ -13,7 +13,7 @@ c = F.col
 #: The statistics of the league files, by column for the home and the away side.
 LEAGUE_STATS = {"goals": ("FTHG", "FTAG"), "shots": ("HS", "AS"), "shots_on_target": ("HST", "AST"), "corners": ("HC", "AC"), "fouls": ("HF", "AF"), "yellow_cards": ("HY", "AY"), "red_cards": ("HR", "AR")}
 #: Days after a tournament's start by round.
-ROUND_DAY = {"R128": 0, "R64": 1, "R32": 2, "R16": 3, "QF": 4, "SF": 5, "F": 6}
+ROUND_DAY = {"R128": 0, "R64": 1, "R32": 2, "R16": 3, "QF": 4, "SF": 5, "F": 6, "RR": 1, "BR": 6, "ER": 0, "Q1": -3, "Q2": -2, "Q3": -1}
 #: How providers call the states of an event.
 STATUS = {
     "FINISHED": ("FINISHED", "AWARDED", "FT", "AET", "PEN", "Match Finished", "POST"),
@@ -92,21 +92,51 @@ def archive_events(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(score: Column) -> Column:
-    """won, lost (sets), games_won, games_lost and retired of a score like "6-3 3-6 7-6(4)"; a set counts once a side has
-    six games, two more than the other, or seven."""
+    """won, lost (sets), games_won, games_lost and retired of a score like "6-3 3-6 7-6(4)".  Games are those at the start of
+    each word; a set counts once a side has six games and two more than the other, or seven."""
     parts = F.transform(
-        F.filter(F.split(F.trim(score), r"\s+"), lambda p: p.rlike(r"^\d+-\d+(\(\d+\))?$")),
-        lambda p: F.struct(F.regexp_extract(p, r"^(\d+)-", 1).cast("int").alias("a"), F.regexp_extract(p, r"-(\d+)", 1).cast("int").alias("b")),
+        F.filter(F.split(F.trim(score), r"\s+"), lambda p: p.rlike(r"^\d+-\d+")),
+        lambda p: F.struct(F.regexp_extract(p, r"^(\d+)-", 1).cast("int").alias("a"), F.regexp_extract(p, r"^\d+-(\d+)", 1).cast("int").alias("b")),
     )
-    over = lambda x, y: ((x >= 6) & (x - y >= 2)) | ((x == 7) & (y == 6))
+    over = lambda x, y: (x > y) & (x >= 6) & ((x - y >= 2) | (x >= 7))
     count = lambda cond: F.size(F.filter(parts, cond))
     total = lambda pick: F.aggregate(parts, F.lit(0), lambda s, p: s + pick(p))
+    # a level set of seven games or more is not over in any score there is; it counts for the other side as in the source
+    lost = lambda p: over(p.b, p.a) | ((p.a == p.b) & (p.a >= 7))
     return F.struct(
-        count(lambda p: over(p.a, p.b)).alias("won"), count(lambda p: over(p.b, p.a)).alias("lost"), total(lambda p: p.a).alias("games_won"), total(lambda p: p.b).alias("games_lost"),
-        F.coalesce(score.rlike(r"(?i)\b(RET|W/O|DEF|ABN)"), F.lit(False)).alias("retired"),
+        count(lambda p: over(p.a, p.b)).alias("won"), count(lost).alias("lost"), total(lambda p: p.a).alias("games_won"), total(lambda p: p.b).alias("games_lost"),
+        F.coalesce(score.rlike(r"(?i)(RET|W/O|DEF|Walkover)"), F.lit(False)).alias("retired"),
     )
 
 
+ARCHIVE_COUNTS = ("ace", "df", "svpt", "1stIn", "1stWon", "2ndWon", "SvGms", "bpSaved", "bpFaced")
+
+
+def archive_statistics(rows: DataFrame) -> DataFrame:
+    """id (of the match), player, stats for both players of an archive's match: sets and games won; aces, double faults, first
+    serves in (per cent, one digit), serve points played and won, service games, break points faced, saved and won; the rank
+    and seed held on the day.  A count that is no number is left out with all that is made from it, as are a first-serve
+    share and serve points without serve points played, and ranks and seeds that are not positive."""
+    x = rows.filter("winner_name <> '' and loser_name <> '' and length(tourney_date) = 8").withColumn("s", sets_of(F.coalesce("score", F.lit(""))))
+    num = lambda k: F.expr(f"try_cast(nullif(`{k}`, '') as double)")
+
+    def side(p, other, who, sets, games):
+        n = {k: num(f"{p}_{k}") for k in ARCHIVE_COUNTS}
+        faced, saved = num(f"{other}_bpFaced"), num(f"{other}_bpSaved")
+        played = F.when(n["svpt"] > 0, n["svpt"])
+        positive = lambda v: F.when(v > 0, v)
+        stats = {
+            "sets": c(f"s.{sets}").cast("double"), "games": c(f"s.{games}").cast("double"), "aces": n["ace"], "double_faults": n["df"], "first_in": F.floor(n["1stIn"] / played * 1000 + 0.5) / 10,
+            "break_points_won": faced - saved, "serve_points": played, "serve_points_won": n["1stWon"] + n["2ndWon"], "serve_games": n["SvGms"], "break_points_faced": n["bpFaced"], "break_points_saved": n["bpSaved"],
+            "rank": positive(num(f"{who}_rank")), "seed": positive(num(f"{who}_seed")),
+        }
+        known = F.map_filter(F.create_map(*(v for kv in stats.items() for v in (F.lit(kv[0]), kv[1]))), lambda _, v: v.isNotNull())
+        return F.struct(F.coalesce(F.expr(f"nullif({who}_id, '')"), c(f"{who}_name")).alias("player"), known.alias("stats"))
+
+    both = F.array(side("w", "l", "winner", "won", "games_won"), side("l", "w", "loser", "lost", "games_lost"))
+    return x.select(F.concat_ws(":", "tourney_id", "match_num").alias("id"), F.inline(both))
+
+
 def latest_rankings(rows: DataFrame, names: DataFrame) -> DataFrame:
     """The list of the newest date with players' names; rank, player and points are text there, players without a name are
     left out.  The newest date is one row."""
@@ -122,10 +152,16 @@ HOURLY_JSON = "hourly struct<time: array<string>, temperature_2m: array<double>,
 
 
 def api_matches(raw: DataFrame, col: str = "json") -> DataFrame:
-    """Events of a matches document; malformed JSON has none."""
+    """Events of a matches document; malformed JSON has none.  Scores count once a match has begun and both are known, a winner
+    once it is over: level without another one named."""
     m = raw.select(F.explode(F.from_json(c(col), MATCH_JSON).matches).alias("m"))
-    won = F.when(c("m.score.winner") == "HOME_TEAM", "HOME").when(c("m.score.winner") == "AWAY_TEAM", "AWAY").when(c("m.score.winner") == "DRAW", "DRAW")
-    return m.select(c("m.id").alias("id"), F.try_to_timestamp("m.utcDate").alias("starts"), status(c("m.status")).alias("status"), c("m.homeTeam.name").alias("home"), c("m.awayTeam.name").alias("away"), c("m.score.fullTime.home").alias("hs"), c("m.score.fullTime.away").alias("aws"), won.alias("winner"))
+    state, goals = status(c("m.status")), (c("m.score.fullTime.home"), c("m.score.fullTime.away"))
+    begun = (state != "SCHEDULED") & goals[0].isNotNull() & goals[1].isNotNull()
+    won = F.when(c("m.score.winner") == "HOME_TEAM", "HOME").when(c("m.score.winner") == "AWAY_TEAM", "AWAY").otherwise("DRAW")
+    return m.select(
+        c("m.id").alias("id"), F.try_to_timestamp("m.utcDate").alias("starts"), state.alias("status"), c("m.homeTeam.name").alias("home"), c("m.awayTeam.name").alias("away"),
+        F.when(begun, goals[0]).alias("hs"), F.when(begun, goals[1]).alias("aws"), F.when(begun & (state == "FINISHED"), won).alias("winner"),
+    )
 
 
 def api_statistics(raw: DataFrame, names: dict[str, str], col: str = "json") -> DataFrame:
@@ -136,12 +172,13 @@ def api_statistics(raw: DataFrame, names: dict[str, str], col: str = "json") ->
 
 
 def odds_prices(raw: DataFrame, col: str = "json") -> DataFrame:
-    """event_id, book, outcome, price of an odds document's head-to-head markets."""
+    """event_id, book, outcome, price of an odds document's head-to-head markets; names that are neither a side's nor speak of a
+    draw are left out."""
     e = raw.select(F.explode(F.from_json(c(col), ODDS_JSON)).alias("e"))
     b = e.select("e", F.explode("e.bookmakers").alias("b")).select("e", "b", F.explode("b.markets").alias("m")).filter("m.key = 'h2h'")
     o = b.select(c("e.id").alias("event_id"), c("b.key").alias("book"), "e", F.explode("m.outcomes").alias("o"))
-    outcome = F.when(c("o.name") == c("e.home_team"), "HOME").when(c("o.name") == c("e.away_team"), "AWAY").otherwise("DRAW")
-    return o.select("event_id", "book", outcome.alias("outcome"), c("o.price").alias("price"))
+    outcome = F.when(c("o.name") == c("e.home_team"), "HOME").when(c("o.name") == c("e.away_team"), "AWAY").when(F.lower("o.name").contains("draw"), "DRAW")
+    return o.select("event_id", "book", outcome.alias("outcome"), c("o.price").alias("price")).filter("outcome is not null")
 
 
 def weather_at(raw: DataFrame, at: str, col: str = "json", within_hours: int = 3) -> DataFrame:
@@ -168,3 +205,16 @@ def headlines(raw: DataFrame, col: str = "xml", limit: int = 10) -> DataFrame:
 def merged_rounds(pages: DataFrame) -> DataFrame:
     """Races whose rows are split over pages, one row for each round: round, results (array, in order of place)."""
     return pages.groupBy("round").agg(F.array_sort(F.flatten(F.collect_list("results"))).alias("results"))
+
+
+def archive_serves(rows: DataFrame) -> DataFrame:
+    """What ``serve_samples`` takes, of an archive's matches: event_id (the match's id), day, surface, home, away (the winner and the
+    loser) and both sides' serve points and points won; null where the archive lacks them."""
+    own = lambda who: F.coalesce(F.expr(f"nullif({who}_id, '')"), c(f"{who}_name"))
+    start = F.when(c("tourney_date").rlike(r"^\d{8}$"), F.to_date("tourney_date", "yyyyMMdd"))
+    days = F.coalesce(F.create_map(*(F.lit(x) for kv in ROUND_DAY.items() for x in kv))[c("round")], F.lit(2))
+    m = rows.select(F.concat_ws(":", "tourney_id", "match_num").alias("id"), F.unix_date(F.date_add(start, days)).alias("day"), F.coalesce(F.expr("nullif(surface, '')"), F.lit("Hard")).alias("surface"), own("winner").alias("home"), own("loser").alias("away"))
+    s = archive_statistics(rows).select("id", "player", c("stats")["serve_points"].alias("points"), c("stats")["serve_points_won"].alias("won"))
+    both = s.groupBy("id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("player", F.struct("points", "won"))))).alias("s"))
+    x = m.join(both, "id").filter("day is not null")
+    return x.select(c("id").alias("event_id"), "day", "surface", "home", "away", *(c("s")[c(side)][k].alias(f"{side}_{k}") for side in ("home", "away") for k in ("points", "won")))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-MODULES = ("tables", "accuracy", "probability", "records", "models", "forecasts", "desk", "walk")
+MODULES = ("tables", "accuracy", "probability", "records", "models", "forecasts", "desk", "walk", "upcoming", "merging", "documents")
 CASES = [(m, n) for m in MODULES for n in importlib.import_module(f"tallyfield.queries.{m}").ORACLE_SQL]
 
 
