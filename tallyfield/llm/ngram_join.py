@@ -36,8 +36,8 @@ CELL_BITS, PARTS = 20, 64
 #: Bytes of text for each range of n-grams.
 RANGE_BYTES = 32 << 20
 REMEMBERED = 500_000
-#: Bytes of a hash that are compared when a pair is verified.
-WIDTH = 5
+#: Bytes of a hash by which a pair is verified first, and how many n-grams fewer in common it must stand to be settled so.
+WIDTH, MARGIN = 5, 3
 
 
 def shingle_sets(col: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -53,18 +53,25 @@ def node_of(h: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def packed(h: np.ndarray) -> bytes:
-    """The upper WIDTH bytes of each hash.  Two sets of a thousand n-grams have two others that agree in these with a chance
-    of one in a million, which tells only where they are at the limit."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).tobytes()
+def packed(h: np.ndarray, width: int = WIDTH) -> bytes:
+    """The upper ``width`` bytes of each hash."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
 
 
-def unpacked(raw: pa.Buffer) -> np.ndarray:
-    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+def unpacked(raw: pa.Buffer, width: int = WIDTH) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
+def in_common(x: pa.Buffer, y: pa.Buffer, width: int = WIDTH) -> tuple[int, int]:
+    """How many hashes two packed sets have in common and have in all, counted twice where they do.  Cut hashes that agree by
+    chance count as common, so a cut never makes a pair look less alike."""
+    n = (len(x) + len(y)) // width
+    key = np.sort(np.concatenate([unpacked(x, width), unpacked(y, width)]))
+    return int(np.count_nonzero(key[1:] == key[:-1])), n
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -262,6 +269,25 @@ def _verifier(src: DataFrame, classes: DataFrame, nodes: DataFrame, size: int, p
     c = F.col
     have: list[DataFrame] = []
 
+    def compared(pairs: DataFrame, sets: DataFrame, width: int, name: str) -> DataFrame:
+        """Written pairs (a, b, sure) that link by hashes of so many bytes; sure: with MARGIN fewer in common they would too."""
+        for x in "ab":
+            pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
+
+        def run(batches):
+            for b in batches:
+                ok, sure = [], []
+                for x, y in zip(b.column(2), b.column(3)):
+                    both, n = in_common(x.as_buffer(), y.as_buffer(), width)
+                    ok.append(100 * both >= percent * (n - both))
+                    both -= MARGIN
+                    sure.append(100 * both >= percent * (n - both))
+                ok = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(sure, pa.bool_()).filter(ok)], ["a", "b", "sure"])
+            release()
+
+        return save(pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint, sure boolean"), name, 500)
+
     def verify(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(nodes.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("n", *MAP))), x)
@@ -274,22 +300,13 @@ def _verifier(src: DataFrame, classes: DataFrame, nodes: DataFrame, size: int, p
         sets = have[0]
         for more in have[1:]:
             sets = sets.union(more)
-        for x in "ab":
-            pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
-
-        def run(batches):
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column(2), b.column(3)):
-                    n = (len(x.as_buffer()) + len(y.as_buffer())) // WIDTH
-                    key = np.sort(np.concatenate([unpacked(x.as_buffer()), unpacked(y.as_buffer())]))
-                    both = int(np.count_nonzero(key[1:] == key[:-1]))
-                    ok.append(100 * both >= percent * (n - both))
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
-            release()
-
-        return save(pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint"), "ngram-links", 500)
+        found = compared(pairs, sets, WIDTH, "ngram-links")
+        close = found.filter("not sure").select("a", "b")
+        wanted = close.select(c("a").alias("node")).union(close.select("b")).distinct()
+        whole = _sets(src, save(wanted.join(classes, "node").select("node", "th"), "ngram-close"), size, 8)
+        settled = compared(close, whole, 8, "ngram-settled")
+        drop(whole)
+        return found.filter("sure").select("a", "b").union(settled.select("a", "b"))
 
     return verify
 
@@ -330,8 +347,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     return joined.unionByName(empty)
 
 
-def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, h (the packed hashes) of the wanted (node, th), each from one of the documents with a text of that hash; a
+def _sets(src: DataFrame, wanted: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
+    """node, h (the hashes, packed in ``width`` bytes each) of the wanted (node, th), each from one of the documents with a text of that hash; a
     written table.  A filter of cells, of bounded size, keeps most other texts from being shuffled."""
     n = wanted.count()
     m = n_cells(n, 1)
@@ -350,7 +367,7 @@ def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for at, sets in shingle_sets(b.column(1), size):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([packed(x) for x in sets], pa.binary())], ["node", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([packed(x, width) for x in sets], pa.binary())], ["node", "h"])
         release()
 
     return save(texts.mapInArrow(run, "node bigint, h binary"), "ngram-sets", 1000)
@@ -358,7 +375,10 @@ def _sets(src: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df``, all columns as they are, without those that have another's id as component_id: of each group
-    of near duplicates the row with the smallest id stays."""
-    gone = linked(df, id_col, text, size, percent).filter("doc_id <> component_id").select("doc_id", "th").distinct()
+    of near duplicates the row with the smallest id stays.
+
+    A row with a null id goes if its group has an id at all; where no row of a group has one, all stay, as nothing tells
+    them apart.  Repeated rows (equal ids and texts) stay or go together.  Texts without words stay.  Empty table: no rows."""
+    gone = linked(df, id_col, text, size, percent).filter("component_id is not null and not doc_id <=> component_id").select("doc_id", "th").distinct()
     gone = save(gone, "ngram-gone").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th"))
-    return df.join(gone, (df[id_col].cast("bigint") == gone["__gone"]) & (F.xxhash64(text_of(df, text)) == gone["__th"]), "left_anti")
+    return df.join(gone, df[id_col].cast("bigint").eqNullSafe(gone["__gone"]) & (F.xxhash64(text_of(df, text)) == gone["__th"]), "left_anti")

@@ -360,8 +360,8 @@ def _merge(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iter
 def with_hits(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with __text (null as empty) and __hits, an array of places with masks of the passages that go, or null.
 
-    Rows that agree in id and text are one document, as are rows with equal ids in that neither gives cause to remove
-    anything from the other.  A null id is smaller than all others.
+    Rows with equal ids never cause anything to be removed from each other, be their texts equal or not.  A null id is
+    smaller than all others.
     """
     t = text_of(df, text)
     ids = F.coalesce(df[id_col].cast("bigint"), F.lit(-(1 << 63)))
@@ -417,12 +417,17 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 def trim(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without the characters all of whose bytes ``removed`` takes, and without rows that have no text left but
-    had some; all other columns stay."""
-    marked = with_hits(df, id_col, text)
+    had some; all other columns stay, whatever they are called.
+
+    Null and empty texts stay as they are.  A null id is smaller than all others.  Repeated rows are trimmed alike.  An
+    empty table gives no rows."""
     rest = [c for c in df.columns if c != text]
-    src = marked.select(*rest, F.col(text).alias("__old"), "__text", "__hits")
-    schema = T.StructType([*df.select(*rest).schema.fields, T.StructField(text, T.StringType())])
-    n = len(rest)
+    # all other columns are one, whatever they are called
+    row = F.struct(F.lit(True).alias("_"), *(df[c].alias(f"c{i}") for i, c in enumerate(rest)))
+    marked = with_hits(df.select(row.alias("row"), df[id_col].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text")))
+    src = marked.select("row", F.col("text").alias("old"), "__text", "__hits")
+    schema = T.StructType([*src.select("row").schema.fields, T.StructField("text", T.StringType())])
+    n = 1
 
     def run(batches):
         for b in batches:
@@ -442,4 +447,5 @@ def trim(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
             cols = [c.take(pa.array(stay, pa.int64())) for c in b.columns[:n]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string())], schema.names)
 
-    return src.mapInArrow(run, schema).select(df.columns)
+    out = src.mapInArrow(run, schema)
+    return out.select(*((F.col("text") if c == text else F.col("row").getField(f"c{rest.index(c)}")).alias(c) for c in df.columns))
