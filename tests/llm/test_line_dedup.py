@@ -83,3 +83,26 @@ def test_query_is_registered(spark, sf):
 
     out = __spark_entry__.queries()["op7_line_dedup"](spark, sf)
     assert out.filter("kept").count() < out.count()
+
+
+def test_lines_at_the_limit_are_settled_by_shingles(spark, monkeypatch):
+    """With hashes of so few bits that many agree, links at the limit are those of the shingles."""
+    import numpy as np
+
+    from tallyfield.llm import line_dedup as ld
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    lines = []
+    for _ in range(40):
+        x = "".join(rng.choice(letters, 60)).strip()
+        y = list(x)
+        for k in rng.choice(len(y), rng.integers(0, 3), replace=False):
+            y[k] = "#"
+        lines += [x, "".join(y)]
+    shingles = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    want = [100 * len(shingles(a) & shingles(b)) >= 80 * len(shingles(a) | shingles(b)) for a, b in zip(lines[::2], lines[1::2])]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "node long, text string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(40)], "a long, b long")
+    got = {r.a // 2 for r in ld._verified(texts, 80)(pairs).collect()}
+    assert got == {i for i, ok in enumerate(want) if ok} and 0 < len(got) < 40

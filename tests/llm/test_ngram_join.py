@@ -94,3 +94,64 @@ def test_large_near_group_and_keep_one(spark):
     kept = keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1000, 1001, 1002]
+
+
+def test_pairs_at_the_limit_are_settled_by_whole_hashes(spark, monkeypatch):
+    """With hashes cut to one byte many n-grams agree by chance; links are as without a cut."""
+    import random
+
+    from tallyfield.llm import ngram_join as nj
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(4)]
+    rows = []
+    for k in range(40):
+        w = list(base[k % 4])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(40)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = {k: {tuple(t.split()[i : i + 3]) for i in range(38)} for k, t in rows}
+    up = {k: k for k in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for margin in (3, 1000):  # the second: every pair is compared by whole hashes
+        monkeypatch.setattr(nj, "MARGIN", margin)
+        assert {r.doc_id: r.component_id for r in nj.linked(df, size=3, percent=80).collect()} == {k: root(k) for k in sets}
+
+
+def test_in_common_never_less_when_cut():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyfield.llm import ngram_join as nj
+
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        x, y = (np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64)) for _ in range(2))
+        y = np.unique(np.r_[y, x[:20]])
+        buf = lambda v, w: pa.py_buffer(nj.packed(v, w))
+        assert nj.in_common(buf(x, 8), buf(y, 8), 8) == (len(np.intersect1d(x, y)), len(x) + len(y))
+        for width in (1, 2, 5):
+            both, n = nj.in_common(buf(x, width), buf(y, width), width)
+            assert both >= len(np.intersect1d(x, y)) and n == len(x) + len(y)
+
+
+def test_keep_one_with_null_ids_repeats_and_empty_table(spark):
+    from tallyfield.llm.ngram_join import keep_one
+
+    near, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"x{k}" for k in range(60))
+    schema = "doc_id long, text string, __gone int, __th string"
+    rows = [(None, near, 1, "a"), (3, near + " more", 2, "b"), (5, near, 3, "c"), (5, near, 3, "c"), (None, other, 4, "d"), (None, other + " y", 5, "e"), (None, None, 6, "f"), (None, "", 7, "g"), (9, "short", 8, "h"), (9, "short", 8, "h")]
+    got = sorted(r["__gone"] for r in keep_one(spark.createDataFrame(rows, schema)).collect())
+    assert got == [2, 4, 5, 6, 7, 8, 8]
+    assert keep_one(spark.createDataFrame([], schema)).count() == 0

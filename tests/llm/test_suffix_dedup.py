@@ -100,3 +100,21 @@ def test_trim_keeps_characters_whole(spark):
     rows = [(1, "first " + shared, 1), (2, shared, 2), (3, "own é" + shared[1:] + " tail", 3), (4, None, 4), (5, "", 5)]
     out = {r.doc_id: r.text for r in trim(spark.createDataFrame(rows, "doc_id long, text string, __k int")).collect()}
     assert out == {1: rows[0][1], 3: "own é tail", 4: None, 5: ""}
+
+
+def test_trim_with_columns_of_internal_names(spark):
+    from tallyfield.llm.suffix_dedup import trim
+
+    passage = "this passage of more than fifty bytes stands in both of them."
+    names = ["doc_id", "text", "__hits", "__uid", "__text", "__old", "row", "old", "c0"]
+    rows = [(1, "a " + passage, 1, 2, 3, 4, 5, 6, 7), (2, "b " + passage + " c", 1, 2, 3, 4, 5, 6, 8), (3, None, 1, 2, 3, 4, 5, 6, 9), (4, passage, 0, 0, 0, 0, 0, 0, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names[2:]))
+    out = trim(df)
+    assert out.columns == names
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    # of " this passage ... them." document 1 has all but its place; what document 2 keeps is around it, and 4 has nothing left
+    assert got[1] == rows[0][1:] and got[3] == rows[2][1:] and 4 not in got
+    assert got[2][1:] == rows[1][2:] and got[2][0] == "b c"
+    assert trim(df.limit(0)).count() == 0
+    only = spark.createDataFrame([(1, passage), (2, passage)], "doc_id long, text string")
+    assert [tuple(r) for r in trim(only).collect()] == [(1, passage)]
