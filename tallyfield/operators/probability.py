@@ -34,43 +34,6 @@ def seeded_rating(elo: Column, seed: Column, games: Column, blend: float = 10.0)
     return w * elo + (1.0 - w) * F.coalesce(seed, elo)
 
 
-def score_grid(rates: DataFrame, rho: float = 0.0, most: int = 10) -> DataFrame:
-    """A row for each scoreline up to ``most`` of each row of rates (columns lam and mu): h, a and p, made to sum to 1.
-
-    The low scores are corrected by ``rho``.  The grid is exploded within the row, so nothing is joined or shuffled.
-    """
-    k = F.sequence(F.lit(0), F.lit(most))
-    cell = F.flatten(F.transform(k, lambda h: F.transform(k, lambda a: F.struct(h.alias("h"), a.alias("a")))))
-    tau = (
-        F.when((c("h") == 0) & (c("a") == 0), 1 - c("lam") * c("mu") * rho).when((c("h") == 0) & (c("a") == 1), 1 + c("lam") * rho)
-        .when((c("h") == 1) & (c("a") == 0), 1 + c("mu") * rho).when((c("h") == 1) & (c("a") == 1), 1 - F.lit(rho)).otherwise(1.0)
-    )
-    grid = rates.withColumn("g", F.explode(cell)).select("*", "g.h", "g.a").drop("g")
-    return grid.withColumn("p", F.greatest(F.lit(0.0), tau * f.poisson_pmf(c("h"), c("lam"), most) * f.poisson_pmf(c("a"), c("mu"), most)))
-
-
-def grid_outcomes(grid: DataFrame, key: str, top: int = 8) -> DataFrame:
-    """Of each grid the three outcomes, goal lines, both-score, clean sheets, expected goals and the likeliest scorelines
-    (ties in the grid's order)."""
-    total = F.sum("p")
-    part = lambda cond: (F.sum(F.when(cond, c("p")).otherwise(0.0)) / total)
-    goals = c("h") + c("a")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.floor(c("p") * 1e12)).alias("k"), "h", "a"))), 1, top)
-    out = grid.groupBy(key).agg(
-        part(c("h") > c("a")).alias("home"), part(c("h") == c("a")).alias("draw"), part(c("h") < c("a")).alias("away"),
-        part(goals > 1).alias("over15"), part(goals > 2).alias("over25"), part(goals > 3).alias("over35"),
-        part((c("h") > 0) & (c("a") > 0)).alias("both"), part(c("a") == 0).alias("clean_home"), part(c("h") == 0).alias("clean_away"),
-        (F.sum(c("p") * c("h")) / total).alias("exp_home"), (F.sum(c("p") * c("a")) / total).alias("exp_away"), best.alias("best"),
-    )
-    return out.withColumn("best", F.array_join(F.transform("best", lambda x: F.concat(x.h.cast("string"), F.lit("-"), x.a.cast("string"))), " "))
-
-
-def grid_cdf(grid: DataFrame, key: str) -> DataFrame:
-    """Running sums over each grid, row by row."""
-    run = F.sum("p").over(W.partitionBy(key).orderBy("h", "a"))
-    return grid.withColumn("cdf", run / F.sum("p").over(W.partitionBy(key)))
-
-
 def rank_prob(home: Column, away: Column, beta: float = 0.4, unranked: float = 500.0) -> Column:
     """The home side's chance by published ranks.  With one side unranked it is drawn to a half; without both null."""
     p = f.sigmoid(beta * (F.log(F.coalesce(away, F.lit(unranked))) - F.log(F.coalesce(home, F.lit(unranked)))))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions import scalars as f
 from tallyfield.operators import features as fe
 from tallyfield.operators.probability import blend, elo_probs
+from tallyfield.operators.scorelines import score_sums
 from tallyfield.operators.tables import shares_with_prior, trailing_baseline
 from tallyfield.plans import fits, logistic
 from tallyfield.plans.accuracy import simplex
@@ -92,27 +93,8 @@ def score_shares(fixtures: DataFrame, models: DataFrame, keys: list[str]) -> Dat
     league = models.groupBy(*keys).agg(*(F.first(x).alias(f"m_{x}") for x in ("base", "home", "rho")))
     x = fixtures.join(league, keys, "left").join(h, [*keys, "home"], "left").join(a, [*keys, "away"], "left").fillna(0.0, ["ah", "dh", "aa", "da"])
     lam, mu = F.exp(c("m_base") + c("ah") + c("da") + c("m_home")), F.exp(c("m_base") + c("aa") + c("dh"))
-    p = F.when(c("m_base").isNotNull(), grid_shares(lam, mu, c("m_rho")))
-    return x.withColumns({"lam": lam, "mu": mu, "rho": c("m_rho"), "dixon_coles": p}).drop("ah", "dh", "aa", "da", "m_base", "m_home", "m_rho")
-
-
-def grid_shares(lam, mu, rho, most: int = 10):
-    """[home, draw, away] of a grid of scores, summed within the row: an outcome's cells are products of two arrays."""
-    k = F.sequence(F.lit(0), F.lit(most))
-    fix = {(0, 0): 1 - lam * mu * rho, (0, 1): 1 + lam * rho, (1, 0): 1 + mu * rho, (1, 1): 1 - rho}
-
-    def sums(x):
-        plain = lambda keep: F.aggregate(x.h, F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s")), lambda z, p: F.struct((z.i + 1).alias("i"), (z.s + p * F.aggregate(keep(z.i), F.lit(0.0), lambda t, q: t + q)).alias("s")), lambda z: z.s)
-        part = {
-            "home": plain(lambda i: F.slice(x.a, F.lit(1), i)),
-            "draw": plain(lambda i: F.slice(x.a, i + 1, F.lit(1))),
-            "away": plain(lambda i: F.slice(x.a, i + 2, F.lit(most + 1))),
-        }
-        cell = lambda i, j: F.get(x.h, F.lit(i)) * F.get(x.a, F.lit(j))
-        low = {k: (F.greatest(F.lit(0.0), fix[k]) - 1.0) * cell(*k) for k in fix}
-        return f.normalise(F.array(part["home"] + low[1, 0], part["draw"] + low[0, 0] + low[1, 1], part["away"] + low[0, 1]))
-
-    return f.let(F.struct(F.transform(k, lambda i: f.poisson_pmf(i, lam, most)).alias("h"), F.transform(k, lambda i: f.poisson_pmf(i, mu, most)).alias("a")), sums)
+    p = f.let(score_sums(lam, mu, c("m_rho")), lambda s: F.array(s.home, s.draw, s.away))
+    return x.withColumns({"lam": lam, "mu": mu, "rho": c("m_rho"), "dixon_coles": F.when(c("m_base").isNotNull(), p)}).drop("ah", "dh", "aa", "da", "m_base", "m_home", "m_rho")
 
 
 def _baselines(matches: DataFrame) -> DataFrame:

@@ -23,18 +23,18 @@ def _created(s, d):
 
 def _put(s, d):
     e = p.table(s, d, "events").select("user_id", "event_type", F.unix_micros(c("ts").cast("timestamp")).alias("at"), F.when(c("event_id") % 3 > 0, c("value")).alias("value"), F.when(c("event_id") % 2 > 0, c("event_id")).alias("first"))
-    cur = e.groupBy("user_id", "event_type").agg(F.min("at").alias("at"), F.lit(None).cast("double").alias("value"), F.max("first").alias("first")).filter("user_id % 4 > 0")
+    cur = e.groupBy("user_id", "event_type").agg(F.min("at").alias("at"), F.lit(None).cast("double").alias("value"), F.max("first").alias("first")).filter("event_type <> 'purchase'")
     return r.put(cur, e, ["user_id", "event_type"], "at", ["first"])
 
 
 def _absent(s, d):
-    e = p.table(s, d, "events").select((c("user_id") % 40).alias("team"), F.concat(F.lit("http://n/"), c("event_id") % 500).alias("url"), "event_id")
-    return r.insert_absent(e.filter("event_id % 9 = 0"), e, ["url", "team"], "event_id")
+    e = p.table(s, d, "events").select((c("user_id") % 40).alias("team"), F.concat(F.lit("http://n/"), c("event_id") % 500).alias("url"), "event_id", "event_type")
+    return r.insert_absent(e.filter("event_type = 'view'"), e.drop("event_type"), ["url", "team"], "event_id")
 
 
 def _ids(s, d):
     cur = p.table(s, d, "supplier").select("s_suppkey", F.create_map(F.lit("a"), c("s_suppkey").cast("string"), F.lit("b"), c("s_nationkey").cast("string")).alias("ids"))
-    new = p.table(s, d, "supplier").filter("s_suppkey % 3 > 0").select("s_suppkey", F.create_map(F.lit("b"), F.concat(F.lit("x"), "s_suppkey"), F.lit("c"), c("s_nationkey").cast("string")).alias("ids"))
+    new = p.table(s, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", F.create_map(F.lit("b"), F.concat(F.lit("x"), "s_suppkey"), F.lit("c"), c("s_nationkey").cast("string")).alias("ids"))
     m = r.merged_ids(cur, new, "s_suppkey", "ids")
     return m.select("s_suppkey", *(c("ids")[k].alias(k) for k in "abc"))
 
@@ -47,7 +47,7 @@ def _picks(s, d):
     side = lambda k: F.element_at(F.array(F.lit("HOME"), F.lit("DRAW"), F.lit("AWAY")), (k % 3 + 1).cast("int"))
     m = p.matches(s, d)
     outcome = F.when(c("status") == "FINISHED", F.when(c("hs") > c("aws"), "HOME").when(c("hs") < c("aws"), "AWAY").otherwise("DRAW"))
-    return r.pick_accuracy(m.select("event_id", side(c("event_id")).alias("pick"), outcome.alias("outcome")), m.filter("event_id % 4 > 0").select("event_id", side(c("event_id") + c("home")).alias("favourite")))
+    return r.pick_accuracy(m.select("event_id", side(c("event_id")).alias("pick"), outcome.alias("outcome")), m.filter("season >= 1994").select("event_id", side(c("event_id") + c("home")).alias("favourite")))
 
 
 def _times(s, d):
@@ -126,14 +126,14 @@ ORACLE_SQL = {
       w AS (SELECT plain, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY plain) AS id FROM (SELECT DISTINCT plain FROM j WHERE entity IS NULL))
       SELECT c_custkey, CAST(coalesce(entity, id) AS BIGINT) AS entity, CASE WHEN entity IS NOT NULL THEN 1 END AS rule, entity IS NULL AS created FROM j LEFT JOIN w USING (plain)""",
     "rank_upsert": """WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS t, CASE WHEN event_id % 3 > 0 THEN value END AS value, CASE WHEN event_id % 2 > 0 THEN event_id END AS first FROM events),
-      a AS (SELECT user_id, event_type, min(t) AS t, max(first) AS first FROM e WHERE user_id % 4 > 0 GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t DESC) AS k FROM e) WHERE k = 1)
+      a AS (SELECT user_id, event_type, min(t) AS t, max(first) AS first FROM e WHERE event_type <> 'purchase' GROUP BY ALL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t DESC) AS k FROM e) WHERE k = 1)
       SELECT user_id, event_type, b.t AS "at", b.value, coalesce(a.first, b.first) AS first FROM b LEFT JOIN a USING (user_id, event_type)""",
-    "headlines_absent": """WITH e AS (SELECT user_id % 40 AS team, concat('http://n/', event_id % 500) AS url, event_id FROM events),
-      f AS (SELECT url, team, min(event_id) AS event_id FROM e GROUP BY ALL) SELECT team, url, event_id FROM f WHERE (url, team) NOT IN (SELECT (url, team) FROM e WHERE event_id % 9 = 0)""",
-    "provider_ids": """SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS a, CASE WHEN s_suppkey % 3 > 0 THEN concat('x', s_suppkey) ELSE CAST(s_nationkey AS VARCHAR) END AS b, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS c FROM supplier""",
+    "headlines_absent": """WITH e AS (SELECT user_id % 40 AS team, concat('http://n/', event_id % 500) AS url, event_id, event_type FROM events),
+      f AS (SELECT url, team, min(event_id) AS event_id FROM e GROUP BY ALL) SELECT team, url, event_id FROM f WHERE (url, team) NOT IN (SELECT (url, team) FROM e WHERE event_type = 'view')""",
+    "provider_ids": """SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS a, CASE WHEN s_acctbal > 0 THEN concat('x', s_suppkey) ELSE CAST(s_nationkey AS VARCHAR) END AS b, CASE WHEN s_acctbal > 0 THEN CAST(s_nationkey AS VARCHAR) END AS c FROM supplier""",
     "job_tally": """WITH x AS (SELECT user_id, event_type, value < CASE user_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 5 ELSE -1 END AS ok FROM events), y AS (SELECT user_id, event_type, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS failed FROM x GROUP BY ALL)
       SELECT *, CASE WHEN failed = 0 THEN 'OK' WHEN good > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS state FROM y""",
-    "pick_accuracy": with_sql("matches", f""", x AS (SELECT {_SIDE.format("event_id")} AS pick, CASE WHEN hs > aws THEN 'HOME' WHEN hs < aws THEN 'AWAY' ELSE 'DRAW' END AS o, CASE WHEN event_id % 4 > 0 THEN {_SIDE.format("event_id + home")} END AS fav FROM matches WHERE status = 'FINISHED')
+    "pick_accuracy": with_sql("matches", f""", x AS (SELECT {_SIDE.format("event_id")} AS pick, CASE WHEN hs > aws THEN 'HOME' WHEN hs < aws THEN 'AWAY' ELSE 'DRAW' END AS o, CASE WHEN season >= 1994 THEN {_SIDE.format("event_id + home")} END AS fav FROM matches WHERE status = 'FINISHED')
       SELECT count(*) AS n, count(*) FILTER (pick = o) AS right, count(fav) AS model_n, count(*) FILTER (fav = o) AS model_right FROM x"""),
     "wall_times": f"""WITH e AS (SELECT event_id, CAST(ts AS TIMESTAMP) + to_days(CAST(event_id % 400 AS INT)) AS t FROM events), l AS (SELECT *, timezone('{ZONE}', timezone('UTC', t)) AS w FROM e),
         m AS (SELECT *, CAST(date_trunc('month', w) AS TIMESTAMP) AS b FROM l), {_twice("g", "m", "t", "t1")}, {_twice("h", "g", "b", "b1")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfield.functions import replies
 from tallyfield.operators import serve as sv
 from tallyfield.operators.settings import overlay
 from tallyfield.queries import forecasts as fo
@@ -70,9 +71,29 @@ def _overlay(s, d):
     return x.select("sport", "comp", "model", "enabled", "weight", "state", "fitted_at", "specific", shown.alias("params"))
 
 
-QUERIES = {"race_seasons": _race_seasons, "archive_rates": _archive_rates, "settings_overlay": _overlay}
+def _replies(s, d):
+    """How many replies are refused for what: each event's is made with the faults its numbers give it."""
+    i, v = c("event_id"), c("value")
+    factor = F.struct(F.lit("rest").alias("key"), F.lit("Rest").alias("label"), F.when(i % 7 == 0, "much").otherwise((i % 40 - 20).cast("string")).alias("effect"), F.when(i % 5 == 0, "sure").otherwise("low").alias("confidence"), F.lit("n").alias("note"))
+    text = F.to_json(F.struct(
+        F.when(i % 11 > 0, c("event_type")).alias("narrative"), F.array_repeat(factor, (i % 10).cast("int")).alias("factors"), F.array(F.struct(F.when(i % 3 > 0, "HOME").alias("side"), F.lit("P").alias("player"), F.lit("key").alias("importance"))).alias("absences"),
+        F.when(i % 2 == 0, F.struct(F.floor(v).alias("HOME"), F.lit(0.5).alias("AWAY"))).alias("probabilities"), F.lit("high").alias("confidence"),
+    ))
+    text = F.regexp_replace(text, r'"effect":"(-?\d+)"', '"effect":$1')
+    text = F.when(i % 13 == 0, F.substring(text, 1, 20)).when(i % 4 == 0, F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```"))).otherwise(text)
+    why = p.table(s, d, "events").select("event_id", replies.refusals(text).alias("why"))
+    return why.select(F.explode(F.when(F.size("why") == 0, F.array(F.lit("none"))).otherwise(c("why"))).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"reply_checks": _replies, "race_seasons": _race_seasons, "archive_rates": _archive_rates, "settings_overlay": _overlay}
 
 ORACLE_SQL = {
+    "reply_checks": """WITH x AS (SELECT event_id AS i, floor(value) AS h, event_id % 10 AS f FROM events),
+        r AS (SELECT CASE WHEN i % 13 = 0 THEN ['no object'] ELSE list_filter([
+            CASE WHEN i % 11 = 0 THEN 'narrative: missing' END, CASE WHEN f > 8 THEN 'factors: too many' END,
+            CASE WHEN f > 0 AND i % 7 = 0 THEN 'factors[].effect: no number' WHEN f > 0 AND abs(i % 40 - 20) > 16 THEN 'factors[].effect: out of range' END, CASE WHEN f > 0 AND i % 5 = 0 THEN 'factors[].confidence: unknown word' END,
+            CASE WHEN i % 3 = 0 THEN 'absences[].side: missing' END, CASE WHEN i % 2 = 0 AND (h < 0 OR h > 1) THEN 'probabilities.HOME: out of range' END], lambda z: z IS NOT NULL) END AS why FROM x)
+      SELECT unnest(CASE WHEN len(why) = 0 THEN ['none'] ELSE why END) AS reason, count(*) AS n FROM r GROUP BY 1""",
     "race_seasons": with_sql("races", """, st AS (SELECT season, team FROM (SELECT *, max(month) FILTER (month <= 8) OVER (PARTITION BY season) AS last FROM races) WHERE month = last OR last IS NULL GROUP BY ALL),
         ro AS (SELECT DISTINCT season, month FROM races)
       SELECT CAST(season AS VARCHAR) AS season, month AS round, 'FINISHED' AS status, 'd' || team AS driver, CASE WHEN position * 7 % 25 > 0 THEN position * 7 % 25 END AS grid, position, CAST(greatest(0, 11 - position) AS DOUBLE) AS points, CASE WHEN position <= 20 THEN 'Finished' ELSE 'Engine' END AS note FROM races WHERE month <= 8

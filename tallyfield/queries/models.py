@@ -69,13 +69,18 @@ def _stream_counts(s, d):
 
 
 def _stream_ratings(s, d):
-    """Season by season: each one's files are a batch of the stream, which goes on from the state of the one before."""
-    folder, out = folder(s, "matches"), folder(s, "ratings")
+    """Season by season: each one's files arrive as a batch of the stream, which goes on from the state of the one before.  The
+    matches are read and written once, a folder a season; a season arrives by its folder being moved."""
+    waiting, source, out = folder(s, "waiting"), folder(s, "matches"), folder(s, "ratings")
     m = p.matches(s, d).filter("status = 'FINISHED'")
-    table = None
-    for season in sorted(r.season for r in m.select("season").distinct().collect()):  # a row for each year
-        m.filter(c("season") == season).write.mode("append").parquet(folder)
-        table = results.run_to_end(results.ratings(results.stream(s, folder, "*.parquet")), out, "update")
+    m.repartition("season").write.partitionBy("season").parquet(waiting)
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(waiting).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(source))
+    schema, table = m.select(*(x for x in m.columns if x != "season"), "season").schema, None
+    for name in sorted(x.getPath().getName() for x in fs.listStatus(path(waiting)) if x.isDirectory()):  # a folder for each year
+        fs.rename(path(f"{waiting}/{name}"), path(f"{source}/{name}"))
+        table = results.run_to_end(results.ratings(s.readStream.schema(schema).parquet(source)), out, "update")
     return table if table is not None else s.createDataFrame([], "comp int, team int, rating double, day int, batch int")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import scalars as f
 from tallyfield.operators import probability as o
+from tallyfield.operators import scorelines as sl
 from tallyfield.operators import tables as t
+from tallyfield.plans import fits
 from tallyfield.sources import projections as p
 from tallyfield.sources.projections import rounded, rsql, with_sql
 
@@ -29,13 +31,26 @@ def _rates(s, d):
 
 
 def _grid(s, d):
-    g = o.grid_outcomes(o.score_grid(_rates(s, d), -0.13), "id")
-    return g.withColumns({n: rounded(c(n)) for n in g.columns if n not in ("id", "best")})
+    rho = F.lit(-0.13)
+    x = _rates(s, d).select("id", sl.score_sums(c("lam"), c("mu"), rho).alias("x"), sl.likeliest(sl.score_cells(c("lam"), c("mu"), rho)).alias("best"))
+    names = ("home", "draw", "away", "over15", "over25", "over35", "both", "clean_home", "clean_away", "exp_home", "exp_away")
+    text = F.array_join(F.transform("best", lambda y: F.concat(y.h.cast("string"), F.lit("-"), y.a.cast("string"))), " ")
+    return x.select("id", *(rounded(c("x")[n]).alias(n) for n in names), text.alias("best"))
 
 
 def _cdf(s, d):
-    g = o.grid_cdf(o.score_grid(_rates(s, d), -0.13), "id")
-    return g.select("id", "h", "a", rounded(c("cdf")).alias("cdf"))
+    x = _rates(s, d).select("id", F.posexplode(fits.score_cdf(c("lam"), c("mu"), F.lit(-0.13), sl.MOST)).alias("k", "cdf"))
+    return x.select("id", F.floor(c("k") / (sl.MOST + 1)).cast("int").alias("h"), (c("k") % (sl.MOST + 1)).alias("a"), rounded(c("cdf")).alias("cdf"))
+
+
+def _score_documents(s, d):
+    """Score forecasts as they are stored: the likeliest scoreline, lines and the small grid's corners and sum."""
+    x = _rates(s, d).select("id", sl.score_forecast(c("lam"), c("mu"), F.lit(-0.13)).alias("x"))
+    cells = F.flatten("x.grid")
+    return x.select(
+        "id", c("x.expected_home").alias("exp_home"), c("x.expected_away").alias("exp_away"), c("x.likeliest.h").alias("h"), c("x.likeliest.a").alias("a"), c("x.likeliest.p").alias("p"), c("x.lines.over25").alias("over25"), c("x.lines.both").alias("both"),
+        F.size("x.top").alias("named"), F.get(F.get("x.grid", F.lit(0)), F.lit(5)).alias("g05"), F.get(F.get("x.grid", F.lit(5)), F.lit(0)).alias("g50"), rounded(F.aggregate(cells, F.lit(0.0), lambda t, v: t + v)).alias("shown"),
+    )
 
 
 def _ranks(s, d):
@@ -90,7 +105,7 @@ def _pace(s, d):
 
 
 def _names(s, d):
-    x = p.table(s, d, "documents").select("doc_id", F.substring_index(F.regexp_replace("text", "\n", " "), " ", 3).alias("n")).filter("n is not null")
+    x = p.table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("n")).filter("n is not null")
     x = x.withColumn("n", F.concat(F.when(c("doc_id") % 3 == 0, "FC ").otherwise(""), c("n"), F.when(c("doc_id") % 4 == 0, " & Club").otherwise("")))
     return x.select("doc_id", f.normalise_name(c("n")).alias("name"), f.slug(c("n")).alias("slug"))
 
@@ -109,7 +124,7 @@ def _functions(s, d):
 
 
 QUERIES = {
-    "elo_probs": _elo, "score_grid": _grid, "grid_cdf": _cdf, "rank_probs": _ranks, "match_of_set": _sets, "blend": _blend, "shift_home": _shift,
+    "elo_probs": _elo, "score_grid": _grid, "grid_cdf": _cdf, "score_documents": _score_documents, "rank_probs": _ranks, "match_of_set": _sets, "blend": _blend, "shift_home": _shift,
     "capped_effects": _caps, "odds_consensus": lambda s, d: o.consensus(p.odds(s, d)), "margin_model": _margins, "stat_rates": _stat_rates, "race_pace": _pace,
     "names": _names, "codes": _codes, "functions": _functions,
     "outcome_labels": lambda s, d: p.matches(s, d).select("event_id", t.outcome().alias("outcome")),
@@ -154,6 +169,10 @@ ORACLE_SQL = {
       {_share("h + a > 3", "over35")}, {_share("h > 0 AND a > 0", "both")}, {_share("a = 0", "clean_home")}, {_share("h = 0", "clean_away")},
       {rsql("sum(p * h) / sum(p)")} AS exp_home, {rsql("sum(p * a) / sum(p)")} AS exp_away,
       array_to_string(list_slice(list(concat(h, '-', a) ORDER BY -floor(p * 1000000000000.0::DOUBLE), h, a), 1, 8), ' ') AS best FROM grid GROUP BY id""",
+    "score_documents": _GRID + f""", n AS (SELECT *, p / sum(p) OVER (PARTITION BY id) AS q, floor(p * 1000000000000.0::DOUBLE) AS k FROM grid), r AS (SELECT id, floor(lam * 100 + 0.5::DOUBLE) / 100 AS exp_home, floor(mu * 100 + 0.5::DOUBLE) / 100 AS exp_away FROM rates),
+      t AS (SELECT *, floor(q * 10000 + 0.5::DOUBLE) / 10000 AS f FROM n)
+      SELECT t.id, any_value(exp_home) AS exp_home, any_value(exp_away) AS exp_away, arg_min(h, (-k, h, a)) AS h, arg_min(a, (-k, h, a)) AS a, arg_min(f, (-k, h, a)) AS p, floor(sum(q) FILTER (h + a > 2) * 10000 + 0.5::DOUBLE) / 10000 AS over25, floor(sum(q) FILTER (h > 0 AND a > 0) * 10000 + 0.5::DOUBLE) / 10000 AS both,
+        8 AS named, max(f) FILTER (h = 0 AND a = 5) AS g05, max(f) FILTER (h = 5 AND a = 0) AS g50, {rsql("sum(f) FILTER (h < 6 AND a < 6)")} AS shown FROM t JOIN r ON r.id = t.id GROUP BY t.id""",
     "grid_cdf": _GRID + f"SELECT id, h, a, {rsql('sum(p) OVER (PARTITION BY id ORDER BY h, a) / sum(p) OVER (PARTITION BY id)')} AS cdf FROM grid",
     "rank_probs": f"""WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN 1 + o_custkey % 300 END AS rh, CASE WHEN o_orderkey % 5 > 0 THEN 1 + o_orderkey % 400 END AS ra FROM orders),
       y AS (SELECT *, {_logit("0.4::DOUBLE * (ln(coalesce(ra, 500)::DOUBLE) - ln(coalesce(rh, 500)::DOUBLE))")} AS q FROM x)
@@ -190,7 +209,7 @@ ORACLE_SQL = {
     "race_pace": with_sql("races", f""", r AS (SELECT *, position > 20 AS dnf, exp(-0.02::DOUBLE * greatest(1999 * 12 + 1 - (season * 12 + month), 0)) AS w FROM races)
       SELECT team, {rsql("(coalesce(sum(w * greatest(1, 21 - position)) FILTER (NOT dnf), 0) + 16) / (coalesce(sum(w) FILTER (NOT dnf), 0) + 2)")} AS pace,
         {rsql("least(0.5::DOUBLE, (coalesce(sum(w) FILTER (dnf), 0) + 0.24::DOUBLE) / (sum(w) + 2))")} AS dnf FROM r GROUP BY team"""),
-    "names": """WITH x AS (SELECT doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 3), ' ') AS n FROM documents),
+    "names": """WITH x AS (SELECT doc_id, replace(text, chr(10), ' ') AS n FROM documents),
       y AS (SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN 'FC ' ELSE '' END, n, CASE WHEN doc_id % 4 = 0 THEN ' & Club' ELSE '' END) AS n FROM x WHERE n IS NOT NULL),
       z AS (SELECT doc_id, n, trim(regexp_replace(replace(strip_accents(lower(n)), '&', ' and '), '[^a-z0-9'']+', ' ', 'g')) AS b FROM y),
       k AS (SELECT *, list_filter(string_split(b, ' '), lambda w: w NOT IN ('', """ + ", ".join(f"'{w}'" for w in f.STOP_WORDS) + """)) AS kept FROM z)

@@ -25,21 +25,24 @@ def _odds_as_of(s, d):
 
 
 def _nearest(s, d):
+    """Each match that is not over, and the nearest one of its pairing that is."""
     m = p.matches(s, d)
-    x = m.select("home", "away", (c("day") + c("event_id") % 3).alias("day"), c("event_id").alias("ref")).filter("ref % 2 = 0")
-    return r.nearest(x, m.filter("event_id % 2 = 1"), ["home", "away"], "day", "day", "event_id", 40).select("ref", "match")
+    x = m.filter("status <> 'FINISHED'").select("home", "away", (c("day") + c("event_id") % 3).alias("day"), c("event_id").alias("ref"))
+    return r.nearest(x, m.filter("status = 'FINISHED'"), ["home", "away"], "day", "day", "event_id", 40).select("ref", "match")
 
 
 def _upsert(s, d):
-    m = p.matches(s, d).select((c("event_id") % 6000).alias("key"), "event_id", "status", c("day").alias("at"), F.when(c("hs") > 0, c("hs")).alias("score"))
-    cur = m.filter("event_id < 6000").drop("event_id")
-    return r.upsert(cur, m.filter("event_id >= 5500").withColumn("at", c("at") * 20000 + c("event_id")).drop("event_id"), "key", "at")
+    """Of each pairing's season the first match as it stands, and all matches as reports on it."""
+    key = (c("home") * 25 + c("away")) * 10_000 + c("season")
+    m = p.matches(s, d).select(key.alias("key"), "event_id", "status", c("day").cast("bigint").alias("at"), F.when(c("hs") > 0, c("hs")).alias("score"))
+    cur = m.groupBy("key").agg(F.min_by(F.struct("status", "at", "score"), "event_id").alias("x")).select("key", "x.*")
+    return r.upsert(cur, m.withColumn("at", c("at") * 10_000_000 + c("event_id")).drop("event_id"), "key", "at")
 
 
 def _injuries(s, d):
-    cu = p.table(s, d, "customer").select(c("c_name").alias("player"), c("c_nationkey").alias("team"), "c_custkey", c("c_mktsegment").alias("state"))
-    listed = cu.filter("c_custkey % 4 < 3").withColumn("player", F.upper("player")).withColumn("state", F.when(c("c_custkey") % 5 == 0, "OUT").otherwise(c("state")))
-    return r.reconcile(cu.filter("c_custkey % 3 < 2"), listed, ["player", "team"], "state", F.lit(20_000))
+    cu = p.table(s, d, "customer").select(c("c_name").alias("player"), c("c_nationkey").alias("team"), "c_acctbal", c("c_mktsegment").alias("state"))
+    listed = cu.filter("c_acctbal >= 0").withColumn("player", F.upper("player")).withColumn("state", F.when(c("c_acctbal") > 8000, "OUT").otherwise(c("state")))
+    return r.reconcile(cu.filter("c_acctbal < 5000"), listed, ["player", "team"], "state", F.lit(20_000))
 
 
 def _resolve(s, d):
@@ -56,8 +59,8 @@ def _merge(s, d):
 
 def _next(s, d):
     e = p.table(s, d, "events").select("user_id", "event_id")
-    old = e.filter("event_id < 5000").groupBy("user_id").agg(F.count("*").alias("version"))
-    return r.next_versions(old, e.filter("event_id >= 5000"), "user_id", "event_id")
+    old = p.table(s, d, "orders").groupBy(c("o_custkey").alias("user_id")).agg(F.count("*").alias("version"))
+    return r.next_versions(old, e, "user_id", "event_id")
 
 
 def _props(s, d):
@@ -105,18 +108,18 @@ ORACLE_SQL = {
     "odds_as_of": """WITH l AS (SELECT * FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, arg_max(event_id, event_id) AS view_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY ALL)
       SELECT event_id, CASE WHEN r.ts >= l.ts - INTERVAL 3 DAY THEN r.view_id END AS view_id, CASE WHEN r.ts >= l.ts - INTERVAL 3 DAY THEN r.value END AS value
       FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""",
-    "nearest_event": with_sql("matches", """, x AS (SELECT home, away, day + event_id % 3 AS day, event_id AS ref FROM matches WHERE event_id % 2 = 0),
+    "nearest_event": with_sql("matches", """, x AS (SELECT home, away, day + event_id % 3 AS day, event_id AS ref FROM matches WHERE status <> 'FINISHED'),
       j AS (SELECT x.ref, m.event_id, row_number() OVER (PARTITION BY x.ref ORDER BY abs(x.day - m.day), m.event_id) AS k FROM x JOIN matches m
-            ON m.home = x.home AND m.away = x.away AND m.event_id % 2 = 1 AND abs(x.day - m.day) <= 40)
+            ON m.home = x.home AND m.away = x.away AND m.status = 'FINISHED' AND abs(x.day - m.day) <= 40)
       SELECT x.ref, j.event_id AS match FROM x LEFT JOIN j ON j.ref = x.ref AND j.k = 1"""),
-    "event_upsert": with_sql("matches", f""", m AS (SELECT event_id % 6000 AS key, event_id, status, day AS d, CASE WHEN hs > 0 THEN hs END AS score FROM matches),
-      a AS (SELECT * FROM m WHERE event_id < 6000), i AS (SELECT *, CAST(d AS BIGINT) * 20000 + event_id AS t FROM m WHERE event_id >= 5500),
+    "event_upsert": with_sql("matches", f""", m AS (SELECT (home * 25 + away) * 10000 + season AS key, event_id, status, day AS d, CASE WHEN hs > 0 THEN hs END AS score FROM matches),
+      a AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id) = 1), i AS (SELECT *, CAST(d AS BIGINT) * 10000000 + event_id AS t FROM m),
       b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, status DESC) AS k FROM i) WHERE k = 1),
       j AS (SELECT coalesce(a.key, b.key) AS key, a.status AS sa, b.status AS sb, CAST(a.d AS BIGINT) AS ta, CAST(b.t AS BIGINT) AS tb, a.score AS ca, b.score AS cb,
         b.key IS NOT NULL AND (a.key IS NULL OR NOT (b.status = 'SCHEDULED' AND {_RANK.format('a.status')} > 1)) AS take FROM a FULL JOIN b ON a.key = b.key)
       SELECT key, CASE WHEN take THEN coalesce(sb, sa) ELSE sa END AS status, CASE WHEN take THEN coalesce(tb, ta) ELSE ta END AS "at", CASE WHEN take THEN coalesce(cb, ca) ELSE ca END AS score FROM j"""),
-    "injury_reconcile": """WITH a AS (SELECT lower(c_name) AS player, CAST(c_nationkey AS VARCHAR) AS team, c_mktsegment AS old FROM customer WHERE c_custkey % 3 < 2),
-      b AS (SELECT lower(c_name) AS player, CAST(c_nationkey AS VARCHAR) AS team, CASE WHEN c_custkey % 5 = 0 THEN 'OUT' ELSE c_mktsegment END AS new FROM customer WHERE c_custkey % 4 < 3)
+    "injury_reconcile": """WITH a AS (SELECT lower(c_name) AS player, CAST(c_nationkey AS VARCHAR) AS team, c_mktsegment AS old FROM customer WHERE c_acctbal < 5000),
+      b AS (SELECT lower(c_name) AS player, CAST(c_nationkey AS VARCHAR) AS team, CASE WHEN c_acctbal > 8000 THEN 'OUT' ELSE c_mktsegment END AS new FROM customer WHERE c_acctbal >= 0)
       SELECT coalesce(a.player, b.player) AS player, coalesce(a.team, b.team) AS team, coalesce(new, old) AS state,
         CASE WHEN b.player IS NULL THEN 'resolved' WHEN a.player IS NULL THEN 'opened' ELSE 'updated' END AS action, CASE WHEN b.player IS NULL THEN 20000 END AS resolved_at
       FROM a FULL JOIN b ON a.player = b.player AND a.team = b.team""",
@@ -125,8 +128,8 @@ ORACLE_SQL = {
       SELECT o_orderkey, coalesce(a.c_custkey, k.entity) AS entity, CASE WHEN a.c_custkey IS NOT NULL THEN 1 WHEN k.entity IS NOT NULL THEN 2 END AS rule
       FROM n LEFT JOIN customer a ON a.c_custkey = ext AND a.c_custkey % 4 > 0 LEFT JOIN k ON k.c_name = n.name""",
     "merge_teams": with_sql("matches", """SELECT CASE WHEN home % 3 = 1 THEN home - 1 ELSE home END AS home, CASE WHEN away % 3 = 1 THEN away - 1 ELSE away END AS away, count(*) AS count FROM matches GROUP BY ALL"""),
-    "next_versions": """WITH o AS (SELECT user_id, count(*) AS n FROM events WHERE event_id < 5000 GROUP BY user_id)
-      SELECT e.user_id, event_id, coalesce(n, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY event_id) AS version FROM events e LEFT JOIN o ON o.user_id = e.user_id WHERE event_id >= 5000""",
+    "next_versions": """WITH o AS (SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY 1)
+      SELECT e.user_id, event_id, coalesce(n, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY event_id) AS version FROM events e LEFT JOIN o ON o.user_id = e.user_id""",
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(len(json_keys(props)) AS INT) AS n, json_extract_string(props, '$.none') IS NULL AS none FROM events",
     "dropped_entrants": with_sql("races", "SELECT season, month, team, position FROM races WHERE position > 20"),
     "events_without_stats": with_sql("matches match_stats", "SELECT event_id, status FROM matches WHERE event_id NOT IN (SELECT event_id FROM match_stats GROUP BY event_id HAVING count(*) >= 2)"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import scalars as f
 from tallyfield.operators import probability as o
+from tallyfield.operators import scorelines as sl
 from tallyfield.operators import records as r
 from tallyfield.operators import tables as t
 from tallyfield.plans import accuracy, fits
@@ -50,8 +51,20 @@ def test_probabilities(spark):
 
 @pytest.mark.parametrize(("lam", "mu", "rho", "want"), [(2.0, 0.8, 0.0, (0.654427, 0.204683, 0.140889)), (1.4, 1.1, -0.13, (0.421609, 0.299212, 0.279179))])
 def test_score_grid(spark, lam, mu, rho, want):
-    g = o.grid_outcomes(o.score_grid(spark.range(1).select("id", F.lit(lam).alias("lam"), F.lit(mu).alias("mu")), rho), "id").first()
+    rates = F.lit(lam), F.lit(mu), F.lit(rho)
+    row = spark.range(1).select(sl.score_sums(*rates).alias("s"), sl.score_cells(*rates).alias("c"), sl.score_forecast(*rates).alias("f")).first()
+    g, p = row.s, {(x.h, x.a): x.p for x in row.c}
     assert np.allclose((g.home, g.draw, g.away), want, atol=2e-6)
+    total = sum(p.values())
+    part = lambda keep: sum(v for k, v in p.items() if keep(*k)) / total
+    assert math.isclose(g.total, total) and len(p) == 121
+    for name, keep in {"over15": lambda h, a: h + a > 1, "over25": lambda h, a: h + a > 2, "over35": lambda h, a: h + a > 3, "both": lambda h, a: h * a > 0, "clean_home": lambda h, a: a == 0, "clean_away": lambda h, a: h == 0}.items():
+        assert math.isclose(g[name], part(keep), abs_tol=1e-12), name
+    assert math.isclose(g.exp_home, sum(h * v for (h, _), v in p.items()) / total) and math.isclose(g.exp_away, sum(a * v for (_, a), v in p.items()) / total)
+    f4 = lambda v: math.floor(v * 1e4 + 0.5) / 1e4
+    best = sorted(p, key=lambda k: (-math.floor(p[k] * 1e12), k))[:8]
+    assert [tuple(x) for x in row.f.top] == [(*k, f4(p[k] / total)) for k in best] and tuple(row.f.likeliest)[:2] == best[0]
+    assert row.f.grid == [[f4(p[h, a] / total) for a in range(6)] for h in range(6)] and row.f.lines.over25 == f4(g.over25)
 
 
 def test_names(spark):
