@@ -2,7 +2,9 @@
 
 Each rule looks at a document's figures and votes good (+1), junk (-1) or abstains (0).  No rule is trusted as it
 stands: expectation-maximisation over the patterns of votes estimates each rule's accuracies and the share of good
-documents, and a document's posterior probability of being good replaces "all rules must pass".
+documents, and a document's posterior probability of being good replaces "all rules must pass".  Rules that mark
+different traits of the same junk bear each other out, and a rule that calls documents junk which no other does
+turns out to be wrong about them.
 
 Votes of R rules make at most 3**R patterns, so the counts that EM needs are at most that many rows for any input;
 only these reach the driver, and the posterior of each pattern goes back as a broadcast of the same bound.  Documents
@@ -26,9 +28,6 @@ from tallyfield.llm.words import release, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: The least and the largest share of good documents, of those that a rule votes on, that it calls junk.  The rules' limits
-#: are set so wide that good documents hardly reach them.
-ERRORS, MOST_ERRORS = 0.005, 0.01
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 ADDED = ("base_failed", "kept", "posterior", "__votes", "__text")
@@ -94,19 +93,23 @@ def base_failed() -> Column:
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
-    """name: (when it votes junk, when it votes good); neither: it abstains."""
+    """name: (when it votes junk, when it votes good); neither: it abstains.
+
+    Limits are set so that each rule calls between one in a hundred and one in five documents junk, whether it is right or
+    not: how often it is, is for the votes of all rules to tell."""
     c = F.col
     share = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
-    length = share("word_chars", "n_words")
+    length, upper = share("word_chars", "n_words"), share("n_upper", "n_letters")
     return {
         "symbols": (share("n_symbols", "word_chars") > 0.03, share("n_symbols", "word_chars") < 0.005),
-        "upper": (share("n_upper", "n_letters") > 0.3, share("n_upper", "n_letters") < 0.1),
-        "repeats": (share("n_repeat_words", "n_words") > 0.3, share("n_repeat_words", "n_words") < 0.1),
-        "lines": (share("n_dup_lines", "n_words") > 0.02, c("n_dup_lines") == 0),
-        "stutter": (share("n_twice", "n_words") > 0.1, share("n_twice", "n_words") < 0.04),
-        "variety": (share("n_distinct", "n_words") * F.sqrt("n_words") < 3.0, share("n_distinct", "n_words") * F.sqrt("n_words") > 5.0),
-        "sentences": (share("n_ends", "n_words") < 0.005, share("n_ends", "n_words").between(0.02, 0.4)),
-        "word_length": (~length.between(2.5, 12.0), length.between(3.5, 9.0)),
+        "letters": (share("n_letters", "word_chars") < 0.92, share("n_letters", "word_chars") > 0.95),
+        "word_length": (~length.between(4.4, 6.5), length.between(4.55, 6.0)),
+        "sentences": (share("n_ends", "n_words") < 0.035, share("n_ends", "n_words").between(0.05, 0.3)),
+        "variety": (share("n_distinct", "n_words") < 0.6, share("n_distinct", "n_words") > 0.68),
+        "repeats": (share("n_repeat_words", "n_words") > 0.07, share("n_repeat_words", "n_words") < 0.03),
+        "lines": (share("n_dup_lines", "n_words") > 0.005, c("n_dup_lines") == 0),
+        "stutter": (share("n_twice", "n_words") > 0.02, share("n_twice", "n_words") < 0.012),
+        "upper": (~upper.between(0.009, 0.03), upper.between(0.011, 0.026)),
     }
 
 
@@ -143,12 +146,10 @@ def votes_of(patterns: np.ndarray, n_rules: int) -> tuple[np.ndarray, np.ndarray
 def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 500) -> Model:
     """The model of vote patterns, of which there are so many documents each, by EM.
 
-    It starts from all-must-pass: a document with a vote for junk is junk with a chance of 0.9, any other good.  Each rule
-    has an accuracy for either class, since a rule that knows one kind of junk says "good" of all other kinds, and its good
-    vote must then count for nothing.  Of good documents a rule is taken to call a share from ``ERRORS`` to ``MOST_ERRORS``
-    junk, which one rule's votes alone could not tell: a rule that rarely calls something junk is not believed unless
-    others agree, one that does so more often than its errors explain is.  Without documents all
-    rules are worth the same.
+    It starts from all-must-pass, which also says which class is the good one: a document with a vote for junk is junk with
+    a chance of 0.9, any other good.  Each rule has an accuracy for either class, since a rule that knows one kind of junk
+    says "good" of all other kinds.  Both are estimated freely; a prior of one document keeps them off 0 and 1, and a
+    vote for junk never speaks for good.  Without documents all rules are worth the same.
     """
     up, down = votes_of(patterns, n_rules)
     w = np.asarray(counts, float)
@@ -156,10 +157,9 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 50
     model = Model(np.full(n_rules, 0.9), np.full(n_rules, 0.5), 0.9)
     for _ in range(rounds):
         g, j = w * post, w * (1 - post)
-        good = np.clip((g @ up + 0.9) / (g @ (up | down) + 1), 1 - MOST_ERRORS, 1 - ERRORS)
-        junk = np.clip((j @ down + 0.1) / (j @ (up | down) + 1), 0.001, 0.999)
-        junk = np.maximum(junk, 1 - good)  # a vote for junk never speaks for good
-        model = Model(good, junk, float(np.clip((g.sum() + 0.9) / (w.sum() + 1), 0.001, 0.999)))
+        good = (g @ up + 0.9) / (g @ (up | down) + 1)
+        junk = np.maximum((j @ down + 0.5) / (j @ (up | down) + 1), 1 - good)
+        model = Model(good, junk, float((g.sum() + 0.9) / (w.sum() + 1)))
         last, post = post, model.posterior(patterns)
         if not len(post) or np.abs(post - last).max() < 1e-9:
             break

@@ -59,39 +59,86 @@ def test_exact_dedup(spark):
 
 
 def planted_votes(seed=5, n=40_000):
-    """(codes, labels) of five rules: two that know a kind of junk each, one that knows some of both, two that know none."""
+    """(codes, labels) of seven rules: two kinds of junk, each known to three rules, one of them to both; two that know none."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     good = rng.random(n) < 0.9
     kind = rng.random(n) < 0.5
-    miss = rng.random((n, 5)) < [0.006, 0.006, 0.006, 0.008, 0.008]
-    catch = rng.random((n, 5)) < np.stack([np.where(kind, 0.95, 0.01), np.where(kind, 0.01, 0.95), np.full(n, 0.4), np.full(n, 0.01), np.full(n, 0.01)], 1)
+    miss = rng.random((n, 7)) < [0.006, 0.01, 0.03, 0.01, 0.03, 0.008, 0.05]
+    one, two = np.array([0.95, 0.9, 0.7, 0.01, 0.03, 0.01, 0.05]), np.array([0.95, 0.01, 0.03, 0.9, 0.7, 0.01, 0.05])
+    catch = rng.random((n, 7)) < np.where(kind[:, None], one, two)
     junk = np.where(good[:, None], miss, catch)
-    none = rng.random((n, 5)) < 0.1
+    none = rng.random((n, 7)) < 0.1
     digit = np.where(none, 1, np.where(junk, 0, 2))
-    return (digit * 3 ** np.arange(5)).sum(1), good
+    return (digit * 3 ** np.arange(7)).sum(1), good
 
 
-def test_fit_finds_planted_accuracies():
+def test_fit_finds_planted_kinds_of_junk():
     import numpy as np
 
     from tallyfield.llm.quality_rules import fit
 
     codes, good = planted_votes()
     patterns, counts = np.unique(codes, return_counts=True)
-    m = fit(patterns, counts, 5)
-    assert abs(m.prior - 0.9) < 0.04
-    # some good documents that one rule is wrong about count as junk, which lowers the rules' shares of it
-    assert np.allclose(m.junk[:3], [0.48, 0.48, 0.4], atol=0.18) and (m.junk[3:] < 0.05).all() and (m.good >= 0.99).all()
+    m = fit(patterns, counts, 7)
+    assert abs(m.prior - 0.9) < 0.02
+    assert np.abs(m.junk - [0.95, 0.455, 0.365, 0.455, 0.365, 0.01, 0.05]).max() < 0.05 and np.abs(m.good - [0.994, 0.99, 0.97, 0.99, 0.97, 0.992, 0.95]).max() < 0.01
     kept = m.posterior(codes) >= 0.5
-    assert kept[good].mean() > 0.98 and kept[~good].mean() < 0.15
-    # a document on which only a rule that knows nothing votes is kept
-    assert m.posterior(np.array([2 + 2 * 3 + 2 * 9 + 0 * 27 + 2 * 81]))[0] > 0.5
-    empty = fit(patterns[:0], counts[:0], 5)
+    assert kept[good].mean() > 0.98 and kept[~good].mean() < 0.1
+    # a document on which only a rule that knows nothing votes junk is kept
+    only = np.full(7, 2)
+    only[6] = 0
+    assert m.posterior(np.array([(only * 3 ** np.arange(7)).sum()]))[0] > 0.5
+    empty = fit(patterns[:0], counts[:0], 7)
     assert np.isfinite(empty.posterior(patterns)).all()
 
 
+def test_fit_finds_accuracies_of_independent_rules():
+    """Both accuracies of every rule, freely estimated, useless and one-sided rules among them."""
+    import numpy as np
+
+    from tallyfield.llm.quality_rules import fit
+
+    rng = np.random.default_rng(11)
+    right_good = np.array([0.99, 0.95, 0.985, 0.9, 0.98, 0.96, 0.93])
+    right_junk = np.array([0.9, 0.8, 0.6, 0.5, 0.3, 0.06, 0.75])
+    for share in (0.92, 0.7):
+        n = 60_000
+        good = rng.random(n) < share
+        junk_vote = rng.random((n, 7)) < np.where(good[:, None], 1 - right_good, right_junk)
+        digit = np.where(rng.random((n, 7)) < 0.15, 1, np.where(junk_vote, 0, 2))
+        codes = (digit * 3 ** np.arange(7)).sum(1)
+        patterns, counts = np.unique(codes, return_counts=True)
+        m = fit(patterns, counts, 7)
+        assert abs(m.prior - share) < 0.02
+        assert np.abs(m.good - right_good).max() < 0.05 and np.abs(m.junk - right_junk).max() < 0.05, (m.good, m.junk)
+        kept = m.posterior(codes) >= 0.5
+        assert kept[good].mean() > 0.97 and kept[~good].mean() < 0.2
+        # all must pass would lose more than a quarter of the good ones
+        assert (digit != 0).all(1)[good].mean() < 0.8
+
+
+def test_every_rule_has_an_accuracy_of_its_own(spark, sf):
+    """On the smallest tables at least five rules call documents junk, none is taken at its word, and labels agree."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallyfield.llm import quality_rules as q
+
+    rows = q.add_figures(spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"), keep=["doc_id"]).filter(~q.base_failed()).select("doc_id", q.vote_pattern().alias("v")).toPandas()
+    patterns, counts = np.unique(rows.v, return_counts=True)
+    m = q.fit(patterns, counts, len(q.rules()))
+    called = [(rows.v // 3**i % 3 == 0).sum() for i in range(len(q.rules()))]
+    assert sum(n > 0 for n in called) >= 7
+    assert sum(0.02 < x < 0.98 for x in m.junk) >= 5 and ((m.good > 0.9) & (m.good < 1)).all()
+    keep = dict(zip(rows.doc_id, m.posterior(rows.v.to_numpy()) >= 0.5))
+    labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet").select("doc_id", F.col("quality")).collect()
+    assert all(keep[r.doc_id] == bool(r.quality) for r in labels if r.doc_id in keep)
+    # documents that some rule calls junk and the others bear out as good stay
+    assert sum(keep[d] for d, v in zip(rows.doc_id, rows.v) if any(v // 3**i % 3 == 0 for i in range(9))) > 0
+
+
 def test_rules_reject_junk_and_keep_clashing_columns_out(spark):
     import random
 
