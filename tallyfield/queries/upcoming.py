@@ -21,6 +21,11 @@ c = F.col
 AS_OF = 10_000
 
 
+def _matches(s, d):
+    """The matches as a table of their own, since a forecast looks at them from many sides."""
+    return save(p.matches(s, d), "matches")
+
+
 def _fixtures(m):
     return m.filter((c("status") == "SCHEDULED") & (c("day") >= AS_OF))
 
@@ -44,7 +49,7 @@ def _ratings(s, d):
 
 def _parameters(s, d):
     """Ratings, draw shares and margins of all competitions, from a store that has none yet: the first pass fits, the second reads."""
-    m, store = p.matches(s, d), folder(s, "parameters")
+    m, store = _matches(s, d), folder(s, "parameters")
     comps = m.select("comp").distinct()
     done = m.filter(c("day") < AS_OF)
     own = lambda x, comps: x.join(comps, "comp", "left_semi")
@@ -69,7 +74,7 @@ def _event_forecasts(s, d):
 
 
 def _duel_forecasts(s, d):
-    m = p.matches(s, d)
+    m = _matches(s, d)
     ratings = fc.ratings_at(m.filter("hs <> aws"), AS_OF)
     margins = fc.margin_at(m, ratings, AS_OF, has_draws=False)
     served = p.table(s, d, "supplier").filter("s_acctbal > 9000").select(c("s_nationkey").cast("int").alias("team"))
@@ -91,7 +96,7 @@ def _league_forecasts(s, d):
 def _walk_evaluations(s, d):
     """Finished matches scored by what the walk-forward run said of them before: each model's forecast is a version made at the
     start of its week."""
-    m = p.matches(s, d)
+    m = _matches(s, d)
     w = walk.walk_forward(walk.member_rows(m))
     each = F.array(*(F.struct(F.lit(k).alias("model"), c(k).alias("p")) for k in (*walk.MEMBERS, "ensemble", "chosen")))
     x = w.select("event_id", (c("chunk") * walk.WEEK).alias("created"), F.inline(each)).filter(c("p").isNotNull())
@@ -103,7 +108,7 @@ def _walk_evaluations(s, d):
 def _ties_of_history(s, d):
     """Tie-breaks of two-way forecasts by ratings, from published ranks, form, meetings and matches on record, for each match to
     come whose shares lie within two points."""
-    m = p.matches(s, d)
+    m = _matches(s, d)
     ratings = fc.ratings_at(m.filter("hs <> aws"), AS_OF)
     margins = fc.margin_at(m, ratings, AS_OF, has_draws=False)
     none = p.table(s, d, "supplier").filter("s_suppkey < 0").select(c("s_nationkey").cast("int").alias("team"))
@@ -123,7 +128,29 @@ def _due(s, d):
     return fc.due(fixtures, v, now, horizon=60 * 1440)
 
 
+def _packs(s, d):
+    """Statistics documents of all matches to come, written as JSON and read back."""
+    from tallyfield.plans import packs
+
+    m, ratings, bases, margins = _parameters(s, d)
+    fx = _fixtures(m)
+    said = fc.league_forecasts(fx, m, AS_OF, ratings, bases, margins=margins, market=_market(s, d), out=_out(s, d), temperature=1.1)
+    injured = p.table(s, d, "customer").filter("c_acctbal < -900").select(c("c_nationkey").cast("int").alias("team"), c("c_name").alias("player"), F.lit("OUT").alias("status"), F.lit(None).cast("int").alias("resolved"))
+    news = p.table(s, d, "supplier").select(c("s_nationkey").cast("int").alias("team"), c("s_name").alias("title"), c("s_acctbal").alias("published"))
+    models = fits.dixon_coles(m.limit(0), AS_OF)
+    x = packs.event_packs(fx, packs.team_packs(m, AS_OF, ratings, models, injured, news), packs.meeting_lists(m, AS_OF), said)
+    text = x.select("event_id", "pack", F.to_json("pack").alias("text"))
+    back = text.select("event_id", "text", F.from_json("text", x.schema["pack"].dataType.simpleString()).alias("q"))
+    one = lambda a: F.coalesce(F.get(c(a), F.lit(0)), F.lit("none"))
+    return back.select(
+        "event_id", c("q.kickoff").alias("kickoff"), c("q.home.position").alias("position"), c("q.away.points").alias("points"), c("q.home.form").alias("form"), rounded(c("q.away.elo")).alias("elo"), c("q.home.rest_days").alias("rest"),
+        F.size("q.home.recent").alias("n_recent"), one("q.home.recent").alias("recent"), F.size("q.home.injuries").alias("n_injuries"), one("q.away.headlines").alias("headline"), F.size("q.away.headlines").alias("n_headlines"), F.array_join("q.meetings", "; ").alias("meetings"),
+        rounded(F.get("q.algorithm.probabilities", F.lit(0))).alias("p_home"), F.size("q.algorithm.factors").alias("n_factors"), (F.to_json("q") == c("text")).alias("same"),
+    )
+
+
 QUERIES = {
+    "stat_packs": _packs,
     "elo_ratings": _ratings, "event_forecasts": _event_forecasts, "duel_forecasts": _duel_forecasts, "league_forecasts": _league_forecasts,
     "walk_evaluations": _walk_evaluations, "ties_of_history": _ties_of_history, "due_forecasts": _due,
 }
@@ -287,7 +314,31 @@ def _duel_sql() -> str:
     SELECT event_id, {cols}, favourite, reason, evidence, {confidence} AS confidence FROM z2""")
 
 
+def _pack_sql() -> str:
+    at = lambda x: f"CAST(CAST(DATE '1970-01-01' + CAST({x} AS INT) AS DATE) AS VARCHAR)"
+    base = _event_sql().replace("WITH RECURSIVE", "WITH RECURSIVE ev AS (WITH RECURSIVE", 1) + ")"
+    return f"""{base}, {with_sql("matches", "").removeprefix("WITH ")}, {_ROWS},
+      {_fold(f"day < {AS_OF}").strip()}, {_FX},
+      tb AS (SELECT comp, season, team, count(*) FILTER (status = 'FINISHED') AS played, coalesce(sum(CASE WHEN scored > conceded THEN 3 WHEN scored = conceded THEN 1 ELSE 0 END) FILTER (status = 'FINISHED'), 0) AS points,
+          coalesce(sum(scored - conceded) FILTER (status = 'FINISHED'), 0) AS diff, coalesce(sum(scored) FILTER (status = 'FINISHED'), 0) AS goals FROM sides WHERE day < {AS_OF} OR status <> 'FINISHED' GROUP BY ALL),
+      tp AS (SELECT *, row_number() OVER (PARTITION BY comp, season ORDER BY points DESC, diff DESC, goals DESC, team) AS position FROM tb),
+      fm AS (SELECT comp, season, team, string_agg(CASE WHEN scored > conceded THEN 'W' WHEN scored < conceded THEN 'L' ELSE 'D' END, '' ORDER BY day, event_id) AS form FROM (
+        SELECT * FROM sides WHERE status = 'FINISHED' AND day < {AS_OF} QUALIFY row_number() OVER (PARTITION BY comp, season, team ORDER BY day DESC, event_id DESC) <= 5) GROUP BY ALL),
+      rc AS (SELECT team, count(*) AS n, max(day) AS last_day, arg_max(concat(CASE WHEN venue = 'H' THEN 'home to ' ELSE 'away at ' END, opponent, ' ', scored, '-', conceded, ' (', {at("day")}, ')'), (day, event_id)) AS recent FROM (
+        SELECT * FROM sides WHERE status = 'FINISHED' AND day < {AS_OF} QUALIFY row_number() OVER (PARTITION BY team ORDER BY day DESC, event_id DESC) <= 5) GROUP BY team),
+      mt AS (SELECT least(home, away) AS one, greatest(home, away) AS two, string_agg(concat(home, ' ', hs, '-', aws, ' ', away, ' (', {at("day")}, ')'), '; ' ORDER BY day DESC, event_id DESC) AS meetings FROM (
+        SELECT * FROM matches WHERE status = 'FINISHED' AND day < {AS_OF} QUALIFY row_number() OVER (PARTITION BY least(home, away), greatest(home, away) ORDER BY day DESC, event_id DESC) <= 5) GROUP BY ALL),
+      ij AS (SELECT c_nationkey AS team, count(*) AS n FROM customer WHERE c_acctbal < -900 GROUP BY 1), hl AS (SELECT s_nationkey AS team, least(count(*), 8) AS n, arg_max(s_name, s_acctbal) AS title FROM supplier GROUP BY 1)
+    SELECT fx.event_id, {at("fx.day")} AS kickoff, h.position, a.points, coalesce(fm.form, '') AS form, {rsql("CASE WHEN g[away + 1] > 0 THEN r[away + 1] END")} AS elo, CASE WHEN rc.last_day IS NULL THEN 7 ELSE least(greatest(fx.day - rc.last_day, 1), 14) END AS rest,
+      coalesce(rc.n, 0) AS n_recent, coalesce(recent, 'none') AS recent, coalesce(ij.n, 0) AS n_injuries, coalesce(hl.title, 'none') AS headline, coalesce(hl.n, 0) AS n_headlines, coalesce(meetings, '') AS meetings, ev.ensemble0 AS p_home,
+      CASE WHEN ev.factors = '' THEN 0 ELSE len(string_split(ev.factors, ', ')) END AS n_factors, true AS same
+    FROM fx JOIN ev ON ev.event_id = fx.event_id LEFT JOIN tp h ON h.comp = fx.comp AND h.season = fx.season AND h.team = home LEFT JOIN tp a ON a.comp = fx.comp AND a.season = fx.season AND a.team = away
+      LEFT JOIN fm ON fm.comp = fx.comp AND fm.season = fx.season AND fm.team = home LEFT JOIN state ON state.comp = fx.comp LEFT JOIN rc ON rc.team = home LEFT JOIN mt ON one = least(home, away) AND two = greatest(home, away)
+      LEFT JOIN ij ON ij.team = home LEFT JOIN hl ON hl.team = away"""
+
+
 ORACLE_SQL = {
+    "stat_packs": _pack_sql(),
     "elo_ratings": _recursive("matches", f""", {_fold("true")}
       SELECT ord.comp, ord.event_id, {rsql("r[home + 1]")} AS r_home, {rsql("r[away + 1]")} AS r_away, {rsql("e")} AS expected, {rsql("e0")} AS foreseen FROM elo JOIN ord ON ord.comp = elo.comp AND ord.n = elo.n"""),
     "event_forecasts": _event_sql(),

@@ -13,7 +13,7 @@ c = F.col
 
 
 def _walk(s, d):
-    return walk.walk_forward(walk.member_rows(p.matches(s, d)))
+    return walk.walk_forward(walk.member_rows(save(p.matches(s, d), "matches")))
 
 
 def _members(s, d):
@@ -37,7 +37,7 @@ def feature_rows(matches):
 
 def _feature_model(s, d):
     """The coefficients: a row for each class and feature, the constant last (feature null)."""
-    m = logistic.fit(save(feature_rows(p.matches(s, d)), "features"), fe.FEATURES)
+    m = logistic.fit(save(feature_rows(save(p.matches(s, d), "matches")), "features"), fe.FEATURES)
     names = F.array(*(F.lit(x) for x in fe.FEATURES))
     x = m.select("n", "mean", "sd", F.posexplode("weights").alias("class", "w")).select("n", "mean", "sd", "class", F.posexplode("w").alias("i", "weight"))
     return x.select("n", "class", F.get(names, c("i")).alias("feature"), F.get("mean", c("i")).alias("mean"), F.get("sd", c("i")).alias("sd"), "weight")
@@ -45,7 +45,7 @@ def _feature_model(s, d):
 
 def _feature_factors(s, d):
     """Each finished match's shares by the feature model and the largest contributions to them."""
-    rows = save(feature_rows(p.matches(s, d)), "features")
+    rows = save(feature_rows(save(p.matches(s, d), "matches")), "features")
     m = logistic.fit(rows, fe.FEATURES)
     x, model = F.array(*fe.FEATURES), (c("mean"), c("sd"), c("weights"))
     both = rows.crossJoin(F.broadcast(m))  # one row
