@@ -125,3 +125,21 @@ def test_pipeline_stages(spark, tmp_path):
     check_packing(steps[4], list(text_at(3).items()), 2048)
     whole = sorted((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect())
     assert whole == sorted((r.doc_id, r.piece, r.ids_crc32) for r in steps[4])
+
+
+def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = f"{tmp_path}/empty"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("abcdefg") for _ in range(5)) + ("." if k % 9 == 8 else "") for k in range(90))
+    rows = [(1, text, "en", "s", 1, 7), (1, text, "en", "s", 1, 7), (None, text + " more", "en", "s", 1, 8), (2, None, None, None, None, 9)]
+    for name in ("__hits", "__uid", "__text", "__gone", "th", "node", "bucket"):
+        docs = spark.createDataFrame(rows, f"{schema}, {name} int")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns[-1] == name
+        assert [tuple(r) for r in docs.collect()] == [(1, text, "en", "s", len(text), 7)], name

@@ -155,3 +155,21 @@ def test_rules_reject_junk_and_keep_clashing_columns_out(spark):
     assert kept == {i for i in range(400) if i % 10}
     assert {r.doc_id for r in keep_good(df).collect()} == kept and keep_good(df).columns == df.columns
     assert judged(df.limit(0)).count() == 0 and keep_good(df.limit(0)).count() == 0
+
+
+def test_exact_dedup_null_ids_and_repeated_rows(spark):
+    from tallyfield.llm.exact_dedup import exact_dedup, keep_distinct
+
+    rows = [(None, "a"), (None, "a"), (3, "a"), (1, "b"), (1, "b"), (1, "b"), (None, "c"), (None, "c"), (None, "d"), (5, None), (6, ""), (None, None), (7, "long " * 5000), (8, "long " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = exact_dedup(df).collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for r in got:
+        groups.setdefault(r.text_sha256, []).append(r)
+    for g in groups.values():
+        ids = [r.doc_id for r in g if r.doc_id is not None]
+        kept = [r for r in g if r.kept]
+        assert len(kept) == 1 and {r.group_size for r in g} == {len(g)}
+        assert {r.keep_id for r in g} == {max(ids) if ids else None} and kept[0].doc_id == kept[0].keep_id
+    assert sorted((r.doc_id or 0, r.text) for r in keep_distinct(df).collect()) == sorted([(3, "a"), (1, "b"), (0, "c"), (0, "d"), (6, ""), (8, "long " * 5000)])
