@@ -43,7 +43,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _set(spark: SparkSession, key: str, value: str):
+def setting(spark: SparkSession, key: str, value: str):
     """Within this block the session has this setting."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
@@ -61,7 +61,7 @@ def save(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     many rows go to Python at a time, where rows are large."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _set(spark, CLEANUP, "true"), _set(spark, BATCH, str(batch)) if batch else nullcontext():
+    with setting(spark, CLEANUP, "true"), setting(spark, BATCH, str(batch)) if batch else nullcontext():
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfield.llm.common import save, text_of
+from tallyfield.llm.common import BATCH, save, setting, text_of
 from tallyfield.llm.exact_dedup import cell_hits, cells, merged_cells, n_cells
 from tallyfield.llm.words import release
 
@@ -39,8 +39,8 @@ WIDTH = SPAN + LEFT
 #: Bytes that are searched for anchors at a time; suffixes of a run; bytes of text for each bucket; fewest buckets.
 BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 80_000, 16 << 20, 64
 PROBES = 2
-#: Anchors whose cells are sorted together.
-HITS = 500_000
+#: Anchors whose cells are sorted together; texts that go to Python at a time.
+HITS, ROWS = 500_000, 500
 AT_BITS = 26  # of a place in a block
 #: A hit is a place and a mask of the passages around it, in one number.
 MASK_BITS = PLACES
@@ -131,7 +131,8 @@ def _shared_anchors(src: DataFrame, m: int) -> np.ndarray:
             yield cell_hits(np.concatenate(got), m, PROBES)
         release()
 
-    return merged_cells(src.select("text").mapInArrow(run, "seg int, hits binary"), m)
+    with setting(src.sparkSession, BATCH, str(ROWS)):
+        return merged_cells(src.select("text").mapInArrow(run, "seg int, hits binary"), m)
 
 
 def sort_keys(keys: np.ndarray, *lower: np.ndarray) -> np.ndarray:
@@ -370,7 +371,7 @@ def with_hits(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     m = n_cells(2 * n_bytes // (PLACES + 1), PROBES)
     n_buckets = max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES)
     runs = _runs(src, _shared_anchors(src, m), m, n_buckets)
-    hits = save(runs.groupBy("bucket").applyInArrow(_merge, "uid bigint, hit bigint"), "suffix-hits")
+    hits = save(runs.groupBy("bucket").applyInArrow(_merge, "uid bigint, hit bigint"), "suffix-hits", ROWS)
     by_doc = hits.groupBy(F.col("uid").alias("__uid")).agg(F.collect_set("hit").alias("__hits"))
     docs = df.withColumn("__uid", F.xxhash64(ids, t)).join(by_doc, "__uid", "left").drop("__uid")
     return docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))  # behind the join, which moves the text once
