@@ -23,6 +23,8 @@ from tallyfield.llm.words import A, mix
 
 #: Rounds with leads, if not told otherwise.
 ROUNDS = 2
+#: Rounds at most, and how many pairs for each row of an index are so many that leads are tried again.
+MOST_ROUNDS, CROWD = 8, 4
 #: 64-bit words of a parity map.
 WORDS = 8
 BITS = 64 * WORDS
@@ -220,20 +222,42 @@ def _open(index: DataFrame, comp: DataFrame | None, percent: int, passes: Passes
 def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify, rounds: int = ROUNDS) -> DataFrame | None:
     """(id, component) of the nodes that link with others, a written table, or None if none do.
 
-    index: a written table with token, node, n (size of the set) and what ``passes`` needs; ``near`` is the part of it that
-    needs the ``light`` columns alone and is asked of leads.  ``verify`` gives the pairs of a written table that link, as a
+    Nodes are compared with leads ``rounds`` times, then as long as tokens are crowded and leads still link: so what is left to be
+    compared pair by pair grows with the index, not with the square of a group.  index: a written table with token, node, n
+    (size of the set) and what ``passes`` needs; ``near`` is the part of it that needs the ``light`` columns alone and is asked of
+    leads.  ``verify`` gives the pairs of a written table that link, as a
     written table.
     """
     links, comp = None, None
-    for k in range(rounds + 1):
-        pairs = _led(index, comp, k, near, light) if k < rounds else _open(index, comp, percent, passes)
+    for k in range(MOST_ROUNDS):
+        if k >= rounds and not _crowded(index, comp):
+            break
+        pairs = _led(index, comp, k, near, light)
         if pairs is None:
+            return comp
+        links, comp, more = _joined(pairs, verify, links, comp)
+        if k >= rounds and not more:
             break
-        if not pairs.limit(1).count():
-            continue
-        new = verify(pairs)
-        drop(pairs)
-        if new.limit(1).count():
-            links = new if links is None else links.union(new)
-            comp = components(links, "link-cc")
-    return comp
+    pairs = _open(index, comp, percent, passes)
+    return comp if pairs is None else _joined(pairs, verify, links, comp)[1]
+
+
+def _joined(pairs: DataFrame, verify: Verify, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, bool]:
+    """(links, components, did it find any) with those of the pairs that link."""
+    if not pairs.limit(1).count():
+        return links, comp, False
+    new = verify(pairs)
+    drop(pairs)
+    if not new.limit(1).count():
+        return links, comp, False
+    links = new if links is None else links.union(new)
+    return links, components(links, "link-cc"), True
+
+
+def _crowded(index: DataFrame, comp: DataFrame | None) -> bool:
+    """Do tokens have more pairs of nodes of different components than CROWD for each row of the index?  Counted, not built."""
+    c = F.col
+    own = _with_components(index.select("token", "node"), comp).groupBy("token", "comp").agg(F.count("*").cast("double").alias("c"))
+    by_token = own.groupBy("token").agg(F.sum("c").alias("n"), F.sum(c("c") * c("c")).alias("same"))
+    n, pairs = by_token.agg(F.sum("n"), F.sum(c("n") * c("n") - c("same")) / 2).first()
+    return bool(n) and pairs > CROWD * n

@@ -101,3 +101,49 @@ def test_packing_search_on_many_equal_pieces_and_hard_sizes():
     assert sorted(i for b in after for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 2048 for b in after)
     assert len(after) < len(before)
     assert local_search([], [], 2048) == [] and pack([])[2] == 0
+
+
+def test_crowds_get_more_leads_and_the_same_components(spark, monkeypatch):
+    """One token that all nodes have: as many rounds with leads as it takes, and components as of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyfield.llm import linking as ln
+    from tallyfield.llm.common import save
+
+    rng = random.Random(2)
+    where = {k: rng.randrange(12) * 100 + rng.randrange(30) for k in range(300)}  # linked: at most 8 apart
+    index = save(spark.createDataFrame([(1, k, 100, p) for k, p in where.items()], "token long, node long, n int, p int"), "index")
+    opened = []
+
+    def passes(x, y):
+        return F.abs(x("p") - y("p")) <= 8
+
+    def verify(pairs):
+        at = spark.createDataFrame(list(where.items()), "k long, p int")
+        for side in "ab":
+            pairs = pairs.join(at.select(F.col("k").alias(side), F.col("p").alias(f"p{side}")), side)
+        opened.append(pairs.count())
+        return save(pairs.filter(F.abs(F.col("pa") - F.col("pb")) <= 8).select("a", "b"), "links")
+
+    up = {k: k for k in where}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in where:
+        for b in where:
+            if a < b and abs(where[a] - where[b]) <= 8:
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    assert ln._crowded(index, None)
+    comp = {r.id: r.component for r in ln.linked_components(index, 80, ["n", "p"], passes, passes, verify, 1).collect()}
+    assert {k: comp.get(k, k) for k in where} == {k: root(k) for k in where}
+    more = len(opened)
+    monkeypatch.setattr(ln, "CROWD", 10**9)
+    opened.clear()
+    comp = {r.id: r.component for r in ln.linked_components(index, 80, ["n", "p"], passes, passes, verify, 1).collect()}
+    assert {k: comp.get(k, k) for k in where} == {k: root(k) for k in where} and len(opened) < more
