@@ -24,7 +24,7 @@ from tallyfield.llm.words import A, mix
 #: Rounds with leads, if not told otherwise.
 ROUNDS = 2
 #: Rounds at most, and how many pairs for each row of an index are so many that leads are tried again.
-MOST_ROUNDS, CROWD = 8, 4
+MOST_ROUNDS, CROWD = 8, 24
 #: 64-bit words of a parity map.
 WORDS = 8
 BITS = 64 * WORDS

@@ -37,10 +37,10 @@ PLACES = SPAN - K + 1
 LEFT = PLACES - 1
 WIDTH = SPAN + LEFT
 #: Bytes that are searched for anchors at a time; suffixes of a run; bytes of text for each bucket; fewest buckets.
-BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 80_000, 16 << 20, 64
+BLOCK, RUN, BUCKET_BYTES, LEAST_BUCKETS = 1 << 19, 60_000, 16 << 20, 64
 PROBES = 2
 #: Anchors whose cells are sorted together; texts that go to Python at a time.
-HITS, ROWS = 500_000, 500
+HITS, ROWS = 250_000, 500
 AT_BITS = 26  # of a place in a block
 #: A hit is a place and a mask of the passages around it, in one number.
 MASK_BITS = PLACES
@@ -115,6 +115,7 @@ def _shared_anchors(src: DataFrame, m: int) -> np.ndarray:
     """A bit for each cell that the anchor strings of two documents hit."""
 
     def run(batches):
+        release()
         got, n = [], 0
         for b in batches:
             for buf, starts, ends, number, _ in blocks(_raw(b.column(0))):
@@ -197,6 +198,7 @@ def _runs(src: DataFrame, bits: np.ndarray, m: int, n_buckets: int) -> DataFrame
     shared = src.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        release()  # what the stage before has left, before the filter is read
         got: list[dict[str, np.ndarray]] = []
         n = 0
         for b in batches:
