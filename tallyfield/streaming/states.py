@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,26 +17,59 @@ MINUTE = 60_000
 OVER = 180
 #: Forecasts are due this long before the start (minutes): a day, and the line-ups.
 DAY, LINEUP = 1440, 60
-STATE = "ns_at long, ns_status string, ns_starts long, s_at long, s_starts long, nr_at long, nr_h int, nr_a int, sr_at long, sr_h int, sr_a int"
+#: Groups of events by a hash of their id; the states of a group are one row of state.
+GROUPS = 4096
+STATE = "parts binary, seen long"
 OUT = "event_id long, status string, hs int, aws int, starts long, stage int, seen long"
+#: Of an event's reports at most four count, one of each kind: the newest that is more than scheduled and the newest scheduled
+#: one (a: start), the newest with scores that is more than scheduled and the first scheduled one with scores (a, b: scores).
+#: Of a kind that with the largest (t, status, a, b) counts; t is negative where the first one does.
+PART = pa.schema([("event_id", pa.int64()), ("kind", pa.int32()), ("t", pa.int64()), ("status", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+ORDER = [(k, "ascending") for k in PART.names]
 
 
-def current(state: tuple, now: int) -> tuple:
-    """status, hs, aws, starts and stage at a time (milliseconds): of reports that are more than scheduled the newest says state
-    and start, else the newest of all; their newest scores count, else the first that a scheduled one gave.  stage: 2 from
-    the line-ups on, 1 from a day before, for events to come."""
-    ns_at, ns_status, ns_starts, _, s_starts, nr_at, nr_h, nr_a, sr_at, sr_h, sr_a = state
-    status, starts = (ns_status, ns_starts) if ns_at is not None else ("SCHEDULED", s_starts)
-    hs, aws = (nr_h, nr_a) if nr_at is not None else (sr_h, sr_a) if sr_at is not None else (None, None)
-    if status == "SCHEDULED" and hs is not None and now >= starts + OVER * MINUTE:
-        status = "FINISHED"
-    stage = 0 if status != "SCHEDULED" else 2 if now >= starts - LINEUP * MINUTE else 1 if now >= starts - DAY * MINUTE else 0
-    return status, hs, aws, starts, stage
+def _parts() -> Column:
+    """What a report says by kind: an array of (kind, t, status, a, b)."""
+    at, starts = F.unix_millis("at"), F.unix_millis("starts")
+    more, scores = c("status") != "SCHEDULED", c("hs").isNotNull() & c("aws").isNotNull()
+    n = lambda k: c(k).cast("long")
+    part = lambda kind, keep, t, status, a, b: F.when(keep, F.struct(F.lit(kind).alias("kind"), t.alias("t"), status.alias("status"), a.alias("a"), b.alias("b")))
+    none, zero = F.lit(""), F.lit(0).cast("long")
+    kinds = F.array(part(0, more, at, c("status"), starts, zero), part(1, ~more, at, none, starts, zero), part(2, more & scores, at, none, n("hs"), n("aws")), part(3, ~more & scores, -at, none, n("hs"), n("aws")))
+    return F.filter(kinds, lambda x: x.isNotNull())
+
+
+def counting(parts: pa.Table) -> pa.Table:
+    """The parts that count: the largest of each event and kind."""
+    x = parts.take(pc.sort_indices(parts, sort_keys=ORDER, null_placement="at_start"))
+    last = pc.ScalarAggregateOptions(skip_nulls=False)
+    keys, values = PART.names[:2], PART.names[2:]
+    out = x.group_by(keys, use_threads=False).aggregate([(k, "last", last) for k in values])
+    return out.select(keys + [f"{k}_last" for k in values]).rename_columns(PART.names).cast(PART)
+
+
+def current(parts: pa.Table, now: int) -> dict[str, pa.Array]:
+    """By event, at a time (milliseconds): event_id, status, hs, aws, starts, stage, and the times that change it (null: none).
+    Of reports that are more than scheduled the newest says state and start, else the newest of all; their newest scores
+    count, else the first that a scheduled one gave.  stage: 2 from the line-ups on, 1 from a day before, for events to come."""
+    of = lambda kind, k: pc.if_else(pc.equal(parts["kind"], kind), parts[k], pa.scalar(None, PART.field(k).type))
+    cols = {"said": of(0, "status"), "n": of(0, "a"), "s": of(1, "a"), "nh": of(2, "a"), "na": of(2, "b"), "sh": of(3, "a"), "sa": of(3, "b")}
+    x = pa.table({"event_id": parts["event_id"], **cols}).group_by("event_id", use_threads=False).aggregate([(k, "first") for k in cols])
+    get = lambda k: x[f"{k}_first"].combine_chunks()
+    said = pc.fill_null(get("said"), "SCHEDULED")
+    starts, hs, aws = (pc.coalesce(get(a), get(b)) for a, b in (("n", "s"), ("nh", "sh"), ("na", "sa")))
+    open_ = pc.equal(said, "SCHEDULED")
+    after = lambda minutes, keep: pc.if_else(keep, pc.add(starts, minutes * MINUTE), pa.scalar(None, pa.int64()))
+    times = [after(-DAY, open_), after(-LINEUP, open_), after(OVER, pc.and_(open_, pc.is_valid(hs)))]
+    day, lineup, over = (pc.fill_null(pc.less_equal(t, now), False) for t in times)
+    stage = pc.if_else(over, 0, pc.add(day.cast(pa.int32()), lineup.cast(pa.int32())))
+    return {"event_id": x["event_id"].combine_chunks(), "status": pc.if_else(over, "FINISHED", said), "hs": hs.cast(pa.int32()), "aws": aws.cast(pa.int32()), "starts": starts, "stage": stage.cast(pa.int32()), "times": times}
 
 
 def merged(state: tuple | None, at: int, status: str, starts: int, hs: int | None, aws: int | None) -> tuple:
-    """The state with one report more; the order in which reports come does not matter.  Of reports of one time the larger
-    status, start and scores count."""
+    """The rule for one event, a report at a time, which the stream takes for many at once: the state (at, status and start;
+    at and start; at and scores, twice) with one report more.  The order in which reports come does not matter.  Of reports
+    of one time the larger status, start and scores count."""
     s = list(state or (None,) * 11)
     newer = lambda i, key: s[i] is None or key > tuple(s[i : i + len(key)])
     if status != "SCHEDULED":
@@ -50,37 +85,46 @@ def merged(state: tuple | None, at: int, status: str, starts: int, hs: int | Non
     return tuple(s)
 
 
-def event_states(reports: DataFrame, late: str = "1 day") -> DataFrame:
+def _written(parts: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, PART, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(parts)
+    return out.getvalue().to_pybytes()
+
+
+def event_states(reports: DataFrame, late: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """A row for each event and batch in which it was reported on or a time came: its state as the watermark has it.
 
     reports: event_id, at (timestamp), status, starts (timestamp), hs, aws.  Rows more than ``late`` behind the newest are
-    dropped.  An event keeps one small row of state, and one timer for the next time that changes it: a day before the
-    start, the line-ups, or three hours after the start of a scheduled event with scores."""
-    ms = lambda k: F.unix_millis(k).alias(k)
-    rows = reports.withWatermark("at", late).select("event_id", "at", c("at").alias("t"), "status", ms("starts"), "hs", "aws").withColumn("t", F.unix_millis("t"))
-    number = lambda v: None if pd.isna(v) else int(v)
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = tuple(state.get) if state.exists else None
-        s = s and tuple(None if v is None or v != v else v for v in s)
-        if not state.hasTimedOut:
-            for pdf in parts:
-                for x in pdf.itertuples(index=False):
-                    s = merged(s, int(x.t), x.status, int(x.starts), number(x.hs), number(x.aws))
-            state.update(s)
+    dropped.  Events are kept in ``groups`` by a hash of their id, so Python is called for each group, not for each event.  A
+    group's state has up to four short rows for each of its events, and one timer for the next time that changes any of
+    them: a day before the start, the line-ups, or three hours after the start of a scheduled event with scores."""
+    rows = reports.withWatermark("at", late).select("at", "event_id", F.inline(_parts()))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("event_id"), F.lit(groups)).cast("int"))
+    types = {pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old, since = state.get if state.exists else (None, None)
         now = state.getCurrentWatermarkMs()
-        status, hs, aws, starts, stage = current(s, now)
-        times = [starts - DAY * MINUTE, starts - LINEUP * MINUTE] if status == "SCHEDULED" else []
-        if status == "SCHEDULED" and hs is not None:
-            times.append(starts + OVER * MINUTE)
-        ahead = [t for t in times if t > now]
+        kept = PART.empty_table() if old is None else pa.ipc.open_stream(bytes(old)).read_all()
+        new = PART.empty_table()
+        if not state.hasTimedOut:
+            new = pa.concat_tables([new, *(pa.Table.from_pandas(pdf[PART.names], PART, preserve_index=False) for pdf in frames)])
+        parts = counting(pa.concat_tables([kept, new])) if len(new) else kept
+        x = current(parts, now)
+        times = x.pop("times")
+        show = pc.is_in(x["event_id"], value_set=pc.unique(new["event_id"]).cast(pa.int64()))
+        if since is not None:  # what came by time since this group was last looked at
+            for t in times:
+                show = pc.or_(show, pc.fill_null(pc.and_(pc.greater(t, since), pc.less_equal(t, now)), False))
+        state.update((_written(parts), now))
+        ahead = [m for m in (pc.min(pc.filter(t, pc.greater(t, now))).as_py() for t in times) if m is not None]
         if ahead:
             state.setTimeoutTimestamp(min(ahead))
-        elif state.hasTimedOut:
-            state.update(s)
-        yield pd.DataFrame({"event_id": [key[0]], "status": [status], "hs": pd.array([hs], "Int32"), "aws": pd.array([aws], "Int32"), "starts": [starts], "stage": [stage], "seen": [now]})
+        out = pa.table(x).filter(show)
+        yield out.append_column("seen", pa.array([now] * len(out), pa.int64())).to_pandas(types_mapper=types.get)
 
-    return rows.groupBy("event_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("group").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def states_at(reports: DataFrame, now: Column) -> DataFrame:
