@@ -32,20 +32,22 @@ def _rates(s, d):
 
 def _grid(s, d):
     rho = F.lit(-0.13)
-    x = _rates(s, d).select("id", sl.score_sums(c("lam"), c("mu"), rho).alias("x"), sl.likeliest(sl.score_cells(c("lam"), c("mu"), rho)).alias("best"))
     names = ("home", "draw", "away", "over15", "over25", "over35", "both", "clean_home", "clean_away", "exp_home", "exp_away")
-    text = F.array_join(F.transform("best", lambda y: F.concat(y.h.cast("string"), F.lit("-"), y.a.cast("string"))), " ")
-    return x.select("id", *(rounded(c("x")[n]).alias(n) for n in names), text.alias("best"))
+    best = sl.likeliest(sl.score_cells(c("lam"), c("mu"), rho))
+    text = F.array_join(F.transform(best, lambda y: F.concat(y.h.cast("string"), F.lit("-"), y.a.cast("string"))), " ")
+    x = sl.by_rates(_rates(s, d), x=sl.score_sums(c("lam"), c("mu"), rho), best=text)
+    return x.select("id", *(rounded(c("x")[n]).alias(n) for n in names), "best")
 
 
 def _cdf(s, d):
-    x = _rates(s, d).select("id", F.posexplode(fits.score_cdf(c("lam"), c("mu"), F.lit(-0.13), sl.MOST)).alias("k", "cdf"))
-    return x.select("id", F.floor(c("k") / (sl.MOST + 1)).cast("int").alias("h"), (c("k") % (sl.MOST + 1)).alias("a"), rounded(c("cdf")).alias("cdf"))
+    x = sl.by_rates(_rates(s, d), cdf=F.transform(fits.score_cdf(c("lam"), c("mu"), F.lit(-0.13), sl.MOST), rounded))
+    x = x.select("id", F.posexplode("cdf").alias("k", "cdf"))
+    return x.select("id", F.floor(c("k") / (sl.MOST + 1)).cast("int").alias("h"), (c("k") % (sl.MOST + 1)).alias("a"), "cdf")
 
 
 def _score_documents(s, d):
     """Score forecasts as they are stored: the likeliest scoreline, lines and the small grid's corners and sum."""
-    x = _rates(s, d).select("id", sl.score_forecast(c("lam"), c("mu"), F.lit(-0.13)).alias("x"))
+    x = sl.by_rates(_rates(s, d), x=sl.score_forecast(c("lam"), c("mu"), F.lit(-0.13)))
     cells = F.flatten("x.grid")
     return x.select(
         "id", c("x.expected_home").alias("exp_home"), c("x.expected_away").alias("exp_away"), c("x.likeliest.h").alias("h"), c("x.likeliest.a").alias("a"), c("x.likeliest.p").alias("p"), c("x.lines.over25").alias("over25"), c("x.lines.both").alias("both"),

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyfield.operators import scorelines as sl
 from tallyfield.plans import logistic
 
 
@@ -25,3 +26,19 @@ def test_logistic_cells_do_not_grow_with_copies(spark, monkeypatch):
         for one, want in zip(got, fits[0]):
             assert np.abs(np.array(one.weights) - np.array(want.weights)).max() < 1e-9 and np.allclose(one.mean, want.mean, atol=1e-9)
     assert [r.n for r in fits[2]] == [20 * r.n for r in fits[0]]
+
+
+def test_grids_are_worked_out_once_for_each_pair_of_rates(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        seen.add(1)
+        return x
+
+    rates = [(i, [0.5, 1.5, None][i % 3], [1.0, 2.0][i % 2]) for i in range(600)]
+    rows = spark.createDataFrame(rates, "id int, lam double, mu double")
+    x = F.col("lam") + F.col("mu")
+    got = sl.by_rates(rows, a=costly(x), b=x).collect()
+    assert sorted((r.id, r.lam, r.mu) for r in got) == sorted(rates)
+    assert all(r.a == r.b == (None if r.lam is None else r.lam + r.mu) for r in got) and seen.value == 6
