@@ -33,9 +33,17 @@ def score(forecasts: DataFrame) -> DataFrame:
     })
 
 
-def summaries(scored: DataFrame) -> DataFrame:
-    """Means by model, and by competition and model, in one pass; accuracy leaves ties out."""
+def summaries(scored: DataFrame, count: str | None = None) -> DataFrame:
+    """Means by model, and by competition and model, in one pass; accuracy leaves ties out.  count: a column with the number of
+    equal rows that a row stands for."""
     n = F.count("*")
+    if count is not None:
+        many = lambda x: F.sum(F.when(x, c(count)).otherwise(0))
+        mean = lambda x: (F.sum(c(x) * c(count)) / F.sum(count)).alias(x)
+        return scored.groupingSets([["model"], ["comp", "model"]], "comp", "model").agg(
+            F.sum(count).alias("n"), many(c("tied")).alias("ties"), mean("brier"), mean("log_loss"), mean("rps"),
+            F.coalesce(F.try_divide(many(c("correct")), many(~c("tied"))), F.lit(0.0)).alias("accuracy"),
+        )
     return scored.groupingSets([["model"], ["comp", "model"]], "comp", "model").agg(
         n.alias("n"),
         F.count_if("tied").alias("ties"),

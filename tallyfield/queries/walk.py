@@ -12,17 +12,17 @@ from tallyfield.sources import projections as p
 c = F.col
 
 
-def _walk(s, d):
-    return walk.walk_forward(walk.member_rows(save(p.matches(s, d), "matches")))
+def _rows(s, d):
+    return walk.member_rows(save(p.matches(s, d), "matches"))
 
 
 def _members(s, d):
-    return _walk(s, d)
+    return walk.walk_forward(_rows(s, d))
 
 
 def _report(s, d):
     """Means by model, and by competition and model, of every member and of both pools."""
-    return accuracy.summaries(walk.scored(_walk(s, d)))
+    return accuracy.summaries(walk.scored(walk.pooled(_rows(s, d).cells)), "n")
 
 
 def feature_rows(matches):
