@@ -109,7 +109,8 @@ def _pace(s, d):
 def _names(s, d):
     x = p.table(s, d, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("n")).filter("n is not null")
     x = x.withColumn("n", F.concat(F.when(c("doc_id") % 3 == 0, "FC ").otherwise(""), c("n"), F.when(c("doc_id") % 4 == 0, " & Club").otherwise("")))
-    return x.select("doc_id", f.normalise_name(c("n")).alias("name"), f.slug(c("n")).alias("slug"))
+    both = f.let(f.unaccented(c("n")), lambda u: F.struct(f.normalise_name(u).alias("name"), f.slug(u).alias("slug")))  # accents go once for both
+    return x.select("doc_id", both.alias("x")).select("doc_id", "x.name", "x.slug")
 
 
 def _codes(s, d):
