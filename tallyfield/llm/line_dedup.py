@@ -20,12 +20,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import drop, hot_join, save, text_of
 from tallyfield.llm.exact_dedup import cell_hits, cells, merged_cells, n_cells
-from tallyfield.llm.linking import MAP, MEMBER, PACKET, PACKETS, PAIR, SMALL, apart, bucket_names, common, gathered, linked_components, ordered, packet, parity_maps, rows_of, shortened
+from tallyfield.llm.linking import MAP, MEMBER, PACKET, PACKETS, PAIR, SMALL, apart, bucket_names, common, gathered, linked_components, packet, parity_maps, rows_of, shortened
 from tallyfield.llm.words import A, mix, release
 
 SHINGLE, BANDS, ROWS = 5, 21, 6
@@ -179,13 +179,14 @@ def _shared_buckets(src: DataFrame, parts: int) -> DataFrame:
 
 
 def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text, n and the parity map of the wanted nodes; written."""
-    m = n_cells(wanted.count(), 1)
+    """node, text, n and the parity map of the wanted nodes, and of a few others that the filter of cells lets through;
+    written."""
+    m = n_cells(wanted.agg(F.approx_count_distinct("node")).first()[0])
 
     def hit(batches):
         for b in batches:
             if b.num_rows:
-                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m, 1)
+                yield cell_hits(np.unique(b.column(0).to_numpy(zero_copy_only=False)), m)
 
     bits = merged_cells(wanted.select("node").mapInArrow(hit, "seg int, hits binary"), m, 1)
     shared = src.sparkSession.sparkContext.broadcast(bits)
@@ -209,14 +210,14 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def some(nodes, texts, done):
         node = np.array(nodes, np.int64)
-        c = cells(node, m, 1)[:, 0]
-        at = [k for k in np.flatnonzero((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1).tolist() if nodes[k] not in done]
+        c = cells(node, m)
+        at = [k for k in np.flatnonzero(((shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1).all(1)).tolist() if nodes[k] not in done]
         at = list({nodes[k]: k for k in at}.values())
         if len(done) < REMEMBERED:
             done.update(nodes[k] for k in at)
         yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([texts[k] for k in at], pa.string())], ["node", "text"])
 
-    rows = src.select("text").mapInArrow(found, "node bigint, text string").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    rows = src.select("text").mapInArrow(found, "node bigint, text string").dropDuplicates(["node"])
 
     def sized(batches):
         for b in batches:
@@ -236,17 +237,20 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _passes(percent: int):
-    """The length filter, and that of the maps: linked sets differ in few elements."""
+    """The length filter, and this together with that of the maps: linked sets differ in few elements."""
+
+    def near(x, y) -> Column:
+        return 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
 
     def passes(x, y) -> Column:
         n1, n2 = x("n"), y("n")
-        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (apart(x, y) <= n1 + n2 - 2 * common(n1, n2, percent))
+        return near(x, y) & (apart(x, y) <= n1 + n2 - 2 * common(n1, n2, percent))
 
-    return passes
+    return near, passes
 
 
 def _verified(texts: DataFrame, percent: int):
-    """Of pairs (a, b) of nodes, which have passed the filters, those whose sets link."""
+    """Of pairs (a, b) of nodes those whose sets link.  Texts with their maps pass the filters first."""
 
     def linked(lines: list[str]) -> np.ndarray:
         """For each two lines in a row: do they link?"""
@@ -277,10 +281,13 @@ def _verified(texts: DataFrame, percent: int):
 
     c = F.col
 
+    own = [x for x in ("n", *MAP) if x in texts.columns]
+
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: texts.select(c("node").alias(x), c("text").alias(f"{x}_text"))
         for x in "ab":
-            pairs = pairs.join(side(x), x)
+            pairs = pairs.join(texts.select(c("node").alias(x), c("text").alias(f"{x}_text"), *(c(k).alias(f"{x}_{k}") for k in own)), x)
+        if own:
+            pairs = pairs.filter(_passes(percent)[1](lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}")))
         return save(pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"), "line-links")
 
     return verify
@@ -311,17 +318,17 @@ def _components(src: DataFrame, percent: int) -> DataFrame | None:
     c = F.col
     n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shared = _shared_buckets(src, max(64, n_bytes // RANGE_BYTES))
-    pairs = shared.filter(f"kind = {PAIR}").select(*ordered(c("x"), c("y"))).distinct()
-    members = shared.filter(f"kind = {MEMBER}").select(c("x").alias("token"), c("y").alias("node")).distinct()
-    wanted = save(pairs.select(c("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct(), "line-wanted")
-    texts = _texts(src, wanted)
     # a pair is a bucket of its own
-    alone = pairs.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("node"))
-    index = save(alone.union(members).join(texts.select("node", "n", *MAP), "node"), "line-index")
+    two = c("kind") == PAIR
+    token = F.when(two, F.xxhash64("x", "y")).otherwise(c("x")).alias("token")
+    rows = shared.select(token, F.explode(F.when(two, F.array("x", "y")).otherwise(F.array("y"))).alias("node"))
+    texts = _texts(src, rows)
+    # one exchange by node for all of it: repeats, how many buckets a node has, its size
+    rows = rows.repartition("node").distinct().withColumn("central", F.count("*").over(Window.partitionBy("node")))
+    index = save(rows.join(texts.select("node", "n"), "node"), "line-index")
     drop(shared)
-    passes = _passes(percent)
-    # maps are small next to lines' sets, so leads are asked for all of it and one round with them is enough
-    return linked_components(index, percent, ["n", *MAP], passes, passes, _verified(texts, percent), 1)
+    maps = texts.select("node", *MAP)
+    return linked_components(index, percent, ["n"], *_passes(percent), _verified(texts, percent), 1, lambda open_: open_.join(maps, "node"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -340,18 +347,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percen
     at = F.struct(c("doc_id").isNull().alias("none"), "doc_id", "line", "rid")
     comp = _components(src, percent)
     classes = occ.groupBy("node").agg(F.count("*").alias("copies"), F.min(at).alias("least"))
+    own = [c("least").alias("top"), c("copies").alias("group_size")]
+    # lines of groups of one need no label
     if comp is not None:
-        label = classes.join(comp.select(c("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        label = save(label, "line-classes")
-        roots = label.groupBy("component").agg(F.min("least").alias("top"), F.sum("copies").alias("group_size"), F.count("*").alias("members"))
-        # a component of one node is its own root
-        many = save(roots.filter("members > 1"), "line-roots")
-        joined = hot_join(label, many, "component", "members", label.count())
-        label = joined.select("node", "copies", F.coalesce("top", "least").alias("top"), F.coalesce("group_size", "copies").alias("group_size"))
+        some = classes.join(comp.select(c("id").alias("node"), "component"), "node", "left").filter("copies > 1 or component is not null")
+        some = save(some, "line-classes")
+        linked = some.filter("component is not null")
+        roots = linked.groupBy("component").agg(F.min("least").alias("top"), F.sum("copies").alias("group_size"), F.count("*").alias("members"))
+        joined = hot_join(linked.drop("least"), save(roots, "line-roots"), "component", "members", linked.count(), "inner")
+        label = joined.select("node", "copies", "top", "group_size").unionByName(some.filter("component is null").select("node", "copies", *own))
     else:
-        label = classes.select("node", "copies", c("least").alias("top"), c("copies").alias("group_size"))
-    # lines of groups of one need no label
-    label = save(label.filter("group_size > 1"), "line-label")
+        label = classes.filter("copies > 1").select("node", "copies", *own)
+    label = save(label, "line-label")
     out = hot_join(occ, label, "node", "copies", occ.count())
     own = F.coalesce(c("top.rid") == c("rid"), F.lit(True)) & F.coalesce(c("top.line") == c("line"), F.lit(True))
     return out.select(

@@ -163,83 +163,70 @@ def _with_components(index: DataFrame, comp: DataFrame | None) -> DataFrame:
     return index.join(named, "node", "left").withColumn("comp", F.coalesce("__c", "node")).drop("__c")
 
 
-def _central(index: DataFrame) -> DataFrame:
-    """node, central: how many nodes share a node's tokens, all tokens together; a written table.  The text that others are
-    copies of has the most, so as a lead it links with most of them."""
-    sizes = save(index.groupBy("token").agg(F.count("*").alias("c")), "link-sizes")
-    total = sizes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    out = save(hot_join(index.select("token", "node"), sizes, "token", "c", total, "inner").groupBy("node").agg(F.sum("c").alias("central")), "link-central")
-    drop(sizes)
-    return out
+def _leads(cur: DataFrame, salt: int, light: list[str]) -> DataFrame:
+    """token, c (its nodes), lead of each token with nodes of several components; a written table.  The text that others
+    are copies of shares the most tokens (``central``, if the index has it), so as a lead it links with most of them."""
+    c = F.col
+    draw = -c("central") if not salt and "central" in cur.columns else F.xxhash64("node", F.lit(salt))
+    first = F.min(F.struct(draw.alias("draw"), "node", "comp", *light))
+    lead = cur.groupBy("token").agg(F.count("*").alias("c"), first.alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return save(lead.filter("lo <> hi").select("token", "c", "lead"), "link-lead")
 
 
-def _led(index: DataFrame, comp: DataFrame | None, salt: int, passes: Passes, light: list[str]) -> DataFrame | None:
-    """Pairs (a, b): each node and its best lead of another component; a written table, or None if no token is open.  Of the
-    index only the ``light`` columns are moved."""
+def _led(cur: DataFrame, lead: DataFrame, total: int, top: int, passes: Passes, light: list[str]) -> DataFrame:
+    """Pairs (a, b): each node and its best lead of another component; a written table.  Of the index only the ``light``
+    columns are moved.  All tokens draw alike, so no pair comes twice."""
     c = F.col
-    index = index.select("token", "node", *light)
-    cur = _with_components(index, comp)
-    cur = cur.withColumn("draw", F.xxhash64("node", F.lit(salt))) if salt else cur.join(_central(index), "node").withColumn("draw", -c("central")).drop("central")
-    cols = ["node", "comp", *light]
-    lead = cur.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("draw", *cols)).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lead = save(lead.filter("lo <> hi").select("token", "c", "lead"), "link-lead")
-    total = lead.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    if not total:
-        return None
-    cur = cur.drop("draw")
-    both = hot_join(cur, lead, "token", "c", total, "inner")
+    both = hot_join(cur.select("token", "node", "comp", *light), lead, "token", "c", total, "inner", top)
     both = both.filter((c("comp") != c("lead.comp")) & passes(lambda x: c(x), lambda x: c(f"lead.{x}")))
-    votes = both.groupBy("node", c("lead.node").alias("other")).agg(F.count("*").alias("k"))
-    best = votes.groupBy("node").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
-    out = save(best.select(*ordered(c("node"), c("other"))).distinct(), "link-led")
-    drop(lead)
-    return out
+    best = both.groupBy("node").agg(F.mode(c("lead.node"), True).alias("other"))  # of no more than a node's tokens
+    return save(best.select(*ordered(c("node"), c("other"))), "link-led")
 
 
-def _open(index: DataFrame, comp: DataFrame | None, percent: int, passes: Passes) -> DataFrame | None:
-    """All pairs (a, b) of nodes in different components that share a token and pass; a written table, or None if no token
-    is open.  Sizes fall into bands so wide that linked sets are in the same or in neighbouring ones; a token's nodes are
-    only matched with those of such bands."""
+def _open(cur: DataFrame, some: DataFrame, total: int, top: int, percent: int, passes: Passes, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that share a token and pass; a written table.  Sizes fall into
+    bands so wide that linked sets are in the same or in neighbouring ones; a token's nodes are only matched with those of
+    the same band and of the next."""
     c = F.col
-    cur = _with_components(index, comp)
-    some = cur.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    some = save(some.filter("lo <> hi").select("token", "c"), "link-open")
-    total = some.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    if not total:
-        return None
     width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-9
     band = F.floor(F.log(c("n").cast("double")) / width).cast("bigint")
-    cur = save(hot_join(cur, some, "token", "c", total, "inner").drop("c").withColumn("band", band), "link-cur")
-    cols = [x for x in cur.columns if x not in ("token", "band")]
+    cur = whole(hot_join(cur, some, "token", "c", total, "inner", top).drop("c"))
+    cur = save(cur.withColumn("band", band), "link-cur")
+    cols = [x for x in cur.columns if x not in ("token", "band", "central")]
     left = cur.select("token", "band", *(c(x).alias(f"l_{x}") for x in cols))
-    right = cur.select("token", F.explode(F.array(c("band") - 1, c("band"), c("band") + 1)).alias("band"), *(c(x).alias(f"r_{x}") for x in cols))
-    ok = (c("l_node") < c("r_node")) & (c("l_comp") != c("r_comp")) & passes(lambda x: c(f"l_{x}"), lambda x: c(f"r_{x}"))
-    out = save(left.join(right, ["token", "band"]).filter(ok).select(c("l_node").alias("a"), c("r_node").alias("b")).distinct(), "link-pairs")
-    drop(some, cur)
+    right = cur.select("token", F.explode(F.array(F.struct(c("band"), F.lit(True).alias("same")), F.struct((c("band") - 1).alias("band"), F.lit(False).alias("same")))).alias("at"), *(c(x).alias(f"r_{x}") for x in cols))
+    right = right.withColumn("band", c("at.band")).withColumn("same", c("at.same")).drop("at")
+    ok = ((c("l_node") < c("r_node")) | ~c("same")) & (c("l_comp") != c("r_comp")) & passes(lambda x: c(f"l_{x}"), lambda x: c(f"r_{x}"))
+    out = save(left.join(right, ["token", "band"]).filter(ok).select(*ordered(c("l_node"), c("r_node"))).distinct(), "link-pairs")
+    drop(cur)
     return out
 
 
-def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify, rounds: int = ROUNDS) -> DataFrame | None:
+def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify, rounds: int = ROUNDS, whole: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame | None:
     """(id, component) of the nodes that link with others, a written table, or None if none do.
 
     Nodes are compared with leads ``rounds`` times, then as long as tokens are crowded and leads still link: so what is left to be
     compared pair by pair grows with the index, not with the square of a group.  index: a written table with token, node, n
-    (size of the set) and what ``passes`` needs; ``near`` is the part of it that needs the ``light`` columns alone and is asked of
-    leads.  ``verify`` gives the pairs of a written table that link, as a
+    (size of the set) and what ``passes`` needs, or ``whole`` adds to its rows; ``near`` is the part of it that needs the
+    ``light`` columns alone and is asked of leads.  ``verify`` gives the pairs of a written table that link, as a
     written table.
     """
-    links, comp = None, None
-    for k in range(MOST_ROUNDS):
-        if k >= rounds and not _crowded(index, comp):
-            break
-        pairs = _led(index, comp, k, near, light)
-        if pairs is None:
+    links, comp, more, n = None, None, True, index.count()
+    for k in range(MOST_ROUNDS + 1):
+        cur = _with_components(index, comp)
+        lead = _leads(cur, k, light)
+        total, top, pairs = lead.agg(F.sum("c"), F.max("c"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
+        if not total:
+            drop(lead)
             return comp
-        links, comp, more = _joined(pairs, verify, links, comp)
-        if k >= rounds and not more:
+        # all pairs of open tokens are more than those between components: if they are few, these need not be counted
+        last = k == MOST_ROUNDS or k > rounds and not more or k >= rounds and (pairs <= CROWD * n or not _crowded(index, comp))
+        found = _open(cur, lead.select("token", "c"), total, top, percent, passes, whole) if last else _led(cur, lead, total, top, near, light)
+        drop(lead)
+        links, comp, more = _joined(found, verify, links, comp)
+        if last:
             break
-    pairs = _open(index, comp, percent, passes)
-    return comp if pairs is None else _joined(pairs, verify, links, comp)[1]
+    return comp
 
 
 def _joined(pairs: DataFrame, verify: Verify, links: DataFrame | None, comp: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None, bool]:
