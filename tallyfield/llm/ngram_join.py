@@ -126,28 +126,29 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(src: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """node, n, tokens (its prefix, rarest first) and the parity map of the whole set, for each node that can link; of
-    equal sets that a task sees one.  A written table."""
+    """node, n, th (a hash of its text), tokens (its prefix, rarest first) and the parity map of the whole set, for each node
+    that can link; of equal sets that a task sees one.  A written table."""
     shared = src.sparkSession.sparkContext.broadcast(counts)
     least = least_linked(percent)
 
     def run(batches):
         done: set[int] = set()
         for b in batches:
-            for _, sets in shingle_sets(b.column(0), size):
-                node, new = [], []
-                for h in sets:
+            for first, sets in shingle_sets(b.column(0), size):
+                node, new, at = [], [], []
+                for i, h in enumerate(sets, first):
                     if len(h) < least or (k := node_of(h)) in done:
                         continue
                     if len(done) < REMEMBERED:
                         done.add(k)
                     node.append(k)
                     new.append(h)
+                    at.append(i)
                 if new:
-                    yield rows(node, new)
+                    yield rows(node, new, b.column(1).take(pa.array(at)))
         release()
 
-    def rows(node, sets):
+    def rows(node, sets, th):
         n = np.array([len(h) for h in sets])
         maps = parity_maps(np.repeat(np.arange(len(n)), n), np.concatenate(sets), len(n))
         prefix = []
@@ -160,15 +161,15 @@ def _prefixes(src: DataFrame, size: int, percent: int, counts: np.ndarray) -> Da
             prefix.append(h[np.argsort(c, kind="stable")[:m]].view(np.int64))
         ends = np.r_[0, np.cumsum([len(x) for x in prefix])].astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
-        cols = [pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), tokens, *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(MAP)))]
-        return pa.RecordBatch.from_arrays(cols, ["node", "n", "tokens", *MAP])
+        cols = [pa.array(node, pa.int64()), pa.array(n.astype(np.int32)), th, tokens, *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(MAP)))]
+        return pa.RecordBatch.from_arrays(cols, ["node", "n", "th", "tokens", *MAP])
 
-    out = src.select("text").mapInArrow(run, "node bigint, n int, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in MAP))
+    out = src.select("text", "th").mapInArrow(run, "node bigint, n int, th bigint, tokens array<bigint>, " + ", ".join(f"{s} bigint" for s in MAP))
     return save(out, "ngram-prefixes")
 
 
 def _buckets(prefixes: DataFrame, parts: int, counts: np.ndarray) -> DataFrame:
-    """(token, node) of prefix n-grams that two nodes share.  Of n-grams with the same nodes the first in the order stays:
+    """(token, node) of prefix n-grams that two nodes share, repeats among them.  Of n-grams with the same nodes the first in the order stays:
     the first that two sets share is the first of all that the same nodes have."""
     shared = prefixes.sparkSession.sparkContext.broadcast(counts)
     schema = "kind tinyint, x bigint, y bigint, c bigint, nodes array<bigint>"
@@ -217,36 +218,39 @@ def _buckets(prefixes: DataFrame, parts: int, counts: np.ndarray) -> DataFrame:
     rows = save(rows, "ngram-buckets")
     unsigned = c("y").bitwiseXOR(F.lit(-(1 << 63)))
     lists = rows.filter(f"kind = {BUCKET}").groupBy("x").agg(F.min_by(F.struct("y", "nodes"), F.struct(c("c"), unsigned)).alias("b"))
-    one = rows.filter(f"kind = {MEMBER}").select(c("x").alias("token"), c("y").alias("node")).distinct()
+    one = rows.filter(f"kind = {MEMBER}").select(c("x").alias("token"), c("y").alias("node"))
     return one.unionByName(lists.select(c("b.y").alias("token"), F.explode("b.nodes").alias("node")))
 
 
 def _index(prefixes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """token, node, n, pos and the parity map of what lies behind the token, for (token, node) of ``tokens``; written."""
-    by_node = tokens.groupBy("node").agg(F.collect_list("token").alias("own"))  # no more than a prefix
+    """token, node, n, pos, th (a hash of its text), central (the node's number of tokens here) and the parity map of what lies behind
+    the token, for (token, node) of ``tokens``; besides them a row for each node at pos -1, behind which the whole set lies.
+    Written."""
+    by_node = tokens.groupBy("node").agg(F.collect_set("token").alias("own"))  # no more than a prefix
     # equal sets from several tasks fall together
-    both = by_node.join(prefixes.dropDuplicates(["node"]), "node").select("node", "own", "n", "tokens", *MAP)
-    names = ["token", "node", "n", "pos", *MAP]
+    both = by_node.join(prefixes.dropDuplicates(["node"]), "node").select("node", "own", "n", "tokens", "th", *MAP)
+    names = ["token", "node", "n", "pos", "th", "central", *MAP]
 
     def run(batches):
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            nodes, ns = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            maps = np.stack([b.column(4 + k).to_numpy(zero_copy_only=False) for k in range(len(MAP))], 1)
+            nodes, ns, ths = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 4))
+            maps = np.stack([b.column(5 + k).to_numpy(zero_copy_only=False) for k in range(len(MAP))], 1)
             for k in range(b.num_rows):
                 own, prefix = (b.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (1, 3))
                 at = np.flatnonzero(np.isin(prefix, own))
                 bit = ((prefix.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
                 each = np.zeros((len(prefix), len(MAP)), np.int64)
                 each[np.arange(len(prefix)), bit >> 6] = np.left_shift(np.int64(1), bit & 63)
-                behind = (np.bitwise_xor.accumulate(each, axis=0) ^ maps[k])[at]
-                out.append((prefix[at], np.full(len(at), nodes[k]), np.full(len(at), ns[k], np.int32), at.astype(np.int32), behind))
+                behind = np.concatenate([maps[k][None], (np.bitwise_xor.accumulate(each, axis=0) ^ maps[k])[at]])
+                m = len(at) + 1
+                out.append((np.r_[np.int64(0), prefix[at]], np.full(m, nodes[k]), np.full(m, ns[k], np.int32), np.r_[-1, at].astype(np.int32), np.full(m, ths[k]), np.full(m, len(at), np.int32), behind))
             if out:
                 cols = [np.concatenate(x) for x in zip(*out)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:4]), *(pa.array(np.ascontiguousarray(cols[4][:, k])) for k in range(len(MAP)))], names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols[:6]), *(pa.array(np.ascontiguousarray(cols[6][:, k])) for k in range(len(MAP)))], names)
         release()
 
-    return save(both.mapInArrow(run, "token bigint, node bigint, n int, pos int, " + ", ".join(f"{s} bigint" for s in MAP)), "ngram-index")
+    return save(both.mapInArrow(run, "token bigint, node bigint, n int, pos int, th bigint, central int, " + ", ".join(f"{s} bigint" for s in MAP)), "ngram-index")
 
 
 def _passes(percent: int):
@@ -263,52 +267,61 @@ def _passes(percent: int):
     return near, passes
 
 
-def _verifier(src: DataFrame, classes: DataFrame, nodes: DataFrame, size: int, percent: int):
-    """Of pairs (a, b) of nodes those whose sets link.  Pairs whose whole sets' maps differ too much are dropped before any
-    set is moved; sets are fetched once."""
+def _verifier(src: DataFrame, nodes: DataFrame, size: int, percent: int):
+    """(verify, settle).  verify: of pairs (a, b) of nodes those whose sets link, without those that cut hashes can't settle;
+    pairs whose whole sets' maps differ too much are dropped before any set is moved.  settle: of all pairs that were left so
+    those that link, by whole hashes, once; None if none were left."""
     c = F.col
-    have: list[DataFrame] = []
+    left: list[DataFrame] = []
 
     def compared(pairs: DataFrame, sets: DataFrame, width: int, name: str) -> DataFrame:
-        """Written pairs (a, b, sure) that link by hashes of so many bytes; sure: with MARGIN fewer in common they would too."""
+        """Written pairs (a, b, a_th, b_th, sure) that link by hashes of so many bytes; sure: with MARGIN fewer in common they would too."""
         for x in "ab":
             pairs = pairs.join(sets.select(c("node").alias(x), c("h").alias(f"h{x}")), x)
 
         def run(batches):
             for b in batches:
                 ok, sure = [], []
-                for x, y in zip(b.column(2), b.column(3)):
+                for x, y in zip(b.column(4), b.column(5)):
                     both, n = in_common(x.as_buffer(), y.as_buffer(), width)
                     ok.append(100 * both >= percent * (n - both))
                     both -= MARGIN
                     sure.append(100 * both >= percent * (n - both))
                 ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(sure, pa.bool_()).filter(ok)], ["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).filter(ok) for k in range(4)), pa.array(sure, pa.bool_()).filter(ok)], ["a", "b", "a_th", "b_th", "sure"])
             release()
 
-        return save(pairs.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint, sure boolean"), name, 500)
+        return save(pairs.select("a", "b", "a_th", "b_th", "ha", "hb").mapInArrow(run, "a bigint, b bigint, a_th bigint, b_th bigint, sure boolean"), name, 500)
+
+    def sets_of(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
+        wanted = pairs.select(c("a").alias("node"), c("a_th").alias("th")).union(pairs.select("b", "b_th")).distinct()
+        return _sets(src, save(wanted, "ngram-wanted"), size, width)
 
     def verify(pairs: DataFrame) -> DataFrame:
         for x in "ab":
-            pairs = pairs.join(nodes.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("n", *MAP))), x)
+            pairs = pairs.join(nodes.select(c("node").alias(x), *(c(k).alias(f"{x}_{k}") for k in ("th", "n", *MAP))), x)
         differ = apart(lambda k: c(f"a_{k}"), lambda k: c(f"b_{k}"))
-        pairs = save(pairs.filter(differ <= c("a_n") + c("b_n") - 2 * common(c("a_n"), c("b_n"), percent)).select("a", "b"), "ngram-pairs")
-        wanted = pairs.select(c("a").alias("node")).union(pairs.select("b")).distinct()
-        for sets in have:
-            wanted = wanted.join(sets, "node", "left_anti")
-        have.append(_sets(src, save(wanted.join(classes, "node").select("node", "th"), "ngram-wanted"), size))
-        sets = have[0]
-        for more in have[1:]:
-            sets = sets.union(more)
+        keep = differ <= c("a_n") + c("b_n") - 2 * common(c("a_n"), c("b_n"), percent)
+        pairs = save(pairs.filter(keep).select("a", "b", "a_th", "b_th"), "ngram-pairs")
+        sets = sets_of(pairs)
         found = compared(pairs, sets, WIDTH, "ngram-links")
-        close = found.filter("not sure").select("a", "b")
-        wanted = close.select(c("a").alias("node")).union(close.select("b")).distinct()
-        whole = _sets(src, save(wanted.join(classes, "node").select("node", "th"), "ngram-close"), size, 8)
-        settled = compared(close, whole, 8, "ngram-settled")
-        drop(whole)
-        return found.filter("sure").select("a", "b").union(settled.select("a", "b"))
+        drop(sets, pairs)
+        left.append(found.filter("not sure").drop("sure"))
+        return found.filter("sure").select("a", "b")
+
+    def settle() -> DataFrame | None:
+        close = None
+        for x in left:
+            close = x if close is None else close.union(x)
+        if close is None or not close.limit(1).count():
+            return None
+        close = close.distinct()
+        sets = sets_of(close, 8)
+        found = compared(close, sets, 8, "ngram-settled").select("a", "b")
+        drop(sets)
+        return found
 
-    return verify
+    return verify, settle
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -323,26 +336,32 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
     profile = save(_profile(src, size), "ngram-profile")
     docs = profile.filter("part is null").select("doc_id", "th", "n", "node")
     full = docs.filter("n > 0")
-    # of a node: its documents, the least id, and one text
-    classes = save(full.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("th").alias("th")), "ngram-classes")
     counts = _sketch(profile)
     prefixes = _prefixes(src, size, percent, counts)
     n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     index = _index(prefixes, _buckets(prefixes, max(64, n_bytes // RANGE_BYTES), counts))
     c = F.col
-    # equal sets from several tasks fall together
-    nodes = save(prefixes.select("node", "n", *MAP).join(index.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-nodes")
     drop(prefixes)
-    comp = linked_components(index, percent, ["n", "pos"], *_passes(percent), _verifier(src, classes, nodes, size, percent))
-    label = classes.select("node", "copies", "least")
+    verify, settle = _verifier(src, index.filter("pos < 0"), size, percent)
+    comp = linked_components(index.filter("pos >= 0"), percent, ["n", "pos"], *_passes(percent), verify)
+    close = settle()
+    if close is not None:
+        comp = components(close if comp is None else close.union(comp.select(c("id").alias("a"), c("component").alias("b"))), "ngram-cc")
+    drop(index)
+    classes = full.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    # a document that is alone needs no label
     if comp is not None:
-        label = label.join(comp.select(c("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        roots = label.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-        label = hot_join(label, save(roots, "ngram-roots"), "component", "members", label.count())
+        some = classes.join(comp.select(c("id").alias("node"), "component"), "node", "left").filter("copies > 1 or component is not null")
+        some = save(some, "ngram-classes")
+        near = some.filter("component is not null")
+        roots = near.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+        label = hot_join(near, save(roots, "ngram-roots"), "component", "members", near.count(), "inner").select("node", "copies", "component_id")
+        label = label.unionByName(some.filter("component is null").select("node", "copies", c("least").alias("component_id")))
     else:
-        label = label.withColumn("component_id", c("least"))
-    label = save(label.select("node", "copies", "component_id"), "ngram-label")
-    joined = hot_join(full, label, "node", "copies", full.count()).select("doc_id", "th", c("n").cast("bigint").alias("n_shingles"), "component_id")
+        label = classes.filter("copies > 1").select("node", "copies", c("least").alias("component_id"))
+    label = save(label, "ngram-label")
+    # only where all ids of a component are null is there none
+    joined = hot_join(full, label, "node", "copies", full.count()).select("doc_id", "th", c("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     empty = docs.filter("n = 0").select("doc_id", "th", F.lit(0).cast("bigint").alias("n_shingles"), c("doc_id").alias("component_id"))
     return joined.unionByName(empty)
 
@@ -350,16 +369,15 @@ def linked(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int
 def _sets(src: DataFrame, wanted: DataFrame, size: int, width: int = WIDTH) -> DataFrame:
     """node, h (the hashes, packed in ``width`` bytes each) of the wanted (node, th), each from one of the documents with a text of that hash; a
     written table.  A filter of cells, of bounded size, keeps most other texts from being shuffled."""
-    n = wanted.count()
-    m = n_cells(n, 1)
+    m = n_cells(wanted.count())
 
     def hit(batches):
         for b in batches:
             if b.num_rows:
-                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m, 1)
+                yield cell_hits(b.column(0).to_numpy(zero_copy_only=False), m)
 
     bits = merged_cells(wanted.select("th").mapInArrow(hit, "seg int, hits binary"), m, 1)
-    maybe = flagger(src.sparkSession, bits, m, 1)
+    maybe = flagger(src.sparkSession, bits, m)
     # copies of a text are one row before they are shuffled, and a node has one text
     texts = src.select("th", "text").filter(maybe("th")).groupBy("th").agg(F.min("text").alias("text"))
     texts = texts.join(wanted, "th").select("node", "text")
@@ -370,7 +388,9 @@ def _sets(src: DataFrame, wanted: DataFrame, size: int, width: int = WIDTH) -> D
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array([packed(x, width) for x in sets], pa.binary())], ["node", "h"])
         release()
 
-    return save(texts.mapInArrow(run, "node bigint, h binary"), "ngram-sets", 1000)
+    sets = save(texts.mapInArrow(run, "node bigint, h binary"), "ngram-sets", 1000)
+    drop(wanted)
+    return sets
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
