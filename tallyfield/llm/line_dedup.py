@@ -31,9 +31,9 @@ from tallyfield.llm.words import A, mix, release
 SHINGLE, BANDS, ROWS = 5, 21, 6
 BINS = BANDS * ROWS
 #: Characters, and lines, that are worked on at a time, but for longer lines.
-BLOCK, LINES = 1 << 19, 8192
-#: Bytes of text for each range of bands.
-RANGE_BYTES = 16 << 20
+BLOCK, LINES = 1 << 16, 8192
+#: Lines for each range of bands.
+RANGE_LINES = 50_000
 #: A line's hash has so many bits where lines are sorted together.
 HASH_BITS = 44
 #: Pairs that so many shingles more or fewer in common would make or unmake are settled by the shingles themselves.
@@ -60,16 +60,19 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     than a shingle has none."""
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = np.array([len(x) for x in lines], np.int64)
-    count = np.maximum(0, n - SHINGLE + 1)
     m = len(c) - SHINGLE + 1
     if m < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = c[:m] * WEIGHTS[0]
+    part = np.empty_like(h)
     for k in range(1, SHINGLE):
-        h += c[k : k + m] * WEIGHTS[k]
-    owner = np.repeat(np.arange(len(n)), count)
-    h = h[np.arange(len(owner)) + (np.cumsum(n - count) - (n - count))[owner]]
-    return owner, mix(h) >> np.uint64(64 - HASH_BITS)
+        h += np.multiply(c[k : k + m], WEIGHTS[k], out=part)
+    starts = np.ones(len(c), bool)
+    ends = np.cumsum(n)
+    for k in range(1, SHINGLE):
+        starts[ends - k] = False  # of a line shorter than k a place near the end of an earlier one, or of the last
+    owner = np.repeat(np.arange(len(n)), np.maximum(0, n - SHINGLE + 1))
+    return owner, mix(h[starts[:m]]) >> np.uint64(64 - HASH_BITS)
 
 
 def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,10 +257,13 @@ def _verified(texts: DataFrame, percent: int):
 
     def linked(lines: list[str]) -> np.ndarray:
         """For each two lines in a row: do they link?"""
-        owner, h = sets_of(lines)
-        n = np.bincount(owner, minlength=len(lines)).reshape(-1, 2).sum(1)
-        key = np.sort(h | ((owner >> 1).astype(np.uint64) << np.uint64(HASH_BITS)))
-        both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(n))
+        owner, h = shingles(lines)
+        # of a pair's shingles those of the first line come before equal ones of the second
+        key = np.sort((h << np.uint64(1)) | (owner & 1).astype(np.uint64) | ((owner >> 1).astype(np.uint64) << np.uint64(HASH_BITS + 1)))
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+        pair = (key >> np.uint64(HASH_BITS + 1)).astype(np.int64)
+        n = np.bincount(pair, minlength=len(lines) // 2)
+        both = np.bincount(pair[1:][(key[1:] ^ key[:-1]) == np.uint64(1)], minlength=len(n))
         ok = 100 * both >= percent * (n - both)
         # cut hashes may agree by chance: where MARGIN shingles decide, the shingles themselves are compared
         near = (100 * (both + MARGIN) >= percent * (n - both - MARGIN)) & (100 * (both - MARGIN) < percent * (n - both + MARGIN))
@@ -313,11 +319,10 @@ def _occurrences(src: DataFrame) -> DataFrame:
     return save(src.select("doc_id", "rid", "text").mapInArrow(run, "doc_id bigint, rid bigint, line int, node bigint"), "line-occurrences")
 
 
-def _components(src: DataFrame, percent: int) -> DataFrame | None:
+def _components(src: DataFrame, n_lines: int, percent: int) -> DataFrame | None:
     """(id, component) of the nodes that link, or None."""
     c = F.col
-    n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shared = _shared_buckets(src, max(64, n_bytes // RANGE_BYTES))
+    shared = _shared_buckets(src, max(64, n_lines // RANGE_LINES))
     # a pair is a bucket of its own
     two = c("kind") == PAIR
     token = F.when(two, F.xxhash64("x", "y")).otherwise(c("x")).alias("token")
@@ -328,7 +333,7 @@ def _components(src: DataFrame, percent: int) -> DataFrame | None:
     index = save(rows.join(texts.select("node", "n"), "node"), "line-index")
     drop(shared)
     maps = texts.select("node", *MAP)
-    return linked_components(index, percent, ["n"], *_passes(percent), _verified(texts, percent), 1, lambda open_: open_.join(maps, "node"))
+    return linked_components(index, percent, ["n"], *_passes(percent), _verified(texts, percent), 1, lambda open_: open_.join(maps, "node"), blocks=True)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -345,7 +350,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percen
     src = df.select(df[id_col].cast("bigint").alias("doc_id"), text_of(df, text).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     occ = _occurrences(src)
     at = F.struct(c("doc_id").isNull().alias("none"), "doc_id", "line", "rid")
-    comp = _components(src, percent)
+    n_lines = occ.count()
+    comp = _components(src, n_lines, percent)
     classes = occ.groupBy("node").agg(F.count("*").alias("copies"), F.min(at).alias("least"))
     own = [c("least").alias("top"), c("copies").alias("group_size")]
     # lines of groups of one need no label
@@ -359,7 +365,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", percen
     else:
         label = classes.filter("copies > 1").select("node", "copies", *own)
     label = save(label, "line-label")
-    out = hot_join(occ, label, "node", "copies", occ.count())
+    out = hot_join(occ, label, "node", "copies", n_lines)
     own = F.coalesce(c("top.rid") == c("rid"), F.lit(True)) & F.coalesce(c("top.line") == c("line"), F.lit(True))
     return out.select(
         "doc_id",

@@ -7,6 +7,10 @@ as its lead, the most central one at first, later one drawn at random, and every
 of its tokens have among those of other components.  A group of near copies falls together in the first round or two, whatever its size.  At last all pairs of
 nodes that share a token and are in different components are compared, so no link between components is missed.  Pairs
 are filtered by what the index has of their sizes and sets before anything of the sets is moved.
+
+Where whole sets' sizes and maps are the filter, the last step goes by blocks of a token's nodes, and Spark moves rows of
+blocks instead of pairs.  While tokens are crowded it is done twice: first each node is compared with the nearest one of
+another component alone, by the maps, which joins most of what links, then whatever still passes.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from tallyfield.llm.words import A, mix
 ROUNDS = 2
 #: Rounds at most, and how many pairs for each row of an index are so many that leads are tried again.
 MOST_ROUNDS, CROWD = 8, 24
+#: The same where blocks are compared: a pair costs so much less there than a round does.
+CROWD_BLOCKS = 256
+#: Nodes of a block, rows of blocks that a task takes at a time, pairs that it holds.
+BLOCK_NODES, PART_ROWS, HELD_PAIRS = 1024, 8192, 1 << 20
 #: 64-bit words of a parity map.
 WORDS = 8
 BITS = 64 * WORDS
@@ -76,8 +84,12 @@ def ordered(x: Column, y: Column) -> list[Column]:
 
 def buckets(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens, nodes, number of distinct nodes of the row's token) of the distinct rows, in order."""
-    o = np.lexsort((node, token))
+    o = np.argsort(token)
     token, node = token[o], node[o]
+    # most tokens have one node: only where they have more are nodes sorted too
+    same = token[1:] == token[:-1]
+    several = np.flatnonzero(np.r_[False, same] | np.r_[same, False][: len(token)])
+    node[several] = node[several[np.lexsort((node[several], token[several]))]]
     new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]
     token, node = token[new], node[new]
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
@@ -113,7 +125,7 @@ def packet(token: np.ndarray, node: np.ndarray, parts: int, short: bool = False)
         if not len(t):
             continue
         part = (t % np.uint64(parts)).astype(np.int32)
-        o = np.argsort(part, kind="stable")
+        o = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
         t, v, part = t[o], v[o], part[o]
         at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         ends = np.r_[at[1:], len(part)]
@@ -202,14 +214,102 @@ def _open(cur: DataFrame, some: DataFrame, total: int, top: int, percent: int, p
     return out
 
 
-def linked_components(index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify, rounds: int = ROUNDS, whole: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame | None:
+def _dealt(cur: DataFrame, some: DataFrame, total: int, top: int, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """part, token, x, y, block, node, comp, n and maps: a row for each two blocks x <= y of a token of which the node's own is
+    one.  A token's nodes are in blocks of about BLOCK_NODES; those of the component that has most of a large token are in
+    blocks of their own, which are not compared with each other, so a group that has linked costs its size alone."""
+    c = F.col
+    rows = hot_join(cur.select("token", "node", "comp", "n"), some, "token", "c", total, "inner", top)
+    n_rows = total
+    if top > BLOCK_NODES:
+        # there are fewer large tokens than one for BLOCK_NODES rows
+        large = F.broadcast(some.filter(c("c") > BLOCK_NODES).select("token"))
+        own = cur.join(large, "token").groupBy("token", "comp").agg(F.count("*").alias("own"))
+        own = own.groupBy("token").agg(F.max(F.struct("own", "comp")).alias("main"), F.sum("own").alias("c"))
+        parts = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
+        own = save(own.select("token", c("main.comp").alias("main"), parts(c("main.own")).alias("mains"), parts(c("c") - c("main.own")).alias("others"), "c", c("main.own").alias("own")), "link-large")
+        n_rows += own.agg(F.coalesce(F.sum(c("own") * c("others") + (c("c") - c("own")) * (c("mains") + c("others"))), F.lit(0))).first()[0]
+        rows = rows.join(F.broadcast(own.select("token", "main", "mains", "others")), "token", "left")
+        is_main = F.coalesce(c("comp") == c("main"), F.lit(False))
+        mains, others = F.coalesce("mains", F.lit(0)), F.coalesce("others", F.lit(1))
+        draw = F.xxhash64("node", F.lit(7))
+        block = F.when(is_main, F.pmod(draw, mains)).otherwise(mains + F.pmod(draw, others)).cast("int")
+        rows = rows.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.when(is_main, mains).otherwise(F.lit(0)), mains + others - 1)))
+    else:
+        rows = rows.withColumn("block", F.lit(0)).withColumn("with", F.lit(0))
+    rows = rows.select("token", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "node", "comp", "n")
+    part = F.pmod(F.xxhash64("token", "x", "y"), F.lit(n_rows // PART_ROWS + 1)).cast("int")
+    return whole(rows.withColumn("part", part)).select("part", "token", "x", "y", "block", "node", "comp", "n", *MAP)
+
+
+def _between(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of ``rows`` of ``_dealt`` that share a token, are in different components and pass the filters of
+    sizes and maps; nearest: of each node only that with the one whose map is nearest.  A written table."""
+
+    def compare(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(groups))
+        col = {k: t[k].to_numpy() for k in t.column_names}
+        o = np.lexsort((col["comp"], col["y"], col["x"], col["token"]))
+        token, x, y, block, node, comp = (col[k][o] for k in ("token", "x", "y", "block", "node", "comp"))
+        n = col["n"][o].astype(np.int64)
+        maps = np.stack([col[k] for k in MAP], 1)[o].view(np.uint64)
+        group = np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        end, after = (np.append(np.flatnonzero(new)[1:], len(o))[np.cumsum(new) - 1] for new in (group, group | np.r_[True, comp[1:] != comp[:-1]]))
+        best = np.full(len(o), np.inf), np.zeros(len(o), np.int64)
+        held, n_held = [], 0
+        # each row with those of later components of its two blocks, one after the other
+        i, j = np.arange(len(o)), after
+        while len(i):
+            open_ = j < end[i]
+            i, j = i[open_], j[open_]
+            n1, n2 = n[i], n[j]
+            ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((x[i] == y[i]) | (block[i] != block[j]))
+            a, b, both = i[ok], j[ok], (n1 + n2)[ok]
+            far = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
+            ok = far <= both - 2 * -(-percent * both // (100 + percent))
+            a, b, far = a[ok], b[ok], far[ok] / both[ok]
+            if nearest:
+                for u, v in ((a, b), (b, a)):
+                    # a row is there once as i, and as j once for each of them
+                    u, v, f = (z[np.lexsort((far, u))] for z in (u, v, far))
+                    first = np.r_[True, u[1:] != u[:-1]][: len(u)]
+                    u, v, f = u[first], v[first], f[first]
+                    less = f < best[0][u]
+                    best[0][u[less]], best[1][u[less]] = f[less], node[v[less]]
+            elif len(a):
+                held.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1))
+                n_held += len(a)
+                if n_held >= HELD_PAIRS:
+                    yield pairs_of(np.unique(np.concatenate(held), axis=0), np.zeros(0))
+                    held, n_held = [], 0
+            j = j + 1
+        if nearest:
+            some = np.flatnonzero(np.isfinite(best[0]))
+            yield pairs_of(np.stack([node[some], best[1][some]], 1), best[0][some])
+        elif held:
+            yield pairs_of(np.unique(np.concatenate(held), axis=0), np.zeros(0))
+
+    def pairs_of(pairs: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+        far = far if len(far) else np.zeros(len(pairs))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(far)], ["a", "b", "far"])
+
+    c = F.col
+    found = rows.groupBy("part").applyInArrow(compare, "a bigint, b bigint, far double")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select(*ordered(c("a"), c("best.b")))
+    return save(found.select("a", "b").distinct(), "link-pairs")
+
+
+def linked_components(
+    index: DataFrame, percent: int, light: list[str], near: Passes, passes: Passes, verify: Verify, rounds: int = ROUNDS, whole: Callable[[DataFrame], DataFrame] = lambda rows: rows, blocks: bool = False
+) -> DataFrame | None:
     """(id, component) of the nodes that link with others, a written table, or None if none do.
 
     Nodes are compared with leads ``rounds`` times, then as long as tokens are crowded and leads still link: so what is left to be
     compared pair by pair grows with the index, not with the square of a group.  index: a written table with token, node, n
     (size of the set) and what ``passes`` needs, or ``whole`` adds to its rows; ``near`` is the part of it that needs the
     ``light`` columns alone and is asked of leads.  ``verify`` gives the pairs of a written table that link, as a
-    written table.
+    written table.  blocks: ``passes`` is that of whole sets' sizes and maps, and pairs are compared by blocks.
     """
     links, comp, more, n = None, None, True, index.count()
     for k in range(MOST_ROUNDS + 1):
@@ -220,8 +320,22 @@ def linked_components(index: DataFrame, percent: int, light: list[str], near: Pa
             drop(lead)
             return comp
         # all pairs of open tokens are more than those between components: if they are few, these need not be counted
-        last = k == MOST_ROUNDS or k > rounds and not more or k >= rounds and (pairs <= CROWD * n or not _crowded(index, comp))
-        found = _open(cur, lead.select("token", "c"), total, top, percent, passes, whole) if last else _led(cur, lead, total, top, near, light)
+        last, crowd = k == MOST_ROUNDS or k > rounds and not more, 0.0
+        if k >= rounds and (blocks or not last):
+            crowd = pairs / n if pairs <= CROWD * n else _crowded(index, comp)
+            last = last or crowd <= (CROWD_BLOCKS if blocks else CROWD)
+        if last and blocks:
+            rows = dealt = _dealt(cur, lead.select("token", "c"), total, top, whole)
+            if crowd > CROWD:
+                dealt = save(dealt, "link-dealt")
+                links, comp, _ = _joined(_between(dealt, percent, True), verify, links, comp)
+                rows = _with_components(dealt.drop("comp"), comp)
+            found = _between(rows, percent, False)
+            drop(dealt)
+        elif last:
+            found = _open(cur, lead.select("token", "c"), total, top, percent, passes, whole)
+        else:
+            found = _led(cur, lead, total, top, near, light)
         drop(lead)
         links, comp, more = _joined(found, verify, links, comp)
         if last:
@@ -241,10 +355,10 @@ def _joined(pairs: DataFrame, verify: Verify, links: DataFrame | None, comp: Dat
     return links, components(links, "link-cc"), True
 
 
-def _crowded(index: DataFrame, comp: DataFrame | None) -> bool:
-    """Do tokens have more pairs of nodes of different components than CROWD for each row of the index?  Counted, not built."""
+def _crowded(index: DataFrame, comp: DataFrame | None) -> float:
+    """How many pairs of nodes of different components tokens have for each row of the index.  Counted, not built."""
     c = F.col
     own = _with_components(index.select("token", "node"), comp).groupBy("token", "comp").agg(F.count("*").cast("double").alias("c"))
     by_token = own.groupBy("token").agg(F.sum("c").alias("n"), F.sum(c("c") * c("c")).alias("same"))
     n, pairs = by_token.agg(F.sum("n"), F.sum(c("n") * c("n") - c("same")) / 2).first()
-    return bool(n) and pairs > CROWD * n
+    return pairs / n if n else 0.0
