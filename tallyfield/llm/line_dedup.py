@@ -96,8 +96,8 @@ def bands_of(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     for spare in SPARE:
         if not len(line):
             break
-        got = own[spare[at], line]
-        sig[at, line] = got
+        got = own.ravel()[spare[at] * n + line]
+        sig.ravel()[at * n + line] = got
         still = got == EMPTY
         at, line = at[still], line[still]
     if len(line):  # few shingles: the next range that has one
@@ -220,10 +220,15 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
             done.update(nodes[k] for k in at)
         yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([texts[k] for k in at], pa.string())], ["node", "text"])
 
-    rows = src.select("text").mapInArrow(found, "node bigint, text string").dropDuplicates(["node"])
+    # equal nodes meet in one task, which keeps one of each
+    rows = src.select("text").mapInArrow(found, "node bigint, text string").repartition("node")
 
     def sized(batches):
+        kept: set[int] = set()
         for b in batches:
+            at = {k: i for i, k in enumerate(b.column(0).to_pylist()) if k not in kept}
+            kept.update(at)
+            b = b.take(pa.array(list(at.values()), pa.int64()))
             for at in range(0, b.num_rows, LINES):
                 part = b.slice(at, LINES)
                 done = 0
