@@ -1,9 +1,12 @@
 """Documents of events in parts: the parts make the whole, and lists that many events show are written once for each team."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tallyfield.operators import probability as pr
 from tallyfield.operators import tables as t
+from tallyfield.plans import forecast as fc
 from tallyfield.plans import packs
 from tallyfield.queries import upcoming
 from tallyfield.sources import projections as p
@@ -69,3 +72,27 @@ def test_odds_of_some_events_are_those_of_all(spark, sf):
     want = p.odds(spark, sf).join(some, "event_id", "left_semi")
     got = p.odds(spark, sf, some)
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 9 * some.count()
+
+
+def test_packs_have_profiles_of_the_score_model(spark, sf):
+    models = spark.createDataFrame([(1, 3, 0.25, -0.5, 0.1, 0.2, -0.05)], MODEL)
+    own = _team_packs(spark, sf, models)[1].select("comp", "team", "pack.attack", "pack.defence").distinct().collect()
+    assert {r.comp for r in own} == set(range(5))
+    for r in own:
+        want = (None, None) if r.comp != 1 else (math.exp(0.25), math.exp(-0.5)) if r.team == 3 else (1.0, 1.0)
+        assert (r.attack, r.defence) == want
+
+
+def test_documents_are_of_fitted_score_models(spark, sf):
+    m = p.matches(spark, sf)
+    models = fc.dixon_coles_at(m, NOW)
+    team = {(r.comp, r.team): r for r in models.collect()}
+    fitted = {comp for comp, _ in team}
+    assert 0 < len(fitted) < 5
+    known = {r.event_id: r for r in upcoming._fixtures(m).collect()}
+    for r in upcoming.QUERIES["stat_packs"](spark, sf).collect():
+        x = known[r.event_id]
+        assert (r.attack is not None) == (r.defence is not None) == (x.comp in fitted)
+        if x.comp in fitted:
+            effect = lambda side, k: getattr(team[x.comp, side], k) if (x.comp, side) in team else 0.0  # noqa: B023, E731
+            assert math.isclose(r.attack, math.exp(effect(x.home, "attack")), abs_tol=1e-6) and math.isclose(r.defence, math.exp(effect(x.away, "defence")), abs_tol=1e-6)
